@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert_shards, line_dedup, matroska, packing, sentencepiece_codec, warc_fixity
+from . import embedding_dedup, hilbert_shards, line_dedup, matroska, packing, sentencepiece_codec, toxicity, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,10 +44,22 @@ def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_frequent_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.read_back(matroska.store(_table(spark, sf_dir, "documents")))
 
 
+def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 _OP5 = """
 WITH r AS (
   SELECT page_id, CAST(floor(page_id / 4096.0) AS BIGINT) AS archive,
@@ -66,6 +78,18 @@ SELECT archive, seq, page_id,
 FROM d
 """
 
+_OP10 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm FROM embeddings),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, p.b FROM reach r JOIN p ON r.b = p.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN c ON v.vec_id = c.a LEFT JOIN n ON v.vec_id = n.a
+"""
+
 _OP6 = r"""
 WITH lines AS (
   SELECT doc_id, line, pos FROM (
@@ -81,8 +105,8 @@ FROM keyed k LEFT JOIN hot h ON k.key = h.key GROUP BY k.doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_hilbert_shards, op5_warc_fixity, op6_line_runs, op9_matroska)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_hilbert_shards, op5_warc_fixity, op6_line_runs, op7_toxicity, op9_matroska, op10_multi_index)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_fixity": _OP5, "op6_line_runs": _OP6}
+    return {"op5_warc_fixity": _OP5, "op6_line_runs": _OP6, "op10_multi_index": _OP10}
