@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, hilbert_shards, jaccard_join, line_dedup, matroska, packing, sentencepiece_codec, toxicity, warc_fixity
+from . import embedding_dedup, hilbert_shards, jaccard_join, line_dedup, matroska, packing, sentencepiece_codec, suffix_dedup, toxicity, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "cell")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits the archive of all pages against a replica in which every 97th page id has its angle brackets damaged."""
     pages = _table(spark, sf_dir, "pages")
@@ -109,7 +113,7 @@ FROM keyed k LEFT JOIN hot h ON k.key = h.key GROUP BY k.doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_hilbert_shards, op5_warc_fixity, op6_line_runs, op7_toxicity, op8_jaccard_join, op9_matroska, op10_multi_index)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_hilbert_shards, op4_suffix_dedup, op5_warc_fixity, op6_line_runs, op7_toxicity, op8_jaccard_join, op9_matroska, op10_multi_index)}
 
 
 def oracle_sql() -> dict[str, str]:
