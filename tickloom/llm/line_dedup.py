@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._stage import new_path, partitions
 
@@ -101,26 +102,32 @@ def doc_counts(keys: DataFrame) -> DataFrame:
     return keys.groupBy(*KEY).agg(F.count("*").alias("n_docs"))
 
 
-_OUT = "doc_id long, text string, n_lines long, n_dropped long, kept_sha256 string"
+OUT = "doc_id long, text string, n_lines long, n_dropped long, kept_sha256 string"
 
 
-def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = {k: [] for k in ("doc_id", "text", "n_lines", "n_dropped", "kept_sha256")}
-        for i, text, drop in zip(b["_id"].to_pylist(), b["_text"].to_pylist(), b["_drop"].to_pylist(), strict=True):
-            lines = (text or "").split("\n")
-            n = len(lines)
-            if drop:
-                gone = set(drop)
-                lines = [x for k, x in enumerate(lines) if k not in gone]
-            kept = "\n".join(lines)
-            for k, v in zip(rows, (i, kept, n, n - len(lines), hashlib.sha256(kept.encode()).hexdigest()), strict=True):
-                rows[k].append(v)
-        yield pa.RecordBatch.from_pydict(rows, pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())]))
+def _rebuild(carry: bool):
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[list] = [[], [], [], [], []]
+            for i, text, drop in zip(b["_id"].to_pylist(), b["_text"].to_pylist(), b["_drop"].to_pylist(), strict=True):
+                lines = (text or "").split("\n")
+                n = len(lines)
+                if drop:
+                    gone = set(drop)
+                    lines = [x for k, x in enumerate(lines) if k not in gone]
+                kept = "\n".join(lines)
+                for k, v in zip(rows, (i, kept, n, n - len(lines), hashlib.sha256(kept.encode()).hexdigest()), strict=True):
+                    k.append(v)
+            columns = [pa.array(c, k) for c, k in zip(rows, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns + ([b["_carry"]] if carry else []), [c.split()[0] for c in OUT.split(", ")] + ["_carry"] * carry)
 
-def drop_frequent_lines(docs: DataFrame, least_docs: int = 10, batches: int = 4, runs: LineRuns | None = None) -> DataFrame:
-    """(doc_id, text, n_lines, n_dropped, kept_sha256): texts without the lines found in ``least_docs`` documents.
+    return run
+
+
+def drop_frequent_lines(docs: DataFrame, least_docs: int = 10, batches: int = 4, runs: LineRuns | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, n_lines, n_dropped, kept_sha256): texts without the lines found in ``least_docs`` documents, with the columns of ``carry``.
 
     Documents arrive in ``batches`` by a hash of their id (or pass ``runs``
     of earlier corpora, which then count too). A null or empty text is one
@@ -131,6 +138,7 @@ def drop_frequent_lines(docs: DataFrame, least_docs: int = 10, batches: int = 4,
     128-bit hashes; a text is shuffled once, to meet its line numbers.
     """
     spark = docs.sparkSession
+    whole = docs.select("doc_id", "text", *([F.struct(*carry).alias("_carry")] if carry else []))
     docs = docs.select("doc_id", "text")
     runs = runs or LineRuns(spark)
     for b in range(batches):
@@ -138,8 +146,13 @@ def drop_frequent_lines(docs: DataFrame, least_docs: int = 10, batches: int = 4,
         runs.add(doc_counts(_distinct_keys(part)))
     hot = runs.frequent(least_docs)
     places = line_keys(docs).join(hot, KEY, "left_semi").groupBy("_id").agg(F.collect_list("at").alias("_drop"))
-    joined = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(places.withColumnRenamed("_id", "_at"), F.col("_id").eqNullSafe(F.col("_at")), "left")
-    return joined.select("_id", "_text", "_drop").mapInArrow(_rebuild, _OUT)
+    held = ["_carry"] if carry else []
+    joined = whole.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), *held).join(places.withColumnRenamed("_id", "_at"), F.col("_id").eqNullSafe(F.col("_at")), "left")
+    schema = T.StructType.fromDDL(OUT)
+    if carry:
+        schema = schema.add(whole.schema["_carry"])
+    out = joined.select("_id", "_text", "_drop", *held).mapInArrow(_rebuild(bool(carry)), schema)
+    return out.select(*(c.split()[0] for c in OUT.split(", ")), *(["_carry.*"] if carry else []))
 
 
 def _distinct_keys(docs: DataFrame) -> DataFrame:

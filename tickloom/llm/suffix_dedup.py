@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._bytes import _TABLE, CHUNK, flat, mix, powers
 from ._groups import blocks, edges
@@ -325,7 +326,7 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
 KEPT = "id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _cut(with_text: bool):
+def _cut(with_text: bool, carry: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 1024):
@@ -345,13 +346,14 @@ def _cut(with_text: bool):
                         kept = b"".join([raw[p:q] for p, q in zip([0, *last], [*first, n], strict=True)])
                     rows.append((i, kept if with_text else None, n, gone, runs, hashlib.sha256(kept).hexdigest()))
                 kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 6, kinds, strict=True)], [c.split()[0] for c in KEPT.split(", ")])
+                columns = [pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 6, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns + ([b["carry"]] if carry else []), [c.split()[0] for c in KEPT.split(", ")] + ["carry"] * carry)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every document of (doc_id, text).
+def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every document of (doc_id, text), with the columns of ``carry``.
 
     ``kept``: the bytes that no repeated string of ``length`` bytes covers (null
     unless asked for); they may cut through characters. A null text is empty;
@@ -361,7 +363,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = True) -
     are ignored; an empty table gives none.
     """
     least = F.lit(-(2**63)).cast("long")
-    docs = docs.select(F.coalesce("doc_id", least).alias("id"), "text")
-    spans = repeated_spans(docs, length).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    cut = docs.join(spans, "id", "left").select("id", "text", "spans").mapInArrow(_cut(with_text), KEPT)
-    return cut.select(F.when(F.col("id") != least, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    held = [F.struct(*carry).alias("carry")] if carry else []
+    whole = docs.select(F.coalesce("doc_id", least).alias("id"), "text", *held)
+    spans = repeated_spans(whole, length).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    schema = T.StructType.fromDDL(KEPT)
+    if carry:
+        schema = schema.add(whole.schema["carry"])
+    cut = whole.join(spans, "id", "left").select("id", "text", "spans", *(["carry"] if carry else [])).mapInArrow(_cut(with_text, bool(carry)), schema)
+    return cut.select(F.when(F.col("id") != least, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *(["carry.*"] if carry else []))
