@@ -1,0 +1 @@
+"""Financial-econometrics jobs on Spark tables and streams."""
