@@ -8,6 +8,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 _erf = np.vectorize(math.erf, otypes=[float])
@@ -73,30 +74,30 @@ def t_cdf(x, df) -> np.ndarray:
     return np.where(x > 0, 1 - tail, tail)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
     """P(chi-squared with df degrees of freedom > x)."""
     return pd.Series(1 - gamma_p(df.astype(float).values / 2, x.astype(float).values / 2)).where(x.notna().values)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_sf(x: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     """P(F with d1 and d2 degrees of freedom > x)."""
     v, a, b = (s.astype(float).values for s in (x, d1, d2))
     return pd.Series(beta_i(b / 2, a / 2, b / (b + a * np.maximum(v, 0)))).where(x.notna().values)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided(x: pd.Series, df: pd.Series) -> pd.Series:
     """P(|t with df degrees of freedom| > |x|)."""
     return pd.Series(2 * (1 - t_cdf(np.abs(x.astype(float).values), df.astype(float).values))).where(x.notna().values)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     return pd.Series(norm_cdf(x.astype(float).values)).where(x.notna().values)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     return pd.Series(norm_ppf(p.astype(float).values)).where(p.notna().values)

@@ -453,7 +453,7 @@ def m6_realized_covariance(spark, d):
     return rounded(realized.realized_covariance(ticks(spark, d), 3600), 6, "rcov")
 
 
-@query(f"""WITH {TICKS}, c AS (SELECT *, k AS seconds, (us - min(us) OVER (PARTITION BY symbol, date)) // (k * 1000000) AS bucket FROM ticks, (VALUES (900), (1800), (3600)) v(k)),
+@query(f"""WITH {TICKS}, c AS (SELECT *, k AS seconds, (us - min(us) OVER (PARTITION BY symbol, date)) // (k::BIGINT * 1000000) AS bucket FROM ticks, (VALUES (900), (1800), (3600)) v(k)),
 s AS (SELECT symbol, date, seconds, bucket, arg_min(price, (us, seq)) AS price, min(us) AS us FROM c GROUP BY ALL),
 r AS (SELECT *, ln(price / lag(price) OVER (PARTITION BY symbol, date, seconds ORDER BY us)) AS ret FROM s)
 SELECT symbol, date, seconds, round(coalesce(sum(ret * ret), 0), 6) AS rv FROM r GROUP BY ALL""")
@@ -510,7 +510,7 @@ def v1_garch(spark, d):
     return _day(_garch(spark, d), "var")
 
 
-@query(_path("0.01 + 0.1 * p.ret * p.ret + 0.9 * p.v", "0.5") + " SELECT asset, ts::DATE::VARCHAR AS day, round(v, 7) AS var FROM p")
+@query(_path("0.01 + 0.1 * p.ret * p.ret + 0.9 * p.v", "0.5::DOUBLE") + " SELECT asset, ts::DATE::VARCHAR AS day, round(v, 7) AS var FROM p")
 def v2_igarch(spark, d):
     return _day(volatility.igarch(panel_returns(spark, d).select("asset", "ts", "ret"), _D, _T, 0.01, 0.1), "var")
 
