@@ -6,7 +6,9 @@ shingle. Lists are skipped in blocks by what positions allow, and by what is
 known already: equal sets are one set, and a list's first set (its leader) is
 compared with the others first; sets found to be connected are never compared
 again, so a group of near copies answers through its leader rather than through
-all of its pairs. Every pair that remains is verified on whole sets.
+all of its pairs. A parity sketch, which never overstates how much two sets
+differ, drops pairs that cannot be similar before they leave a list. Every pair
+that remains is verified on whole sets.
 """
 
 from __future__ import annotations
@@ -18,40 +20,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import mix, shingle_sets
+from ._bytes import flat, mix, shingle_sets
 from ._components import components
 from ._groups import blocks, edges
 from ._stage import partitions, staged
 
 SKETCH, PARTS = 1 << 20, 256
+PARITY = 1024
 BLOOM = 1 << 24
 _ROWS = 2048
 
 
 def _profile(size: int):
-    """Per text the size and 128-bit fingerprint of its set; per task, counters of hashed shingles."""
+    """Per text the size, 128-bit fingerprint and parity sketch of its set; per task, counters of hashed shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(SKETCH, np.uint32)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        names = ["doc_id", "n", "f1", "f2", "part", "blob"]
+        names = ["doc_id", "n", "f1", "f2", "parity", "part", "blob"]
         for whole in batches:
             for lo in range(0, whole.num_rows, _ROWS):
                 b = whole.slice(lo, _ROWS)
                 n, f1, f2 = (np.zeros(b.num_rows, np.uint64) for _ in range(3))
                 seen = []
+                parity = np.zeros((b.num_rows, PARITY), bool)
                 for i, s in shingle_sets(b["text"], size):
                     if len(s):
                         n[i], f1[i] = len(s), s.sum(dtype=np.uint64)
                         f2[i] = np.bitwise_xor.reduce(mix(s * np.uint64(0x9E3779B97F4A7C15)))
                         seen.append(s >> np.uint64(44))
+                        parity[i] = np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
                 if seen:
                     counters += np.bincount(np.concatenate(seen).astype(np.int64), minlength=SKETCH).astype(np.uint32)
                 none = pa.nulls(b.num_rows, pa.int32())
-                yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(x.view(np.int64)) for x in (n, f1, f2)), none, pa.nulls(b.num_rows, pa.binary())], names)
+                rows = np.packbits(parity, axis=1)
+                sketch = pa.array([x.tobytes() for x in rows], pa.binary())
+                yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(x.view(np.int64)) for x in (n, f1, f2)), sketch, none, pa.nulls(b.num_rows, pa.binary())], names)
         step = SKETCH // PARTS
         some = [p for p in range(PARTS) if counters[p * step : (p + 1) * step].any()]
-        cols = [pa.nulls(len(some), k) for k in kinds[:4]] + [pa.array(some, pa.int32()), pa.array([counters[p * step : (p + 1) * step].tobytes() for p in some], pa.binary())]
+        cols = [pa.nulls(len(some), k) for k in kinds[:4]] + [pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array([counters[p * step : (p + 1) * step].tobytes() for p in some], pa.binary())]
         yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
@@ -129,6 +136,40 @@ def _may(nx, px, ny, py, num: int, den: int):
     return (num * np.maximum(nx, ny) <= den * np.minimum(nx, ny)) & (most * (num + den) >= need)
 
 
+def _close(x: np.ndarray, y: np.ndarray, nx, ny, num: int, den: int) -> np.ndarray:
+    """Whether sets with these parity sketches can be similar: the sketches differ in no more places than the sets."""
+    differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+    return differ * (num + den) <= (den - num) * (nx + ny)
+
+
+def _words(column) -> np.ndarray:
+    """Sketches as rows of 64-bit words."""
+    return flat(column)[0].view(np.uint64).reshape(-1, PARITY // 64)
+
+
+def _plausible(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                ok = _close(_words(b["one"]), _words(b["two"]), b["nx"].to_numpy(), b["ny"].to_numpy(), num, den)
+                yield b.select(["x", "y"]).filter(pa.array(ok))
+
+    return run
+
+
+def _open_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists in which sets other than the leader are of different components."""
+    for t in blocks(batches, ["token"]):
+        token, comp = t["token"].to_numpy(), t["comp"].to_numpy()
+        cut = edges(token)
+        if not len(token):
+            continue
+        low, high = np.minimum.reduceat(comp, cut[:-1]), np.maximum.reduceat(comp, cut[:-1])
+        keep = np.repeat((np.diff(cut) > 2) & (low != high), np.diff(cut))
+        if keep.any():
+            yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
+
+
 def _to_leader(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in blocks(batches, ["token"]):
@@ -154,7 +195,7 @@ def _across(num: int, den: int, block: int = 256):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in blocks(batches, ["token"]):
             token, doc, n, pos, comp = (t[c].to_numpy().astype(np.int64) for c in ("token", "doc_id", "n", "pos", "comp"))
-            cut, found = edges(token), []
+            cut, found, sketch = edges(token), [], _words(t["parity"])
             for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 if e - s < 3 or (comp[s:e] == comp[s]).all():
                     continue
@@ -173,8 +214,10 @@ def _across(num: int, den: int, block: int = 256):
                         if a == b:
                             hit &= np.arange(len(ka))[:, None] < np.arange(len(kb))
                         p, q = np.nonzero(hit)
-                        if len(p):
-                            found.append(np.stack([doc[ka[p]], doc[kb[q]]], 1))
+                        p, q = ka[p], kb[q]
+                        ok = _close(sketch[p], sketch[q], n[p], n[q], num, den)
+                        if ok.any():
+                            found.append(np.stack([doc[p[ok]], doc[q[ok]]], 1))
             if found:
                 p = np.concatenate(found)
                 p = np.unique(np.stack([p.max(1), p.min(1)], 1), axis=0)
@@ -253,12 +296,13 @@ def link_documents(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    profile = staged(docs.mapInArrow(_profile(size), "doc_id long, n long, f1 long, f2 long, part int, blob binary"), "profile")
+    profile = staged(docs.mapInArrow(_profile(size), "doc_id long, n long, f1 long, f2 long, parity binary, part int, blob binary"), "profile")
     counts = _gathered(profile.where("part is not null"), "uint32", np.add, np.zeros(SKETCH, np.uint32))
     levels = spark.sparkContext.broadcast(np.floor(np.log2(counts + 1.0)).astype(np.uint8))
-    sets = profile.where("part is null").select("doc_id", "n", "f1", "f2")
+    sets = profile.where("part is null").select("doc_id", "n", "f1", "f2", "parity")
     classes = sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    rows = staged(sets.join(classes, ["n", "f1", "f2"], "left").select("doc_id", "n", "rep"), "sets")
+    rows = staged(sets.join(classes, ["n", "f1", "f2"], "left").select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("parity")).alias("parity")), "sets")
+    sketches = rows.where("parity is not null").select(F.col("rep").alias("id"), "n", "parity").dropDuplicates(["id"])
 
     n = partitions(spark)
     entries = docs.mapInArrow(_prefixes(size, levels, num, den), LIST)
@@ -270,10 +314,13 @@ def link_documents(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100
     def listed(df: DataFrame) -> DataFrame:
         return df.repartition(n, "token").sortWithinPartitions("token", "doc_id")
 
-    asked = staged(listed(lists).mapInArrow(_to_leader(num, den), "x long, y long").distinct(), "to_leader")
+    asked = listed(lists).mapInArrow(_to_leader(num, den), "x long, y long").distinct()
+    asked = asked.join(sketches.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("parity").alias("one")), "x").join(sketches.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("parity").alias("two")), "y")
+    asked = staged(asked.mapInArrow(_plausible(num, den), "x long, y long"), "to_leader")
     near = staged(verified(asked, docs, size, num, den), "near")
     known = components(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
     lists = lists.join(known, lists["doc_id"] == known["node"], "left").select("token", "doc_id", "n", "pos", F.coalesce("root", "doc_id").alias("comp"))
+    lists = listed(lists).mapInArrow(_open_lists, f"{LIST}, comp long").join(sketches.select("id", "parity"), F.col("doc_id") == F.col("id")).drop("id")
     rest = staged(listed(lists).mapInArrow(_across(num, den), "x long, y long").distinct(), "across")
     more = staged(verified(rest, docs, size, num, den), "more")
     roots = components(near.union(more).select(F.col("x").alias("a"), F.col("y").alias("b")))
