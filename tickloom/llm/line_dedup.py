@@ -12,30 +12,25 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._stage import new_path, partitions
+from ._stage import new_path, partitions, staged
 
-BLANKS = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ["k1", "k2"]
 RUN = "k1 long, k2 long, n_docs long, fresh boolean"
 
 
-def line_key(line: Column) -> Column:
-    """The line without blanks at either end and with A-Z lower-cased."""
-    return F.translate(F.trim(line, F.lit(BLANKS)), UPPER, LOWER)
+def key_of(line: bytes) -> bytes | None:
+    """128 bits of the line without blanks at either end and with A-Z lower-cased, as two longs; none for an empty key.
 
-
-def _hashed(line: Column) -> Column:
-    """128 bits of a line's key; null for an empty key."""
-    key = line_key(line)
-    digest = F.md5(key.cast("binary"))
-    part = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("long")
-    return F.when(F.length(key) >= 1, F.struct(part(1).alias("k1"), part(16).alias("k2")))
+    On bytes, ``strip`` and ``lower`` know ASCII only, as the key asks.
+    """
+    key = line.strip().lower()
+    return hashlib.blake2b(key, digest_size=16).digest() if key else None
 
 
 class LineRuns:
@@ -92,9 +87,22 @@ class LineRuns:
 
 
 def line_keys(docs: DataFrame) -> DataFrame:
-    """(_id, k1, k2, at): key and number of every line with a non-empty key."""
-    lines = docs.select(F.col("doc_id").alias("_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("at", "line"))
-    return lines.select("_id", "at", _hashed(F.col("line")).alias("k")).where("k is not null").select("_id", "k.k1", "k.k2", "at")
+    """(_id, k1, k2): the non-empty keys of every row's lines, a key once a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                b = whole.slice(lo, 512)
+                keys, n = [], []
+                for t in b["text"]:
+                    one = {key_of(x) for x in (t.as_py() or "").encode().split(b"\n")} - {None}
+                    keys += one
+                    n.append(len(one))
+                k = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
+                ids = b["doc_id"].take(pa.array(np.repeat(np.arange(b.num_rows), n)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy())], ["_id", *KEY])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "_id long, k1 long, k2 long")
 
 
 def doc_counts(keys: DataFrame) -> DataFrame:
@@ -111,14 +119,17 @@ def _rebuild(carry: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[list] = [[], [], [], [], []]
-            for i, text, drop in zip(b["_id"].to_pylist(), b["_text"].to_pylist(), b["_drop"].to_pylist(), strict=True):
-                lines = (text or "").split("\n")
+            drop = b["_drop"]
+            both = np.stack([drop.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)], 1).astype("<i8")
+            at = drop.offsets.to_numpy()
+            for r, (i, text) in enumerate(zip(b["_id"].to_pylist(), b["_text"].to_pylist(), strict=True)):
+                lines = (text or "").encode().split(b"\n")
                 n = len(lines)
-                if drop:
-                    gone = set(drop)
-                    lines = [x for k, x in enumerate(lines) if k not in gone]
-                kept = "\n".join(lines)
-                for k, v in zip(rows, (i, kept, n, n - len(lines), hashlib.sha256(kept.encode()).hexdigest()), strict=True):
+                if at[r] < at[r + 1]:
+                    gone = {k.tobytes() for k in both[at[r] : at[r + 1]]}
+                    lines = [x for x in lines if key_of(x) not in gone]
+                kept = b"\n".join(lines)
+                for k, v in zip(rows, (i, kept.decode(), n, n - len(lines), hashlib.sha256(kept).hexdigest()), strict=True):
                     k.append(v)
             columns = [pa.array(c, k) for c, k in zip(rows, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(columns + ([b["_carry"]] if carry else []), [c.split()[0] for c in OUT.split(", ")] + ["_carry"] * carry)
@@ -132,36 +143,29 @@ def drop_frequent_lines(docs: DataFrame, least_docs: int = 10, batches: int = 4,
     Documents arrive in ``batches`` by a hash of their id (or pass ``runs``
     of earlier corpora, which then count too). A null or empty text is one
     empty line, which is never dropped; a line of blanks has an empty key and
-    stays. A text that loses all its lines becomes empty. Ids must be unique;
-    rows that share an id count as one document for its keys, and a null id as
-    one. Columns other than doc_id and text are ignored. Lines travel as
-    128-bit hashes; a text is shuffled once, to meet its line numbers.
+    stays. A text that loses all its lines becomes empty. Ids should be unique:
+    rows that share one count as documents of their own, and a null id too.
+    Columns other than doc_id and text are ignored. Lines travel as 128-bit
+    hashes, staged once; a text is shuffled once, to meet the keys that it loses.
     """
     spark = docs.sparkSession
     whole = docs.select("doc_id", "text", *([F.struct(*carry).alias("_carry")] if carry else []))
-    docs = docs.select("doc_id", "text")
+    keys = staged(line_keys(docs), "line_keys")
     runs = runs or LineRuns(spark)
     for b in range(batches):
-        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b)
-        runs.add(doc_counts(_distinct_keys(part)))
-    hot = runs.frequent(least_docs)
-    places = line_keys(docs).join(hot, KEY, "left_semi").groupBy("_id").agg(F.collect_list("at").alias("_drop"))
+        runs.add(doc_counts(keys.where(F.pmod(F.xxhash64("_id"), F.lit(batches)) == b)))
+    found = keys.join(runs.frequent(least_docs), KEY, "left_semi")
+    places = found.groupBy("_id").agg(F.collect_set(F.struct(*KEY)).alias("_drop"))
     held = ["_carry"] if carry else []
     joined = whole.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), *held).join(places.withColumnRenamed("_id", "_at"), F.col("_id").eqNullSafe(F.col("_at")), "left")
     schema = T.StructType.fromDDL(OUT)
     if carry:
         schema = schema.add(whole.schema["_carry"])
-    out = joined.select("_id", "_text", "_drop", *held).mapInArrow(_rebuild(bool(carry)), schema)
+    none = F.array().cast("array<struct<k1:bigint,k2:bigint>>")
+    out = joined.select("_id", "_text", F.coalesce("_drop", none).alias("_drop"), *held).mapInArrow(_rebuild(bool(carry)), schema)
     return out.select(*(c.split()[0] for c in OUT.split(", ")), *(["_carry.*"] if carry else []))
 
 
-def _distinct_keys(docs: DataFrame) -> DataFrame:
-    """(_id, k1, k2), a key once a text."""
-    keys = F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), _hashed))
-    one = docs.select(F.col("doc_id").alias("_id"), F.explode(F.array_compact(keys)).alias("k"))
-    return one.select("_id", "k.k1", "k.k2")
-
-
 def seen_before(docs: DataFrame, runs: LineRuns) -> DataFrame:
     """Keys of ``docs`` that are new to ``runs``: what a stream's next batch keeps under first-seen deduplication."""
-    return runs.unseen(_distinct_keys(docs.select("doc_id", "text")).select(*KEY).distinct())
+    return runs.unseen(line_keys(docs).select(*KEY).distinct())
