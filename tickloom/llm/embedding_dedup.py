@@ -1,11 +1,11 @@
 """Near-duplicate embeddings by an inverted multi-index.
 
 Two independent codebooks, one for each half of the unit vectors, form a
-product grid of cells. A query visits cells in order of a lower bound on its
+product grid of cells. A vector visits cells in order of a lower bound on its
 distance to anything in them, by multi-sequence traversal of the two sorted
-lists of half bounds, and stops when the bound passes the distance that the
-cosine allows: every neighbour lies in a visited cell, so recall is 1. What the
-cells give is verified in double precision.
+lists of half bounds, until the target recall is met. A pair is found when
+either of its vectors visits the other's cell, so each need only look about
+half as far. What the cells give is verified in double precision.
 """
 
 from __future__ import annotations
@@ -77,29 +77,68 @@ def _units(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.sqrt((x**2).sum(1))[:, None]
 
 
-ENTRY = "label long, cell long, block int, probe boolean, id long, n long, vector array<float>"
+def reach(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], least: float, recall: float, seed: int = 5, each: int = 4) -> float:
+    """The bound up to which cells are visited, so that a pair is found with probability ``recall``.
+
+    Judged on neighbours at exactly the cosine ``least``, the hardest to find,
+    in random directions from the unit vectors ``x``. A recall of 1 gives the
+    distance itself, which no bound of a neighbour's cell passes.
+    """
+    if recall >= 1:
+        return 2 - 2 * least + 1e-9
+    rng, at, seen = np.random.default_rng(seed), x.shape[1] // 2, []
+    for lo in range(0, len(x), 2048):
+        u = np.repeat(x[lo : lo + 2048], each, axis=0)
+        z = rng.normal(size=u.shape)
+        z -= (z * u).sum(1)[:, None] * u
+        y = least * u + np.sqrt(1 - least**2) * z / np.sqrt((z**2).sum(1))[:, None]
+        there, back, row = np.zeros(len(u)), np.zeros(len(u)), np.arange(len(u))
+        for part, c in ((slice(None, at), books[0]), (slice(at, None), books[1])):
+            (hu, bu), (hy, by) = half_bounds(u[:, part], c), half_bounds(y[:, part], c)
+            there += bu[row, hy]
+            back += by[row, hu]
+        seen.append(np.minimum(there, back))
+    return float(np.quantile(np.concatenate(seen), recall)) if seen else 0.0
+
+
+#: ``home`` is the cell a vector lives in, ``visits`` the others it looks into; a row lives in its cell where these are given.
+ENTRY = "label long, cell long, home long, visits array<long>, probe boolean, id long, n long, vector array<float>"
+
+
+def _cells(x: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(home cell, bounds of the first half, bounds of the second) of unit vectors."""
+    at = x.shape[1] // 2
+    (h1, b1), (h2, b2) = half_bounds(x[:, :at], books[0]), half_bounds(x[:, at:], books[1])
+    return h1 * len(books[1]) + h2, b1, b2
+
+
+def _homes(rows: DataFrame, sent, dim: int) -> DataFrame:
+    """(label, cell, h1, h2) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                b = whole.slice(lo, 1024)
+                yield pa.RecordBatch.from_arrays([b["label"], pa.array(_cells(_units(b["vector"], dim), sent.value)[0], pa.int64()), b["h1"], b["h2"]], ["label", "cell", "h1", "h2"])
+
+    return rows.mapInArrow(run, "label long, cell long, h1 long, h2 long")
 
 
-def _entries(classes: DataFrame, books: tuple[np.ndarray, np.ndarray], limit: float, dim: int) -> DataFrame:
-    """Each vector at home in its cell, and as a probe in every cell it must visit."""
-    sent = classes.sparkSession.sparkContext.broadcast(books)
-    width = len(books[1])
+def _entries(classes: DataFrame, sent, limit: float, dim: int) -> DataFrame:
+    """Each vector at home in its cell, and as a probe in every other cell it must visit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = sent.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 1024):
                 b = whole.slice(lo, 1024)
-                x = _units(b["vector"], dim)
-                (h1, b1), (h2, b2) = half_bounds(x[:, : dim // 2], one), half_bounds(x[:, dim // 2 :], two)
-                row, cell, probe = list(range(len(x))), (h1 * width + h2).tolist(), [False] * len(x)
-                for r in range(len(x)):
-                    for i, j, _ in multi_sequence(b1[r], b2[r], limit):
-                        row.append(r)
-                        cell.append(i * width + j)
-                        probe.append(True)
+                home, b1, b2 = _cells(_units(b["vector"], dim), sent.value)
+                width, n = b2.shape[1], b.num_rows
+                visits = [[c for i, j, _ in multi_sequence(b1[r], b2[r], limit) if (c := i * width + j) != home[r]] for r in range(n)]
+                row = np.r_[np.arange(n), np.repeat(np.arange(n), [len(v) for v in visits])]
+                cell = np.r_[home, np.array([c for v in visits for c in v], np.int64)]
                 t = b.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([t["label"], pa.array(cell, pa.int64()), pa.array(np.zeros(len(row), np.int32)), pa.array(probe), t["id"], t["n"], t["vector"]], [c.split()[0] for c in ENTRY.split(", ")])
+                listed = pa.array([*visits, *[None] * (len(row) - n)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([t["label"], pa.array(cell), pa.array(home[row]), listed, pa.array(np.arange(len(row)) >= n), t["id"], t["n"], t["vector"]], [c.split()[0] for c in ENTRY.split(", ")])
 
     return classes.mapInArrow(run, ENTRY)
 
@@ -109,23 +148,31 @@ def _verify(least: float, dim: int, step: int = 2048):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in blocks(batches, ["label", "cell", "block"]):
-            label, cell, block, probe = (t[c].to_numpy() for c in ("label", "cell", "block", "probe"))
-            ids, n, x = t["id"].to_numpy(), t["n"].to_numpy(), _units(t["vector"], dim)
-            cut = edges(label, cell, block)
+            label, cell, block, probe, split = (t[c].to_numpy() for c in ("label", "cell", "block", "probe", "split"))
+            ids, n, home, x = t["id"].to_numpy(), t["n"].to_numpy(), t["home"].to_numpy(), _units(t["vector"], dim)
+            visits, cut = t["visits"].combine_chunks(), edges(label, cell, block)
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 m = s + int(np.searchsorted(probe[s:e], True))  # homes come first
-                if m == s or m == e:
+                if m == s:
                     continue
-                home = ids[s:m]
-                for lo in range(m, e, step):
+                here = visits.slice(s, m - s)
+                span = int(home.max()) + 1
+                told = np.repeat(np.arange(m - s), here.value_lengths().to_numpy(zero_copy_only=False)) * span + here.flatten().to_numpy()
+                for lo in range(m if split[s] else s, e, step):
                     hi = min(e, lo + step)
-                    hit = (x[lo:hi] @ x[s:m].T >= least) & (ids[lo:hi, None] > home)
+                    hit = x[lo:hi] @ x[s:m].T >= least
+                    later = ids[lo:hi, None] > ids[s:m]
+                    # the smaller id's visit counts where the larger one's wouldn't find the pair
+                    q, h = np.nonzero(hit & ~later & (home[lo:hi] != cell[s])[:, None])
+                    hit &= later
+                    only = ~np.isin(h * span + home[lo + q], told)
+                    hit[q[only], h[only]] = True
                     if not hit.any():
                         continue
                     q, h = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
                     part = hit[np.ix_(q, h)]
-                    qi, hi_ = ids[lo + q], home[h]
+                    qi, hi_ = ids[lo + q], ids[s + h]
                     top, low = qi.copy(), hi_.copy()
                     big = np.iinfo(np.int64).max
                     while True:
@@ -141,45 +188,52 @@ def _verify(least: float, dim: int, step: int = 2048):
     return run
 
 
-def link_vectors(vectors: DataFrame, least: float = 0.98, most_fitted: int = 20_000, codes: int | None = None, hot_cell: int = 4096) -> DataFrame:
+def link_vectors(vectors: DataFrame, least: float = 0.98, recall: float = 0.999, most_fitted: int = 20_000, codes: int | None = None, hot_cell: int = 4096) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding, label).
 
     Only rows of equal, non-null labels are compared. A vector that is null,
     zero, holds null or non-finite components, or has another length than the
-    most common one, links with nothing. Equal vectors of a label are one class
-    with a count, so copies are never paired. The codebooks, of ``codes``
-    centres (sqrt(classes)/4 to a power of two, 4 to 1024), are fitted on the
-    ``most_fitted`` classes of the lowest hashes; every vector is indexed. Cells
-    with more than ``hot_cell`` vectors are dealt over several tasks. Repeated
-    rows count as vectors of their own; an empty table gives none.
+    most common one, links with nothing. Equal vectors of a label, told by two
+    64-bit hashes, are one class with a count, so copies are never paired. The
+    codebooks, of ``codes`` centres (sqrt(rows)/16 to a power of two, 4 to
+    1024), and the bound of visits that gives ``recall`` are fitted on the
+    ``most_fitted`` rows of the lowest hashes; every vector is indexed. A recall
+    of 1 visits every cell that can hold a neighbour. Cells with more than
+    ``hot_cell`` classes are dealt over several tasks. Repeated rows count as
+    vectors of their own; an empty table gives none.
     """
     spark = vectors.sparkSession
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     zero = ~F.exists("embedding", lambda v: v != 0)
     rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>").alias("embedding"))
-    good = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~bad & ~zero)
-    dims = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    sound = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~bad & ~zero, F.lit(False))
+    dims = rows.where(sound).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    alone = [F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")]
     if dims is None or dims["d"] < 2:
-        return alone
+        return rows.select("vec_id", *alone)
     dim = dims["d"]
-    classes = staged(good.where(F.size("embedding") == dim).groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).withColumnRenamed("embedding", "vector"), "classes")
-    count = classes.count()
-    sample = classes.orderBy(F.xxhash64("id"), "id").limit(most_fitted).select("vector").toArrow()
+    sound = F.coalesce(sound & (F.size("embedding") == dim), F.lit(False))
+    good = rows.where(sound).select("vec_id", "label", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"), F.col("embedding").alias("vector"))
+    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most_fitted).select("vector").toArrow()
     x = _units(sample["vector"], dim)
-    k = codes or int(np.clip(2 ** round(np.log2(max(1.0, np.sqrt(count) / 4))), 4, 1024))
+    k = codes or int(np.clip(2 ** round(np.log2(max(1.0, np.sqrt(dims["count"]) / 16))), 4, 1024))
     books = codebook(x[:, : dim // 2], k), codebook(x[:, dim // 2 :], k)
-    entries = _entries(classes.select("label", "id", "n", "vector"), books, 2 - 2 * least + 1e-9, dim)
-    entries = staged(entries, "entries")
-    hot = entries.where("not probe").groupBy("label", "cell").agg(F.count("*").alias("c")).where(F.col("c") > hot_cell).select("label", "cell", F.ceil(F.col("c") / hot_cell).cast("int").alias("b"))
-    entries = entries.join(hot, ["label", "cell"], "left").withColumn("b", F.coalesce("b", F.lit(1)))
-    entries = entries.withColumn("block", F.explode(F.when(F.col("probe"), F.sequence(F.lit(0), F.col("b") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("b")).cast("int"))))).select("label", "cell", "block", "probe", "id", "n", "vector")
+    sent, key = spark.sparkContext.broadcast(books), ["label", "h1", "h2"]
+    hot = _homes(good.select("label", "h1", "h2", "vector"), sent, dim).distinct().groupBy("label", "cell").agg(F.count("*").alias("c")).where(F.col("c") > hot_cell)
+    hot = staged(hot.select("label", "cell", F.ceil(F.col("c") / hot_cell).cast("int").alias("b")), "hot")
+    classes = good.groupBy(*key).agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("vector").alias("vector"))
+    entries = _entries(classes.select("label", "id", "n", "vector"), sent, reach(x, books, least, recall), dim).join(hot, ["label", "cell"], "left")
+    own, every = F.pmod(F.xxhash64("id"), F.col("b")).cast("int"), F.sequence(F.lit(0), F.col("b") - 1)
+    at = lambda block, probe: F.struct(block.alias("block"), probe.alias("probe"))
+    places = F.when(F.col("b").isNull(), F.array(at(F.lit(0), F.col("probe")))).otherwise(
+        F.concat(F.transform(every, lambda k: at(k, F.lit(True))), F.when(F.col("probe"), F.array().cast("array<struct<block:int,probe:boolean>>")).otherwise(F.array(at(own, F.lit(False)))))
+    )
+    entries = entries.withColumn("place", F.explode(places)).select("label", "cell", "place.block", "place.probe", F.col("b").isNotNull().alias("split"), "home", "visits", "id", "n", "vector")
     sorted_ = entries.repartition(partitions(spark), "label", "cell", "block").sortWithinPartitions("label", "cell", "block", "probe", "id")
     found = staged(sorted_.mapInArrow(_verify(least, dim), "id long, links long, root long"), "found")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
-    members = classes.join(links, "id", "left").join(roots, "id", "left").select("label", "vector", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    joined = good.join(members, (good["label"] == members["label"]) & (good["embedding"] == members["vector"])).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    ok = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~bad & ~zero & (F.size("embedding") == dim), F.lit(False))
-    rest = rows.where(~ok).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    return joined.union(rest)
+    members = good.groupBy(*key).agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).join(links, "id", "left").join(roots, "id", "left")
+    members = members.select(*key, (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    joined = good.select("vec_id", *key).join(members, key).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    return joined.union(rows.where(~sound).select("vec_id", *alone))
