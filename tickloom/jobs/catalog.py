@@ -600,3 +600,49 @@ SELECT asset, round(stddev_samp(m), 7) AS se, round(avg(m), 7) AS mean, round(me
 def b6_bootstrap_interval(spark, d):
     b = bootstrap.circular_blocks(daily_returns(spark, d), _D, _T, "ret", 20, 10)
     return rounded(bootstrap.interval(b, _D, "mean"), 7, "se", "mean", "median", "lo", "hi")
+
+
+# -- errors, folds, unequal variances, constant correlations ------------------
+
+_LINE = """m AS (SELECT l_returnflag, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, avg(l_quantity) AS c, regr_sxx(l_extendedprice, l_quantity) AS sxx, count(*) AS n FROM lineitem GROUP BY ALL),
+e AS (SELECT l_returnflag, l_orderkey, l_linenumber, l_quantity AS x, l_extendedprice - a - b * l_quantity AS e, l_quantity - c AS d, sxx, n, b FROM lineitem JOIN m USING (l_returnflag))"""
+
+
+@query(f"WITH {_LINE} SELECT l_returnflag, round(any_value(b), 4) AS coef, round(sqrt(sum((e * d / (1 - 1.0 / n - d * d / sxx)) ** 2)) / any_value(sxx), 6) AS se FROM e GROUP BY l_returnflag")
+def x2_robust_errors(spark, d):
+    o = regress.robust_errors(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"], ["l_returnflag"], "HC3")
+    return rounded(rounded(o.where("term = 'l_quantity'"), 4, "coef"), 6, "se").select("l_returnflag", "coef", "se")
+
+
+@query("""WITH f AS (SELECT k::INT AS fold, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem, range(5) r(k) WHERE l_orderkey % 5 <> k GROUP BY ALL)
+SELECT fold, count(*) AS n, round(avg((l_extendedprice - a - b * l_quantity) ** 2), 1) AS mse FROM lineitem JOIN f ON l_orderkey % 5 = fold GROUP BY fold""")
+def c14_k_fold(spark, d):
+    return rounded(regress.k_fold(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"], "l_orderkey"), 1, "mse")
+
+
+def _line_residuals(spark, d):
+    i = table(spark, d, "lineitem")
+    return regress.predict(i, regress.ols(i, "l_extendedprice", ["l_quantity"], ["l_returnflag"]), "l_extendedprice", ["l_quantity"], ["l_returnflag"])
+
+
+@query(f"WITH {_LINE} SELECT l_returnflag, round(count(*) * corr(e * e, x) ** 2, 3) AS statistic FROM e GROUP BY l_returnflag")
+def t9_breusch_pagan(spark, d):
+    return rounded(diagnostics.breusch_pagan(_line_residuals(spark, d), ["l_returnflag"], "l_quantity", "residual"), 3, "statistic").select("l_returnflag", "statistic")
+
+
+@query(f"""WITH {RETS}, o AS (SELECT asset, ret, row_number() OVER (PARTITION BY asset ORDER BY ts) AS i, count(*) OVER (PARTITION BY asset) AS n FROM rets WHERE ret IS NOT NULL),
+s AS (SELECT *, floor(CASE WHEN n >= 30 THEN n * 0.4::DOUBLE ELSE n / 2 END) AS k FROM o) SELECT asset, round(var_samp(ret) FILTER (WHERE i > n - k) / var_samp(ret) FILTER (WHERE i <= k), 6) AS statistic, count(*) AS n FROM s GROUP BY asset""")
+def t10_goldfeld_quandt(spark, d):
+    return rounded(diagnostics.goldfeld_quandt(daily_returns(spark, d).where("ret IS NOT NULL"), _D, _T, "ret"), 6, "statistic")
+
+
+@query(_path("0.05 + 0.1 * p.ret * p.ret - 0.05 * p.ret * sqrt(p.v) + 0.8 * p.v") + " SELECT asset, ts::DATE::VARCHAR AS day, round(v, 7) AS var FROM p")
+def v6_agarch(spark, d):
+    return _day(volatility.agarch(panel_returns(spark, d).select("asset", "ts", "ret"), _D, _T, 0.05, 0.1, -0.05, 0.8), "var")
+
+
+@query(f"""{_GARCH}, q AS (SELECT x.ts, x.asset AS i, y.asset AS j, x.ret / sqrt(x.v) AS z, y.ret / sqrt(y.v) AS zj, sqrt(x.v) AS sd, sqrt(y.v) AS sdj FROM p x JOIN p y ON x.ts = y.ts AND x.asset < y.asset),
+c AS (SELECT i, j, corr(z, zj) AS c FROM q GROUP BY ALL HAVING count(*) >= 30) SELECT ts::DATE::VARCHAR AS day, i, j, round(c, 6) AS corr, round(c * sd * sdj, 6) AS cov FROM q JOIN c USING (i, j)""")
+def v17_constant_correlation(spark, d):
+    c = volatility.constant_correlation(_garch(spark, d), "asset", "ts", least=30)
+    return rounded(c, 6, "corr", "cov").select(F.to_date("ts").cast("string").alias("day"), "i", "j", "corr", "cov")

@@ -37,3 +37,18 @@ def engle_arch(df: DataFrame, keys: list[str], order: list[str], value: str) ->
     s = df.withColumn("_y", F.col(value) ** 2).withColumn("_x", F.lag("_y").over(w))
     out = s.groupBy(*keys).agg((F.count("*") * F.corr("_y", "_x") ** 2).alias("statistic")).withColumn("df", F.lit(1.0))
     return out.withColumn("p_value", chi2_sf("statistic", "df"))
+
+
+def breusch_pagan(df: DataFrame, keys: list[str], x: str, residual: str) -> DataFrame:
+    """n times the R squared of squared residuals on one regressor and a constant, with its p-value."""
+    out = df.groupBy(*keys).agg((F.count("*") * F.corr(F.col(residual) ** 2, x) ** 2).alias("statistic")).withColumn("df", F.lit(1.0))
+    return out.withColumn("p_value", chi2_sf("statistic", "df"))
+
+
+def goldfeld_quandt(df: DataFrame, keys: list[str], order: list[str], residual: str, drop: float = 0.2) -> DataFrame:
+    """(keys, statistic, n): variance of the last rows by ``order`` over that of the first; the middle is left out from 30 rows on."""
+    w = Window.partitionBy(*keys)
+    s = df.withColumns({"_i": F.row_number().over(w.orderBy(*order)), "_n": F.count("*").over(w)})
+    side = F.floor(F.when(F.col("_n") >= 30, F.col("_n") * (1 - drop) / 2).otherwise(F.col("_n") / 2))
+    low, high = F.when(F.col("_i") <= side, F.col(residual)), F.when(F.col("_i") > F.col("_n") - side, F.col(residual))
+    return s.groupBy(*keys).agg((F.var_samp(high) / F.var_samp(low)).alias("statistic"), F.count("*").alias("n"))

@@ -102,3 +102,66 @@ def project(df: DataFrame, axes: DataFrame, columns: list[str]) -> DataFrame:
     for r in sorted(axes.collect(), key=lambda r: r["component"]):
         df = df.withColumn(f"pc_{r['component']}", sum((w * (F.col(c) - means[c]) for w, c in zip(r["loadings"], columns, strict=True)), F.lit(0.0)))
     return df
+
+
+def robust_errors(df: DataFrame, y: str, xs: list[str], keys: list[str] | None = None, kind: str = "HC1") -> DataFrame:
+    """(keys, term, coef, se): least squares with errors HC0 to HC3, which let the variance differ by row.
+
+    The second pass weighs every row's cross products by its squared residual;
+    rows with a null are left out; a leverage of one gives no HC2 or HC3 error.
+    """
+    keys, terms = keys or [], ["const", *xs]
+    k = len(terms)
+    names = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema), ""])
+
+    def solve(frames):
+        for pdf in frames:
+            for r in pdf.itertuples(index=False):
+                xx, xy, _ = unpack(np.array(r.cells, float), k)
+                inv = np.linalg.pinv(xx)
+                yield pd.DataFrame({c: [getattr(r, c)] for c in keys} | {"inv": [inv.ravel().tolist()], "b": [(inv @ xy).tolist()], "n": [int(r.n)]})
+
+    fit = gram(df, y, terms, keys).mapInPandas(solve, names + "inv array<double>, b array<double>, n long")
+    fit = fit.select(*keys, F.struct("inv", "b", "n").alias("_fit"))
+    ok = df.dropna(subset=[*xs, y]).select(*keys, *xs, y)
+    rows = ok.join(fit, keys) if keys else ok.join(F.broadcast(fit))  # one row, of a size that the terms set
+    x = [F.lit(1.0), *[F.col(c).cast("double") for c in xs]]
+    fitted = sum((F.col("_fit.b")[i] * c for i, c in enumerate(x)), F.lit(0.0))
+    lever = sum((F.col("_fit.inv")[i * k + j] * x[i] * x[j] for i in range(k) for j in range(k)), F.lit(0.0))
+    room = {"HC0": F.lit(1.0), "HC1": (F.col("_fit.n") - k) / F.col("_fit.n"), "HC2": 1 - lever, "HC3": (1 - lever) ** 2}[kind]
+    rows = rows.withColumn("_w", (F.col(y) - fitted) ** 2 / F.nullif(room, F.lit(0.0)))
+    meat = F.array(*[F.sum(F.col("_w") * a * b) for a, b in combinations_with_replacement(x, 2)])
+    rows = rows.groupBy(*keys).agg(meat.alias("cells"), F.first("_fit").alias("fit")).select(*keys, "cells", "fit.inv", "fit.b")
+
+    def sandwich(frames):
+        for pdf in frames:
+            for r in pdf.itertuples(index=False):
+                inv, m = np.array(r.inv, float).reshape(k, k), np.zeros((k, k))
+                m[np.triu_indices(k)] = np.array(r.cells, float)
+                v = inv @ (m + np.triu(m, 1).T) @ inv
+                yield pd.DataFrame({c: [getattr(r, c)] * k for c in keys} | {"term": terms, "coef": np.array(r.b, float), "se": np.sqrt(np.maximum(np.diag(v), 0))})
+
+    return rows.mapInPandas(sandwich, names + "term string, coef double, se double")
+
+
+def k_fold(df: DataFrame, y: str, xs: list[str], row_id: str, folds: int = 5) -> DataFrame:
+    """(fold, n, mse): each fold's squared error under the line fitted on the others; one pass over the data.
+
+    A row's fold is its id modulo ``folds``. A fold's cross products are taken
+    from the total's, so the small table of folds is all that is solved.
+    """
+    terms = ["const", *xs]
+    k = len(terms)
+    cells = gram(df.withColumn("fold", F.pmod(F.col(row_id), F.lit(folds)).cast("int")), y, terms, ["fold"])
+
+    def score(key, pdf):
+        parts = np.array(pdf["cells"].tolist(), float)
+        out = []
+        for fold, n, own in zip(pdf["fold"], pdf["n"], parts, strict=True):
+            xx, xy, _ = unpack(parts.sum(0) - own, k)
+            b = np.linalg.pinv(xx) @ xy
+            xx, xy, yy = unpack(own, k)
+            out.append((fold, n, (yy - 2 * b @ xy + b @ xx @ b) / n))
+        return pd.DataFrame(out, columns=["fold", "n", "mse"])
+
+    return cells.groupBy().applyInPandas(score, "fold int, n long, mse double")  # as many rows as folds
