@@ -159,3 +159,43 @@ def test_stream_bars_equal_batch_and_drop_late_ticks(spark, tmp_path):
     finally:
         q.stop()
     assert spark.table("var").count() == 200
+
+
+def test_robust_errors_and_folds_by_numpy(spark):
+    from tickloom.operators import diagnostics
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 2))
+    y = 1 + x @ [2.0, -1.0] + rng.normal(size=90) * (1 + np.abs(x[:, 0]))
+    df = spark.createDataFrame([(i, *map(float, a), float(b)) for i, (a, b) in enumerate(zip(x, y))] + [(90, None, 1.0, 1.0)], "id long, a double, b double, y double")
+    full = np.c_[np.ones(90), x]
+    inv = np.linalg.inv(full.T @ full)
+    b = inv @ full.T @ y
+    e, lever = y - full @ b, np.einsum("ij,jk,ik->i", full, inv, full)
+    for kind, room in (("HC0", 1), ("HC1", 87 / 90), ("HC2", 1 - lever), ("HC3", (1 - lever) ** 2)):
+        want = np.sqrt(np.diag(inv @ (full.T * (e**2 / room)) @ full @ inv))
+        got = {r.term: r.se for r in regress.robust_errors(df, "y", ["a", "b"], kind=kind).collect()}
+        assert [got[t] for t in ("const", "a", "b")] == pytest.approx(want)
+    for r in regress.k_fold(df, "y", ["a", "b"], "id", 3).collect():
+        own = np.arange(90) % 3 == r.fold
+        c = np.linalg.lstsq(full[~own], y[~own], rcond=None)[0]
+        assert r.n == 30 and r.mse == pytest.approx(((y[own] - full[own] @ c) ** 2).mean())
+    r = spark.createDataFrame([("k", i, float(v)) for i, v in enumerate(e)], "k string, t int, v double")
+    assert diagnostics.goldfeld_quandt(r, ["k"], ["t"], "v").first().statistic == pytest.approx(e[54:].var(ddof=1) / e[:36].var(ddof=1))
+
+
+def test_densities_have_mass_and_variance_one(spark):
+    from tickloom.operators import densities
+
+    grid = spark.range(-60_000, 60_001).select((F.col("id") / 1000).alias("x"))
+    for family, nu in (("normal", 0.0), ("t", 8.0), ("ged", 1.4), ("laplace", 0.0)):
+        p = F.exp(densities.log_pdf(F.col("x"), family, nu=nu))
+        mass, var = grid.agg(F.sum(p) / 1000, F.sum(p * F.col("x") ** 2) / 1000).first()
+        assert mass == pytest.approx(1, abs=1e-5) and var == pytest.approx(1, abs=1e-3)
+
+
+def test_wide_merge_carries_values_and_best_model_breaks_ties(spark):
+    df = spark.createDataFrame([("a", 1, 1.0), ("b", 2, 5.0), ("a", 3, 2.0), ("c", 9, 0.0)], "k string, t int, v double")
+    assert [tuple(r) for r in align.merge_wide(df, "k", "t", "v", ["a", "b"]).orderBy("t").collect()] == [(1, 1.0, None), (2, 1.0, 5.0), (3, 2.0, 5.0)]
+    scores = spark.createDataFrame([("s", "y", 1.0), ("s", "x", 1.0), ("s", "w", None)], "k string, model string, aic double")
+    assert [tuple(r) for r in describe.best_model(scores, ["k"], "model", "aic").collect()] == [("s", "x", 1.0)]

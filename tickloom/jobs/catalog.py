@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.basic import calendar, finite, safe_divide, uniform
-from ..operators import align, bars, bootstrap, clean, describe, diagnostics, realized, regress, series, volatility
+from ..operators import align, bars, bootstrap, clean, densities, describe, diagnostics, realized, regress, series, volatility
 from .tables import DAILY, PANEL, PRETS, RETS, TICKS, daily, daily_returns, panel, panel_returns, table, ticks
 
 NUDGE = 0.0123
@@ -646,3 +646,37 @@ c AS (SELECT i, j, corr(z, zj) AS c FROM q GROUP BY ALL HAVING count(*) >= 30) S
 def v17_constant_correlation(spark, d):
     c = volatility.constant_correlation(_garch(spark, d), "asset", "ts", least=30)
     return rounded(c, 6, "corr", "cov").select(F.to_date("ts").cast("string").alias("day"), "i", "j", "corr", "cov")
+
+
+# -- wide merge, densities, model choice --------------------------------------
+
+_PRIORITIES = ["1-URGENT", "2-HIGH", "5-LOW"]
+_FAMILIES = {"laplace": ("laplace", 1.0), "normal": ("normal", 1.0), "t4": ("t", 4.0), "ged2": ("ged", 2.0)}
+
+
+@query(f"""WITH {DAILY}, s AS (SELECT * FROM daily WHERE asset IN ('1-URGENT', '2-HIGH', '5-LOW')),
+f AS (SELECT t.ts, a.asset, last_value(s.value IGNORE NULLS) OVER (PARTITION BY a.asset ORDER BY t.ts ROWS UNBOUNDED PRECEDING) AS v
+  FROM (SELECT DISTINCT ts FROM s) t CROSS JOIN (SELECT DISTINCT asset FROM s) a LEFT JOIN s ON s.ts = t.ts AND s.asset = a.asset)
+SELECT ts::DATE::VARCHAR AS day, round(max(v) FILTER (WHERE asset = '1-URGENT'), 3) AS urgent, round(max(v) FILTER (WHERE asset = '2-HIGH'), 3) AS high, round(max(v) FILTER (WHERE asset = '5-LOW'), 3) AS low FROM f GROUP BY ts""")
+def j6_merge_wide(spark, d):
+    w = align.merge_wide(daily(spark, d), "asset", "ts", "value", _PRIORITIES)
+    return rounded(w.select(F.to_date("ts").cast("string").alias("day"), *[F.col(f"`{p}`").alias(a) for p, a in zip(_PRIORITIES, ("urgent", "high", "low"), strict=True)]), 3, "urgent", "high", "low")
+
+
+_FIT = f"""{RETS}, m AS (SELECT asset, avg(ret) AS mu, stddev_pop(ret) AS s FROM rets GROUP BY asset),
+z AS (SELECT asset, (ret - mu) / s AS z, s FROM rets JOIN m USING (asset) WHERE ret IS NOT NULL),
+l AS (SELECT asset, 'normal' AS model, sum(-0.5 * (ln(2 * pi()) + z * z) - ln(s)) AS loglik, count(*) AS n FROM z GROUP BY asset
+UNION ALL SELECT asset, 'ged2', sum(-0.5 * (ln(2 * pi()) + z * z) - ln(s)), count(*) FROM z GROUP BY asset
+UNION ALL SELECT asset, 'laplace', sum(-0.5 * ln(2::DOUBLE) - sqrt(2::DOUBLE) * abs(z) - ln(s)), count(*) FROM z GROUP BY asset
+UNION ALL SELECT asset, 't4', sum(lgamma(2.5::DOUBLE) - lgamma(2::DOUBLE) - 0.5 * ln(pi() * 2) - 2.5 * ln(1 + z * z / 2) - ln(s)), count(*) FROM z GROUP BY asset)"""
+
+
+@query(f"WITH {_FIT} SELECT asset, model, round(loglik, 5) AS loglik, n, round(4 - 2 * loglik, 5) AS aic, round(2 * ln(n) - 2 * loglik, 5) AS bic FROM l")
+def d6_compare_families(spark, d):
+    return rounded(densities.compare_families(daily_returns(spark, d), _D, "ret", _FAMILIES), 5, "loglik", "aic", "bic")
+
+
+@query(f"WITH {_FIT}, c AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY 4 - 2 * loglik) AS k FROM l WHERE model <> 'ged2') SELECT asset, model, round(4 - 2 * loglik, 5) AS aic FROM c WHERE k = 1")
+def a13_best_model(spark, d):
+    scores = densities.compare_families(daily_returns(spark, d), _D, "ret", {m: f for m, f in _FAMILIES.items() if m != "ged2"})
+    return rounded(describe.best_model(scores, _D, "model", "aic"), 5, "aic")

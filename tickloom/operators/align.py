@@ -77,3 +77,18 @@ def pairs(panel: DataFrame, key: str = "asset", ts: str = "ts", values: tuple[st
     a = panel.select(ts, F.col(key).alias("i"), *[F.col(v).alias(f"{v}_i") for v in values])
     b = panel.select(F.col(ts).alias("_t"), F.col(key).alias("j"), *[F.col(v).alias(f"{v}_j") for v in values])
     return a.join(b, (a[ts] == b["_t"]) & (a["i"] <= b["j"])).drop("_t")
+
+
+def merge_wide(df: DataFrame, asset: str, ts: str, value: str, assets: list[str], forward: bool = True) -> DataFrame:
+    """(ts, one column for each of ``assets``): the union of their times; ``forward`` carries each asset's last value on.
+
+    The fill runs by asset before the pivot, on the grid of times, so that no
+    window spans the whole table.
+    """
+    s = df.where(F.col(asset).isin(assets)).select(F.col(asset).alias("_a"), ts, F.col(value).alias("_v"))
+    grid = s.select(ts).distinct().select(ts, F.explode(F.array(*map(F.lit, assets))).alias("_a"))
+    full = grid.join(s, [ts, "_a"], "left")
+    if forward:
+        w = Window.partitionBy("_a").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+        full = full.withColumn("_v", F.last("_v", True).over(w))
+    return full.groupBy(ts).pivot("_a", assets).agg(F.first("_v"))

@@ -104,3 +104,9 @@ def density(df: DataFrame, value: str, points: int = 50, bins: int = 2000) -> Da
     grid = counts.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.col("lo") + F.col("k") * (F.col("hi") - F.col("lo")) / (points - 1))
     u = (F.col("x") - (F.col("lo") + (F.col("b") + 0.5) * width)) / h
     return grid.groupBy("k", "x").agg(F.sum(F.col("c") * F.exp(-0.5 * u * u) / (F.col("n") * h * 2.5066282746310002)).alias("density")).drop("k")
+
+
+def best_model(scores: DataFrame, keys: list[str], model: str, criterion: str) -> DataFrame:
+    """(keys, model, criterion): the model of the least criterion in each group, the first by name among equals; nulls never win."""
+    ok = scores.where(F.col(criterion).isNotNull() & ~F.isnan(criterion))
+    return ok.groupBy(*keys).agg(F.min(F.struct(F.col(criterion).alias("c"), F.col(model).alias("m"))).alias("_s")).select(*keys, F.col("_s.m").alias(model), F.col("_s.c").alias(criterion))
