@@ -228,3 +228,17 @@ def test_toxicity_without_a_class(spark):
     none = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")
     assert {r.toxicity for r in toxicity.score(docs, toxicity.train(docs, none)).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), none.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("hot", [4096, 16])
+def test_visits_to_a_target_recall_reach_it(spark, hot):
+    rng = np.random.default_rng(9)
+    near = lambda c, s: c + rng.normal(size=c.shape) * s * np.linalg.norm(c) / 32**0.5
+    x = np.array([v for c in rng.normal(size=(40, 32)) for v in [c, *(near(c, 0.13) for _ in range(11))]])
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    want = (u @ u.T >= 0.98).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(3)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.link_vectors(df, codes=16, hot_cell=hot).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert want.sum() > 1000 and (found <= want).all() and found.sum() >= 0.98 * want.sum()
