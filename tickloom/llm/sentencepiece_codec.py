@@ -102,19 +102,24 @@ class Pieces:
             return b""
         if len(self.solved) > self.most:
             self.solved.clear()
-        out = []
-        for m in _STRETCH.finditer(MARK + text.replace(" ", MARK)):
-            w = m[0]
-            if (got := self.solved.get(w)) is None:
-                got = np.array(self.best_path(w), "<u4").tobytes()
-                if len(w) <= 64:
-                    self.solved[w] = got
-            out.append(got)
+        words = _STRETCH.findall(MARK + text.replace(" ", MARK))
+        out = list(map(self.solved.get, words))
+        if None in out:
+            for k, w in enumerate(words):
+                if out[k] is None:
+                    if (got := self.solved.get(w)) is None:
+                        got = np.array(self.best_path(w), "<u4").tobytes()
+                        if len(w) <= 64:
+                            self.solved[w] = got
+                    out[k] = got
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, ids without a form nothing."""
-        raw = b"".join([self.forms.get(i, b"") for i in ids])
+        try:
+            raw = b"".join(map(self.forms.__getitem__, ids))
+        except KeyError:
+            raw = b"".join([self.forms.get(i, b"") for i in ids])
         return raw[raw[:1] == b" " :].decode("utf-8", "replace")
 
 
@@ -149,7 +154,9 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                texts = [v.decode(x.as_py() or []) for x in part["ids"]]
+                lists = part["ids"]
+                flat, cut = lists.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()]).tolist()
+                texts = [v.decode(flat[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True)]
                 sha = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["ids"], pa.array(texts, pa.string()), pa.array(sha, pa.string())], ["doc_id", "ids", "text", "text_sha256"])
 
