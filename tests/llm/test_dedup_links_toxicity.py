@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,3 +243,16 @@ def test_visits_to_a_target_recall_reach_it(spark, hot):
     got = {r.vec_id: r.n_links for r in embedding_dedup.link_vectors(df, codes=16, hot_cell=hot).collect()}
     found = np.array([got[i] for i in range(len(x))])
     assert want.sum() > 1000 and (found <= want).all() and found.sum() >= 0.98 * want.sum()
+
+
+def test_rare_expressions_keep_damped_influence_at_every_size(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices([f"word{k}" for k in range(50)], k=20))) for i in range(2400)]
+    for i, slurs in ((0, "scum vile"), (8, "scum vile"), (16, "vile")):
+        rows[i] = (i, f"{rows[i][1]} {slurs}")
+    docs = _docs(spark, rows)
+    for n in (600, 2400):
+        table = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(n)], "doc_id long, toxic int")
+        model = toxicity.train(docs, table, held_out=None)
+        scum, vile, unknown = model.features(pa.array(["scum", "vile", "nothing"]))[:, 0]
+        assert 0 == unknown < scum < vile

@@ -3,8 +3,9 @@
 Words and word pairs are counted for the toxic and the ordinary class over
 labelled texts. Each class's probabilities are absolutely discounted; what the
 discount frees goes to one backoff distribution that both classes share,
-counted over all documents. An expression too rare to tell the classes apart
-gets all its probability from there, and so speaks for neither. A text's score
+counted over all documents. The fewer texts hold an expression, the more it
+leans on what it backs off to, a word on the shared distribution and a pair on
+its word, so that chance sightings hardly speak for a class. A text's score
 comes from the difference of the two log-likelihoods, normalised by length:
 over the text, over its worst passage and over its worst expressions, turned
 into a probability by a logistic fit on texts that the models did not count.
@@ -28,6 +29,8 @@ _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[65:91] = _SEPARATOR[97:123] = _SEPARATOR[128:] = False
 PASSAGE, WORST = 4, 5
 DISCOUNT = 0.75
+#: An expression found in n texts has n / (n + LEAN) of its own evidence; the same at every table size.
+LEAN = 8
 
 
 def _slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -116,12 +119,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+def _own(n: np.ndarray) -> np.ndarray:
+    """The share that an expression's own counts have in its log-ratio."""
+    return n.sum(1) / (n.sum(1) + LEAN)
+
+
 def _ratios(n: np.ndarray, shared: np.ndarray, rare: float, total: np.ndarray, types: np.ndarray) -> np.ndarray:
     """log P(toxic) - log P(ordinary) of words with class counts ``n`` (words, 2)."""
     free = DISCOUNT * types / np.maximum(total, 1)
     p = np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1) + free * shared[:, None]
     ratio = np.log(p[:, 1]) - np.log(p[:, 0])
-    return np.where(n.sum(1) >= rare, ratio, 0.0)
+    return np.where(n.sum(1) >= rare, ratio * _own(n), 0.0)
 
 
 def _fit(table: dict[str, np.ndarray], shared: np.ndarray, folds: list[int], rare: float) -> Model:
@@ -142,8 +150,9 @@ def _fit(table: dict[str, np.ndarray], shared: np.ndarray, folds: list[int], rar
     context = np.maximum(n1[a], 1)
     weight = np.minimum(1.0, DISCOUNT * np.bincount(a, minlength=len(w))[a] / np.maximum(n1[a].sum(1), 1)) if len(a) else np.zeros(0)
     p = np.maximum(pairs - DISCOUNT, 0) / context + np.maximum(weight, 1e-3)[:, None] * uni[b] if len(a) else np.ones((0, 2))
-    order = np.argsort(k)
-    return Model(w, ratio, k[order], (np.log(p[:, 1]) - np.log(p[:, 0]))[order])
+    own, order = _own(pairs), np.argsort(k)
+    both = own * (np.log(p[:, 1]) - np.log(p[:, 0])) + (1 - own) * ratio[b]
+    return Model(w, ratio, k[order], both[order])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -164,16 +173,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, rare: int | None = None, held_out: int | None = 2) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, rare: int = 2, held_out: int | None = 2) -> Model:
     """Fit on labelled documents; backoff counts come from all of ``docs``.
 
     labels: (doc_id, toxic 0/1); null or other labels are ignored, an id
     labelled twice counts as toxic if it is so once. At most ``most_labelled``
     rows, those of the lowest id hashes, are used, which bounds the model.
     Rows whose crc32 of the id modulo 4 is ``held_out`` are never used.
-    Expressions found fewer than ``rare`` times (3 plus one for each 1000
-    labelled texts, 20 at most) are left to the shared backoff. With a class
-    missing, every score is the share of toxic labels.
+    Expressions found in fewer than ``rare`` labelled texts are left to the
+    backoff; the count does not grow with the table. With a class missing, every
+    score is the share of toxic labels.
     """
     spark = docs.sparkSession
     usable = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -190,7 +199,6 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, rare:
     empty = np.zeros(0, np.uint64)
     if not 0 < toxic < n:
         return Model(empty, np.zeros(0), empty, np.zeros(0), prior)
-    rare = min(20, 3 + n // 1000) if rare is None else rare
     counts = counts.groupBy("k", "first", "word").agg(*sums).where(f"n0 + n1 + n2 + n3 >= {rare}")
     got = counts.toArrow()
     table = {c: got[c].to_numpy().copy() for c in got.column_names}
@@ -217,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, rare:
     held = np.zeros(len(vocabulary))
     held[everywhere["at"].to_numpy()] = everywhere["n"].to_numpy()
     shared = held[np.searchsorted(vocabulary, table["k"][single])]
-    other = spark.sparkContext.broadcast([_fit(table, shared, [1 - f], max(2, rare / 2)) for f in (0, 1)])
+    other = spark.sparkContext.broadcast([_fit(table, shared, [1 - f], rare) for f in (0, 1)])
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
