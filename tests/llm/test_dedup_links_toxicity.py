@@ -256,3 +256,27 @@ def test_rare_expressions_keep_damped_influence_at_every_size(spark):
         model = toxicity.train(docs, table, held_out=None)
         scum, vile, unknown = model.features(pa.array(["scum", "vile", "nothing"]))[:, 0]
         assert 0 == unknown < scum < vile
+
+
+def test_either_sides_visit_counts_where_homes_are_low_numbered(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1, 8)) + rng.normal(size=(300, 8)) * np.repeat([0.09, 0.25], 4)
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    # all first halves are at home at the first centre; the others lie around them and are only visited
+    half, away = u[:, :4], np.random.default_rng(7).normal(size=(15, 4))
+    wide = 2.04 * np.linalg.norm(half - half.mean(0), axis=1).max()
+    books = [half.mean(0) + np.r_[np.zeros((1, 4)), away / np.linalg.norm(away, axis=1)[:, None] * wide], u[:16, 4:]]
+    turn, limit = iter(books), 0.01
+    monkeypatch.setattr(embedding_dedup, "codebook", lambda *a: next(turn))
+    monkeypatch.setattr(embedding_dedup, "reach", lambda *a: limit)
+    home, b1, b2 = embedding_dedup._cells(u, books)
+    visits = np.zeros((300, 256), bool)
+    for k in range(300):
+        visits[k, [home[k], *(i * 16 + j for i, j, _ in embedding_dedup.multi_sequence(b1[k], b2[k], limit))]] = True
+    meets = visits[:, home]
+    near = (u @ u.T >= 0.98) & (meets | meets.T) & ~np.eye(300, dtype=bool)
+    assert home.max() < 16 and visits[:, 16:].any() and (near & ~meets).sum() > 20
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(3)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.link_vectors(df, codes=16).collect()}
+    assert [got[i] for i in range(300)] == near.sum(1).tolist()

@@ -143,8 +143,8 @@ def _entries(classes: DataFrame, sent, limit: float, dim: int) -> DataFrame:
     return classes.mapInArrow(run, ENTRY)
 
 
-def _verify(least: float, dim: int, step: int = 2048):
-    """Within a cell: how many vectors each class links to, and edges that keep what is connected connected."""
+def _verify(least: float, dim: int, span: int, step: int = 2048):
+    """Within a cell: how many vectors each class links to, and edges that keep what is connected connected; ``span`` is the number of cells, empty ones too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in blocks(batches, ["label", "cell", "block"]):
@@ -157,7 +157,6 @@ def _verify(least: float, dim: int, step: int = 2048):
                 if m == s:
                     continue
                 here = visits.slice(s, m - s)
-                span = int(home.max()) + 1
                 told = np.repeat(np.arange(m - s), here.value_lengths().to_numpy(zero_copy_only=False)) * span + here.flatten().to_numpy()
                 for lo in range(m if split[s] else s, e, step):
                     hi = min(e, lo + step)
@@ -230,7 +229,7 @@ def link_vectors(vectors: DataFrame, least: float = 0.98, recall: float = 0.999,
     )
     entries = entries.withColumn("place", F.explode(places)).select("label", "cell", "place.block", "place.probe", F.col("b").isNotNull().alias("split"), "home", "visits", "id", "n", "vector")
     sorted_ = entries.repartition(partitions(spark), "label", "cell", "block").sortWithinPartitions("label", "cell", "block", "probe", "id")
-    found = staged(sorted_.mapInArrow(_verify(least, dim), "id long, links long, root long"), "found")
+    found = staged(sorted_.mapInArrow(_verify(least, dim, len(books[0]) * len(books[1])), "id long, links long, root long"), "found")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
     members = good.groupBy(*key).agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).join(links, "id", "left").join(roots, "id", "left")
