@@ -280,3 +280,20 @@ def test_either_sides_visit_counts_where_homes_are_low_numbered(spark, monkeypat
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(3)
     got = {r.vec_id: r.n_links for r in embedding_dedup.link_vectors(df, codes=16).collect()}
     assert [got[i] for i in range(300)] == near.sum(1).tolist()
+
+
+def test_backoff_counts_distinct_words_before_a_word(spark):
+    rows = [(i, f"common san scum other{i % 40} vile" if i % 8 == 0 else f"common san other{i % 40}") for i in range(400)]
+    rows += [(1000, "Vile, san san"), (1001, "vile"), (1002, None), (1003, "")]
+    docs = _docs(spark, rows)
+    before = collections.defaultdict(set)
+    for _, t in rows:
+        w = re.findall(r"[a-z]+", (t or "").lower())
+        for a, b in zip([None, *w], w):
+            before[b].add(a)
+    assert sorted(r.n for r in toxicity.continuations(docs).collect()) == sorted(len(x) for x in before.values())
+    many = [(2000 + i, f"{c * 3} vile") for i, c in enumerate("abcdefghijklmnop")]  # unlabelled texts count too
+    table = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(400)], "doc_id long, toxic int").where("doc_id < 390")
+    model = toxicity.train(docs.union(_docs(spark, many)), table, held_out=None)
+    few, more = model.features(pa.array(["scum", "vile"]))[:, 0]
+    assert few > more > 0

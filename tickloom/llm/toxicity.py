@@ -2,8 +2,9 @@
 
 Words and word pairs are counted for the toxic and the ordinary class over
 labelled texts. Each class's probabilities are absolutely discounted; what the
-discount frees goes to one backoff distribution that both classes share,
-counted over all documents. The fewer texts hold an expression, the more it
+discount frees goes to one backoff distribution that both classes share: a
+word's part of all distinct pairs of a word and the one before it, counted over
+all documents. The fewer texts hold an expression, the more it
 leans on what it backs off to, a word on the shared distribution and a pair on
 its word, so that chance sightings hardly speak for a class. A text's score
 comes from the difference of the two log-likelihoods, normalised by length:
@@ -69,6 +70,26 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (u, first[ok][at], word[ok][at])] + [pa.array(x.astype(np.int64)) for x in n], ["k", "first", "word", "n0", "n1", "n2", "n3"])
 
 
+def _preceded(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """(k, word) of a task's distinct pairs of a word and the one before it, or the start of a text."""
+    k, word = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    for b in _slices(batches):
+        h, d = words(*flat(b["text"]), _SEPARATOR, LOWER)
+        if len(h):
+            pair = _pairs(h, d)
+            k, at = np.unique(np.r_[k, np.where(np.r_[True, d[1:] != d[:-1]], mix(h), pair)], return_index=True)
+            word = np.r_[word, h][at]
+        if len(k) >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(word.view(np.int64))], ["k", "word"])
+            k, word = k[:0], word[:0]
+    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(word.view(np.int64))], ["k", "word"])
+
+
+def continuations(docs: DataFrame) -> DataFrame:
+    """(word, n): after how many distinct words, the start of a text among them, each word is found in ``docs``."""
+    return docs.select("text").mapInArrow(_preceded, "k long, word long").distinct().groupBy("word").agg(F.count("*").alias("n"))
+
+
 @dataclass
 class Model:
     """Log-likelihood ratios of words and pairs by sorted hash, and the logistic weights."""
@@ -140,7 +161,7 @@ def _fit(table: dict[str, np.ndarray], shared: np.ndarray, folds: list[int], rar
     total, types = n[single].sum(0), (n[single] > 0).sum(0)
     order = np.argsort(w)
     w, n1 = w[order], n[single][order]
-    backoff = (shared[order] + 0.5) / (shared.sum() + 0.5 * len(shared) + 1)
+    backoff = shared[order]
     ratio = _ratios(n1, backoff, rare, total, types)
     uni = np.maximum(n1 - DISCOUNT, 0) / np.maximum(total, 1) + (DISCOUNT * types / np.maximum(total, 1)) * backoff[:, None]
     pairs = n[~single]
@@ -210,21 +231,21 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, rare:
         return Model(empty, np.zeros(0), empty, np.zeros(0), prior)
     sent = spark.sparkContext.broadcast(vocabulary)
 
-    def holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, total = sent.value, np.zeros(len(sent.value), np.int64)
-        for b in _slices(batches):
-            h, d = words(*flat(b["text"]), _SEPARATOR, LOWER)
-            at = np.minimum(np.searchsorted(v, h), len(v) - 1)
-            ok = v[at] == h
-            one = np.unique(d[ok] * np.int64(len(v)) + at[ok]) % len(v)
-            total += np.bincount(one, minlength=len(v))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["at", "n"])
-
-    everywhere = docs.select("text").mapInArrow(holding, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, types = sent.value, 0
+        for b in batches:
+            w, n = b["word"].to_numpy().view(np.uint64), b["n"].to_numpy()
+            at = np.minimum(np.searchsorted(v, w), len(v) - 1)
+            ok = v[at] == w
+            types += int(n.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(at[ok]), pa.array(n[ok])], ["at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([types])], ["at", "n"])
+
+    everywhere = continuations(docs).mapInArrow(known, "at long, n long").toArrow()
+    at, seen_after = everywhere["at"].to_numpy(), everywhere["n"].to_numpy()
     held = np.zeros(len(vocabulary))
-    held[everywhere["at"].to_numpy()] = everywhere["n"].to_numpy()
-    shared = held[np.searchsorted(vocabulary, table["k"][single])]
+    held[at[at >= 0]] = seen_after[at >= 0]
+    shared = held[np.searchsorted(vocabulary, table["k"][single])] / seen_after[at < 0].sum()
     other = spark.sparkContext.broadcast([_fit(table, shared, [1 - f], rare) for f in (0, 1)])
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
