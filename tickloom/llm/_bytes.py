@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK = 1 << 20
 U64 = np.uint64
@@ -51,6 +52,17 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds texts of about ``most`` bytes, or one longer text: what bounds a task's memory."""
+    for b in batches:
+        ends = np.cumsum(np.r_[0, pc.fill_null(pc.binary_length(b["text"]), 0).to_numpy(zero_copy_only=False)])
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + most, "right")) - 1)
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         n = max(n, CHUNK * 2)
