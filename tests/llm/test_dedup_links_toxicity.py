@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm import _components, embedding_dedup, jaccard_join, suffix_dedup, toxicity
+from tickloom.llm import _bytes, _components, embedding_dedup, jaccard_join, suffix_dedup, toxicity
 
 DOCS = "doc_id long, text string, gram string, id int"
 
@@ -221,7 +221,7 @@ def test_toxic_texts_are_told_apart(spark):
     assert max(got[5000], got[5001], got[5002]) < 0.3
     other = table.withColumn("toxic", F.when(F.expr("pmod(crc32(cast(cast(doc_id as string) as binary)), 4) = 2"), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     same = toxicity.train(docs, other)
-    assert np.allclose(same.word_ratio, model.word_ratio) and np.allclose(same.weights, model.weights)
+    assert np.allclose(same.word, model.word) and np.allclose(same.weights, model.weights)
 
 
 def test_toxicity_without_a_class(spark):
@@ -248,7 +248,7 @@ def test_visits_to_a_target_recall_reach_it(spark, hot):
 def test_rare_expressions_keep_damped_influence_at_every_size(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choices([f"word{k}" for k in range(50)], k=20))) for i in range(2400)]
-    for i, slurs in ((0, "scum vile"), (8, "scum vile"), (16, "vile")):
+    for i, slurs in ((0, "scum vile"), (8, "scum"), (16, "vile"), (24, "vile")):
         rows[i] = (i, f"{rows[i][1]} {slurs}")
     docs = _docs(spark, rows)
     for n in (600, 2400):
@@ -291,9 +291,49 @@ def test_backoff_counts_distinct_words_before_a_word(spark):
         w = re.findall(r"[a-z]+", (t or "").lower())
         for a, b in zip([None, *w], w):
             before[b].add(a)
-    assert sorted(r.n for r in toxicity.continuations(docs).collect()) == sorted(len(x) for x in before.values())
+    hashed = {w: int(_bytes.words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0]) for w in before}
+    order = sorted(before, key=hashed.get)
+    some = order[::2]  # words outside the vocabulary still come before others
+    got = toxicity.continuations(docs, np.array([hashed[w] for w in some], np.uint64))
+    assert got.tolist() == [len(before[w]) for w in some]
     many = [(2000 + i, f"{c * 3} vile") for i, c in enumerate("abcdefghijklmnop")]  # unlabelled texts count too
     table = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(400)], "doc_id long, toxic int").where("doc_id < 390")
     model = toxicity.train(docs.union(_docs(spark, many)), table, held_out=None)
     few, more = model.features(pa.array(["scum", "vile"]))[:, 0]
     assert few > more > 0
+
+
+def test_class_models_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices("abcdefghij", k=rng.randint(0, 12)) + ["vile"] * (i % 4 == 0))) for i in range(120)]
+    rows += [(200, None), (201, "")]
+    docs, labels = _docs(spark, rows), {i: int(i % 4 == 0) for i in range(90)}
+    model = toxicity.train(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"), held_out=None)
+    pairs = {i: set(zip([None, *(t or "").split()], (t or "").split())) for i, t in rows}
+    words = sorted({w for i in labels for _, w in pairs[i]}, key=lambda w: int(_bytes.words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0]))
+    at, d = {w: k for k, w in enumerate(words)} | {None: len(words)}, toxicity.DISCOUNT
+    every = {p for x in pairs.values() for p in x}
+    shared = {w: (sum(b == w for _, b in every) + 1) / (sum(b in at for _, b in every) + len(words) + 1) for w in words}
+    for c in (0, 1):
+        n = collections.Counter(p for i, y in labels.items() if y == c for p in pairs[i])
+        types = collections.Counter(w for _, w in n)
+        free = d * len(types) / sum(types.values())
+        word = {w: max(types[w] - d, 0) / sum(types.values()) + free * shared[w] for w in words}
+        unknown = free * (1 - sum(shared.values()))
+        assert sum(word.values()) + unknown == pytest.approx(1)
+        for v in at:
+            after = {w: n[v, w] for w in words if n[v, w]}
+            total = sum(after.values())
+            left = sum(1 if k == 1 else d for k in after.values()) / total if total else 1
+            want = [(max(after.get(w, 0) - d, 0) if after.get(w, 0) > 1 else 0) / max(total, 1) + left * word[w] for w in words]
+            assert sum(want) + left * unknown == pytest.approx(1)
+            got = model.classes[c].pair(np.array([after.get(w, 0) for w in words]), np.full(len(words), at[v]), np.arange(len(words)))
+            assert np.allclose(got, want)
+
+
+@pytest.mark.parametrize("runs", [[], [[0]], [[0, 1, 127, 128, 16384, 2**40, 2**62]], [[5, 6], [0], [300, 2**33]]])
+def test_codes_are_packed_whole(runs):
+    codes = np.array([c for r in runs for c in r], np.int64)
+    cut = np.cumsum([0, *map(len, runs)])[:-1] if runs else np.zeros(0, np.int64)
+    got = toxicity._packed(codes, cut)
+    assert [toxicity._unpacked(b.as_buffer()).tolist() for b in got] == runs

@@ -1,123 +1,267 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Words and word pairs are counted for the toxic and the ordinary class over
-labelled texts. Each class's probabilities are absolutely discounted; what the
-discount frees goes to one backoff distribution that both classes share: a
-word's part of all distinct pairs of a word and the one before it, counted over
-all documents. The fewer texts hold an expression, the more it
-leans on what it backs off to, a word on the shared distribution and a pair on
-its word, so that chance sightings hardly speak for a class. A text's score
-comes from the difference of the two log-likelihoods, normalised by length:
-over the text, over its worst passage and over its worst expressions, turned
-into a probability by a logistic fit on texts that the models did not count.
+Word pairs are counted for the toxic and the ordinary class over labelled
+texts, a pair once a text. A class's P(word | word before) is discounted, and
+what the discounts free goes to the class's P(word), whose counts are of the
+distinct words before a word (continuations), not of its occurrences. That is
+discounted too, and what it frees goes to one distribution that both classes
+share: a word's part of the distinct pairs of all documents. Pairs found in one
+text only are discounted whole, so they lean on their words altogether.
+
+A text's score comes from the difference of the two log-likelihoods, normalised
+by length: over the text, over its worst passage and over its worst
+expressions, turned into a probability by a logistic fit on texts that the
+models did not count. An expression's difference is damped by how often it was
+counted, so that chance sightings hardly speak for a class.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._bytes import LOWER, flat, mix, words
+from ._bytes import LOWER, flat, mix, slices, words
+from ._stage import partitions, staged
 
 #: Words are runs of ASCII letters and of bytes above 127.
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[65:91] = _SEPARATOR[97:123] = _SEPARATOR[128:] = False
 PASSAGE, WORST = 4, 5
 DISCOUNT = 0.75
-#: An expression found in n texts has n / (n + LEAN) of its own evidence; the same at every table size.
+#: An expression counted n times has n / (n + LEAN) of its own evidence; the same at every table size.
 LEAN = 8
+#: Places of words outside the vocabulary, as words before one.
+_OTHERS = 1 << 24
+_BUCKETS = 4096
 
 
-def _slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each holds texts of about ``most`` bytes, or one longer text: what bounds a task's memory."""
-    for b in batches:
-        ends = np.cumsum(np.r_[0, pc.fill_null(pc.binary_length(b["text"]), 0).to_numpy(zero_copy_only=False)])
-        lo = 0
-        while lo < b.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + most, "right")) - 1)
-            yield b.slice(lo, hi - lo)
-            lo = hi
+def _text_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return words(*flat(column), _SEPARATOR, LOWER)
 
 
-def _pairs(h: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """The hash of each word with the one before it; 0 at the start of a text."""
-    out = np.zeros(len(h), np.uint64)
-    same = d[1:] == d[:-1]
-    out[1:] = np.where(same, mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]), np.uint64(0))
+def _places(vocabulary: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The place of each word in a sorted vocabulary, -1 for others."""
+    if not len(vocabulary):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == h, at, -1)
+
+
+def _before(at: np.ndarray, d: np.ndarray, start: int) -> np.ndarray:
+    """The place of the word before each word, ``start`` at a text's beginning."""
+    out = np.r_[start, at[:-1]] if len(at) else at
+    return np.where(np.r_[True, d[1:] != d[:-1]], start, out) if len(at) else out
+
+
+def _packed(codes: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """Growing codes as steps of seven bits a byte, the last byte of a step below 128; a value for each run that begins at ``cut``, which counts from 0."""
+    steps = np.diff(codes, prepend=np.int64(0))
+    steps[cut] = codes[cut]
+    steps = steps.astype(np.uint64)
+    size = np.ones(len(steps), np.int64)
+    for k in range(1, 10):
+        size += steps >= np.uint64(1) << np.uint64(7 * k)
+    end = np.cumsum(size)
+    out = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
+    for k in range(int(size.max(initial=0))):
+        some = np.flatnonzero(size > k)
+        byte = (steps[some] >> np.uint64(7 * k)) & np.uint64(127)
+        out[(end - size)[some] + k] = byte | np.where(size[some] > k + 1, 128, 0).astype(np.uint64)
+    offsets = np.r_[(end - size)[cut], len(out)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes())])
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    b = np.frombuffer(blob, np.uint8)
+    end = np.flatnonzero(b < 128) + 1
+    start = np.r_[0, end[:-1]]
+    out = np.zeros(len(end), np.uint64)
+    for k in range(int((end - start).max(initial=0))):
+        some = end - start > k
+        out[some] |= (b[start[some] + k] & np.uint8(127)).astype(np.uint64) << np.uint64(7 * k)
+    return np.cumsum(out).astype(np.int64)
+
+
+def _preceded(sent, most: int = 3 << 20):
+    """(bucket, codes): a task's distinct pairs of a vocabulary word and the word before it, or the start of a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = sent.value
+        v = len(vocabulary)
+        base = v + 1 + _OTHERS
+        per = -(-v * base // _BUCKETS)
+
+        def out(held: list[np.ndarray]) -> pa.RecordBatch:
+            codes = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
+            bucket = codes // per
+            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(codes) else np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), _packed(codes - bucket * per, cut)], ["bucket", "codes"])
+
+        held, n = [], 0
+        for b in slices(batches):
+            h, d = _text_words(b["text"])
+            if len(h):
+                at = _places(vocabulary, h)
+                seen = np.where(at >= 0, at, v + 1 + (mix(h) % np.uint64(_OTHERS)).astype(np.int64))
+                held.append(np.unique((at * base + _before(seen, d, v))[at >= 0]))
+                n += len(held[-1])
+            if n >= most:
+                yield out(held)
+                held, n = [], 0
+        yield out(held)
+
+    return run
+
+
+def _types(v: int):
+    """(word, n) from sorted (bucket, codes): how many distinct words come before each word; one bucket is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = v + 1 + _OTHERS
+        per = -(-v * base // _BUCKETS)
+
+        def out(bucket: int | None, held: list[np.ndarray]) -> pa.RecordBatch:
+            codes = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
+            word, n = np.unique((codes + (bucket or 0) * per) // base, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], ["word", "n"])
+
+        bucket, held, fresh = None, [], 0
+        for b in batches:
+            for k, blob in zip(b["bucket"].to_pylist(), b["codes"], strict=True):
+                if k != bucket:
+                    yield out(bucket, held)
+                    bucket, held, fresh = k, [], 0
+                held.append(_unpacked(blob.as_buffer()))
+                fresh += len(held[-1])
+                if fresh > 1 << 21:
+                    held, fresh = [np.unique(np.concatenate(held))], 0
+        yield out(bucket, held)
+
+    return run
+
+
+def continuations(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """After how many distinct words, the start of a text among them, each word of a sorted vocabulary is found in ``docs``.
+
+    Every text counts. Tasks send their distinct pairs as packed steps, about
+    two bytes each; words outside the vocabulary are told by 24 bits.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    packed = docs.select("text").mapInArrow(_preceded(sent), "bucket int, codes binary")
+    dealt = packed.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
+    counts = dealt.mapInArrow(_types(len(vocabulary)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(vocabulary))
+    out[counts["word"].to_numpy()] = counts["n"].to_numpy()
     return out
 
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, first, word, n0, n1, n2, n3): texts by 2 * fold + class; first is 0 for single words."""
-    for b in _slices(batches):
-        h, d = words(*flat(b["text"]), _SEPARATOR, LOWER)
-        if not len(h):
-            continue
-        slot = (b["fold"].to_numpy() * 2 + b["toxic"].to_numpy())[d]
-        key, before = _pairs(h, d), np.r_[np.uint64(0), h[:-1]]
-        for k, first, word in ((h, np.zeros(len(h), np.uint64), h), (key, before, h)):
-            order = np.lexsort((d, k))
-            new = np.r_[True, (k[order][1:] != k[order][:-1]) | (d[order][1:] != d[order][:-1])]
-            ok = order[new & (k[order] != 0)]  # an expression counts once a text, however often it repeats there
-            u, at, inverse = np.unique(k[ok], return_index=True, return_inverse=True)
-            n = [np.bincount(inverse[slot[ok] == s], minlength=len(u)) for s in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (u, first[ok][at], word[ok][at])] + [pa.array(x.astype(np.int64)) for x in n], ["k", "first", "word", "n0", "n1", "n2", "n3"])
-
-
-def _preceded(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """(k, word) of a task's distinct pairs of a word and the one before it, or the start of a text."""
-    k, word = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    for b in _slices(batches):
-        h, d = words(*flat(b["text"]), _SEPARATOR, LOWER)
-        if len(h):
-            pair = _pairs(h, d)
-            k, at = np.unique(np.r_[k, np.where(np.r_[True, d[1:] != d[:-1]], mix(h), pair)], return_index=True)
-            word = np.r_[word, h][at]
-        if len(k) >= most:
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(word.view(np.int64))], ["k", "word"])
-            k, word = k[:0], word[:0]
-    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(word.view(np.int64))], ["k", "word"])
-
-
-def continuations(docs: DataFrame) -> DataFrame:
-    """(word, n): after how many distinct words, the start of a text among them, each word is found in ``docs``."""
-    return docs.select("text").mapInArrow(_preceded, "k long, word long").distinct().groupBy("word").agg(F.count("*").alias("n"))
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros(0, np.uint64)
+    for b in slices(batches):
+        seen = np.union1d(seen, _text_words(b["text"])[0])
+    yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64))], ["h"])
+
+
+SLOTS = [f"n{k}" for k in range(4)]  # texts by 2 * fold + class
+
+
+def _tally(sent):
+    """(word, first, n0..n3): texts that hold each pair of a word and the one before it, whose place is the vocabulary's size at a text's start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = len(sent.value)
+        for b in slices(batches):
+            h, d = _text_words(b["text"])
+            if not len(h):
+                continue
+            at = _places(sent.value, h)
+            pair = at * (v + 1) + _before(at, d, v)
+            order = np.lexsort((d, pair))
+            pair, d = pair[order], d[order]
+            once = np.r_[True, (pair[1:] != pair[:-1]) | (d[1:] != d[:-1])]  # a pair counts once a text, however often it repeats there
+            pair, slot = pair[once], (b["fold"].to_numpy() * 2 + b["toxic"].to_numpy())[d[once]]
+            new = np.r_[True, pair[1:] != pair[:-1]]
+            group = np.cumsum(new) - 1
+            n = [np.bincount(group[slot == s], minlength=int(group[-1]) + 1).astype(np.int32) for s in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array((pair[new] // (v + 1)).astype(np.int32)), pa.array((pair[new] % (v + 1)).astype(np.int32)), *map(pa.array, n)], ["word", "first", *SLOTS])
+
+    return run
+
+
+#: Which folds a model counts: one, the other, both.
+VIEWS = {"0": [0], "1": [1], "b": [0, 1]}
+
+
+def _counted(view: str, toxic: int):
+    return sum((F.col(f"n{2 * f + toxic}") for f in VIEWS[view]), F.lit(0))
+
+
+@dataclass
+class Counts:
+    """Counts of one class in one view: continuations by word, and by context its pairs, those of one text and those of more."""
+
+    before: np.ndarray
+    pairs: np.ndarray
+    once: np.ndarray
+    more: np.ndarray
+
+
+@dataclass
+class ClassModel:
+    """P(word) and P(word | word before) of one class; ``shared`` sums to one with the mass of unknown words."""
+
+    counts: Counts
+    shared: np.ndarray
+
+    def __post_init__(self):
+        total, types = self.counts.before.sum(), (self.counts.before > 0).sum()
+        self.free = DISCOUNT * types / total if total else 1.0
+        self.word = np.maximum(self.counts.before - DISCOUNT, 0) / max(total, 1) + self.free * self.shared
+
+    def backoff(self, first: np.ndarray) -> np.ndarray:
+        """What a context leaves to P(word): all of it where the class never saw the context."""
+        c, n = self.counts, np.maximum(self.counts.pairs[first], 1)
+        return np.where(c.pairs[first] > 0, (c.once[first] + DISCOUNT * c.more[first]) / n, 1.0)
+
+    def pair(self, n: np.ndarray, first: np.ndarray, word: np.ndarray) -> np.ndarray:
+        own = np.where(n > 1, n - DISCOUNT, 0) / np.maximum(self.counts.pairs[first], 1)
+        return own + self.backoff(first) * self.word[word]
 
 
 @dataclass
 class Model:
-    """Log-likelihood ratios of words and pairs by sorted hash, and the logistic weights."""
+    """Damped log-likelihood differences of words and pairs, and the logistic weights."""
 
+    vocabulary: np.ndarray
     word: np.ndarray
-    word_ratio: np.ndarray
     pair: np.ndarray
     pair_ratio: np.ndarray
     prior: float = 0.0
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    classes: list[ClassModel] = field(default_factory=list)
 
     def features(self, column: pa.Array) -> np.ndarray:
         """Per text: mean difference, that of the worst PASSAGE words, sum of the WORST worst expressions, all of a text's words."""
-        data, offsets = flat(column)
-        n = len(offsets) - 1
-        h, d = words(data, offsets, _SEPARATOR, LOWER)
+        n = len(column)
+        h, d = _text_words(column)
         out = np.zeros((n, 3))
-        if not len(h) or not len(self.word):
+        if not len(h) or not len(self.vocabulary):
             return out
-        at = np.minimum(np.searchsorted(self.word, h), len(self.word) - 1)
-        known = self.word[at] == h
-        x = np.where(known, self.word_ratio[at], 0.0)
+        v, at = len(self.vocabulary), _places(self.vocabulary, h)
+        x = np.where(at >= 0, self.word[at], 0.0)
         if len(self.pair):
-            both = np.flatnonzero(known & np.r_[False, known[:-1]])
-            key = _pairs(h, d)[both]
-            at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-            hit = self.pair[at] == key
-            x[both[hit]] = self.pair_ratio[at[hit]]
+            first = _before(at, d, v)
+            both = np.flatnonzero((at >= 0) & (first >= 0))
+            key = at[both] * (v + 1) + first[both]
+            k = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+            hit = self.pair[k] == key
+            x[both[hit]] = self.pair_ratio[k[hit]]
         length = np.bincount(d, minlength=n)
         out[:, 0] = np.bincount(d, x, minlength=n) / np.maximum(length, 1)
         total = np.r_[0.0, np.cumsum(x)]
@@ -136,44 +280,23 @@ class Model:
     def score(self, column: pa.Array) -> np.ndarray:
         if not len(self.weights):
             return np.full(len(column), self.prior)
-        z = self.features(column) @ self.weights[1:] + self.weights[0]
-        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        x = self.features(column)
+        z = x @ self.weights[1:] + self.weights[0]
+        return np.where((x != 0).any(1), 1 / (1 + np.exp(-np.clip(z, -500, 500))), self.prior)
 
 
 def _own(n: np.ndarray) -> np.ndarray:
-    """The share that an expression's own counts have in its log-ratio."""
-    return n.sum(1) / (n.sum(1) + LEAN)
-
-
-def _ratios(n: np.ndarray, shared: np.ndarray, rare: float, total: np.ndarray, types: np.ndarray) -> np.ndarray:
-    """log P(toxic) - log P(ordinary) of words with class counts ``n`` (words, 2)."""
-    free = DISCOUNT * types / np.maximum(total, 1)
-    p = np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1) + free * shared[:, None]
-    ratio = np.log(p[:, 1]) - np.log(p[:, 0])
-    return np.where(n.sum(1) >= rare, ratio * _own(n), 0.0)
-
-
-def _fit(table: dict[str, np.ndarray], shared: np.ndarray, folds: list[int], rare: float) -> Model:
-    """A model from the counts of the given folds."""
-    n = sum(np.stack([table[f"n{2 * f}"], table[f"n{2 * f + 1}"]], 1) for f in folds).astype(float)
-    single = table["first"] == 0
-    w, k = table["k"][single], table["k"][~single]
-    total, types = n[single].sum(0), (n[single] > 0).sum(0)
-    order = np.argsort(w)
-    w, n1 = w[order], n[single][order]
-    backoff = shared[order]
-    ratio = _ratios(n1, backoff, rare, total, types)
-    uni = np.maximum(n1 - DISCOUNT, 0) / np.maximum(total, 1) + (DISCOUNT * types / np.maximum(total, 1)) * backoff[:, None]
-    pairs = n[~single]
-    a, b = (np.minimum(np.searchsorted(w, table[c][~single]), max(0, len(w) - 1)) for c in ("first", "word"))
-    good = (pairs.sum(1) >= rare) & (w[a] == table["first"][~single]) & (w[b] == table["word"][~single]) if len(w) else np.zeros(len(k), bool)
-    k, pairs, a, b = k[good], pairs[good], a[good], b[good]
-    context = np.maximum(n1[a], 1)
-    weight = np.minimum(1.0, DISCOUNT * np.bincount(a, minlength=len(w))[a] / np.maximum(n1[a].sum(1), 1)) if len(a) else np.zeros(0)
-    p = np.maximum(pairs - DISCOUNT, 0) / context + np.maximum(weight, 1e-3)[:, None] * uni[b] if len(a) else np.ones((0, 2))
-    own, order = _own(pairs), np.argsort(k)
-    both = own * (np.log(p[:, 1]) - np.log(p[:, 0])) + (1 - own) * ratio[b]
-    return Model(w, ratio, k[order], both[order])
+    """The share that an expression's own counts have in its difference."""
+    return n / (n + LEAN)
+
+
+def fitted(vocabulary: np.ndarray, shared: np.ndarray, classes: list[Counts], word: np.ndarray, first: np.ndarray, n: np.ndarray) -> Model:
+    """A model from the counts of the ordinary and the toxic class; pairs (word, first) were found in ``n`` (pairs, 2) texts."""
+    ordinary, toxic = (ClassModel(c, shared) for c in classes)
+    ratio = _own(ordinary.counts.before + toxic.counts.before) * (np.log(toxic.word) - np.log(ordinary.word))
+    both = np.log(toxic.pair(n[:, 1], first, word)) - np.log(ordinary.pair(n[:, 0], first, word))
+    own = _own(n.sum(1))
+    return Model(vocabulary, ratio, word.astype(np.int64) * (len(vocabulary) + 1) + first, own * both + (1 - own) * ratio[word], classes=[ordinary, toxic])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -190,86 +313,93 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
         w += np.clip(step, -4, 4)
         if abs(step).max() < 1e-8:
             break
-    out = np.r_[w[0] - (w[1:] * mean / sd).sum(), w[1:] / sd]
+    return np.r_[w[0] - (w[1:] * mean / sd).sum(), w[1:] / sd]
+
+
+def _columns(df: DataFrame, key: str, size: int) -> dict[str, np.ndarray]:
+    """Columns of a small table by place; places it lacks hold 0."""
+    got, out = df.toArrow(), {}
+    at = got[key].to_numpy()
+    for c in got.column_names:
+        if c != key:
+            out[c] = np.zeros(size, np.int32)
+            out[c][at] = got[c].to_numpy()
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, rare: int = 2, held_out: int | None = 2) -> Model:
-    """Fit on labelled documents; backoff counts come from all of ``docs``.
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, held_out: int | None = 2) -> Model:
+    """Fit on labelled documents; the shared distribution is counted over all of ``docs``.
 
     labels: (doc_id, toxic 0/1); null or other labels are ignored, an id
     labelled twice counts as toxic if it is so once. At most ``most_labelled``
-    rows, those of the lowest id hashes, are used, which bounds the model.
-    Rows whose crc32 of the id modulo 4 is ``held_out`` are never used.
-    Expressions found in fewer than ``rare`` labelled texts are left to the
-    backoff; the count does not grow with the table. With a class missing, every
-    score is the share of toxic labels.
+    rows, those of the lowest id hashes, are used, which bounds the model: its
+    words, and of its pairs those that a class has in two texts or more.
+    Rows whose crc32 of the id modulo 4 is ``held_out`` are never used. With a
+    class missing, or no words, every score is the share of toxic labels.
     """
     spark = docs.sparkSession
     usable = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     if held_out is not None:
         usable = usable.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != held_out)
-    key = F.xxhash64("doc_id")
-    chosen = usable.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int")).orderBy(key, "doc_id").limit(most_labelled)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "fold")
-    counts = texts.mapInArrow(_tally, "k long, first long, word long, n0 long, n1 long, n2 long, n3 long")
-    sums = [F.sum(f"n{i}").alias(f"n{i}") for i in range(4)]
-    share = chosen.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
+    chosen = usable.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
+    texts = staged(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "fold"), "labelled")
+    share = texts.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     n, toxic = share["n"], share["t"] or 0
     prior = toxic / n if n else 0.0
-    empty = np.zeros(0, np.uint64)
+    nothing = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), prior)
     if not 0 < toxic < n:
-        return Model(empty, np.zeros(0), empty, np.zeros(0), prior)
-    counts = counts.groupBy("k", "first", "word").agg(*sums).where(f"n0 + n1 + n2 + n3 >= {rare}")
-    got = counts.toArrow()
-    table = {c: got[c].to_numpy().copy() for c in got.column_names}
-    for c in ("k", "first", "word"):
-        table[c] = table[c].view(np.uint64)
-    single = table["first"] == 0
-    vocabulary = np.sort(table["k"][single])
+        return nothing
+    vocabulary = np.sort(texts.select("text").mapInArrow(_vocabulary, "h long").distinct().toArrow()["h"].to_numpy().view(np.uint64))
     if not len(vocabulary):
-        return Model(empty, np.zeros(0), empty, np.zeros(0), prior)
-    sent = spark.sparkContext.broadcast(vocabulary)
-
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, types = sent.value, 0
-        for b in batches:
-            w, n = b["word"].to_numpy().view(np.uint64), b["n"].to_numpy()
-            at = np.minimum(np.searchsorted(v, w), len(v) - 1)
-            ok = v[at] == w
-            types += int(n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(at[ok]), pa.array(n[ok])], ["at", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([types])], ["at", "n"])
-
-    everywhere = continuations(docs).mapInArrow(known, "at long, n long").toArrow()
-    at, seen_after = everywhere["at"].to_numpy(), everywhere["n"].to_numpy()
-    held = np.zeros(len(vocabulary))
-    held[at[at >= 0]] = seen_after[at >= 0]
-    shared = held[np.searchsorted(vocabulary, table["k"][single])] / seen_after[at < 0].sum()
-    other = spark.sparkContext.broadcast([_fit(table, shared, [1 - f], rare) for f in (0, 1)])
+        return nothing
+    v, sent = len(vocabulary), spark.sparkContext.broadcast(vocabulary)
+    kind = "word int, first int, " + ", ".join(f"{c} int" for c in SLOTS)
+    pairs = staged(texts.mapInArrow(_tally(sent), kind).groupBy("word", "first").agg(*(F.sum(c).cast("int").alias(c) for c in SLOTS)), "pairs")
+    models = [(view, t) for view in VIEWS for t in (0, 1)]
+    by_word = _columns(pairs.groupBy("word").agg(*(F.count_if(_counted(*m) > 0).alias(f"{m[0]}{m[1]}") for m in models)), "word", v)
+    sums = [f(_counted(*m)).alias(f"{c}{m[0]}{m[1]}") for m in models for c, f in (("s", F.sum), ("o", lambda x: F.count_if(x == 1)), ("m", lambda x: F.count_if(x > 1)))]
+    often = pairs.where((_counted("b", 0) > 1) | (_counted("b", 1) > 1))
+    asked = pairs.join(often.select("first").distinct(), "first", "left_semi")  # other contexts leave all to their words
+    by_first = _columns(asked.groupBy("first").agg(*sums), "first", v + 1)
+    often = often.orderBy("word", "first").toArrow()
+    word, first, *slots = (often[c].to_numpy() for c in ("word", "first", *SLOTS))
+    del often
+    seen = continuations(docs, vocabulary)
+    shared = (seen + 1) / (seen.sum() + v + 1)  # what is left is for words outside the vocabulary
+
+    def model(view: str) -> Model:
+        counts = [Counts(by_word[f"{view}{t}"], *(by_first[f"{c}{view}{t}"] for c in "som")) for t in (0, 1)]
+        return fitted(vocabulary, shared, counts, word, first, np.stack([sum(slots[2 * f + t] for f in VIEWS[view]) for t in (0, 1)], 1))
+
+    other = spark.sparkContext.broadcast([replace(model(view), classes=[]) for view in "10"])
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in slices(batches):
             fold = b["fold"].to_numpy()
             x = np.where((fold == 0)[:, None], *(other.value[f].features(b["text"]) for f in (0, 1)))
             yield pa.RecordBatch.from_arrays([b["toxic"].cast(pa.int64()), *(pa.array(x[:, k]) for k in range(3))], ["toxic", "x0", "x1", "x2"])
 
-    seen = texts.mapInArrow(described, "toxic long, x0 double, x1 double, x2 double").toArrow()
-    y = seen["toxic"].to_numpy().astype(float)
-    x = np.stack([seen[f"x{k}"].to_numpy() for k in range(3)], 1)
+    got = texts.mapInArrow(described, "toxic long, x0 double, x1 double, x2 double").toArrow()
+    y = got["toxic"].to_numpy().astype(float)
+    x = np.stack([got[f"x{k}"].to_numpy() for k in range(3)], 1)
     order = np.lexsort((x[:, 2], x[:, 1], x[:, 0], y))
-    model = _fit(table, shared, [0, 1], rare)
-    model.prior, model.weights = prior, _logistic(x[order], y[order])
-    return model
+    out = model("b")
+    out.prior, out.weights = prior, _logistic(x[order], y[order])
+    return out
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``toxicity`` from 0 to 1; a null or empty text scores as a text that says nothing either way."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.drop("toxicity").schema
+def score(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:
+    """``docs`` with ``column`` from 0 to 1; a text without a known word, null and empty ones too, scores the share of toxic labels.
+
+    A column of that name must not be there yet. Rows that repeat are scored
+    each; a text of any length is scored whole.
+    """
+    if column in docs.columns:
+        raise ValueError(f"there is a column {column} already")
+    sent = docs.sparkSession.sparkContext.broadcast(replace(model, classes=[]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.score(b["text"]))], [*b.schema.names, "toxicity"])
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.score(b["text"]))], [*b.schema.names, column])
 
-    return docs.drop("toxicity").mapInArrow(run, schema.add("toxicity", "double"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
