@@ -102,7 +102,7 @@ def reach(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], least: float, rec
 
 
 #: ``home`` is the cell a vector lives in, ``visits`` the others it looks into; a row lives in its cell where these are given.
-ENTRY = "label long, cell long, home long, visits array<long>, probe boolean, id long, n long, vector array<float>"
+ENTRY = "label long, cell long, home long, visits array<long>, probe boolean, id long, n long, vector array<{0}>"
 
 
 def _cells(x: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,7 +124,7 @@ def _homes(rows: DataFrame, sent, dim: int) -> DataFrame:
     return rows.mapInArrow(run, "label long, cell long, h1 long, h2 long")
 
 
-def _entries(classes: DataFrame, sent, limit: float, dim: int) -> DataFrame:
+def _entries(classes: DataFrame, sent, limit: float, dim: int, kind: str) -> DataFrame:
     """Each vector at home in its cell, and as a probe in every other cell it must visit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +140,7 @@ def _entries(classes: DataFrame, sent, limit: float, dim: int) -> DataFrame:
                 listed = pa.array([*visits, *[None] * (len(row) - n)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([t["label"], pa.array(cell), pa.array(home[row]), listed, pa.array(np.arange(len(row)) >= n), t["id"], t["n"], t["vector"]], [c.split()[0] for c in ENTRY.split(", ")])
 
-    return classes.mapInArrow(run, ENTRY)
+    return classes.mapInArrow(run, ENTRY.format(kind))
 
 
 def _verify(least: float, dim: int, span: int, step: int = 2048):
@@ -190,43 +190,53 @@ def _verify(least: float, dim: int, span: int, step: int = 2048):
 def link_vectors(vectors: DataFrame, least: float = 0.98, recall: float = 0.999, most_fitted: int = 20_000, codes: int | None = None, hot_cell: int = 4096) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding, label).
 
-    Only rows of equal, non-null labels are compared. A vector that is null,
-    zero, holds null or non-finite components, or has another length than the
-    most common one, links with nothing. Equal vectors of a label, told by two
-    64-bit hashes, are one class with a count, so copies are never paired. The
-    codebooks, of ``codes`` centres (sqrt(rows)/16 to a power of two, 4 to
-    1024), and the bound of visits that gives ``recall`` are fitted on the
-    ``most_fitted`` rows of the lowest hashes; every vector is indexed. A recall
-    of 1 visits every cell that can hold a neighbour. Cells with more than
-    ``hot_cell`` classes are dealt over several tasks. Repeated rows count as
-    vectors of their own; an empty table gives none.
+    Only rows of equal, non-null labels and of equal length are compared, each
+    length by an index of its own (so lengths must be few). A vector that is
+    null, empty, zero, or holds null or non-finite components links with
+    nothing. Equal vectors of a label, told by two 64-bit hashes, are one class
+    with a count, so copies are never paired. The codebooks, of ``codes``
+    centres (sqrt(rows)/16 to a power of two, 4 to 1024), and the bound of visits
+    that gives ``recall`` are fitted on the ``most_fitted`` rows of the lowest
+    hashes; every vector is indexed. A recall of 1 visits every cell that can
+    hold a neighbour. Cells with more than ``hot_cell`` classes are dealt over
+    tasks by pairs of blocks. Repeated rows count as vectors of their own; an
+    empty table gives none. Vectors are read as they are, float or double, and
+    compared in double precision.
     """
-    spark = vectors.sparkSession
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    kind = kind if kind == "float" else "double"
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     zero = ~F.exists("embedding", lambda v: v != 0)
-    rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>").alias("embedding"))
+    rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     sound = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~bad & ~zero, F.lit(False))
-    dims = rows.where(sound).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    alone = [F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")]
-    if dims is None or dims["d"] < 2:
-        return rows.select("vec_id", *alone)
-    dim = dims["d"]
-    sound = F.coalesce(sound & (F.size("embedding") == dim), F.lit(False))
-    good = rows.where(sound).select("vec_id", "label", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"), F.col("embedding").alias("vector"))
+    out = rows.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    for r in rows.where(sound).groupBy(F.size("embedding").alias("d")).count().orderBy("d").collect():
+        same = rows.where(sound & (F.size("embedding") == r["d"]))
+        if r["d"] == 1:  # both halves need a component
+            same = same.withColumn("embedding", F.concat("embedding", F.array(F.lit(0).cast(kind))))
+        out = out.union(_linked(same, max(2, r["d"]), r["count"], kind, least, recall, most_fitted, codes, hot_cell))
+    return out
+
+
+def _linked(rows: DataFrame, dim: int, count: int, kind: str, least: float, recall: float, most_fitted: int, codes: int | None, hot_cell: int) -> DataFrame:
+    """``link_vectors`` of sound rows of one length."""
+    spark = rows.sparkSession
+    good = rows.select("vec_id", "label", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"), F.col("embedding").alias("vector"))
     sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most_fitted).select("vector").toArrow()
     x = _units(sample["vector"], dim)
-    k = codes or int(np.clip(2 ** round(np.log2(max(1.0, np.sqrt(dims["count"]) / 16))), 4, 1024))
+    k = codes or int(np.clip(2 ** round(np.log2(max(1.0, np.sqrt(count) / 16))), 4, 1024))
     books = codebook(x[:, : dim // 2], k), codebook(x[:, dim // 2 :], k)
     sent, key = spark.sparkContext.broadcast(books), ["label", "h1", "h2"]
     hot = _homes(good.select("label", "h1", "h2", "vector"), sent, dim).distinct().groupBy("label", "cell").agg(F.count("*").alias("c")).where(F.col("c") > hot_cell)
     hot = staged(hot.select("label", "cell", F.ceil(F.col("c") / hot_cell).cast("int").alias("b")), "hot")
     classes = good.groupBy(*key).agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("vector").alias("vector"))
-    entries = _entries(classes.select("label", "id", "n", "vector"), sent, reach(x, books, least, recall), dim).join(hot, ["label", "cell"], "left")
+    entries = _entries(classes.select("label", "id", "n", "vector"), sent, reach(x, books, least, recall), dim, kind).join(hot, ["label", "cell"], "left")
+    # a hot cell is b x b tasks: a row at home lies in all of its home block's, and probes all of its probe block's
     own, every = F.pmod(F.xxhash64("id"), F.col("b")).cast("int"), F.sequence(F.lit(0), F.col("b") - 1)
-    at = lambda block, probe: F.struct(block.alias("block"), probe.alias("probe"))
-    places = F.when(F.col("b").isNull(), F.array(at(F.lit(0), F.col("probe")))).otherwise(
-        F.concat(F.transform(every, lambda k: at(k, F.lit(True))), F.when(F.col("probe"), F.array().cast("array<struct<block:int,probe:boolean>>")).otherwise(F.array(at(own, F.lit(False)))))
-    )
+    at = lambda block, probe: F.struct(block.cast("int").alias("block"), probe.alias("probe"))
+    probes = F.transform(every, lambda k: at(k * F.col("b") + own, F.lit(True)))
+    homes = F.transform(every, lambda k: at(own * F.col("b") + k, F.lit(False)))
+    places = F.when(F.col("b").isNull(), F.array(at(F.lit(0), F.col("probe")))).otherwise(F.when(F.col("probe"), probes).otherwise(F.concat(probes, homes)))
     entries = entries.withColumn("place", F.explode(places)).select("label", "cell", "place.block", "place.probe", F.col("b").isNotNull().alias("split"), "home", "visits", "id", "n", "vector")
     sorted_ = entries.repartition(partitions(spark), "label", "cell", "block").sortWithinPartitions("label", "cell", "block", "probe", "id")
     found = staged(sorted_.mapInArrow(_verify(least, dim, len(books[0]) * len(books[1])), "id long, links long, root long"), "found")
@@ -235,4 +245,4 @@ def link_vectors(vectors: DataFrame, least: float = 0.98, recall: float = 0.999,
     members = good.groupBy(*key).agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).join(links, "id", "left").join(roots, "id", "left")
     members = members.select(*key, (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
     joined = good.select("vec_id", *key).join(members, key).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    return joined.union(rows.where(~sound).select("vec_id", *alone))
+    return joined

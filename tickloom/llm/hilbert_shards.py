@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._stage import staged
+from ._stage import partitions, staged
 
 
 def quantise_text(c: Column, bits: int) -> Column:
@@ -115,7 +115,10 @@ def shard_documents(docs: DataFrame, shards: int = 8, bits: int = 5) -> DataFram
 
 
 def write_shards(df: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write ``df`` (unique ids) as one folder a shard, rows in curve order, for pruning by file statistics."""
+    """Write ``df`` (unique ids) as one folder a shard, rows in curve order, for pruning by file statistics.
+
+    A shard is many files, each a run of slots, so no task holds a whole shard.
+    """
     placed = placed.select(F.col(id_col).alias("_id"), "shard", "slot")
     out = df.join(placed, df[id_col] == F.col("_id")).drop("_id")
-    out.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    out.repartitionByRange(partitions(df.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame
 EBML, DOC_TYPE, SEGMENT, INFO, TIMESTAMP_SCALE, MUXER, WRITER = 0x1A45DFA3, 0x4282, 0x18538067, 0x1549A966, 0x2AD7B1, 0x4D80, 0x5741
 TRACKS, TRACK, NUMBER, UID, KIND, LACING, CODEC, FRAME_NS = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0x23E383
 AUDIO, RATE, CHANNELS, DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER, TIMESTAMP, SIMPLE_BLOCK, GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
+CLUSTER, TIMESTAMP, SIMPLE_BLOCK, GROUP, BLOCK, REFERENCE = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUES, CUE, CUE_TIME, CUE_AT, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 MASTERS = {EBML, SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, GROUP, CUES, CUE, CUE_AT}
 TOP = {INFO, TRACKS, CLUSTER, CUES}
 
 FRAME, LACE, BLOCKS, HZ = 576, 8, 32, 8000
+#: What a truncated or corrupt file raises.
+BROKEN = (ValueError, IndexError, struct.error, RecursionError)
 
 
 def size_bytes(n: int, width: int = 0) -> bytes:
@@ -158,32 +160,47 @@ def frames(data: bytes, at: int, end: int) -> tuple[int, int, int, list[tuple[in
 
 
 def parse(data: bytes) -> tuple[list[tuple[int, int, int, bool, int, int]], dict]:
-    """([(cluster, track, timestamp in ns, keyframe, offset, length)], facts about the file)."""
-    packets, clusters, cues, segment, scale, stamp, frame_ns = [], [], [], 0, 1_000_000, 0, 0
-    codec = ""
+    """([(cluster, track, timestamp in ns, keyframe, offset, length)], facts about the file).
+
+    Frames of a lace follow each other by their own track's default duration. A
+    block of a group is a keyframe unless the group refers to another block.
+    """
+    found, clusters, cues, segment, scale, stamp = [], [], [], 0, 1_000_000, 0
+    tracks, inter, group = [], set(), 0
     uint = lambda a, b: int.from_bytes(data[a:b], "big")
-    blocks = 0
     for eid, _, start, a, b in elements(data):
         if eid == SEGMENT:
             segment = a
         elif eid == TIMESTAMP_SCALE:
             scale = uint(a, b)
-        elif eid == FRAME_NS:
-            frame_ns = uint(a, b)
-        elif eid == CODEC:
-            codec = data[a:b].decode("ascii", "replace")
+        elif eid == TRACK:
+            tracks.append({"number": 0, "ns": 0, "codec": ""})
+        elif eid == NUMBER and tracks:
+            tracks[-1]["number"] = uint(a, b)
+        elif eid == FRAME_NS and tracks:
+            tracks[-1]["ns"] = uint(a, b)
+        elif eid == CODEC and tracks:
+            tracks[-1]["codec"] = data[a:b].decode("ascii", "replace")
+        elif eid == GROUP:
+            group += 1
+        elif eid == REFERENCE:
+            inter.add(group)
         elif eid == CLUSTER:
             clusters.append(start - segment)
         elif eid == TIMESTAMP:
             stamp = uint(a, b)
         elif eid in (SIMPLE_BLOCK, BLOCK):
-            track, relative, flags, found = frames(data, a, b)
-            blocks += 1
-            for k, (at, n) in enumerate(found):
-                packets.append((len(clusters) - 1, track, (stamp + relative) * scale + k * frame_ns, bool(flags & 0x80) or eid == BLOCK, at, n))
+            track, relative, flags, laced = frames(data, a, b)
+            found.append((len(clusters) - 1, track, stamp + relative, flags & 0x80, group if eid == BLOCK else 0, laced))
         elif eid == CUE_CLUSTER:
             cues.append(uint(a, b))
-    return packets, {"codec": codec, "clusters": len(clusters), "blocks": blocks, "cues": len(cues), "cues_ok": set(cues) <= set(clusters)}
+    step = {t["number"]: t["ns"] for t in tracks}
+    packets = [
+        (cluster, track, time * scale + k * step.get(track, 0), group not in inter if group else bool(key), at, n)
+        for cluster, track, time, key, group, laced in found for k, (at, n) in enumerate(laced)
+    ]
+    codecs = "+".join(t["codec"] for t in sorted(tracks, key=lambda t: t["number"]))
+    return packets, {"codec": codecs, "clusters": len(clusters), "blocks": len(found), "cues": len(cues), "cues_ok": set(cues) <= set(clusters)}
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -204,24 +221,38 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def packets(media: DataFrame) -> DataFrame:
-    """The packet table of every file: doc_id, cluster, track, timestamp_ns, keyframe, offset, length. A null file has no packets."""
+    """The packet table of every file: doc_id, cluster, track, timestamp_ns, keyframe, offset, length, error.
+
+    A null file has no packets; a truncated or corrupt one gives a single row of
+    nulls whose ``error`` says what is wrong.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "cluster", "track", "timestamp_ns", "keyframe", "offset", "length"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+        names = ["doc_id", "cluster", "track", "timestamp_ns", "keyframe", "offset", "length", "error"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string()]
         for b in batches:
             for i, m in zip(b["doc_id"].to_pylist(), b["media"], strict=True):
-                if m.is_valid and (rows := [(i, *p) for p in parse(m.as_py())[0]]):
+                if not m.is_valid:
+                    continue
+                try:
+                    rows = [(i, *p, None) for p in parse(m.as_py())[0]]
+                except BROKEN as e:
+                    rows = [(i, *[None] * 6, str(e) or type(e).__name__)]
+                if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, cluster int, track int, timestamp_ns long, keyframe boolean, offset long, length long")
+    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, cluster int, track int, timestamp_ns long, keyframe boolean, offset long, length long, error string")
 
 
-READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """READ: checksums of the payload that the parsed packets of each stored file give, and what the file says of itself."""
+    """READ: checksums of the payload that the parsed packets of each stored file give, and what the file says of itself.
+
+    A null file gives nulls. Of a truncated or corrupt one only the stored bytes
+    are known; ``error`` says what is wrong with it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -229,16 +260,24 @@ def read_back(media: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for i, n, m in zip(b["doc_id"].to_pylist(), b["n_bytes"].to_pylist(), b["media"], strict=True):
+                if not m.is_valid:
+                    rows.append((i, n, *[None] * 7))
+                    continue
                 data = m.as_py()
-                found, facts = parse(data)
+                stored = len(data), hashlib.sha256(data).hexdigest()
+                try:
+                    found, facts = parse(data)
+                except BROKEN as e:
+                    rows.append((i, n, None, None, None, *stored, None, str(e) or type(e).__name__))
+                    continue
                 payload = b"".join([data[p[4] : p[4] + p[5]] for p in found])
                 samples = np.frombuffer(payload, np.uint8)
                 level = float(np.abs(samples.astype(np.int64) - 128).mean()) if len(samples) else 0.0
                 last = found[-1][2] // 1_000_000 if found else -1
                 feature = f"{facts['codec']};clusters={facts['clusters']};blocks={facts['blocks']};packets={len(found)};last_ms={last};cues={facts['cues'] if facts['cues_ok'] else 'bad'};level={level:.4f}"
-                rows.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            cols = list(zip(*rows, strict=True)) or [[]] * 8
+                rows.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *stored, feature, None))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            cols = list(zip(*rows, strict=True)) or [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in READ.split(", ")])
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, READ)

@@ -48,14 +48,14 @@ def merkle_levels(records: DataFrame, fanout: int = 16, top: int = 3) -> list[Da
 
     A node gathers ``fanout`` children at most. ``fanout``**``top`` must cover
     the longest archive for level ``top`` to be its root; a longer one has
-    several top nodes, all of which are compared.
+    several top nodes, all of which are compared. Levels are written once each.
     """
     level = records.select("archive", F.col("seq").alias("node"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"), "digest")
     levels = [level]
     for _ in range(top):
         up = level.groupBy("archive", F.floor(F.col("node") / fanout).alias("node")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_list(F.struct("node", "digest"))).alias("_below"))
         text = F.concat_ws(":", F.col("start").cast("string"), F.col("end").cast("string"), F.array_join(F.transform("_below", lambda x: x["digest"]), ","))
-        level = up.select("archive", "node", "start", "end", F.sha2(text, 256).alias("digest"))
+        level = staged(up.select("archive", "node", "start", "end", F.sha2(text, 256).alias("digest")), "level")
         levels.append(level)
     return levels
 
@@ -82,7 +82,9 @@ def audit(replica_a: DataFrame, replica_b: DataFrame, fanout: int = 16, top: int
     Takes two results of ``archived``. Columns: archive, seq, page_id, offset,
     length, digest (of the first replica, null where it lacks the record),
     replica_digest, archive_intact (roots agree), intact (the descent reached
-    no difference here). Empty replicas give no rows.
+    no difference here). A record is what lies at its place of the archive: one
+    that a replica lacks moves all later records of that archive to other places
+    and ranges, and they count as differing. Empty replicas give no rows.
     """
     a, b = staged(replica_a, "replica_a"), staged(replica_b, "replica_b")
     la, lb = merkle_levels(a, fanout, top), merkle_levels(b, fanout, top)
