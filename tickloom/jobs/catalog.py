@@ -2,62 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.basic import calendar, finite, safe_divide, uniform
 from ..operators import align, bars, bootstrap, clean, densities, describe, diagnostics, realized, regress, series, volatility
+from . import models  # noqa: F401  registers its queries
 from .tables import DAILY, PANEL, PRETS, RETS, TICKS, daily, daily_returns, panel, panel_returns, table, ticks
-
-NUDGE = 0.0123
-_queries: dict[str, Callable] = {}
-_sql: dict[str, str] = {}
-
-
-def _nudged(sql: str) -> str:
-    """The SQL with every ``round(x, d)`` as ``rounded`` does it."""
-    out, at = "", 0
-    while (k := sql.find("round(", at)) >= 0:
-        depth, end = 1, k + 6
-        while depth:
-            depth += {"(": 1, ")": -1}.get(sql[end], 0)
-            end += 1
-        inner, _, digits = sql[k + 6 : end - 1].rpartition(",")
-        out += f"{sql[at:k]}(round({_nudged(inner)} + {NUDGE}e-{int(digits)}, {int(digits)}) + 0.0)"
-        at = end
-    return out + sql[at:]
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL if there is one."""
-
-    def add(f):
-        _queries[f.__name__] = f
-        if sql:
-            _sql[f.__name__] = _nudged(sql)
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable]:
-    return dict(_queries)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
-
-
-def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
-    """Columns rounded, so that the order of additions doesn't show.
-
-    A hundredth of the last digit is added first, so that exact ties, which
-    means of prices often are, fall on one side; -0.0 becomes 0.0.
-    """
-    return df.withColumns({c: F.round(F.col(c) + NUDGE * 10.0**-digits, digits) + F.lit(0.0) for c in columns})
-
+from .tools import NUDGE, oracle_sql, queries, query, rounded  # noqa: F401
 
 _D, _T = ["asset"], ["ts"]
 
@@ -435,7 +387,7 @@ def m2_noise_filtered_variance(spark, d):
     return rounded(realized.noise_filtered_variance(bars.sample_calendar(ticks(spark, d), 1800)), 6, "rv_filtered")
 
 
-@query(f"""WITH {_CAL}, {_RV} SELECT symbol, date, round(coalesce(sum(ret * ret), 0), 6) AS rv, count(ret) AS n_returns, round(sqrt(coalesce(sum(ret * ret), 0) * 252), 6) AS volatility FROM r GROUP BY symbol, date""")
+@query(f"""WITH {_CAL}, {_RV} SELECT symbol, date, round(coalesce(sum(ret * ret), 0), 6) AS rv, count(ret) AS n_returns, round(sqrt(coalesce(sum(ret * ret), 0) * 252 * (nullif(max(us) - min(us), 0) / 86400000000.0) / count(*)), 6) AS volatility FROM r GROUP BY symbol, date""")
 def m3_realized_volatility(spark, d):
     return rounded(realized.realized_volatility(bars.sample_calendar(ticks(spark, d), 1800)), 6, "rv", "volatility")
 
@@ -455,10 +407,12 @@ def m6_realized_covariance(spark, d):
 
 @query(f"""WITH {TICKS}, c AS (SELECT *, k AS seconds, (us - min(us) OVER (PARTITION BY symbol, date)) // (k::BIGINT * 1000000) AS bucket FROM ticks, (VALUES (900), (1800), (3600)) v(k)),
 s AS (SELECT symbol, date, seconds, bucket, arg_min(price, (us, seq)) AS price, min(us) AS us FROM c GROUP BY ALL),
-r AS (SELECT *, ln(price / lag(price) OVER (PARTITION BY symbol, date, seconds ORDER BY us)) AS ret FROM s)
-SELECT symbol, date, seconds, round(coalesce(sum(ret * ret), 0), 6) AS rv FROM r GROUP BY ALL""")
+r AS (SELECT *, ln(price / lag(price) OVER (PARTITION BY symbol, date, seconds ORDER BY us)) AS ret FROM s),
+f AS (SELECT symbol, date, seconds, avg(ret) OVER (PARTITION BY symbol, date, seconds ORDER BY us ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS f FROM r WHERE ret IS NOT NULL),
+g AS (SELECT symbol, date, seconds, sum(f * f) AS f FROM f GROUP BY ALL), v AS (SELECT symbol, date, seconds, coalesce(sum(ret * ret), 0) AS rv FROM r GROUP BY ALL)
+SELECT symbol, date, seconds, round(rv, 6) AS rv, round(sqrt(rv), 6) AS volatility, round(f, 6) AS rv_filtered, round((f - rv) / nullif(rv, 0) * 100, 4) AS difference_pct FROM v LEFT JOIN g USING (symbol, date, seconds)""")
 def m8_signature(spark, d):
-    return rounded(realized.signature(ticks(spark, d), [900, 1800, 3600]), 6, "rv")
+    return rounded(rounded(realized.signature(ticks(spark, d), [900, 1800, 3600]), 6, "rv", "volatility", "rv_filtered"), 4, "difference_pct")
 
 
 # -- regression ---------------------------------------------------------------

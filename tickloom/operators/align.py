@@ -72,6 +72,28 @@ def dividend_factors(prices: DataFrame, dividends: DataFrame) -> DataFrame:
     return price_after(prices, dividends, "_p").where("_p > 0").select("symbol", "ts", ((F.col("_p") + F.col("value")) / F.col("_p")).alias("factor"))
 
 
+def price_before(prices: DataFrame, dates: DataFrame, name: str = "price") -> DataFrame:
+    """Dates (symbol, ts, ...) with the last price before each."""
+    p = prices.groupBy("symbol", "ts").agg(F.min("price").alias("_p")).select("symbol", "ts", F.lit(None).alias("_row"), "_p")
+    d = dates.select("symbol", "ts", F.struct(*dates.columns).alias("_row"), F.lit(None).cast("double").alias("_p"))
+    p = p.withColumn("_row", F.col("_row").cast(d.schema["_row"].dataType))
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    w = Window.partitionBy("symbol").orderBy(us).rangeBetween(Window.unboundedPreceding, -1)
+    before = F.max_by("_p", F.when(F.col("_p").isNotNull(), F.col("ts"))).over(w)
+    return p.union(d).withColumn("_x", before).where("_row is not null").select("_row.*", F.col("_x").alias(name))
+
+
+def merger_factors(prices: DataFrame, mergers: DataFrame) -> DataFrame:
+    """(symbol, ts, factor) of mergers (old_symbol, new_symbol, ts, value): value times the new symbol's first price on or after, over the old one's last before.
+
+    The factor is the old symbol's, as ``adjust`` takes it; a merger without
+    either price gives none.
+    """
+    one = price_after(prices, mergers.withColumn("symbol", F.col("new_symbol")), "_new").drop("symbol")
+    two = price_before(prices, one.withColumn("symbol", F.col("old_symbol")), "_old")
+    return two.where("_old > 0 and _new is not null").select("symbol", "ts", (F.col("value") * F.col("_new") / F.col("_old")).alias("factor"))
+
+
 def pairs(panel: DataFrame, key: str = "asset", ts: str = "ts", values: tuple[str, ...] = ("value",)) -> DataFrame:
     """Synchronous pairs i <= j of a panel: (ts, i, j, value_i, value_j)."""
     a = panel.select(ts, F.col(key).alias("i"), *[F.col(v).alias(f"{v}_i") for v in values])

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .series import ordered
 
@@ -30,6 +33,110 @@ def fill(df: DataFrame, keys: list[str], order: list[str], value: str, method: s
     return df.withColumn(value, out).drop("_i", "_p", "_q")
 
 
+def drop_missing(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Rows in which no column (of ``columns``) is null or NaN."""
+    columns = columns or df.columns
+    number = {f.name for f in df.schema if f.dataType.typeName() in ("double", "float")}
+    for c in columns:
+        df = df.where(F.col(c).isNotNull() & ~F.isnan(c) if c in number else F.col(c).isNotNull())
+    return df
+
+
+def not_a_knot(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The cubic spline through (x, y) whose third derivative is continuous at the second and last but one points; a line or parabola for two or three."""
+    n = len(x)
+    if n < 4:
+        return np.polyval(np.polyfit(x, y, n - 1), at) if n else np.full(len(at), np.nan)
+    h, slope = np.diff(x), np.diff(y) / np.diff(x)
+    a, rhs = np.zeros((n, n)), np.zeros(n)
+    for i in range(1, n - 1):
+        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+        rhs[i] = 6 * (slope[i] - slope[i - 1])
+    a[0, :3] = h[1], -(h[0] + h[1]), h[0]
+    a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
+    m = np.linalg.solve(a, rhs)
+    k = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
+    d, e = at - x[k], x[k + 1] - at
+    return (m[k] * e**3 + m[k + 1] * d**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * e + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * d
+
+
+def spline(df: DataFrame, keys: list[str], order: list[str], value: str, run: int = 512) -> DataFrame:
+    """Gaps between known values filled by a not-a-knot cubic spline over positions; gaps at the ends stay.
+
+    A series is cut at known values into runs of about ``run`` of them that
+    overlap by 16 at either end, so a task holds one run whatever the series'
+    length; a spline's pull dies out over such an overlap.
+    """
+    w, lap = ordered(keys, order), 16
+    rows = df.withColumns({"_i": F.row_number().over(w), "_k": F.count(value).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    own = F.floor((F.col("_k") - 1) / run).cast("int")
+    place = F.pmod(F.col("_k") - 1, F.lit(run))
+    also = F.filter(F.array(own, F.when(place < lap, own - 1), F.when(place >= run - lap, own + 1)), lambda b: b.isNotNull() & (b >= 0))
+    dealt = rows.withColumn("_b", F.explode(F.when(F.col("_k") == 0, F.array(F.lit(0))).otherwise(also))).withColumn("_home", F.col("_b") == F.greatest(own, F.lit(0)))
+    fields = [f for f in dealt.schema if f.name != "_b"]
+    schema = T.StructType([*fields])
+
+    def one(pdf):
+        pdf = pdf.sort_values("_i")
+        y, x = pdf[value].to_numpy(float), pdf["_i"].to_numpy(float)
+        known = ~np.isnan(y)
+        if known.sum() > 1:
+            gap = ~known & (x > x[known][0]) & (x < x[known][-1])
+            y = y.copy()
+            y[gap] = not_a_knot(x[known], y[known], x[gap])
+            pdf = pdf.assign(**{value: y})
+        return pdf[[f.name for f in fields]]
+
+    return dealt.groupBy(*keys, "_b").applyInPandas(one, schema).where("_home").select(*df.columns)
+
+
+def knn_impute(df: DataFrame, row_id: str, columns: list[str], k: int = 5, weights: str = "uniform", block: int = 4096) -> DataFrame:
+    """``df`` with gaps of ``columns`` filled from the ``k`` nearest rows that have the value.
+
+    Distance is over the columns that both rows have, scaled up to all of them.
+    Incomplete rows meet donors block by block: each pair of blocks keeps its k
+    best for each gap, and the best of those are merged, so nothing is
+    broadcast and no task holds more than two blocks.
+    """
+    v = F.array(*[F.col(c).cast("double") for c in columns])
+    rows = df.select(F.col(row_id).alias("_id"), v.alias("_v"))
+    n = max(1, -(-df.count() // block))
+    side = F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(n - 1))
+    gaps = rows.where(F.exists("_v", lambda x: x.isNull())).withColumns({"_p": side, "_q": F.explode(every)}).withColumn("_ask", F.lit(True))
+    donors = rows.where(F.exists("_v", lambda x: x.isNotNull())).withColumns({"_q": side, "_p": F.explode(every)}).withColumn("_ask", F.lit(False))
+
+    def nearest(key, pdf):
+        a, d = pdf[pdf["_ask"]], pdf[~pdf["_ask"]]
+        out = []
+        if len(a) and len(d):
+            x, y = np.array(a["_v"].tolist(), float), np.array(d["_v"].tolist(), float)
+            both = (~np.isnan(x)).astype(float) @ (~np.isnan(y)).astype(float).T
+            x0, y0 = np.nan_to_num(x), np.nan_to_num(y)
+            hx, hy = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
+            s = (x0**2) @ hy.T + hx @ (y0**2).T - 2 * x0 @ y0.T
+            with np.errstate(all="ignore"):
+                dist = np.sqrt(np.maximum(s, 0) * len(columns) / both)
+            dist[(both == 0) | (a["_id"].to_numpy()[:, None] == d["_id"].to_numpy())] = np.inf
+            for i, r in enumerate(a["_id"]):
+                for c in np.flatnonzero(np.isnan(x[i])):
+                    e = np.where(np.isnan(y[:, c]), np.inf, dist[i])
+                    for m in np.lexsort((d["_id"].to_numpy(), e))[:k]:
+                        if np.isfinite(e[m]):
+                            out.append((r, int(c), float(e[m]), d["_id"].iloc[m], float(y[m, c])))
+        return pd.DataFrame(out, columns=["_id", "_c", "_d", "_from", "_x"])
+
+    kind = rows.schema["_id"].dataType.simpleString()
+    near = gaps.unionByName(donors).groupBy("_p", "_q").applyInPandas(nearest, f"_id {kind}, _c int, _d double, _from {kind}, _x double")
+    top = near.withColumn("_r", F.row_number().over(Window.partitionBy("_id", "_c").orderBy("_d", "_from"))).where(F.col("_r") <= k)
+    exact = F.max((F.col("_d") == 0).cast("int")).over(Window.partitionBy("_id", "_c"))
+    weight = F.lit(1.0) if weights == "uniform" else F.when(exact == 1, (F.col("_d") == 0).cast("double")).otherwise(1 / F.col("_d"))
+    top = top.withColumn("_w", weight).groupBy("_id", "_c").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("_x"))
+    wide = top.groupBy("_id").pivot("_c", list(range(len(columns)))).agg(F.first("_x"))
+    joined = df.join(wide.select(F.col("_id"), *[F.col(str(j)).alias(f"_f{j}") for j in range(len(columns))]), F.col(row_id) == F.col("_id"), "left")
+    return joined.withColumns({c: F.coalesce(F.col(c).cast("double"), f"_f{j}") for j, c in enumerate(columns)}).select(*df.columns)
+
+
 def fill_statistic(df: DataFrame, keys: list[str], value: str, method: str = "mean") -> DataFrame:
     """Gaps filled with each series' mean, median, smallest mode, or zero."""
     if method == "zero":

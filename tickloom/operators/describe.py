@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,27 +42,98 @@ def covariance(df: DataFrame, columns: list[str], bias: bool = False) -> DataFra
     return one.select(F.inline(F.array(*rows)))
 
 
-def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """``name``: average rank of ``column`` over the whole table.
+def average_ranks(df: DataFrame, column: str, name: str, weight: str | None = None, buckets: int = 256) -> DataFrame:
+    """``name``: average rank of ``column`` over the whole table, rows counting ``weight`` times.
 
-    Ranks come from counts of distinct values: a running total within each of
-    the runs that a range partitioning makes, plus the totals of earlier runs,
-    so no window holds the table.
+    Distinct values are counted first and cut at ``buckets`` quantiles, which
+    are literals of the plan: a value's rank is the running count within its
+    bucket plus the counts of buckets before it, so no window holds the table
+    and nothing depends on how rows are dealt out.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
-    counts = counts.repartitionByRange("_v").withColumn("_run", F.spark_partition_id())
+    known = df.where(F.col(column).isNotNull())
+    counts = known.groupBy(F.col(column).alias("_v")).agg(F.sum(F.col(weight) if weight else F.lit(1)).alias("_c"))
+    cuts = known.agg(F.percentile_approx(column, [k / buckets for k in range(1, buckets)])).first()[0] or []
+    counts = counts.withColumn("_run", F.array_size(F.filter(F.lit(sorted(set(cuts))), lambda c: c < F.col("_v")))) if cuts else counts.withColumn("_run", F.lit(0))
     totals = counts.groupBy("_run").agg(F.sum("_c").alias("_t"))
     before = F.coalesce(F.sum("_t").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = totals.select("_run", before.alias("_base"))  # one row a partition
+    base = totals.select("_run", before.alias("_base"))  # one row a bucket
     upto = F.sum("_c").over(Window.partitionBy("_run").orderBy("_v"))
     ranked = counts.withColumn("_upto", upto).join(F.broadcast(base), "_run").select("_v", (F.col("_base") + F.col("_upto") - (F.col("_c") - 1) / 2).alias(name))
     return df.join(ranked, df[column] == ranked["_v"], "left").drop("_v")
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """(spearman, n): correlation of average ranks."""
-    ranked = average_ranks(average_ranks(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y), x, "_rx"), y, "_ry")
-    return ranked.agg(F.corr("_rx", "_ry").alias("spearman"), F.count("*").alias("n"))
+    """(spearman, n): correlation of average ranks, over the distinct pairs of values and their counts."""
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").alias("_w"))
+    r = average_ranks(average_ranks(pairs, x, "_rx", "_w"), y, "_ry", "_w")
+    half = (F.sum("_w") + 1) / 2  # the mean rank of either column
+    c = r.join(F.broadcast(r.agg(half.alias("_h")))).select("_w", (F.col("_rx") - F.col("_h")).alias("a"), (F.col("_ry") - F.col("_h")).alias("b"))
+    w, a, b = F.col("_w"), F.col("a"), F.col("b")
+    return c.agg((F.sum(w * a * b) / F.sqrt(F.sum(w * a * a) * F.sum(w * b * b))).alias("spearman"), F.sum(w).alias("n"))
+
+
+def kendall(df: DataFrame, x: str, y: str, buckets: int = 64, block: int = 1024) -> DataFrame:
+    """(kendall, n): concordant less discordant pairs over all pairs, ties counting for neither.
+
+    Rows are reduced to distinct pairs with counts and cut into a grid of
+    quantiles of x and y. Pairs in cells that differ both ways are counted from
+    the cells' totals; those that share a column or row of the grid are compared
+    there, block by block.
+    """
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("w"))
+    shares = [k / buckets for k in range(1, buckets)]
+    q = pairs.agg(F.percentile_approx("x", shares), F.percentile_approx("y", shares)).first()
+    place = lambda c, cuts: F.array_size(F.filter(F.lit(sorted(set(cuts))), lambda v: v < F.col(c))) if cuts else F.lit(0)
+    cells = pairs.withColumns({"i": place("x", q[0]), "j": place("y", q[1])})
+    grid = cells.groupBy("i", "j").agg(F.sum("w").alias("w"))  # buckets x buckets rows at most
+
+    def across(batches):
+        parts = list(batches)
+        g = np.zeros((buckets, buckets))
+        for b in parts:
+            np.add.at(g, (b["i"].to_numpy(), b["j"].to_numpy()), b["w"].to_numpy().astype(float))
+        total = 0.0
+        for i in range(buckets):
+            later = g[i + 1 :].sum(0)
+            up = np.r_[later[::-1].cumsum()[::-1][1:], 0]
+            down = np.r_[0, later.cumsum()[:-1]]
+            total += float((g[i] * (up - down)).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([total])], ["s"])
+
+    def within(column: bool):
+        def run(key, t):
+            a, b, w = (np.asarray(t[c], float) for c in ("x", "y", "w"))
+            i, s = np.asarray(t["j" if column else "i"]), 0.0
+            for lo in range(0, len(a), block):
+                p = slice(lo, lo + block)
+                sign = np.sign(a[p, None] - a[None, lo:]) * np.sign(b[p, None] - b[None, lo:]) * w[p, None] * w[None, lo:]
+                if not column:  # pairs of one cell are counted with its column
+                    sign = sign * (i[p, None] != i[None, lo:])
+                n = sign.shape[0]
+                s += np.triu(sign[:, :n], 1).sum() + sign[:, n:].sum()
+            return pd.DataFrame({"s": [s]})
+
+        return run
+
+    parts = grid.coalesce(1).mapInArrow(across, "s double").union(cells.groupBy("i").applyInPandas(within(True), "s double")).union(cells.groupBy("j").applyInPandas(within(False), "s double"))
+    n = F.col("n")
+    return parts.agg(F.sum("s").alias("s")).join(F.broadcast(pairs.agg(F.sum("w").alias("n")))).select((F.col("s") / (n * (n - 1) / 2)).alias("kendall"), "n")
+
+
+def to_correlation(cov: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """A long covariance table (keys, i, j, value), diagonal included, as correlations and ``std_i``, ``std_j``; 0 where a variance is 0."""
+    keys = keys or []
+    side = lambda c: cov.where("i = j").select(*keys, F.col("i").alias(c), F.sqrt("value").alias(f"std_{c}"))
+    both = cov.join(side("i"), [*keys, "i"]).join(side("j"), [*keys, "j"])
+    scale = F.col("std_i") * F.col("std_j")
+    return both.select(*keys, "i", "j", F.when(scale == 0, 0.0).otherwise(F.col("value") / scale).alias("value"), "std_i", "std_j")
+
+
+def to_covariance(corr: DataFrame, stds: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """A long correlation table (keys, i, j, value) scaled by a table (keys, i, std)."""
+    keys = keys or []
+    side = lambda c: stds.select(*keys, F.col("i").alias(c), F.col("std").alias(f"_{c}"))
+    return corr.join(side("i"), [*keys, "i"]).join(side("j"), [*keys, "j"]).select(*keys, "i", "j", (F.col("value") * F.col("_i") * F.col("_j")).alias("value"))
 
 
 def acf(df: DataFrame, keys: list[str], order: list[str], value: str, lags: int) -> DataFrame:

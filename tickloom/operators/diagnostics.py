@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.special import chi2_sf
+from ..functions.special import chi2_sf, f_sf, normal_cdf
 from .describe import acf
+from .regress import ols, predict
+from .series import lag_table, ordered
 
 
 def ljung_box(df: DataFrame, keys: list[str], order: list[str], value: str, lags: int, model_df: int = 0) -> DataFrame:
@@ -31,18 +37,146 @@ def durbin_watson(df: DataFrame, keys: list[str], order: list[str], value: str)
     return df.withColumn("_d", d).groupBy(*keys).agg((F.sum(F.col("_d") ** 2) / F.sum(F.col(value) ** 2)).alias("statistic"))
 
 
-def engle_arch(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """One-lag ARCH test: n times the R squared of squares on their lag, with its p-value."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    s = df.withColumn("_y", F.col(value) ** 2).withColumn("_x", F.lag("_y").over(w))
-    out = s.groupBy(*keys).agg((F.count("*") * F.corr("_y", "_x") ** 2).alias("statistic")).withColumn("df", F.lit(1.0))
+def _explained(df: DataFrame, y: str, xs: list[str], keys: list[str]) -> DataFrame:
+    """(keys, statistic, df, p_value, n): n times the R squared of ``y`` on ``xs`` and a constant, and its chi-squared p-value."""
+    fit = ols(df, y, xs, keys).where("term = 'const'")
+    out = fit.select(*keys, (F.col("n") * F.col("r2")).alias("statistic"), F.lit(float(len(xs))).alias("df"), "n")
     return out.withColumn("p_value", chi2_sf("statistic", "df"))
 
 
-def breusch_pagan(df: DataFrame, keys: list[str], x: str, residual: str) -> DataFrame:
-    """n times the R squared of squared residuals on one regressor and a constant, with its p-value."""
-    out = df.groupBy(*keys).agg((F.count("*") * F.corr(F.col(residual) ** 2, x) ** 2).alias("statistic")).withColumn("df", F.lit(1.0))
-    return out.withColumn("p_value", chi2_sf("statistic", "df"))
+def engle_arch(df: DataFrame, keys: list[str], order: list[str], value: str, lags: int = 1) -> DataFrame:
+    """ARCH test: squares on their ``lags``; the statistic counts all rows of a series, those without lags too."""
+    s = lag_table(df.withColumn("_y", F.col(value) ** 2), keys, order, "_y", lags)
+    out = _explained(s, "_y", [f"lag_{k}" for k in range(1, lags + 1)], keys)
+    n = F.col("n") + lags
+    return out.withColumns({"statistic": F.col("statistic") * n / F.col("n"), "n": n}).withColumn("p_value", chi2_sf("statistic", "df"))
+
+
+def breusch_pagan(df: DataFrame, keys: list[str], xs: str | list[str], residual: str) -> DataFrame:
+    """Squared residuals on the regressors and a constant."""
+    return _explained(df.withColumn("_y", F.col(residual) ** 2), "_y", [xs] if isinstance(xs, str) else xs, keys)
+
+
+def white(df: DataFrame, keys: list[str], xs: list[str], residual: str, cross: bool = True) -> DataFrame:
+    """Squared residuals on the regressors, their squares and, with ``cross``, their products."""
+    pairs = [(a, b) for i, a in enumerate(xs) for b in xs[i:] if cross or a == b]
+    more = {f"_p{k}": F.col(a) * F.col(b) for k, (a, b) in enumerate(pairs)}
+    return _explained(df.withColumns(more | {"_y": F.col(residual) ** 2}), "_y", [*xs, *more], keys)
+
+
+def reset(df: DataFrame, keys: list[str], y: str, xs: list[str], powers: int = 3) -> DataFrame:
+    """(keys, statistic, df, df_resid, p_value, n): F test of powers 2 to ``powers`` of the fitted values in a second regression."""
+    base = ols(df, y, xs, keys)
+    rows = predict(df, base, None, xs, keys)
+    # powers of the standardised fit span the same space and keep the cross products sound
+    w = Window.partitionBy(*keys)
+    z = (F.col("fitted") - F.avg("fitted").over(w)) / F.nullif(F.stddev_pop("fitted").over(w), F.lit(0.0))
+    rows = rows.withColumn("_z", z).withColumns({f"_f{k}": F.pow("_z", F.lit(k)) for k in range(2, powers + 1)})
+    more = [f"_f{k}" for k in range(2, powers + 1)]
+    one = base.where("term = 'const'").select(*keys, F.col("r2").alias("_r0"))
+    two = ols(rows, y, [*xs, *more], keys).where("term = 'const'").select(*keys, F.col("r2").alias("_r1"), "n", "df_resid")
+    joined = one.join(two, keys) if keys else one.join(F.broadcast(two))
+    q = len(more)
+    stat = (F.col("_r1") - F.col("_r0")) / q / ((1 - F.col("_r1")) / F.col("df_resid"))
+    out = joined.select(*keys, stat.alias("statistic"), F.lit(float(q)).alias("df"), F.col("df_resid").cast("double").alias("df_resid"), "n")
+    return out.withColumn("p_value", f_sf("statistic", "df", "df_resid"))
+
+
+# Response surfaces of the unit-root test's critical values (constant, 1/n, 1/n^2, 1/n^3) by trend and level.
+CRITICAL = {
+    "n": {1: (-2.56574, -2.2358, -3.627, 0.0), 5: (-1.94100, -0.2686, -3.365, 31.223), 10: (-1.61682, 0.2656, -2.714, 25.364)},
+    "c": {1: (-3.43035, -6.5393, -16.786, -79.433), 5: (-2.86154, -2.8903, -4.234, -40.040), 10: (-2.56677, -1.5384, -2.809, 0.0)},
+    "ct": {1: (-3.95877, -9.0531, -28.428, -134.155), 5: (-3.41049, -4.3904, -9.036, -45.374), 10: (-3.12705, -2.5856, -3.925, -22.380)},
+    "ctt": {1: (-4.37113, -11.5882, -35.819, -334.047), 5: (-3.83239, -5.9057, -12.490, -118.284), 10: (-3.55326, -3.6596, -5.293, -63.559)},
+}
+# Polynomials of the probit p-value in the statistic, below and above a turning point; least and greatest statistics.
+P_VALUES = {
+    "n": (-1.04, -19.04, float("inf"), (0.6344, 1.2378, 0.032496), (0.4797, 0.93557, -0.06999, 0.033066)),
+    "c": (-1.61, -18.83, 2.74, (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)),
+    "ct": (-2.89, -16.18, 0.70, (3.2512, 1.6047, 0.049588), (2.5261, 0.61654, -0.37956, -0.060285)),
+    "ctt": (-3.21, -17.17, 0.54, (4.0003, 1.658, 0.048288), (3.0778, 0.49529, -0.41477, -0.059359)),
+}
+
+
+def unit_root(df: DataFrame, keys: list[str], order: list[str], value: str, lags: int = 0, trend: str = "c", choose: bool = False) -> DataFrame:
+    """(keys, statistic, p_value, lags, n, crit_1, crit_5, crit_10): augmented Dickey-Fuller test with trend n, c, ct or ctt.
+
+    With ``choose``, the number of lags up to ``lags`` of the least AIC on the
+    rows that all of them leave. p-values and limits are the published
+    approximations for one series.
+    """
+    w = ordered(keys, order)
+    rows = df.withColumns({"_level": F.lag(value).over(w), "_d": F.col(value) - F.lag(value).over(w), "_t": F.row_number().over(w).cast("double")})
+    rows = rows.withColumn("_tt", F.col("_t") ** 2).withColumns({f"_d{k}": F.lag("_d", k).over(w) for k in range(1, lags + 1)}).where(F.col("_t") > lags + 1)
+    extra = {"n": [], "c": [], "ct": ["_t"], "ctt": ["_t", "_tt"]}[trend]
+    tables = []
+    for p in range(0 if choose else lags, lags + 1):
+        xs = ["_level", *extra, *[f"_d{k}" for k in range(1, p + 1)]]
+        tables.append(ols(rows, "_d", xs, keys, constant=trend != "n").where("term = '_level'").select(*keys, F.col("t").alias("statistic"), F.lit(p).alias("lags"), "n", "aic"))
+    out = reduce(DataFrame.union, tables)
+    if choose:
+        best = out.groupBy(*keys).agg(F.min(F.struct("aic", "lags", "statistic", "n")).alias("b"))
+        out = best.select(*keys, "b.statistic", "b.lags", "b.n")
+    turn, low, high, small, large = P_VALUES[trend]
+    x = F.col("statistic")
+    poly = lambda c: sum((a * x**k for k, a in enumerate(c)), F.lit(0.0))
+    p = F.when(x <= low, 0.0).when(x >= high, 1.0).otherwise(normal_cdf(F.when(x <= turn, poly(small)).otherwise(poly(large))))
+    limits = [sum((a / F.col("n") ** k for k, a in enumerate(c)), F.lit(0.0)).alias(f"crit_{level}") for level, c in CRITICAL[trend].items()]
+    return out.select(*keys, "statistic", p.alias("p_value"), "lags", "n", *limits)
+
+
+def bds(df: DataFrame, keys: list[str], order: list[str], value: str, dimension: int = 2, epsilon: float = 0.5, block: int = 512) -> DataFrame:
+    """(keys, dimension, statistic, p_value, c1, cm, n): nearness of runs of ``dimension`` values against what independence gives.
+
+    Two values are near within ``epsilon`` deviations. A series is dealt into
+    pairs of position blocks, so a task holds two blocks and counts one
+    square of the pairs; only counts are shuffled on.
+    """
+    w, group = ordered(keys, order), Window.partitionBy(*keys)
+    lead = [F.lead(value, k).over(w) for k in range(dimension)]
+    rows = df.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(group), "_eps": F.stddev_samp(value).over(group) * epsilon, "_m": F.array(*lead)})
+    rows = rows.where(F.col("_i") + dimension <= F.col("_n")).withColumn("_b", F.floor(F.col("_i") / block).cast("int"))
+    last = F.floor((F.col("_n") - dimension) / block).cast("int")
+    sides = F.concat(F.transform(F.sequence(F.lit(0), last), lambda o: F.struct(F.least("_b", o).alias("p"), F.greatest("_b", o).alias("q"))))
+    dealt = rows.withColumn("_s", F.explode(sides)).select(*keys, "_s.p", "_s.q", "_b", "_i", "_n", "_eps", "_m")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+    own = [*keys, "p", "q"]
+
+    def count(key, pdf):
+        p, q = key[-2], key[-1]
+        a, b = pdf[pdf["_b"] == p], pdf[pdf["_b"] == q]
+        x, y = np.stack(a["_m"].to_numpy()), np.stack(b["_m"].to_numpy())
+        near = np.abs(x[:, None, :] - y[None, :, :]) < pdf["_eps"].iloc[0]
+        one, run = near[:, :, 0], near.all(2)
+        if p == q:
+            upper = np.triu(np.ones(one.shape, bool), 1)
+            one, run = one & upper, run & upper
+        parts = [pd.DataFrame({"_i": a["_i"].to_numpy(), "c": one.sum(1), "m": run.sum(1)}), pd.DataFrame({"_i": b["_i"].to_numpy(), "c": one.sum(0), "m": run.sum(0)})]
+        out = pd.concat(parts).groupby("_i", as_index=False).sum()
+        for name, v in zip(keys, key):
+            out[name] = v
+        out["n"] = int(pdf["_n"].iloc[0]) - dimension + 1
+        return out[[*keys, "_i", "c", "m", "n"]]
+
+    counted = dealt.groupBy(*own).applyInPandas(count, f"{kinds}, _i long, c long, m long, n long")
+    each = counted.groupBy(*keys, "_i").agg(F.sum("c").alias("c"), F.sum("m").alias("m"), F.first("n").alias("n"))
+    s = each.groupBy(*keys).agg(F.first("n").alias("n"), F.sum("c").alias("_c"), F.sum("m").alias("_m"), F.sum(F.col("c") * (F.col("c") - 1)).alias("_k"))
+    n = F.col("n")
+    s = s.withColumns({"c1": F.col("_c") / (n * (n - 1)), "cm": F.col("_m") / (n * (n - 1)), "_kk": F.col("_k") / (n * (n - 1) * (n - 2))})
+    c, k, m = F.col("c1"), F.col("_kk"), dimension
+    var = k**m + 2 * sum((k ** (m - j) * c ** (2 * j) for j in range(1, m)), F.lit(0.0)) + (m - 1) ** 2 * c ** (2 * m) - m**2 * k * c ** (2 * m - 2)
+    stat = F.sqrt(n) * (F.col("cm") - c**m) / F.sqrt(4 * var)
+    return s.select(*keys, F.lit(m).alias("dimension"), stat.alias("statistic"), (2 * (1 - normal_cdf(F.abs(stat)))).alias("p_value"), "c1", "cm", "n")
+
+
+def residual_suite(df: DataFrame, keys: list[str], order: list[str], value: str, lags: int = 5) -> DataFrame:
+    """(keys, test, statistic, p_value): normality, serial correlation, changing variance and stationarity of a series in one report."""
+    parts = {
+        "jarque_bera": jarque_bera(df, keys, value), "ljung_box": ljung_box(df, keys, order, value, lags),
+        "engle_arch": engle_arch(df, keys, order, value, lags), "unit_root": unit_root(df, keys, order, value, 1),
+        "durbin_watson": durbin_watson(df, keys, order, value).withColumn("p_value", F.lit(None).cast("double")),
+    }
+    return reduce(DataFrame.union, [t.select(*keys, F.lit(name).alias("test"), "statistic", "p_value") for name, t in parts.items()])
 
 
 def goldfeld_quandt(df: DataFrame, keys: list[str], order: list[str], residual: str, drop: float = 0.2) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +33,26 @@ def noise_filtered_variance(sampled: DataFrame, keys: tuple[str, ...] = KEYS) ->
 
 
 def realized_volatility(sampled: DataFrame, scale: float = 252.0, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Annualised square root of realized variance."""
-    return realized_variance(sampled, keys).withColumn("volatility", F.sqrt(F.col("rv") * scale))
+    """Annualised square root of realized variance.
+
+    ``scale`` is divided by the observed ticks a day: the group's sampled ticks
+    over the days from its first to its last. A group of one instant has none.
+    """
+    us = F.unix_micros("ts")
+    span = sampled.groupBy(*keys).agg(F.count("*").alias("_ticks"), ((F.max(us) - F.min(us)) / (86_400.0 * US)).alias("_days"))
+    out = realized_variance(sampled, keys).join(span, list(keys))
+    return out.withColumn("volatility", F.sqrt(F.col("rv") * scale * F.nullif("_days", F.lit(0.0)) / F.col("_ticks"))).drop("_ticks", "_days")
+
+
+def double_interval_variance(ticks: DataFrame, seconds: int) -> DataFrame:
+    """(symbol, date, rv_double): realized variance at twice the interval."""
+    return realized_variance(sample_calendar(ticks, 2 * seconds)).select(*KEYS, F.col("rv").alias("rv_double"))
+
+
+def default_bandwidth(sampled: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, bandwidth): half the cube root of the number of returns times their robust deviation; below 1 for small returns, so often 0 lags."""
+    r = tick_returns(sampled, keys).where("ret is not null")
+    return r.groupBy(*keys).agg((0.5 * F.pow(F.count("ret"), F.lit(1 / 3)) * F.median(F.abs("ret")) / 0.6745).cast("int").alias("bandwidth"))
 
 
 def kernel_weight(kind: str, x: float) -> float:
@@ -52,9 +71,22 @@ def kernel_weight(kind: str, x: float) -> float:
     raise ValueError(kind)
 
 
-def realized_kernel(sampled: DataFrame, bandwidth: int, kind: str = "parzen", keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(keys, rk): variance plus twice the weighted autocovariances up to ``bandwidth`` lags, as lag columns in one pass."""
+def realized_kernel(sampled: DataFrame, bandwidth: int | None = None, kind: str = "parzen", keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, rk): variance plus twice the weighted autocovariances up to ``bandwidth`` lags, as lag columns in one pass.
+
+    Without a bandwidth each group has its own (``default_bandwidth``); groups
+    are then summed one at a time, a day of one symbol each.
+    """
     r = tick_returns(sampled, keys).where("ret is not null")
+    if bandwidth is None:
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sampled.select(*keys).schema)
+
+        def one(key, pdf):
+            x, h = pdf.sort_values(["ts", "seq"])["ret"].to_numpy(), int(pdf["bandwidth"].iloc[0])
+            rk = x @ x + sum(2 * kernel_weight(kind, k / h) * (x[k:] @ x[:-k]) for k in range(1, min(h, len(x) - 1) + 1))
+            return pd.DataFrame([[*key, float(rk)]], columns=[*keys, "rk"])
+
+        return r.join(default_bandwidth(sampled, keys), list(keys)).groupBy(*keys).applyInPandas(one, f"{kinds}, rk double")
     w = Window.partitionBy(*keys).orderBy("ts", "seq")
     lags = {f"_l{h}": F.lag("ret", h).over(w) for h in range(1, bandwidth + 1)}
     total = F.sum(F.col("ret") * F.col("ret"))
@@ -79,13 +111,20 @@ def realized_covariance(ticks: DataFrame, seconds: int) -> DataFrame:
 
 
 def signature(ticks: DataFrame, intervals: list[int]) -> DataFrame:
-    """(symbol, date, seconds, rv): realized variance against the sampling interval, all intervals in one pass."""
-    wide = ticks.withColumn("seconds", F.explode(F.array(*map(F.lit, intervals))))
+    """(symbol, date, seconds, rv, volatility, rv_filtered, difference_pct): measures against the sampling interval, all intervals in one pass.
+
+    difference_pct is what noise filtering changes of the raw variance. The
+    group's first instant is found before rows are repeated for the intervals.
+    """
     us = F.unix_micros("ts")
-    began = F.min(us).over(Window.partitionBy("symbol", "date"))
-    bucket: Column = F.floor((us - began) / (F.col("seconds").cast("long") * US))
+    began = ticks.withColumn("_us", us - F.min(us).over(Window.partitionBy("symbol", "date")))
+    wide = began.withColumn("seconds", F.explode(F.array(*map(F.lit, intervals))))
+    bucket: Column = F.floor(F.col("_us") / (F.col("seconds").cast("long") * US))
     first = wide.withColumn("bucket", bucket).groupBy("symbol", "date", "seconds", "bucket").agg(F.min(F.struct("ts", "seq", "price")).alias("_t"))
-    return realized_variance(first.select("symbol", "date", "seconds", "_t.*"), ("symbol", "date", "seconds")).drop("n_returns")
+    keys = ("symbol", "date", "seconds")
+    sampled = first.select("symbol", "date", "seconds", "_t.*")
+    out = realized_variance(sampled, keys).drop("n_returns").join(noise_filtered_variance(sampled, keys), list(keys), "left")
+    return out.select(*keys, "rv", F.sqrt("rv").alias("volatility"), "rv_filtered", ((F.col("rv_filtered") - F.col("rv")) / F.nullif(F.col("rv"), F.lit(0.0)) * 100).alias("difference_pct"))
 
 
 def measures(ticks: DataFrame, seconds: int, bandwidth: int = 3) -> DataFrame:

@@ -22,6 +22,14 @@ def gram(df: DataFrame, y: str, xs: list[str], keys: list[str] | None = None) ->
     return ok.groupBy(*(keys or [])).agg(F.count("*").alias("n"), F.array(*sums).alias("cells"))
 
 
+def centred(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """Rows without nulls in ``columns``, these made deviations from their group's means, which stand in ``_means``."""
+    ok = df.dropna(subset=columns).select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
+    means = ok.groupBy(*keys).agg(F.array(*[F.avg(c) for c in columns]).alias("_means"))
+    rows = ok.join(means, keys) if keys else ok.join(F.broadcast(means))
+    return rows.select(*keys, "_means", *[(F.col(c) - F.col("_means")[k]).alias(c) for k, c in enumerate(columns)])
+
+
 def unpack(cells: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, float]:
     """(X'X, X'y, y'y)."""
     g = np.zeros((k + 1, k + 1))
@@ -30,36 +38,49 @@ def unpack(cells: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, float]:
     return g[:k, :k], g[:k, k], g[k, k]
 
 
-def ols(df: DataFrame, y: str, xs: list[str], keys: list[str] | None = None) -> DataFrame:
+def ols(df: DataFrame, y: str, xs: list[str], keys: list[str] | None = None, constant: bool = True) -> DataFrame:
     """Least squares for each group, or the whole table: a row for each term (const first) with errors and fit statistics.
 
-    The data are read once, into cross products; only those, one row a group,
+    One pass takes the means, one the cross products of deviations from them,
+    which don't cancel however large the means are; only those, one row a group,
     meet the small solver, which uses a pseudo-inverse for collinear terms.
+    Without a constant, products are of the values and r2 is uncentred.
     """
-    keys, terms = keys or [], ["const", *xs]
-    g = gram(df, y, terms, keys)
+    keys, terms = keys or [], ["const", *xs] if constant else list(xs)
+    columns = [*xs, y]
+    rows = centred(df, columns, keys) if constant else df.withColumn("_means", F.array(*[F.lit(0.0)] * len(columns)))
+    products = F.array(*[F.sum(F.col(a).cast("double") * F.col(b).cast("double")) for a, b in combinations_with_replacement(columns, 2)])
+    g = rows.dropna(subset=columns).groupBy(*keys).agg(F.count("*").alias("n"), F.first("_means").alias("means"), products.alias("cells"))
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in g.select(*keys).schema), OLS])
 
     def solve(frames):
         for pdf in frames:
             for r in pdf.itertuples(index=False):
-                k, n = len(terms), int(r.n)
-                xx, xy, yy = unpack(np.array(r.cells, float), k)
-                inv = np.linalg.pinv(xx)
+                k, n, means = len(terms), int(r.n), np.array(r.means, float)
+                if not n:
+                    continue
+                xx, xy, yy = unpack(np.array(r.cells, float), len(xs))
+                scale = np.sqrt(np.maximum(np.diag(xx), 1e-300))
+                inv = np.linalg.pinv(xx / np.outer(scale, scale), hermitian=True) / np.outer(scale, scale) if len(xs) else np.zeros((0, 0))
                 b = inv @ xy
+                tss = float(yy)
                 rss = max(float(yy - b @ xy), 0.0)
-                tss = float(yy - xx[0, 0] * (xy[0] / xx[0, 0]) ** 2)
+                lead = 1 if constant else 0
                 df_r = n - k
                 s2 = rss / df_r if df_r > 0 else np.nan
-                se = np.sqrt(np.maximum(np.diag(inv) * s2, 0))
+                var = np.diag(inv)
+                if constant:
+                    var = np.r_[1 / n + means[:-1] @ inv @ means[:-1], var]
+                    b = np.r_[means[-1] - b @ means[:-1], b]
+                se = np.sqrt(np.maximum(var * s2, 0))
                 with np.errstate(divide="ignore", invalid="ignore"):
                     t = b / se
                     r2 = 1 - rss / tss if tss > 0 else np.nan
-                    f = (tss - rss) / (k - 1) / s2 if k > 1 else np.nan
+                    f = (tss - rss) / (k - lead) / s2 if k > lead else np.nan
                 p = 2 * (1 - t_cdf(np.abs(t), max(df_r, 1)))
-                fp = float(beta_i(df_r / 2, (k - 1) / 2, df_r / (df_r + (k - 1) * f))) if k > 1 and np.isfinite(f) else np.nan
+                fp = float(beta_i(df_r / 2, (k - lead) / 2, df_r / (df_r + (k - lead) * f))) if k > lead and np.isfinite(f) else np.nan
                 like = -n / 2 * (np.log(2 * np.pi * max(rss, 1e-300) / n) + 1)
-                yield pd.DataFrame({c: [getattr(r, c)] * k for c in keys} | {"term": terms, "coef": b, "se": se, "t": t, "p": p, "r2": r2, "adj_r2": 1 - (1 - r2) * (n - 1) / df_r if df_r > 0 else np.nan, "f": f, "f_p": fp, "aic": 2 * k - 2 * like, "bic": k * np.log(n) - 2 * like, "n": n, "df_resid": df_r})
+                yield pd.DataFrame({c: [getattr(r, c)] * k for c in keys} | {"term": terms, "coef": b, "se": se, "t": t, "p": p, "r2": r2, "adj_r2": 1 - (1 - r2) * (n - lead) / df_r if df_r > 0 else np.nan, "f": f, "f_p": fp, "aic": 2 * k - 2 * like, "bic": k * np.log(n) - 2 * like, "n": n, "df_resid": df_r})
 
     return g.mapInPandas(solve, schema)
 
@@ -104,6 +125,12 @@ def project(df: DataFrame, axes: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
+def unproject(df: DataFrame, axes: DataFrame, columns: list[str], means: dict[str, float]) -> DataFrame:
+    """``columns`` rebuilt from ``pc_1``... and the means of the fitted table; all components give the rows back."""
+    rows = sorted(axes.collect(), key=lambda r: r["component"])
+    return df.withColumns({c: sum((F.col(f"pc_{r['component']}") * r["loadings"][k] for r in rows), F.lit(float(means[c]))) for k, c in enumerate(columns)})
+
+
 def robust_errors(df: DataFrame, y: str, xs: list[str], keys: list[str] | None = None, kind: str = "HC1") -> DataFrame:
     """(keys, term, coef, se): least squares with errors HC0 to HC3, which let the variance differ by row.
 

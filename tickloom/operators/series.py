@@ -8,9 +8,13 @@ another share one shuffle.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.basic import INF
 
@@ -50,11 +54,12 @@ def date_range(df: DataFrame, column: str, start: str, end: str, zone: str | Non
 
 
 def returns(df: DataFrame, keys: list[str], order: list[str], price: str = "price", method: str = "log", periods: int = 1, name: str = "ret", fill: float | None = None) -> DataFrame:
-    """Returns over ``periods`` rows: log, simple or percentage; the first ones are ``fill``."""
-    before = F.lag(price, periods).over(ordered(keys, order))
+    """Returns over ``periods`` rows: log, simple or percentage; the first ``periods`` rows of a series are ``fill``, a missing price gives null."""
+    w = ordered(keys, order)
+    before = F.lag(price, periods).over(w)
     simple = F.col(price) / before - 1
     ret = {"log": F.log(F.col(price) / before), "simple": simple, "percentage": simple * 100}[method]
-    return df.withColumn(name, ret if fill is None else F.coalesce(ret, F.lit(fill)))
+    return df.withColumn(name, ret if fill is None else F.when(F.row_number().over(w) <= periods, F.lit(fill)).otherwise(ret))
 
 
 def difference(df: DataFrame, keys: list[str], order: list[str], value: str, n: int = 1, name: str = "diff") -> DataFrame:
@@ -120,32 +125,115 @@ def kernel_smooth(df: DataFrame, keys: list[str], order: list[str], value: str,
     return df.withColumn(name, top / low)
 
 
+def _banded(y: np.ndarray, lamb: float) -> np.ndarray:
+    """x that makes |y - x|^2 + lamb |second differences of x|^2 least, by elimination in the five diagonals."""
+    n = len(y)
+    if n < 3:
+        return y.copy()
+    main, one, two = np.ones(n), np.zeros(n), np.zeros(n)
+    for shift, w in ((0, 1.0), (1, 4.0), (2, 1.0)):
+        main[shift : n - 2 + shift] += lamb * w
+    one[: n - 2] += -2 * lamb
+    one[1 : n - 1] += -2 * lamb
+    two[: n - 2] += lamb
+    d, e, f, z = main.tolist(), one.tolist(), two.tolist(), y.astype(float).tolist()
+    for i in range(n):
+        for k, off in ((1, e[i]), (2, f[i])):
+            if i + k < n:
+                m = off / d[i]
+                d[i + k] -= m * off
+                z[i + k] -= m * z[i]
+                if k == 1:
+                    e[i + 1] -= m * f[i]
+    x = [0.0] * n
+    for i in range(n - 1, -1, -1):
+        x[i] = (z[i] - (e[i] * x[i + 1] if i + 1 < n else 0.0) - (f[i] * x[i + 2] if i + 2 < n else 0.0)) / d[i]
+    return np.array(x)
+
+
+def hodrick_prescott(df: DataFrame, keys: list[str], order: list[str], value: str, lamb: float = 1600.0, name: str = "trend") -> DataFrame:
+    """``name``: the smooth trend of each series, an exact banded solve in time and memory linear in its length; a series is one task."""
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
+
+    def one(pdf):
+        pdf = pdf.sort_values(order)
+        return pdf.assign(**{name: _banded(pdf[value].to_numpy(float), lamb)})
+
+    return df.groupBy(*keys).applyInPandas(one, schema)
+
+
 def threshold_filter(df: DataFrame, keys: list[str], value: str, share: float = 0.05, name: str = "filtered") -> DataFrame:
     """Zero where the absolute value is under ``share`` of the series' mean absolute value."""
     limit = F.avg(F.abs(F.col(value))).over(Window.partitionBy(*keys)) * share
     return df.withColumn(name, F.when(F.abs(F.col(value)) < limit, 0.0).otherwise(F.col(value)))
 
 
-def scan(df: DataFrame, keys: list[str], order: list[str], columns: list[str], start: Column, step, name: str) -> DataFrame:
-    """Rows with ``name``, a state carried along each series.
+def scan(df: DataFrame, keys: list[str], order: list[str], inputs: list[Column], step, name: str) -> DataFrame:
+    """Rows with ``name``, a number computed from a state that is carried along each series.
 
-    ``step(state, row)`` gives the state of a row from that of the row before;
-    ``start`` is an expression over the array ``rows``. A series is one array in
-    one task: bound its length, or cut it by day.
+    ``step(state, *inputs)`` gives (state, number) of a row from the state of
+    the row before, None at the start of a series. A row with a null input
+    keeps the state and gets null. A series is read once in order, batch by
+    batch: only its state is held, whatever its length.
     """
-    keep = [c for c in df.columns if c not in keys]
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in keep if c not in order]))).alias("rows"))
-    first = F.array(start)
-    path = F.aggregate("rows", first, lambda acc, r: F.concat(acc, F.array(step(F.element_at(acc, -1), r))))
-    out = rows.select(*keys, F.arrays_zip(F.col("rows"), F.slice(path, 2, F.size("rows")).alias("state")).alias("z"))
-    return out.select(*keys, F.explode("z").alias("z")).select(*keys, *[F.col(f"z.rows.{c}").alias(c) for c in keep], F.col("z.state").alias(name))
+    temp = [f"_in{k}" for k in range(len(inputs))]
+    whole = df.repartition(*keys).withColumns({t: c.cast("double") for t, c in zip(temp, inputs, strict=True)}).sortWithinPartitions(*keys, *order)
+    keep = df.columns
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, state = None, None
+        for b in batches:
+            out = []
+            for key, *row in zip(zip(*(b[k].to_pylist() for k in keys), strict=True), *(b[t].to_pylist() for t in temp), strict=True):
+                if key != own:
+                    own, state = key, None
+                if None in row:
+                    out.append(None)
+                else:
+                    state, x = step(state, *row)
+                    out.append(x)
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array(out, pa.float64())], [*keep, name])
+
+    return whole.mapInArrow(run, schema)
 
 
 def ewma(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: float, adjust: bool = False, name: str = "ewma") -> DataFrame:
     """Exponentially weighted mean: recursive from the first value, or adjusted by the weights seen so far."""
-    if not adjust:
-        step = lambda s, r: F.when(s.isNull(), r[value]).otherwise((1 - alpha) * s + alpha * r[value])
-        return scan(df, keys, order, [value], F.lit(None).cast("double"), step, name)
-    start = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"))
-    step = lambda s, r: F.struct((s["num"] * (1 - alpha) + r[value]).alias("num"), (s["den"] * (1 - alpha) + 1.0).alias("den"))
-    return scan(df, keys, order, [value], start, step, "_s").withColumn(name, F.col("_s.num") / F.col("_s.den")).drop("_s")
+    b = 1 - alpha
+
+    def recursive(s, x):
+        s = x if s is None else b * s + alpha * x
+        return s, s
+
+    def adjusted(s, x):
+        num, den = (0.0, 0.0) if s is None else s
+        num, den = b * num + x, b * den + 1
+        return (num, den), num / den
+
+    return scan(df, keys, order, [F.col(value)], adjusted if adjust else recursive, name)
+
+
+def affine_scan(df: DataFrame, keys: list[str], chunk: Column, order: list[str], b: float, c: Column, start: Column, name: str) -> DataFrame:
+    """``name``: s = b * s_before + c along each series, from ``start`` before its first row, cut into chunks for few very long series.
+
+    ``chunk`` must not fall along the series (a day, say). A chunk is one affine
+    map of the state before it, summed in parallel; only the maps, a row for
+    each chunk, are composed in order; then every chunk is walked on its own.
+    ``c`` and ``start`` may use columns of the row only; nulls are not allowed.
+    """
+    rows = df.withColumns({"_chunk": chunk, "_c": c.cast("double"), "_start": start.cast("double")})
+    maps = rows.withColumn("_back", F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(*[F.desc(o) for o in order])) - 1)
+    maps = maps.groupBy(*keys, "_chunk").agg(F.pow(F.lit(b), F.count("*")).alias("_b"), F.sum(F.col("_c") * F.pow(F.lit(b), F.col("_back"))).alias("_sum"), F.min_by("_start", F.struct(*order)).alias("_start"))
+
+    def compose(s, scale, add, first):
+        before = first if s is None else s
+        return scale * before + add, before
+
+    def walk(s, x, before):
+        s = b * (before if s is None else s) + x
+        return s, s
+
+    before = scan(maps, keys, ["_chunk"], [F.col("_b"), F.col("_sum"), F.col("_start")], compose, "_before").select(*keys, "_chunk", "_before")
+    joined = rows.drop("_start").join(before, [*keys, "_chunk"])
+    return scan(joined, [*keys, "_chunk"], order, [F.col("_c"), F.col("_before")], walk, name).select(*df.columns, name)
