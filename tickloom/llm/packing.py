@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,43 +47,49 @@ class WordEncoder:
     def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.seen = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most, self.seen, self.stems = Tokenizer.from_file(path), most, {}, {}
         self.model, self.letters = self.tokenizer.model, _byte_letters()
 
     def _stem(self, stem: str) -> bytes:
-        key = b"\0" + stem.encode()
-        if (got := self.seen.get(key)) is None:
-            form = stem.encode().decode("latin-1").translate(self.letters)
-            got = self.seen[key] = np.array([t.id for t in self.model.tokenize(form)], "<u4").tobytes()
+        form = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.letters)
+        got = self.stems[stem] = array("I", [t.id for t in self.model.tokenize(form)]).tobytes()
         return got
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.seen) > self.most:
-            self.seen.clear()
-        odd = []
+        seen, stems, odd, held = self.seen, self.stems, [], []
         for w in words:
-            if w in self.seen:
-                continue
-            if (m := _WORD.fullmatch(text := w.decode())) and (not m[2] or m[2].encode() in self.seen):
-                self.seen[w] = self._stem(m[1].lower()) + (self.seen[m[2].encode()] if m[2] else b"")
+            stem = w.rstrip(b".,!?;:")
+            if stem.isalpha():  # ASCII letters
+                lower, tail = stem.lower().decode(), w[len(stem) :]
+            elif m := _WORD.fullmatch(text := w.decode()):
+                lower, tail = m[1].lower(), m[2].encode()
             else:
                 odd.append(text)
-                if m:
-                    odd.append(m[2])
-        for text, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
-            self.seen[text.encode()] = np.array(e.ids, "<u4").tobytes()
+                continue
+            if not tail:
+                seen[w] = stems.get(lower) or self._stem(lower)
+            elif (end := seen.get(tail)) is not None:
+                seen[w] = (stems.get(lower) or self._stem(lower)) + end
+            else:
+                held.append((w, lower, tail))
+        odd += {tail.decode() for _, _, tail in held}
+        if odd:
+            for text, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
+                seen[text.encode()] = array("I", e.ids).tobytes()
+        for w, lower, tail in held:
+            seen[w] = (stems.get(lower) or self._stem(lower)) + seen[tail]
 
     def encode(self, text: str) -> bytes:
-        words = text.encode().split()
-        try:
-            return b"".join(map(self.seen.__getitem__, words))
-        except KeyError:
-            out = []
-            for k in range(0, len(words), 100_000):
-                part = words[k : k + 100_000]
-                self._learn(set(part))
-                out += map(self.seen.__getitem__, part)
-            return b"".join(out)
+        words, out = text.encode().split(), []
+        for k in range(0, len(words), 100_000):
+            part = words[k : k + 100_000] if k or len(words) > 100_000 else words
+            if len(self.seen) > self.most:
+                self.seen.clear()
+                self.stems.clear()
+            if new := set(part).difference(self.seen):
+                self._learn(new)
+            out.append(b"".join(map(self.seen.__getitem__, part)))
+        return b"".join(out)
 
 
 def encoder(path: str) -> WordEncoder:

@@ -323,7 +323,16 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     return whole.union(sorted_.mapInArrow(_settle(length), "id long, start long, end long"))
 
 
-KEPT = "id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+KEPT = "id long, kept binary, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def _whole(raw: bytes, p: int, q: int) -> bytes:
+    """raw[p:q] without the parts of characters that a cut through either end leaves."""
+    while p < q and raw[p] & 0xC0 == 0x80:
+        p += 1
+    while p < q < len(raw) and raw[q] & 0xC0 == 0x80:
+        q -= 1
+    return raw[p:q]
 
 
 def _cut(with_text: bool, carry: bool):
@@ -334,7 +343,7 @@ def _cut(with_text: bool, carry: bool):
                 rows = []
                 for i, text, spans in zip(b["id"].to_pylist(), b["text"], b["spans"], strict=True):
                     raw = (text.as_py() or "").encode()
-                    n, gone, runs, kept = len(raw), 0, 0, raw
+                    n, gone, runs, kept, mended = len(raw), 0, 0, raw, raw
                     if spans.is_valid and len(spans):
                         v = spans.values
                         s, e = v.field(0).to_numpy(), np.minimum(v.field(1).to_numpy(), n)
@@ -343,20 +352,23 @@ def _cut(with_text: bool, carry: bool):
                         new = np.r_[True, s[1:] > e[:-1]]
                         first, last = s[new].tolist(), e[np.r_[np.flatnonzero(new)[1:] - 1, len(e) - 1]].tolist()
                         runs, gone = len(first), sum(last) - sum(first)
-                        kept = b"".join([raw[p:q] for p, q in zip([0, *last], [*first, n], strict=True)])
-                    rows.append((i, kept if with_text else None, n, gone, runs, hashlib.sha256(kept).hexdigest()))
-                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-                columns = [pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 6, kinds, strict=True)]
+                        pieces = list(zip([0, *last], [*first, n], strict=True))
+                        kept = b"".join([raw[p:q] for p, q in pieces])
+                        mended = b"".join([_whole(raw, p, q) for p, q in pieces]) if with_text else b""
+                    rows.append((i, *((kept, mended.decode()) if with_text else (None, None)), n, gone, runs, hashlib.sha256(kept).hexdigest()))
+                kinds = [pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+                columns = [pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 7, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns + ([b["carry"]] if carry else []), [c.split()[0] for c in KEPT.split(", ")] + ["carry"] * carry)
 
     return run
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every document of (doc_id, text), with the columns of ``carry``.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, text) of every document of (doc_id, text), with the columns of ``carry``.
 
     ``kept``: the bytes that no repeated string of ``length`` bytes covers (null
-    unless asked for); they may cut through characters. A null text is empty;
+    unless asked for); they may cut through characters, of which ``text`` leaves
+    out the parts, and nothing else. A null text is empty;
     texts shorter than ``length`` stay. Ids should be unique: a row that repeats
     whole is cut as often as it occurs and never against itself; different texts
     of one id, or of null ids, which sort first, share their spans. Other columns
@@ -370,4 +382,4 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = True, c
     if carry:
         schema = schema.add(whole.schema["carry"])
     cut = whole.join(spans, "id", "left").select("id", "text", "spans", *(["carry"] if carry else [])).mapInArrow(_cut(with_text, bool(carry)), schema)
-    return cut.select(F.when(F.col("id") != least, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *(["carry.*"] if carry else []))
+    return cut.select(F.when(F.col("id") != least, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "text", *(["carry.*"] if carry else []))
