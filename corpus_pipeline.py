@@ -34,9 +34,6 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes strings of 100 bytes that also start earlier in the corpus; characters that a cut leaves broken go too."""
     cut = suffix_dedup.remove_repeats(docs, 100, carry=("lang", "source"))
-    text = F.col("kept").cast("string")
-    mended = F.replace(F.make_valid_utf8(text), F.lit("�"), F.lit(""))
-    cut = cut.withColumn("text", F.when(F.col("n_removed") > 0, mended).otherwise(text))
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -55,7 +52,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Language models, tokenizers and transitive links are beyond SQL; tests hold every stage against brute force.
+#: Language models, tokenizers and transitive links are beyond SQL; tests/llm/test_pipeline.py holds every stage against brute force.
 ORACLE_SQL = None
 
 
