@@ -92,10 +92,10 @@ def resampled(df: DataFrame, keys: list[str], order: list[str], value: str, draw
     """(keys, rep, pos, value): the rows of every replicate in order, for statistics that prefix sums can't give."""
     w = Window.partitionBy(*keys).orderBy(*order)
     rows = df.select(*keys, (F.row_number().over(w) - 1).alias("_i"), F.col(value).alias("value"))
-    spans = draws.where("_len > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("_len").cast("int") - 1))).withColumn("_i", F.pmod(F.col("_from") + F.col("k"), F.col("n")).cast("int"))
+    spans = draws.where("_len > 0").withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_len").cast("int") - 1))).withColumn("_i", F.pmod(F.col("_from") + F.col("_j"), F.col("n")).cast("int"))
     first = "_u" if "_u" in draws.columns else "b"
     joined = spans.join(rows, [*keys, "_i"])
-    pos = F.row_number().over(Window.partitionBy(*keys, "rep").orderBy(first, "b", "k")) - 1
+    pos = F.row_number().over(Window.partitionBy(*keys, "rep").orderBy(first, "b", "_j")) - 1
     return joined.select(*keys, "rep", pos.alias("pos"), "value")
 
 
