@@ -337,3 +337,10 @@ def test_codes_are_packed_whole(runs):
     cut = np.cumsum([0, *map(len, runs)])[:-1] if runs else np.zeros(0, np.int64)
     got = toxicity._packed(codes, cut)
     assert [toxicity._unpacked(b.as_buffer()).tolist() for b in got] == runs
+
+
+def test_vectors_of_each_length_are_linked_as_they_are(spark):
+    rows = [(1, [1.0, 0.0], 1), (2, [2.0, 1e-9], 1), (3, [1.0, 0.0, 0.0], 1), (4, [5.0, 0.1, 0.0], 1), (5, [3.0], 1), (6, [0.5], 1), (7, [-1.0], 1), (8, [], 1), (9, [1e300, 1e300], 2), (10, [1e300, 1e300], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.link_vectors(df, recall=1).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (0, 8), 9: (1, 9), 10: (1, 9)}

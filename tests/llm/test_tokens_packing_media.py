@@ -160,3 +160,27 @@ def test_payloads_come_back(spark):
     table = matroska.packets(media).where("doc_id = 17").orderBy("timestamp_ns").collect()
     assert len(table) == -(-400_000 // 576) and [r.timestamp_ns for r in table] == [k * 72_000_000 for k in range(len(table))]
     assert matroska.read_back(matroska.store(_docs(spark, texts).limit(0))).count() == 0
+
+
+def test_null_and_broken_files_are_told(spark):
+    whole = matroska.mux(b"a" * 576)
+    rows = [(1, 3, None), (2, 3, whole[:-5]), (3, 3, b""), (4, 576, whole)]
+    df = spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in matroska.read_back(df).collect()}
+    assert got[1].media_bytes is None and got[1].error is None
+    assert got[2].payload_sha256 is None and got[2].media_bytes == len(whole) - 5 and got[2].error
+    assert got[3].payload_bytes == 0 and got[4].payload_bytes == 576 and got[4].error is None
+    table = matroska.packets(df).collect()
+    assert sorted((r.doc_id, r.length, r.error is None) for r in table) == [(2, None, False), (4, 576, True)]
+
+
+def test_tracks_keep_their_own_pace_and_references_are_no_keyframes():
+    e, n = matroska.element, matroska.number
+    track = lambda k, ns, codec: e(matroska.TRACK, n(matroska.NUMBER, k) + n(matroska.FRAME_NS, ns) + e(matroska.CODEC, codec))
+    lace = lambda k: matroska.block([b"a", b"b"], k, 0)
+    plain = lambda k: e(matroska.BLOCK, matroska.size_bytes(k) + b"\0\0\0" + b"x")
+    group = e(matroska.GROUP, plain(1)) + e(matroska.GROUP, plain(2) + e(matroska.REFERENCE, b"\xff"))
+    body = e(matroska.TRACKS, track(1, 10, b"A") + track(2, 500, b"B")) + e(matroska.CLUSTER, n(matroska.TIMESTAMP, 1) + lace(1) + lace(2) + group)
+    packets, facts = matroska.parse(e(matroska.EBML, b"") + e(matroska.SEGMENT, body))
+    assert [(p[1], p[2], p[3]) for p in packets] == [(1, 1_000_000, True), (1, 1_000_010, True), (2, 1_000_000, True), (2, 1_000_500, True), (1, 1_000_000, True), (2, 1_000_000, False)]
+    assert facts["codec"] == "A+B"

@@ -74,6 +74,7 @@ def multi_sequence(a: np.ndarray, b: np.ndarray, limit: float) -> Iterator[tuple
 def _units(column: pa.Array, dim: int) -> np.ndarray:
     flatv = column.flatten() if isinstance(column, pa.Array) else column.combine_chunks().flatten()
     x = flatv.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x = x / np.abs(x).max(1, initial=0)[:, None]  # squares of large or small numbers stay in range
     return x / np.sqrt((x**2).sum(1))[:, None]
 
 

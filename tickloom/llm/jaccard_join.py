@@ -371,7 +371,7 @@ def _across(num: int, den: int, block: int = 256):
 
 
 def similar_sets(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members are rows (doc_id, n, key), links pairs of different sets (x, nx, y, ny) that reach num/den.
+    """(members, links): members are rows (doc_id, n, key), links pairs of different sets (x, nx, y, ny) that reach num/den, in either order, perhaps in both.
 
     With ``every``, links are all there are. Otherwise sets that links already
     connect are not compared again: links are then enough to connect what all
@@ -446,7 +446,7 @@ def link_counts(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -
     """(doc_id, n_links): to how many other rows each document is linked, its copies among them."""
     members, links = similar_sets(docs, size, num, den, every=True)
     classes = staged(members.where("n > 0").groupBy("n", "key").agg(F.count("*").alias("copies")), "copies")
-    both = links.union(links.select("y", "ny", "x", "nx"))
+    both = links.union(links.select("y", "ny", "x", "nx")).distinct()  # a pair may be found in lists of either order
     near = both.join(classes.select(F.col("key").alias("y"), F.col("n").alias("ny"), "copies"), ["y", "ny"]).groupBy(F.col("x").alias("key"), F.col("nx").alias("n")).agg(F.sum("copies").alias("others"))
     counts = classes.join(near, ["key", "n"], "left").select("n", "key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     return members.join(counts, ["n", "key"], "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
