@@ -1,4 +1,5 @@
 import collections
+import functools
 import hashlib
 import random
 import re
@@ -94,12 +95,32 @@ def test_deep_shallow_sorts():
             assert lcp[k] == (common if group[order[k]] == group[order[k - 1]] else -1)
 
 
-def _links(rows, size=5):
+def _sets(rows, size):
     sets = {}
     for i, t in rows:
         low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", low) if x]
         sets[i] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
+    return sets
+
+
+@functools.cache
+def _linked(rows, size):
+    sets = _sets(rows, size)
+    pairs = ((p, q, len(sets[p] & sets[q])) for p in sets for q in sets if p < q)
+    return [(p, q) for p, q, both in pairs if both and 100 * both >= 80 * len(sets[p] | sets[q])]
+
+
+def _neighbours(rows, size=5):
+    out = {i: set() for i, _ in rows}
+    for p, q in _linked(tuple(rows), size):
+        out[p].add(q)
+        out[q].add(p)
+    return out
+
+
+def _links(rows, size=5):
+    sets = _sets(rows, size)
     root = {i: i for i in sets}
 
     def find(x):
@@ -107,12 +128,9 @@ def _links(rows, size=5):
             x = root[x]
         return x
 
-    for p in sets:
-        for q in sets:
-            both = len(sets[p] & sets[q])
-            if p < q and both and 100 * both >= 80 * len(sets[p] | sets[q]):
-                x, y = find(p), find(q)
-                root[max(x, y)] = min(x, y)
+    for p, q in _linked(tuple(rows), size):
+        x, y = find(p), find(q)
+        root[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
@@ -128,6 +146,20 @@ def test_links_against_brute_force(spark, seed):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == _links(rows)
 
 
+@pytest.mark.parametrize("run", [12, 1])
+def test_all_links_are_counted(spark, monkeypatch, run):
+    monkeypatch.setattr(jaccard_join, "RUN", run)  # 1: lists and groups of comparisons are cut into runs of a few sets
+    rng, rows = random.Random(8), _corpus(3)
+    for i in range(100, 150):
+        base = [f"w{k}" for k in range(100)]
+        for _ in range(i % 4):
+            base[rng.randrange(100)] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(base)))
+    got = {r.doc_id: r.n_links for r in jaccard_join.link_counts(_docs(spark, rows)).collect()}
+    assert got == {i: len(_neighbours(rows)[i]) for i, _ in rows} and max(got.values()) > 20
+    assert jaccard_join.link_counts(_docs(spark, rows).limit(0)).count() == 0
+
+
 def test_links_of_nothing(spark):
     assert jaccard_join.link_documents(_docs(spark, [(1, "a")]).limit(0)).count() == 0
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (None, None), (2, "A b c d e F")]

@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import random
 import zlib
@@ -124,6 +125,25 @@ def test_histogram_of_many_pieces_is_nearly_filled(spark):
     assert r.c == 20000 and (r.s + 1) * 4096 < 1.015 * r.n
 
 
+def test_short_pieces_fill_their_bins(spark):
+    assert [packing.bundle(n, 4096, 16) for n in (5, 8, 16, 64, 100, 129, 600, 4096)] == [16, 2, 1, 1, 4, 4, 1, 1]
+    pieces = spark.range(30000).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("start"), (1 + F.pmod(F.xxhash64("id"), F.lit(40))).cast("long").alias("length"), F.lit("x").alias("text"))
+    packed = packing.pack(pieces, run=100)
+    assert packed.columns == [*pieces.columns, "sequence_id", "offset"]
+    rows = packed.collect()
+    assert sorted(r.doc_id for r in rows) == list(range(30000))
+    by_seq = collections.defaultdict(list)
+    for r in rows:
+        by_seq[r.sequence_id].append((r.offset, r.length))
+    for got in by_seq.values():
+        at = 0
+        for offset, length in sorted(got):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert sorted(by_seq) == list(range(len(by_seq))) and len(by_seq) * 4096 < 1.02 * sum(r.length for r in rows) + 4096
+
+
 @pytest.mark.parametrize("lacing", ["none", "xiph", "ebml", "fixed"])
 def test_laces_give_their_frames_back(lacing):
     rng = random.Random(2)

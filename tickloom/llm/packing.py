@@ -2,7 +2,7 @@
 
 Documents become pieces: whole windows and one rest. The histogram of piece
 lengths, in bins of ``grid`` tokens, has window/grid entries whatever the
-corpus. Shallow combinations of bins that fill a window exactly are the columns
+corpus; short pieces of equal length are bundled to fill their bins. Shallow combinations of bins that fill a window exactly are the columns
 of a matrix, their repeat counts are solved against the histogram by
 non-negative least squares and rounded down, and what is left over is packed
 greedily, largest first. Only the plan is made on the driver; pieces take
@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ._stage import staged
 
@@ -215,17 +214,37 @@ def plan(histogram: dict[int, int], full: int) -> list[tuple[dict[int, int], int
     return out
 
 
+def bundle(length: int, window: int, grid: int) -> int:
+    """How many pieces of one length to place as one: the power of two that leaves least of the last bin empty for each, within a quarter of the window."""
+    m = best = 1
+    while 2 * m <= grid and 8 * m * length <= window:
+        m *= 2
+        if -m * length % grid * best < -best * length % grid * m:
+            best = m
+    return best
+
+
 def pack(pieces: DataFrame, window: int = 4096, grid: int = 16, run: int = 4096) -> DataFrame:
     """``pieces`` (doc_id, start, length, ...) with ``sequence_id`` and ``offset``; no sequence is longer than ``window``.
 
     ``window`` must be a multiple of ``grid``; a piece is 1 to ``window`` long.
-    The histogram, at most window/grid rows, is all that reaches the driver.
-    Equal lengths are ranked in runs of about ``run`` rows, so one length that
-    most pieces share is many small windows. An empty table gives none.
+    Short pieces of equal length go in bundles that fill their bins, so a table
+    of short texts is not padded bin by bin. The counts of lengths, at most
+    ``window`` rows, are all that reaches the driver. Equal lengths are ranked
+    in runs of about ``run`` rows, so one length that most pieces share is many
+    small windows. An empty table gives none.
     """
     spark, full = pieces.sparkSession, window // grid
-    pieces = pieces.withColumn("_bin", F.ceil(F.col("length") / grid).cast("int"))
-    histogram = {r["_bin"]: r["n"] for r in pieces.groupBy("_bin").agg(F.count("*").alias("n")).collect()}
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    histogram, kinds = {}, []
+    for length, n in sorted(counts.items()):
+        m, row = bundle(length, window, grid), []
+        for size, items in ((m * length, n // m), (length, n % m)):  # bundles, and the pieces left over
+            b = -(-size // grid)
+            row += [b, histogram.get(b, 0)]
+            histogram[b] = histogram.get(b, 0) + items
+        kinds.append((length, max(1, -(-n // run)), m, n // m * m, *row))
+    histogram = {b: n for b, n in histogram.items() if n}
     parts, base, used = [], 0, dict.fromkeys(histogram, 0)
     for kind, times in plan(histogram, full):
         for b, m in kind.items():
@@ -233,20 +252,22 @@ def pack(pieces: DataFrame, window: int = 4096, grid: int = 16, run: int = 4096)
             used[b] += m * times
         base += times
     assert used == histogram
-    kind = T.StructType([T.StructField("_bin", T.IntegerType())] + [T.StructField(c, T.LongType()) for c in ("_lo", "_hi", "_base", "_m")])
-    places = spark.createDataFrame(parts, kind)
-    runs = spark.createDataFrame([(b, max(1, -(-n // run))) for b, n in histogram.items()], "_bin int, _runs long")
-    dealt = pieces.join(F.broadcast(runs), "_bin").withColumn("_sub", F.pmod(F.xxhash64("doc_id", "start"), F.col("_runs")))
-    subs = dealt.groupBy("_bin", "_sub").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_bin").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
-    subs = subs.select("_bin", "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    rank = F.row_number().over(Window.partitionBy("_bin", "_sub").orderBy("doc_id", "start")) - 1
-    ranked = dealt.withColumn("_rank", rank).join(subs, ["_bin", "_sub"]).withColumn("_rank", F.col("_rank") + F.col("_first"))
-    placed = ranked.join(F.broadcast(places), (ranked["_bin"] == places["_bin"]) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))).drop(places["_bin"])
-    placed = placed.withColumn("sequence_id", F.col("_base") + F.floor((F.col("_rank") - F.col("_lo")) / F.col("_m")))
-    ahead = Window.partitionBy("sequence_id").orderBy(F.desc("_bin"), "_rank").rowsBetween(Window.unboundedPreceding, -1)
+    places = spark.createDataFrame(parts, "_place int, _lo long, _hi long, _base long, _m long")
+    kinds = spark.createDataFrame(kinds, "length long, _runs long, _many long, _bundled long, _bin int, _at long, _bin_one int, _at_one long")
+    dealt = pieces.join(F.broadcast(kinds), "length").withColumn("_sub", F.pmod(F.xxhash64("doc_id", "start"), F.col("_runs")))
+    subs = dealt.groupBy("length", "_sub").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("length").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
+    subs = subs.select("length", "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    rank = F.row_number().over(Window.partitionBy("length", "_sub").orderBy("doc_id", "start")) - 1
+    ranked = dealt.withColumn("_rank", rank).join(subs, ["length", "_sub"]).withColumn("_rank", F.col("_rank") + F.col("_first"))
+    within = F.col("_rank") < F.col("_bundled")
+    item = F.when(within, F.col("_at") + F.floor(F.col("_rank") / F.col("_many"))).otherwise(F.col("_at_one") + F.col("_rank") - F.col("_bundled"))
+    ranked = ranked.withColumn("_item", item).withColumn("_bin", F.when(within, F.col("_bin")).otherwise(F.col("_bin_one")))
+    placed = ranked.join(F.broadcast(places), (F.col("_bin") == F.col("_place")) & (F.col("_item") >= F.col("_lo")) & (F.col("_item") < F.col("_hi")))
+    placed = placed.withColumn("sequence_id", F.col("_base") + F.floor((F.col("_item") - F.col("_lo")) / F.col("_m")))
+    ahead = Window.partitionBy("sequence_id").orderBy(F.desc("_bin"), "_item", "length", "_rank").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0)))
-    return placed.drop("_bin", "_runs", "_sub", "_rank", "_first", "_lo", "_hi", "_base", "_m")
+    return placed.select(*pieces.columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, grid: int = 16) -> DataFrame:
