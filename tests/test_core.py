@@ -161,6 +161,67 @@ def test_stream_bars_equal_batch_and_drop_late_ticks(spark, tmp_path):
     assert spark.table("var").count() == 200
 
 
+def _streamed(frame, name, checkpoint):
+    """All rows that a stream gives until its files are read."""
+    q = frame.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return frame.sparkSession.table(name).collect()
+
+
+def _ticks_in_files(spark, path, days, seed):
+    """Ticks of two symbols, out of order by some minutes, in files that a stream reads in order; then three ticks a month later."""
+    rng = np.random.default_rng(seed)
+    base, rows = dt.datetime(2024, 1, 1), []
+    for s in ("a", "b"):
+        at = np.sort(rng.choice(days * 86400, 400 * days, replace=False))
+        at[0] = 0
+        rows += [(s, base + dt.timedelta(seconds=int(x)), int(x), float(100 + rng.normal()), 1.0) for x in at]
+    schema = "symbol string, ts timestamp, seq long, price double, volume double"
+    rows.sort(key=lambda r: r[2] + rng.integers(0, 300))
+    for k in range(0, len(rows), 300):
+        spark.createDataFrame(rows[k : k + 300], schema).coalesce(1).write.mode("append").parquet(path)
+    for k in (40, 41, 42):
+        spark.createDataFrame([("c", base + dt.timedelta(days=k), 0, 1.0, 1.0)], schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.createDataFrame(rows, schema), spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_streamed_variance_is_by_time_across_batches(spark, tmp_path):
+    from tickloom.streaming.bars import stream_variance
+
+    t, stream = _ticks_in_files(spark, f"{tmp_path}/ticks", 1, 1)
+    rows = _streamed(stream_variance(stream, late="10 minutes", idle="2 days"), "var_by_time", f"{tmp_path}/v")
+    got = {(r.symbol, r.ts): r["var"] for r in rows if r.symbol != "c"}
+    want = {}
+    for s in ("a", "b"):
+        price, var = None, 1e-4
+        for r in t.where(F.col("symbol") == s).orderBy("ts").collect():
+            if price:
+                var = 0.94 * var + 0.06 * np.log(r.price / price) ** 2
+            price = r.price
+            want[s, r.ts] = var
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+
+
+def test_streamed_realized_variance_equals_the_tables(spark, tmp_path):
+    from tickloom.streaming.bars import stream_realized_variance
+
+    t, stream = _ticks_in_files(spark, f"{tmp_path}/ticks", 3, 2)
+    rows = _streamed(stream_realized_variance(stream), "rv_by_day", f"{tmp_path}/v")
+    got = {(r.symbol, r.date): (r.rv, r.n_returns) for r in rows if r.symbol != "c"}
+    first = {}
+    for r in t.orderBy("ts").collect():
+        first.setdefault((r.symbol, r.ts.date(), r.ts.hour * 2 + r.ts.minute // 30), r.price)
+    want = {}
+    for s, d in {k[:2] for k in first}:
+        x = np.diff(np.log([first[k] for k in sorted(first) if k[:2] == (s, d)]))
+        want[s, d] = ((x**2).sum(), len(x))
+    assert got.keys() == want.keys() and len(got) == 6
+    assert all(abs(got[k][0] - v[0]) < 1e-12 and got[k][1] == v[1] for k, v in want.items())
+
+
 def test_robust_errors_and_folds_by_numpy(spark):
     from tickloom.operators import diagnostics
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import asymmetric_laplace, cdf_column, quantile_column
 from ..operators import align, arma, bars, bootstrap, clean, densities, describe, diagnostics, fits, multivariate, realized, regress, series, volatility
-from .tables import DAILY, PANEL, PRETS, RETS, daily, daily_returns, panel, panel_returns, table, ticks
+from .tables import DAILY, PANEL, PRETS, RETS, TICKS, daily, daily_returns, panel, panel_returns, table, ticks
 from .tools import query, rounded
 
 _D, _T = ["asset"], ["ts"]
@@ -488,9 +488,6 @@ def t14_residual_suite(spark, d):
     return rounded(diagnostics.residual_suite(_rets(spark, d), _D, _T, "ret"), 4, "statistic")
 
 
-# -- inference -----------------------------------------------------------------
-
-
 def _numbers(seed: int, name: str, source: str) -> str:
     """SQL of a table ``source`` (.., rep, b) with a column ``name`` of portable numbers."""
     mod = 2147483647
@@ -503,6 +500,19 @@ def _numbers(seed: int, name: str, source: str) -> str:
     return ", ".join(out)
 
 
+# -- sampling ------------------------------------------------------------------
+
+
+@query(f"""WITH {TICKS}, o AS (SELECT *, 0 AS rep, row_number() OVER (PARTITION BY symbol, date ORDER BY ts, seq) - 1 AS b FROM ticks), {_numbers(11, "u", "o")},
+s AS (SELECT symbol, date, coalesce(sum(3 + floor(u * 5)::BIGINT) OVER (PARTITION BY symbol, date ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b FROM ut)
+SELECT o.symbol, o.date, o.seq, o.price FROM o SEMI JOIN s ON o.symbol = s.symbol AND o.date = s.date AND o.b = s.b""")
+def r7_business_random(spark, d):
+    return bars.sample_business_random(ticks(spark, d), 3, 7, seed=11).select("symbol", "date", "seq", "price")
+
+
+# -- inference -----------------------------------------------------------------
+
+
 def _stationary(sizes: str, p: float, reps: int) -> str:
     """SQL of stationary blocks for a table of sizes (asset, n): blk (asset, n, rep, b, start, len)."""
     return f"""d0 AS (SELECT asset, n, rep, b, ceil(n * {p} + 7 * sqrt(n * {p}) + 10)::BIGINT AS most FROM {sizes}, range({reps}) r(rep), range(4000) q(b) WHERE b < ceil(n * {p} + 7 * sqrt(n * {p}) + 10)),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.basic import uniform
+
 US = 1_000_000
 
 
@@ -58,6 +60,16 @@ def sample_business(ticks: DataFrame, step: int, keys: tuple[str, ...] = ("symbo
     return ticks.withColumn("_rn", rn).where(F.pmod(F.col("_rn") - 1, F.lit(step)) == 0).drop("_rn")
 
 
+def sample_business_random(ticks: DataFrame, low: int, high: int, seed: int = 0, keys: tuple[str, ...] = ("symbol", "date")) -> DataFrame:
+    """The first tick of each group and then every ``low``- to ``high``-th one, each step a portable random number, the same in every group."""
+    order = Window.partitionBy(*keys).orderBy("ts", "seq")
+    rows = ticks.withColumn("_at", F.row_number().over(order) - 1)
+    step = low + F.floor(uniform(seed, F.lit(0), F.col("_at")) * (high - low + 1))
+    steps = rows.select(*keys, "ts", "seq", step.alias("_step"))
+    taken = steps.select(*keys, F.coalesce(F.sum("_step").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_at"))
+    return rows.join(taken, [*keys, "_at"], "left_semi").select(*ticks.columns)
+
+
 def sample_business_uniform(ticks: DataFrame, m: int, keys: tuple[str, ...] = ("symbol", "date")) -> DataFrame:
     """About m ticks at equally spaced, truncated positions."""
     w = Window.partitionBy(*keys)
