@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, hilbert_shards, jaccard_join, line_dedup, matroska, packing, sentencepiece_codec, suffix_dedup, toxicity, warc_fixity
+from . import collocations, embedding_dedup, exact_dedup, fill_middle, hilbert_shards, jaccard_join, line_dedup, matroska, packing, sentencepiece_codec, suffix_dedup, toxicity, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,21 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.owners(_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.rearrange(_table(spark, sf_dir, "documents")).drop("suffix")
+    digests = [F.length("prefix").cast("long").alias("prefix_chars"), F.length("middle").cast("long").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256")]
+    back = fill_middle.restore(made.select("doc_id", "n", "form", *digests, "output"))
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.sha2("text", 256).alias("restored_sha256"))
+
+
 _OP5 = """
 WITH r AS (
   SELECT page_id, CAST(floor(page_id / 4096.0) AS BIGINT) AS archive,
@@ -112,9 +127,52 @@ FROM keyed k LEFT JOIN hot h ON k.key = h.key GROUP BY k.doc_id
 """
 
 
+_OP11 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, w[i:i + m - 1] AS p FROM w, range(1, 4) a(m), range(1, len(w) - m + 2) b(i)),
+f AS (SELECT lang, m, p, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10),
+cuts AS (
+  SELECT c.lang, c.m, c.p, c.f AS a, k, x.f AS l, y.f AS r, CAST(1000000::HUGEINT * c.f * c.f // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1) c
+  JOIN f x ON c.lang = x.lang AND x.p = c.p[1:k] JOIN f y ON c.lang = y.lang AND y.p = c.p[k + 1:]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+gone AS (
+  SELECT DISTINCT s.lang, s.p FROM f s JOIN (SELECT lang, f, unnest([p[1:2], p[2:3]]) AS q FROM f WHERE m = 3) t ON s.lang = t.lang AND s.p = t.q
+  WHERE s.m = 2 AND 100 * t.f >= 50 * s.f),
+ranked AS (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, array_to_string(b.p, ' ')) AS rank, array_to_string(b.p, ' ') AS phrase, a, l, r, n.n, score
+  FROM best b ANTI JOIN gone ON b.lang = gone.lang AND b.p = gone.p JOIN n ON n.lang = b.lang)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
+_OP12 = r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS key FROM documents),
+o AS (SELECT *, first_value(doc_id) OVER (PARTITION BY key ORDER BY points DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY key) AS group_size FROM t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(key) AS text_sha256 FROM o
+"""
+
+_OP13 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || doc_id) AS h FROM documents),
+h AS (SELECT *, len(u) AS n, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(h, k, 8) AS BIGINT)) AS x FROM t),
+c AS (
+  SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS lo, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS hi,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR x[3] % 100 >= 50 THEN 'plain' WHEN x[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1:lo], '') AS prefix, array_to_string(u[lo + 1:hi], '') AS middle, array_to_string(u[hi + 1:], '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_hilbert_shards, op4_suffix_dedup, op5_warc_fixity, op6_line_runs, op7_toxicity, op8_jaccard_join, op9_matroska, op10_multi_index)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_hilbert_shards, op4_suffix_dedup, op5_warc_fixity, op6_line_runs, op7_toxicity, op8_jaccard_join, op9_matroska, op10_multi_index, op11_collocations, op12_exact_dedup, op13_fill_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_fixity": _OP5, "op6_line_runs": _OP6, "op10_multi_index": _OP10}
+    return {"op5_warc_fixity": _OP5, "op6_line_runs": _OP6, "op10_multi_index": _OP10, "op11_collocations": _OP11, "op12_exact_dedup": _OP12, "op13_fill_middle": _OP13}
