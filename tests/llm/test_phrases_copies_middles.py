@@ -174,3 +174,12 @@ def test_rates_and_seeds_of_middles(spark):
     assert forms(rate=0) == {"plain": 2000} and forms(rate=100, spm=0) == {"psm": 2000}
     some = forms(rate=50, spm=80)
     assert 900 < some["plain"] < 1100 and 700 < some["spm"] < 900 and forms(seed=7) != some
+
+
+def test_packed_keys_come_back():
+    rng = collocations.np.random.default_rng(1)
+    for n, top in ((0, 1), (1, 1 << 62), (5000, 1 << 39), (300, 1 << 62)):
+        k = collocations.np.unique(rng.integers(0, top, n))
+        f = rng.integers(1, 1 << 40, len(k)) if n == 300 else rng.integers(1, 9, len(k))
+        a, b = collocations._unpack(collocations._pack(k, f))
+        assert a.tolist() == k.tolist() and b.tolist() == f.tolist()

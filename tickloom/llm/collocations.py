@@ -8,9 +8,9 @@ of times each was parsed, and phrases are counted inside the dictionary,
 weighted by it. A phrase belongs to the chunk that owns its first word, so
 overlaps are counted once.
 
-Rare phrases are kept out of the shuffle without a loss: words and pairs are
-counted by a 64-bit hash first, which can only join counts, and phrases go on
-by their bytes only if all their pairs reach the least count there.
+Rare phrases are kept out of the shuffle without a loss: hashes are counted
+first, which can only join counts, and phrases go on by their bytes only if
+they and all their pairs reach the least count there.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import _TABLE, LOWER, flat, mix, powers, ragged, slices
+from ._groups import edges
 from ._stage import partitions, staged
 from .jaccard_join import _filter, _slot
 
@@ -145,37 +146,157 @@ class _Grams:
         self.pairs[:-1] = mix(self.words[:-1] * _PAIR[0] + self.words[1:] * _PAIR[1])
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in _together(batches):
-        g = _Grams(t)
-        two = g.own & g.goes
-        keys, at = np.unique(np.r_[g.words[g.own], g.pairs[two]], return_inverse=True)
-        f = np.bincount(at, np.r_[g.weight[g.own], g.weight[two]], len(keys)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(f)], ["k", "f"])
+    def runs(self, longest: int, pair_known: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(m, first words, keys) of the owned phrases of 3 to ``longest`` words whose pairs are all known."""
+        on, keys = self.own.copy(), self.words
+        for m in range(2, longest + 1):
+            n = len(self.words) - m + 1
+            if n <= 0:
+                return
+            on = on[:n] & pair_known[m - 2 :][:n]
+            keys = mix(keys[:n] * _PAIR[0] + self.words[m - 1 :] * _PAIR[1] + np.uint64(m))
+            if m > 2:
+                at = np.flatnonzero(on)
+                yield m, at, keys[at]
 
 
-def _counted(packed, longest: int):
+def _folded(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    k, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return k, np.bincount(at, np.concatenate(counts), len(k)).astype(np.int64)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """An array of counts in as few bytes a number as they need, like bytes next to each other."""
+    size = next(w for w in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << 8 * w)
+    return bytes([size]) + np.ascontiguousarray(x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T).tobytes()
+
+
+def _unplaned(data: bytes, n: int) -> tuple[np.ndarray, bytes]:
+    size = data[0]
+    x = np.frombuffer(data, np.uint8, n * size, 1).reshape(size, n).T
+    return np.ascontiguousarray(x).view(f"<u{size}").ravel().astype(np.int64), data[1 + n * size :]
+
+
+def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys by their differences, and counts less one, compressed."""
+    body = _planes(np.diff(keys.astype(np.int64), prepend=0)) + _planes(counts - 1)
+    return len(keys).to_bytes(8, "little") + len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, size = int.from_bytes(blob[:8], "little"), int.from_bytes(blob[8:16], "little")
+    steps, rest = _unplaned(pa.decompress(blob[16:], decompressed_size=size, codec="zstd", asbytes=True), n)
+    return np.cumsum(steps), _unplaned(rest, n)[0] + 1
+
+
+#: Keys that a task puts together before it sends them on.
+HELD = 1 << 22
+
+
+def _often(chunks: DataFrame, keys_of, bits: int, least: int) -> DataFrame:
+    """(k): the keys whose weights reach ``least``; ``keys_of`` gives (keys, weights) of the phrases of a table.
+
+    Keys are cut to ``bits`` bits, sorted and sent as compressed runs by their
+    leading bits, a few bytes a key; a task then adds up the runs of one range.
+    """
+    parts = max(6, bits - 12 - 23)  # bits of a range: 64 ranges at least, 8 million keys a range
+    shift = np.uint64(64 - bits)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, size = [], [], 0
+
+        def sent() -> pa.RecordBatch:
+            k, f = _folded(keys, counts)
+            part = k >> np.uint64(bits - parts)
+            at = edges(part)
+            blobs = [_pack(k[i:j] - (part[i] << np.uint64(bits - parts)), f[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(part[at[:-1]].astype(np.int64)), pa.array(blobs, pa.binary())], ["part", "blob"])
+
+        for t in _together(batches):
+            k, f = keys_of(_Grams(t))
+            if len(k):
+                one = _folded([k >> shift], [f])
+                keys.append(one[0])
+                counts.append(one[1])
+                size += len(one[0])
+            if size > HELD:
+                k, f = _folded(keys, counts)
+                keys, counts, size = [k], [f], len(k)
+                if size > HELD // 2:
+                    yield sent()
+                    keys, counts, size = [], [], 0
+        if size:
+            yield sent()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, keys, counts = None, [], []
+
+        def often() -> pa.RecordBatch:
+            k, f = _folded(keys, counts)
+            return pa.RecordBatch.from_arrays([pa.array((k + (own << (bits - parts)))[f >= least])], ["k"])
+
+        for b in batches:
+            for part, blob in zip(b["part"].to_pylist(), b["blob"], strict=True):
+                if part != own and keys:
+                    yield often()
+                    keys, counts = [], []
+                own = part
+                k, f = _unpack(blob.as_py())
+                keys.append(k)
+                counts.append(f)
+                if sum(map(len, keys[1:])) > HELD:
+                    one = _folded(keys, counts)
+                    keys, counts = [one[0]], [one[1]]
+        if keys:
+            yield often()
+
+    sent = chunks.mapInArrow(send, "part long, blob binary").repartition(max(partitions(chunks.sparkSession), 1 << parts - 2), "part")
+    return staged(sent.sortWithinPartitions("part").mapInArrow(add, "k long"), "often")
+
+
+def _words_and_pairs(g: _Grams) -> tuple[np.ndarray, np.ndarray]:
+    two = g.own & g.goes
+    return np.r_[g.words[g.own], g.pairs[two]], np.r_[g.weight[g.own], g.weight[two]]
+
+
+class _Known:
+    """A filter of cut keys that tasks look keys up in."""
+
+    def __init__(self, keys: DataFrame, bits: int):
+        self.sent, self.shift = keys.sparkSession.sparkContext.broadcast(_filter(keys)), np.uint64(64 - bits)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        packed = self.sent.value
+        at = _slot(keys >> self.shift, 8 * len(packed))
+        return packed[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+
+    def pairs(self, g: _Grams) -> np.ndarray:
+        out = np.zeros(len(g.words), bool)
+        out[g.goes] = self.has(g.pairs[g.goes])
+        return out
+
+
+def _longer(known: _Known, longest: int):
+    def keys_of(g: _Grams) -> tuple[np.ndarray, np.ndarray]:
+        found = [(k, g.weight[at]) for _, at, k in g.runs(longest, known.pairs(g))]
+        return (np.concatenate([k for k, _ in found]), np.concatenate([f for _, f in found])) if found else (g.words[:0], g.weight[:0])
+
+    return keys_of
+
+
+def _counted(known: _Known, more: _Known | None, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = packed.value
         for t in _together(batches):
             g = _Grams(t)
-
-            def known(keys: np.ndarray) -> np.ndarray:
-                at = _slot(keys, 8 * len(bits))
-                return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
-
-            pair = np.zeros(len(g.words), bool)
-            pair[g.goes] = known(g.pairs[g.goes])
-            held = g.own & known(g.words)
             n = np.bincount(g.lang[g.own], g.weight[g.own], len(g.langs)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([g.langs, pa.array([""] * len(n)), pa.array(n)], ["lang", "phrase", "f"])
-            run_on = g.own.copy()
-            for m in range(1, longest + 1):
-                if m > 1:
-                    held = run_on = run_on[: len(run_on) - 1] & pair[m - 2 :][: len(run_on) - 1]
-                at = np.flatnonzero(held)
+            pair = known.pairs(g)
+            found = [(1, np.flatnonzero(g.own & known.has(g.words))), (2, np.flatnonzero(g.own & pair))]
+            if more:
+                found += [(m, at[more.has(k)]) for m, at, k in g.runs(longest, pair)]
+            for m, at in found:
                 if not len(at):
-                    break
+                    continue
                 s, e = g.starts[at], g.ends[at + m - 1]
                 texts = _text_array(g.data[ragged(s, e - s)], np.cumsum(e - s)).dictionary_encode()
                 both, where = np.unique(texts.indices.to_numpy().astype(np.int64) * len(g.langs) + g.lang[at], return_inverse=True)
@@ -189,13 +310,17 @@ def _counted(packed, longest: int):
 def phrase_counts(chunks: DataFrame, longest: int = 3, least: int = 10) -> DataFrame:
     """(lang, phrase, f): all phrases of 1 to ``longest`` words with f >= ``least``; the empty phrase counts every word of its lang.
 
-    The first count is of hashes, staged as the keys that reach ``least``; a
-    filter of at most 64 MB over them goes to the tasks. What it lets through
-    by mistake costs shuffle only, since the second count is of bytes.
+    Two counts of cut hashes come first: of words and pairs, then of longer
+    phrases all of whose pairs passed. Hashes have 12 bits more than the number
+    of words has, and filters over those that reach ``least`` are 64 MB at most.
+    What they let through by mistake costs shuffle only, since the last count
+    is of bytes.
     """
-    often = chunks.mapInArrow(_hashed, "k long, f long").groupBy("k").agg(F.sum("f").alias("f")).where(F.col("f") >= least).select("k")
-    packed = chunks.sparkSession.sparkContext.broadcast(_filter(staged(often, "often")))
-    counts = chunks.mapInArrow(_counted(packed, longest), COUNTS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    words = chunks.agg(F.coalesce(F.sum("own"), F.lit(0))).first()[0]
+    bits = min(63, max(30, int(words).bit_length() + 12))
+    known = _Known(_often(chunks, _words_and_pairs, bits, least), bits)
+    more = _Known(_often(chunks, _longer(known, longest), bits, least), bits) if longest > 2 else None
+    counts = chunks.mapInArrow(_counted(known, more, longest), COUNTS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     return staged(counts.where((F.col("f") >= least) | (F.col("phrase") == "")), "phrases")
 
 
