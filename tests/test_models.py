@@ -121,7 +121,7 @@ def test_kendall_counts_every_pair(spark):
     s = sum(np.sign(x[i] - x[j]) * np.sign(y[i] - y[j]) for i, j in combinations(range(200), 2))
     df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(x, y)] + [(None, 1)], "x int, y int")
     for buckets in (1, 4, 64):
-        r = describe.kendall(df, "x", "y", buckets, block=16).first()
+        r = describe.kendall(df, "x", "y", buckets).first()
         assert r.n == 200 and r.kendall == pytest.approx(s / (200 * 199 / 2))
 
 
@@ -151,7 +151,7 @@ def test_axes_turn_rows_and_turn_them_back(spark):
     values = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1]
     assert [r.eigenvalue for r in axes.orderBy("component").collect()] == pytest.approx(values)
     assert p.agg(F.var_samp("pc_1")).first()[0] == pytest.approx(values[0])
-    back = regress.unproject(p.drop("a", "b"), axes, ["a", "b"], {"a": x[:, 0].mean(), "b": x[:, 1].mean()}).orderBy("id").collect()
+    back = regress.unproject(p.drop("a", "b"), axes, ["a", "b"]).orderBy("id").collect()
     assert np.array([[r.a, r.b] for r in back]) == pytest.approx(x)
     cov = spark.createDataFrame([("x", "x", 4.0), ("x", "y", 3.0), ("y", "y", 9.0)], "i string, j string, value double")
     corr = describe.to_correlation(cov)

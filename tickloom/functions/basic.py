@@ -29,6 +29,14 @@ def calendar(ts: Column) -> dict[str, Column]:
     }
 
 
+def bucket(c: Column, cuts: list) -> Column:
+    """How many of the sorted ``cuts`` are below ``c``, by halving: as many comparisons a row as their number has bits."""
+    if not cuts:
+        return F.lit(0)
+    mid = len(cuts) // 2
+    return F.when(c > cuts[mid], mid + 1 + bucket(c, cuts[mid + 1 :])).otherwise(bucket(c, cuts[:mid]))
+
+
 #: Fixed values of the generator: modulus, multiplier, and the addend of each round.
 M, A, ADDENDS = 2147483647, 48271, (1013904223, 1664525, 907633385)
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.basic import calendar, finite, safe_divide, uniform
-from ..operators import align, bars, bootstrap, clean, densities, describe, diagnostics, realized, regress, series, volatility
-from . import models  # noqa: F401  registers its queries
+from ..operators import align, bars, bootstrap, clean, densities, describe, diagnostics, fits, realized, regress, series, volatility
+from . import inference, models  # noqa: F401  register their queries
 from .tables import DAILY, PANEL, PRETS, RETS, TICKS, daily, daily_returns, panel, panel_returns, table, ticks
 from .tools import NUDGE, oracle_sql, queries, query, rounded  # noqa: F401
 
@@ -497,7 +497,9 @@ def v9_standardized(spark, d):
 @query(f"""{_GARCH}, l AS (SELECT asset, arg_max(ret, i) AS r, arg_max(v, i) AS v FROM p GROUP BY asset)
 SELECT asset, h::INT AS h, round(0.5 + (0.05 + 0.1 * r * r + 0.8 * v - 0.5) * pow(0.9, h - 1), 7) AS var FROM l, range(1, 11) k(h)""")
 def v12_garch_forecast(spark, d):
-    return rounded(volatility.garch_forecast(_garch(spark, d), _D, "ts", 0.05, 0.1, 0.8, 10), 7, "var")
+    path = _garch(spark, d)
+    params = path.select("asset").distinct().select("asset", F.lit(0.05).alias("omega"), F.array(F.lit(0.1)).alias("alpha"), F.array(F.lit(0.8)).alias("beta"))
+    return rounded(fits.forecast_orders(path, params, _D, _T, 10), 7, "var")
 
 
 # -- tests --------------------------------------------------------------------

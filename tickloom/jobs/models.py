@@ -174,12 +174,13 @@ _URGENT, _LOW = "1-URGENT", "5-LOW"
 
 
 @query(f"""WITH {DAILY}, w AS (SELECT ts, max(value) FILTER (WHERE asset = '1-URGENT') AS u, max(value) FILTER (WHERE asset = '5-LOW') AS l FROM daily GROUP BY ts), c AS (SELECT * FROM w WHERE u IS NOT NULL AND l IS NOT NULL),
-g AS (SELECT 1 AS asset, u, l, lag(u) OVER (ORDER BY ts) AS lu, lag(l) OVER (ORDER BY ts) AS ll FROM c), {_two("u", "lu", "ll", "g")}
-SELECT '1-URGENT' AS equation, unnest(['const', '1-URGENT_1', '5-LOW_1']) AS term, unnest([round(b0, 3), round(b1, 7) + 0, round(b2, 7)]) AS coef FROM fit""".replace("round(b1, 7) + 0", "round(b1, 7)"))
+g0 AS (SELECT u, l, lag(u) OVER (ORDER BY ts) AS lu, lag(l) OVER (ORDER BY ts) AS ll FROM c), g AS (SELECT '1-URGENT' AS asset, u AS y, lu, ll FROM g0 UNION ALL SELECT '5-LOW', l, lu, ll FROM g0), {_two("y", "lu", "ll", "g")}
+SELECT asset AS equation, unnest(['const', '1-URGENT_1', '5-LOW_1']) AS term, unnest([round(b0, 3), round(b1, 7), round(b2, 7)]) AS coef, round(r2, 8) AS r2, n FROM fit""")
 def x13_var(spark, d):
-    f = arma.var_fit(daily(spark, d), [_URGENT, _LOW], 1).where(F.col("equation") == _URGENT)
+    f = arma.var_fit(daily(spark, d), [_URGENT, _LOW], 1)
     exact = rounded(f.withColumn("c7", F.col("coef")), 7, "c7")
-    return rounded(exact.withColumn("c3", F.col("coef")), 3, "c3").select("equation", "term", F.when(F.col("term") == "const", F.col("c3")).otherwise(F.col("c7")).alias("coef"))
+    exact = rounded(rounded(exact.withColumn("c3", F.col("coef")), 3, "c3"), 8, "r2")
+    return exact.select("equation", "term", F.when(F.col("term") == "const", F.col("c3")).otherwise(F.col("c7")).alias("coef"), "r2", "n")
 
 
 # -- principal components and partial autocorrelations with SQL ----------------
@@ -320,10 +321,30 @@ def v19_dynamic_correlation(spark, d):
     return rounded(multivariate.dynamic_correlation(_zz(spark, d), 0.05, 0.9), 6, "corr", "cov").select(_day(), "i", "j", "corr", "cov")
 
 
-@query(f"""{_DCC}, r AS (SELECT q.i, q.j, q.zz, q.q / sqrt(a.q * b.q) AS r, a.zz AS zi, b.zz AS zj FROM q JOIN q a ON a.ts = q.ts AND a.i = q.i AND a.j = q.i JOIN q b ON b.ts = q.ts AND b.i = q.j AND b.j = q.j WHERE q.i < q.j)
-SELECT 0.05::DOUBLE AS a, 0.9::DOUBLE AS b, round(sum(-0.5 * (ln(1 - r * r) + (zi + zj - 2 * r * zz) / (1 - r * r) - zi - zj)), 3) AS loglik, count(*) AS n FROM r""")
+_GRID = [(0.02, 0.9), (0.05, 0.5), (0.1, 0.8), (0.01, 0.2), (0.2, 0.6), (0.03, 0.95), (0.6, 0.5)]
+_DCCS = f"""WITH RECURSIVE {_Z}, k AS (SELECT * FROM (VALUES {', '.join(f'({a}::DOUBLE, {b}::DOUBLE)' for a, b in _GRID if a + b < 1)}) t(a, b)),
+q AS (SELECT a, b, i, j, ts, k, zz, m, m AS q FROM zo, k WHERE zo.k = 1 UNION ALL SELECT q.a, q.b, zo.i, zo.j, zo.ts, zo.k, zo.zz, zo.m, (1 - q.a - q.b) * zo.m + q.a * q.zz + q.b * q.q FROM q JOIN zo ON zo.i = q.i AND zo.j = q.j AND zo.k = q.k + 1),
+r AS (SELECT q.a, q.b, q.ts, q.i, q.j, q.zz, q.q / sqrt(x.q * y.q) AS r, x.zz AS zi, y.zz AS zj FROM q JOIN q x ON x.a = q.a AND x.b = q.b AND x.ts = q.ts AND x.i = q.i AND x.j = q.i JOIN q y ON y.a = q.a AND y.b = q.b AND y.ts = q.ts AND y.i = q.j AND y.j = q.j WHERE q.i < q.j)"""
+
+
+@query(f"{_DCCS} SELECT a, b, CASE WHEN max(abs(r)) < 1 THEN round(sum(-0.5 * (ln(abs(1 - r * r)) + (zi + zj - 2 * r * zz) / (1 - r * r) - zi - zj)), 3) END AS loglik, count(*) AS n FROM r GROUP BY a, b")
 def v20_composite_likelihood(spark, d):
-    return rounded(multivariate.fit_dynamic_correlation(_zz(spark, d), [(0.05, 0.9), (0.6, 0.5)]), 3, "loglik")
+    """Six admissible candidates, carried in one pass."""
+    return rounded(multivariate.fit_dynamic_correlation(_zz(spark, d), _GRID), 3, "loglik")
+
+
+_THREE = ["1-URGENT", "3-MEDIUM", "5-LOW"]
+
+
+@query(f"""{_DCCS}, c AS (SELECT a, b, ts, max(r) FILTER (WHERE i = '1-URGENT' AND j = '3-MEDIUM') AS p, max(r) FILTER (WHERE i = '1-URGENT' AND j = '5-LOW') AS q, max(r) FILTER (WHERE i = '3-MEDIUM' AND j = '5-LOW') AS r,
+max(zz) FILTER (WHERE i = '1-URGENT' AND j = '3-MEDIUM') AS xy, max(zz) FILTER (WHERE i = '1-URGENT' AND j = '5-LOW') AS xz, max(zz) FILTER (WHERE i = '3-MEDIUM' AND j = '5-LOW') AS yz,
+max(zi) FILTER (WHERE i = '1-URGENT') AS xx, max(zi) FILTER (WHERE i = '3-MEDIUM') AS yy, max(zj) FILTER (WHERE j = '5-LOW') AS zz FROM r GROUP BY ALL),
+e AS (SELECT *, 1 + 2 * p * q * r - p * p - q * q - r * r AS det FROM c WHERE xy IS NOT NULL AND xz IS NOT NULL AND yz IS NOT NULL)
+SELECT a, b, CASE WHEN min(det) > 0 AND max(greatest(abs(p), abs(q), abs(r))) < 1 THEN round(sum(-0.5 * (ln(abs(det)) + (xx * (1 - r * r) + yy * (1 - q * q) + zz * (1 - p * p) - 2 * xy * (p - q * r) - 2 * xz * (q - p * r) - 2 * yz * (r - p * q)) / det - xx - yy - zz)), 3) END AS loglik, count(*) AS n FROM e GROUP BY a, b""")
+def v20_full_likelihood(spark, d):
+    """Second-stage likelihoods over whole correlation matrices of three assets."""
+    zz = _zz(spark, d).where(F.col("i").isin(_THREE) & F.col("j").isin(_THREE))
+    return rounded(multivariate.fit_dynamic_correlation(zz, _GRID, full=True), 3, "loglik")
 
 
 @query(f"""{_DCC}, l AS (SELECT i, j, any_value(m) AS m, 0.05 * any_value(m) + 0.05 * arg_max(zz, k) + 0.9 * arg_max(q, k) AS q1 FROM q GROUP BY ALL), f AS (SELECT i, j, h, m + pow(0.95, h - 1) * (q1 - m) AS q FROM l, range(1, 5) r(h))
@@ -578,7 +599,25 @@ def b9_reality_check(spark, d):
     return rounded(bootstrap.reality_check(_losses(spark, d), "1-URGENT", 40, 0.1, t="ts"), 6, "statistic").select("statistic", "p_value", "models")
 
 
-@query(None)
+_SETS = f"""{_LOSS}, o AS (SELECT asset, loss, row_number() OVER (PARTITION BY asset ORDER BY ts) AS i, count(*) OVER (PARTITION BY asset) AS n FROM (SELECT model AS asset, ts, loss FROM y)),
+sz AS (SELECT asset, any_value(n) AS n FROM o GROUP BY asset), {_stationary("sz", 0.1, 40)},
+m AS (SELECT blk.asset, rep, avg(loss) AS m FROM blk JOIN range(4000) k(k) ON k < len JOIN o ON o.asset = blk.asset AND o.i = (start + k) % blk.n + 1 GROUP BY ALL),
+a AS (SELECT asset, avg(loss) AS a, sqrt(count(*)) AS root FROM o GROUP BY asset), s AS (SELECT *, row_number() OVER (ORDER BY a DESC, asset) - 1 AS step FROM a),
+e AS (SELECT rep, step, root * (m - a) AS e FROM m JOIN s USING (asset))"""
+
+
+def _confidence_sql(stat: str, draw: str) -> str:
+    return f"""WITH {_SETS}, t AS (SELECT p.step, {stat} AS stat FROM s p JOIN s x ON x.step >= p.step JOIN s y ON y.step >= p.step GROUP BY p.step),
+v AS (SELECT p.step, x.rep, {draw} AS v FROM s p JOIN e x ON x.step >= p.step JOIN e y ON y.step >= p.step AND y.rep = x.rep GROUP BY ALL),
+f AS (SELECT step, stat, avg((v >= stat)::INT) AS p FROM v JOIN t USING (step) GROUP BY ALL)
+SELECT asset AS model, step::INT AS step, round(stat, 6) AS statistic, max(p) OVER (ORDER BY step) AS p_value, max(p) OVER (ORDER BY step) >= 0.1 AS inside FROM f JOIN s USING (step)"""
+
+
+@query(_confidence_sql("max(abs(x.root * (x.a - y.a)))", "max(abs(x.e - y.e))"))
 def b10_confidence_set(spark, d):
     return rounded(bootstrap.confidence_set(_losses(spark, d), 40, 0.1, t="ts"), 6, "statistic")
 
+
+@query(_confidence_sql("sum((x.root * (x.a - y.a)) ** 2) / 2", "sum((x.e - y.e) ** 2) / 2"))
+def b10_confidence_set_squares(spark, d):
+    return rounded(bootstrap.confidence_set(_losses(spark, d), 40, 0.1, kind="TSQ", t="ts"), 6, "statistic")

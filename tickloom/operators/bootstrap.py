@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.basic import uniform
@@ -19,17 +19,23 @@ from ..functions.special import norm_cdf, norm_ppf
 
 
 def prefix_sums(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """(keys, i, s1, s2, n): sums of value and its square over the first i rows, i from 0 to n."""
-    w = Window.partitionBy(*keys).orderBy(*order)
+    """(keys, i, s1, s2, n, level): sums of deviations from the series' mean ``level`` and of their squares over the first i rows, i from 0 to n.
+
+    Sums of deviations stay as small as the series' spread, so differences of
+    two of them don't cancel, however large the level.
+    """
+    whole = Window.partitionBy(*keys)
+    w = whole.orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.select(*keys, F.row_number().over(w).alias("i"), F.sum(value).over(upto).alias("s1"), F.sum(F.col(value) ** 2).over(upto).alias("s2"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
-    zero = rows.where("i = 1").select(*keys, F.lit(0).alias("i"), F.lit(0.0).alias("s1"), F.lit(0.0).alias("s2"), "n")
+    d = F.col(value) - F.col("_level")
+    rows = df.withColumn("_level", F.avg(value).over(whole)).select(*keys, F.row_number().over(w).alias("i"), F.sum(d).over(upto).alias("s1"), F.sum(d * d).over(upto).alias("s2"), F.count("*").over(whole).alias("n"), F.col("_level").alias("level"))
+    zero = rows.where("i = 1").select(*keys, F.lit(0).alias("i"), F.lit(0.0).alias("s1"), F.lit(0.0).alias("s2"), "n", "level")
     return rows.union(zero)
 
 
 def _moments(draws: DataFrame, p: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, rep, mean, std) of draws (keys, n, rep, _from, _len) over circular prefix sums ``p``: two lookups a block."""
-    total = p.where("i = n").select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("s1").alias("_t1"), F.col("s2").alias("_t2"))
+    total = p.where("i = n").select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("s1").alias("_t1"), F.col("s2").alias("_t2"), F.col("level").alias("_level"))
     end = F.col("_from") + F.col("_len")
     ends = F.array(F.struct(F.col("_from").alias("at"), F.lit(-1).alias("sign")), F.struct(F.pmod(end, F.col("n")).alias("at"), F.lit(1).alias("sign")))
     looks = draws.withColumn("_wrap", F.floor(end / F.col("n"))).withColumn("e", F.explode(ends))
@@ -40,7 +46,7 @@ def _moments(draws: DataFrame, p: DataFrame, keys: list[str]) -> DataFrame:
     sums = hit.groupBy(*[looks[k] for k in keys], "rep", "n").agg(one.alias("_a"), two.alias("_b"), laps.alias("_laps"))
     sums = sums.join(total, [F.col(k) == F.col(f"_k_{k}") for k in keys]) if keys else sums.join(F.broadcast(total))
     mean, square = (F.col("_a") + F.col("_laps") * F.col("_t1")) / F.col("n"), (F.col("_b") + F.col("_laps") * F.col("_t2")) / F.col("n")
-    return sums.select(*keys, "rep", mean.alias("mean"), F.sqrt(F.greatest(square - mean**2, F.lit(0.0))).alias("std"))
+    return sums.select(*keys, "rep", (F.col("_level") + mean).alias("mean"), F.sqrt(F.greatest(square - mean**2, F.lit(0.0))).alias("std"))
 
 
 def block_draws(sizes: DataFrame, replicates: int, block: int, seed: int = 1, replace: bool = True) -> DataFrame:
@@ -170,26 +176,29 @@ def confidence_set(losses: DataFrame, replicates: int, p: float, size: float = 0
     """(model, step, statistic, p_value, inside): models dropped one by one, the worst first, while equal loss is rejected.
 
     kind: TR, the largest difference of two means, or TSQ, their sum of squares
-    (differences are not studentised). Bootstrap means are made once in the
-    cluster; only the small table of replicates by models is walked here.
+    (differences are not studentised). The worst model of those left is the one
+    with the largest mean (the first by name among equals), so the order is
+    known beforehand; the largest difference is the span of means, and the sum
+    of squares follows from their sum and sum of squares. All steps of a
+    replicate are then running spans or sums over its models, a window of as
+    many rows as models, and no pair of models is formed.
     """
-    mean = losses.groupBy(model).agg(F.avg(loss).alias("m"), F.count("*").alias("n")).orderBy(model).toPandas()
-    schema = "model string, step int, statistic double, p_value double, inside boolean"
-    if not len(mean):
-        return losses.sparkSession.createDataFrame([], schema)
-    boot = stationary_blocks(losses, [model], [t], loss, replicates, p, seed).groupBy("rep").pivot(model, mean[model].tolist()).agg(F.first("mean")).orderBy("rep").toPandas()
-    means, reps, names, root = mean["m"].to_numpy(), boot[mean[model].tolist()].to_numpy(), mean[model].tolist(), math.sqrt(mean["n"].iloc[0])
-    left, out, top = list(range(len(names))), [], 0.0
-    while len(left) > 1:
-        d = root * (means[left][:, None] - means[left])
-        e = root * (reps[:, left][:, :, None] - reps[:, left][:, None, :]) - d
+    mean = losses.groupBy(model).agg(F.avg(loss).alias("_m"), F.count("*").alias("_n"))
+    mean = mean.withColumn("_m", F.col("_m") - F.avg("_m").over(Window.partitionBy()))
+    ranks = mean.withColumn("step", F.row_number().over(Window.orderBy(F.desc("_m"), model)) - 1)  # a row a model
+    boot = stationary_blocks(losses.join(ranks.select(model, "step"), model), [model, "step"], [t], loss, replicates, p, seed)
+    level = losses.groupBy(model).agg(F.avg(loss).alias("_l"), F.count("*").alias("_n"))
+    drawn = boot.join(level, model).withColumn("_x", F.sqrt("_n") * (F.col("mean") - F.col("_l")))
+
+    def spread(*rep: str) -> Column:
+        left = Window.partitionBy(*rep).orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
+        x = F.col("_x")
         if kind == "TR":
-            stat, draws = np.abs(d).max(), np.abs(e).max((1, 2))
-        else:
-            stat, draws = (d**2).sum() / 2, (e**2).sum((1, 2)) / 2
-        top = max(top, float((draws >= stat).mean()))
-        worst = left[int(d.mean(1).argmax())]
-        out.append((names[worst], len(out), float(stat), top, top >= size))
-        left.remove(worst)
-    out.append((names[left[0]], len(out), 0.0, 1.0, True))
-    return losses.sparkSession.createDataFrame(out, schema)
+            return F.max(x).over(left) - F.min(x).over(left)
+        return F.count("*").over(left) * F.sum(x * x).over(left) - F.pow(F.sum(x).over(left), F.lit(2))
+
+    stat = ranks.withColumn("_x", F.sqrt("_n") * F.col("_m")).withColumn("statistic", spread()).select(F.col(model), F.col("step").alias("_step"), "statistic")
+    draws = drawn.withColumn("_draw", spread("rep")).select("step", "_draw")
+    share = draws.join(stat, F.col("step") == F.col("_step")).groupBy(model, "step", "statistic").agg(F.avg((F.col("_draw") >= F.col("statistic")).cast("double")).alias("_p"))
+    top = F.max("_p").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    return share.withColumn("p_value", top).select(model, "step", "statistic", "p_value", (F.col("p_value") >= size).alias("inside"))

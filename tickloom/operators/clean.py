@@ -4,33 +4,48 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .affine import positions
 from .series import ordered
 
 
-def fill(df: DataFrame, keys: list[str], order: list[str], value: str, method: str = "ffill", limit: int | None = None) -> DataFrame:
+def fill(df: DataFrame, keys: list[str], order: list[str], value: str, method: str = "ffill", limit: int | None = None, chunk: Column | None = None) -> DataFrame:
     """Gaps of ``value``: ffill, bfill (both up to ``limit`` rows), or linear by position.
 
     A gap at the start stays under ffill and linear; linear carries a gap at
-    the end forward.
+    the end forward. ``chunk`` (see ``affine.affine_scan``) cuts few very long
+    series: windows end with a chunk, and the last value known before it and
+    the first known after it come from a small table.
     """
     w = ordered(keys, order)
     reach = Window.unboundedPreceding if limit is None else -limit
     before, after = w.rowsBetween(reach, 0), w.rowsBetween(0, Window.unboundedFollowing if limit is None else limit)
-    if method == "ffill":
+    if chunk is None and method == "ffill":
         return df.withColumn(value, F.last(value, True).over(before))
-    if method == "bfill":
+    if chunk is None and method == "bfill":
         return df.withColumn(value, F.first(value, True).over(after))
-    df = df.withColumn("_i", F.row_number().over(w))
+    rows = df.withColumn("_i", F.row_number().over(w)) if chunk is None else positions(df, keys, order, chunk)
     known = F.when(F.col(value).isNotNull(), F.struct("_i", F.col(value).alias("v")))
-    df = df.withColumns({"_p": F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_q": F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
-    gap = F.col("_i") - F.col("_p._i")
-    line = F.col("_p.v") + (F.col("_q.v") - F.col("_p.v")) * gap / F.nullif(F.col("_q._i") - F.col("_p._i"), F.lit(0))
-    out = F.when(F.col(value).isNotNull(), F.col(value)).when(F.lit(limit is not None) & (gap > (limit or 0)), None).otherwise(F.coalesce(line, F.col("_p.v")))
-    return df.withColumn(value, out).drop("_i", "_p", "_q")
+    w = w if chunk is None else ordered([*keys, "_chunk"], order)
+    rows = rows.withColumns({"_p": F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_q": F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    if chunk is not None:
+        ends = rows.groupBy(*keys, "_chunk").agg(F.max(known).alias("_e"), F.min(known).alias("_s"))
+        at = Window.partitionBy(*keys).orderBy("_chunk")
+        carried = {"_pp": F.last("_e", True).over(at.rowsBetween(Window.unboundedPreceding, -1)), "_qq": F.first("_s", True).over(at.rowsBetween(1, Window.unboundedFollowing))}
+        rows = rows.join(ends.withColumns(carried).drop("_e", "_s"), [*keys, "_chunk"]).withColumns({"_p": F.coalesce("_p", "_pp"), "_q": F.coalesce("_q", "_qq")})
+    back, ahead = F.col("_i") - F.col("_p._i"), F.col("_q._i") - F.col("_i")
+    far = lambda d: F.lit(limit is not None) & (d > (limit or 0))
+    if method == "ffill":
+        out = F.when(~far(back), F.col("_p.v"))
+    elif method == "bfill":
+        out = F.when(~far(ahead), F.col("_q.v"))
+    else:
+        line = F.col("_p.v") + (F.col("_q.v") - F.col("_p.v")) * back / F.nullif(F.col("_q._i") - F.col("_p._i"), F.lit(0))
+        out = F.when(F.col(value).isNotNull(), F.col(value)).when(far(back), None).otherwise(F.coalesce(line, F.col("_p.v")))
+    return rows.withColumn(value, out).select(*df.columns)
 
 
 def drop_missing(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

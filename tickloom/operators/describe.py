@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.basic import bucket
+
 
 def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean, median, std, min, max, range, skew, excess kurtosis, n of each group (central moments over powers of the sample deviation)."""
@@ -42,82 +41,90 @@ def covariance(df: DataFrame, columns: list[str], bias: bool = False) -> DataFra
     return one.select(F.inline(F.array(*rows)))
 
 
-def average_ranks(df: DataFrame, column: str, name: str, weight: str | None = None, buckets: int = 256) -> DataFrame:
-    """``name``: average rank of ``column`` over the whole table, rows counting ``weight`` times.
+def _cuts(df: DataFrame, columns: list[str], buckets: int) -> list[list]:
+    """Cuts of each column at ``buckets`` quantiles, for all columns in one job."""
+    shares = [k / buckets for k in range(1, buckets)]
+    found = df.agg(*[F.percentile_approx(c, shares) for c in columns]).first()
+    return [sorted(set(c or [])) for c in found]
+
+
+def _numbered(counts: DataFrame, cuts: list, number: Column) -> DataFrame:
+    """Distinct values (_v, _c) with ``_base``, the weight before their bucket, and ``_upto``, that of their bucket up to them; ``number`` is a value's weight."""
+    run = counts.withColumn("_run", bucket(F.col("_v"), cuts))
+    totals = run.groupBy("_run").agg(F.sum(number).alias("_t"))
+    before = F.coalesce(F.sum("_t").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = totals.select("_run", before.alias("_base"))  # one row a bucket
+    upto = F.sum(number).over(Window.partitionBy("_run").orderBy("_v"))
+    return run.withColumn("_upto", upto).join(F.broadcast(base), "_run")
+
+
+def average_ranks(df: DataFrame, column: str, name: str, weight: str | None = None, buckets: int = 256, cuts: list | None = None) -> DataFrame:
+    """``name``: average rank of ``column`` over the whole table, rows counting ``weight`` times; null for null.
 
     Distinct values are counted first and cut at ``buckets`` quantiles, which
     are literals of the plan: a value's rank is the running count within its
     bucket plus the counts of buckets before it, so no window holds the table
-    and nothing depends on how rows are dealt out.
+    and nothing depends on how rows are dealt out. A window task holds the
+    distinct values of one bucket, so let ``buckets`` grow with their number.
     """
     known = df.where(F.col(column).isNotNull())
+    cuts = _cuts(known, [column], buckets)[0] if cuts is None else cuts
     counts = known.groupBy(F.col(column).alias("_v")).agg(F.sum(F.col(weight) if weight else F.lit(1)).alias("_c"))
-    cuts = known.agg(F.percentile_approx(column, [k / buckets for k in range(1, buckets)])).first()[0] or []
-    counts = counts.withColumn("_run", F.array_size(F.filter(F.lit(sorted(set(cuts))), lambda c: c < F.col("_v")))) if cuts else counts.withColumn("_run", F.lit(0))
-    totals = counts.groupBy("_run").agg(F.sum("_c").alias("_t"))
-    before = F.coalesce(F.sum("_t").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = totals.select("_run", before.alias("_base"))  # one row a bucket
-    upto = F.sum("_c").over(Window.partitionBy("_run").orderBy("_v"))
-    ranked = counts.withColumn("_upto", upto).join(F.broadcast(base), "_run").select("_v", (F.col("_base") + F.col("_upto") - (F.col("_c") - 1) / 2).alias(name))
+    ranked = _numbered(counts, cuts, F.col("_c")).select("_v", (F.col("_base") + F.col("_upto") - (F.col("_c") - 1) / 2).alias(name))
     return df.join(ranked, df[column] == ranked["_v"], "left").drop("_v")
 
 
-def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """(spearman, n): correlation of average ranks, over the distinct pairs of values and their counts."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").alias("_w"))
-    r = average_ranks(average_ranks(pairs, x, "_rx", "_w"), y, "_ry", "_w")
-    half = (F.sum("_w") + 1) / 2  # the mean rank of either column
-    c = r.join(F.broadcast(r.agg(half.alias("_h")))).select("_w", (F.col("_rx") - F.col("_h")).alias("a"), (F.col("_ry") - F.col("_h")).alias("b"))
-    w, a, b = F.col("_w"), F.col("a"), F.col("b")
-    return c.agg((F.sum(w * a * b) / F.sqrt(F.sum(w * a * a) * F.sum(w * b * b))).alias("spearman"), F.sum(w).alias("n"))
+def spearman(df: DataFrame, x: str, y: str, buckets: int = 256) -> DataFrame:
+    """(spearman, n): correlation of average ranks, over the distinct pairs of values and their counts.
+
+    One job finds the cuts of both columns; all sums of the ranks are taken in
+    one aggregate, as ranks are of one size and don't cancel.
+    """
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("_x"), F.col(y).alias("_y"))
+    cuts = _cuts(both, ["_x", "_y"], buckets)
+    pairs = both.groupBy("_x", "_y").agg(F.count("*").alias("_w"))
+    r = average_ranks(average_ranks(pairs, "_x", "_rx", "_w", cuts=cuts[0]), "_y", "_ry", "_w", cuts=cuts[1])
+    w, a, b = (F.col(c).cast("double") for c in ("_w", "_rx", "_ry"))
+    s = r.agg(F.sum("_w").alias("n"), F.sum(w * a).alias("a"), F.sum(w * b).alias("b"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"), F.sum(w * a * b).alias("ab"))
+    n = F.col("n")
+    over = lambda p, q, both: F.col(both) - F.col(p) * F.col(q) / n
+    return s.select((over("a", "b", "ab") / F.nullif(F.sqrt(over("a", "a", "aa") * over("b", "b", "bb")), F.lit(0.0))).alias("spearman"), "n")
 
 
-def kendall(df: DataFrame, x: str, y: str, buckets: int = 64, block: int = 1024) -> DataFrame:
+def kendall(df: DataFrame, x: str, y: str, buckets: int = 64) -> DataFrame:
     """(kendall, n): concordant less discordant pairs over all pairs, ties counting for neither.
 
-    Rows are reduced to distinct pairs with counts and cut into a grid of
-    quantiles of x and y. Pairs in cells that differ both ways are counted from
-    the cells' totals; those that share a column or row of the grid are compared
-    there, block by block.
+    Rows are reduced to distinct pairs with counts and x to its order number.
+    Two numbers differ first in one octal digit: rows that share the digits
+    above it are a group, and going up in y, a row meets running counts by
+    digit of the rows below it. So every row is met once for each digit, n log n
+    in all, in windows over one bucket of y of one group; what lies in lower
+    buckets is added from their totals. Rows of one y are summed up beforehand,
+    so neither ties nor skew of x or y swell a window.
     """
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("w"))
-    shares = [k / buckets for k in range(1, buckets)]
-    q = pairs.agg(F.percentile_approx("x", shares), F.percentile_approx("y", shares)).first()
-    place = lambda c, cuts: F.array_size(F.filter(F.lit(sorted(set(cuts))), lambda v: v < F.col(c))) if cuts else F.lit(0)
-    cells = pairs.withColumns({"i": place("x", q[0]), "j": place("y", q[1])})
-    grid = cells.groupBy("i", "j").agg(F.sum("w").alias("w"))  # buckets x buckets rows at most
-
-    def across(batches):
-        parts = list(batches)
-        g = np.zeros((buckets, buckets))
-        for b in parts:
-            np.add.at(g, (b["i"].to_numpy(), b["j"].to_numpy()), b["w"].to_numpy().astype(float))
-        total = 0.0
-        for i in range(buckets):
-            later = g[i + 1 :].sum(0)
-            up = np.r_[later[::-1].cumsum()[::-1][1:], 0]
-            down = np.r_[0, later.cumsum()[:-1]]
-            total += float((g[i] * (up - down)).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([total])], ["s"])
-
-    def within(column: bool):
-        def run(key, t):
-            a, b, w = (np.asarray(t[c], float) for c in ("x", "y", "w"))
-            i, s = np.asarray(t["j" if column else "i"]), 0.0
-            for lo in range(0, len(a), block):
-                p = slice(lo, lo + block)
-                sign = np.sign(a[p, None] - a[None, lo:]) * np.sign(b[p, None] - b[None, lo:]) * w[p, None] * w[None, lo:]
-                if not column:  # pairs of one cell are counted with its column
-                    sign = sign * (i[p, None] != i[None, lo:])
-                n = sign.shape[0]
-                s += np.triu(sign[:, :n], 1).sum() + sign[:, n:].sum()
-            return pd.DataFrame({"s": [s]})
-
-        return run
-
-    parts = grid.coalesce(1).mapInArrow(across, "s double").union(cells.groupBy("i").applyInPandas(within(True), "s double")).union(cells.groupBy("j").applyInPandas(within(False), "s double"))
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("_x"), F.col(y).alias("_y"))
+    cuts = _cuts(both, ["_x", "_y"], buckets)
+    pairs = both.groupBy("_x", "_y").agg(F.count("*").alias("w"))
+    numbers = _numbered(pairs.groupBy(F.col("_x").alias("_v")).agg(F.lit(1).alias("_c")), cuts[0], F.lit(1)).select("_v", (F.col("_base") + F.col("_upto") - 1).alias("_at"))
+    most = numbers.agg(F.max("_at").alias("_most"))  # one row
+    digits = F.sequence(F.lit(0), F.floor(F.log(8.0, F.greatest(F.col("_most"), F.lit(1)).cast("double")) + 1e-9).cast("int"))
+    rows = pairs.join(numbers, pairs["_x"] == numbers["_v"]).join(F.broadcast(most)).select("_y", "w", "_at", F.explode(digits).alias("level"))
+    low = F.expr("shiftright(_at, 3 * level)")
+    rows = rows.select("_y", "w", "level", F.shiftright(low, 3).alias("g"), low.bitwiseAND(F.lit(7)).alias("d"))
+    of = [F.sum(F.when(F.col("d") == k, F.col("w")).otherwise(0)).cast("double").alias(f"w{k}") for k in range(8)]
+    summed = rows.groupBy("level", "g", "_y").agg(*of).withColumn("j", bucket(F.col("_y"), cuts[1]))
+
+    def signed(rows: DataFrame, group: list[str], order: str) -> DataFrame:
+        """Sums of a row's weights times what lies below it with lower digits, less that with higher ones."""
+        w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        met = rows.withColumns({f"r{k}": F.coalesce(F.sum(f"w{k}").over(w), F.lit(0.0)) for k in range(8)})
+        lower = lambda k: sum((F.col(f"r{m}") for m in range(k)), F.lit(0.0)) - sum((F.col(f"r{m}") for m in range(k + 1, 8)), F.lit(0.0))
+        return met.select(sum((F.col(f"w{k}") * lower(k) for k in range(8)), F.lit(0.0)).alias("s"))
+
+    totals = summed.groupBy("level", "g", "j").agg(*[F.sum(f"w{k}").alias(f"w{k}") for k in range(8)])
+    parts = signed(summed, ["level", "g", "j"], "_y").union(signed(totals, ["level", "g"], "j"))
     n = F.col("n")
-    return parts.agg(F.sum("s").alias("s")).join(F.broadcast(pairs.agg(F.sum("w").alias("n")))).select((F.col("s") / (n * (n - 1) / 2)).alias("kendall"), "n")
+    return parts.agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s")).join(F.broadcast(pairs.agg(F.sum("w").alias("n")))).select((F.col("s") / (n * (n - 1) / 2)).alias("kendall"), "n")
 
 
 def to_correlation(cov: DataFrame, keys: list[str] | None = None) -> DataFrame:

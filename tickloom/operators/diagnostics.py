@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import chi2_sf, f_sf, normal_cdf
+from .arma import lag_gram
 from .describe import acf
-from .regress import ols, predict
+from .regress import gram, inverse, ols, predict, unpack
 from .series import lag_table, ordered
 
 
@@ -109,14 +110,11 @@ def unit_root(df: DataFrame, keys: list[str], order: list[str], value: str, lags
     rows = df.withColumns({"_level": F.lag(value).over(w), "_d": F.col(value) - F.lag(value).over(w), "_t": F.row_number().over(w).cast("double")})
     rows = rows.withColumn("_tt", F.col("_t") ** 2).withColumns({f"_d{k}": F.lag("_d", k).over(w) for k in range(1, lags + 1)}).where(F.col("_t") > lags + 1)
     extra = {"n": [], "c": [], "ct": ["_t"], "ctt": ["_t", "_tt"]}[trend]
-    tables = []
-    for p in range(0 if choose else lags, lags + 1):
-        xs = ["_level", *extra, *[f"_d{k}" for k in range(1, p + 1)]]
-        tables.append(ols(rows, "_d", xs, keys, constant=trend != "n").where("term = '_level'").select(*keys, F.col("t").alias("statistic"), F.lit(p).alias("lags"), "n", "aic"))
-    out = reduce(DataFrame.union, tables)
     if choose:
-        best = out.groupBy(*keys).agg(F.min(F.struct("aic", "lags", "statistic", "n")).alias("b"))
-        out = best.select(*keys, "b.statistic", "b.lags", "b.n")
+        out = _least_aic(rows, keys, extra, lags, trend != "n")
+    else:
+        xs = ["_level", *extra, *[f"_d{k}" for k in range(1, lags + 1)]]
+        out = ols(rows, "_d", xs, keys, constant=trend != "n").where("term = '_level'").select(*keys, F.col("t").alias("statistic"), F.lit(lags).alias("lags"), "n")
     turn, low, high, small, large = P_VALUES[trend]
     x = F.col("statistic")
     poly = lambda c: sum((a * x**k for k, a in enumerate(c)), F.lit(0.0))
@@ -125,6 +123,35 @@ def unit_root(df: DataFrame, keys: list[str], order: list[str], value: str, lags
     return out.select(*keys, "statistic", p.alias("p_value"), "lags", "n", *limits)
 
 
+def _least_aic(rows: DataFrame, keys: list[str], extra: list[str], most: int, constant: bool) -> DataFrame:
+    """(keys, statistic, lags, n) of the number of lags with the least AIC, all numbers solved from one matrix of cross products a series."""
+    columns = ["_level", *extra, *[f"_d{k}" for k in range(1, most + 1)], "_d"]
+    g = lag_gram(rows, columns, keys) if constant else gram(rows, columns[-1], columns[:-1], keys)
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.select(*keys).schema)
+    m, lead = len(columns) - 1, int(constant)
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples(index=False):
+                xx, xy, yy = unpack(np.array(r.cells, float), m)
+                tries, n = [], int(r.n)
+                for p in range(most + 1):
+                    k = 1 + len(extra) + p
+                    inv = inverse(xx[:k, :k])
+                    b = inv @ xy[:k]
+                    rss = max(float(yy - b @ xy[:k]), 1e-300)
+                    if n > k + lead:
+                        t = b[0] / np.sqrt(max(inv[0, 0], 1e-300) * rss / (n - k - lead))
+                        tries.append((n * np.log(rss / n) + 2 * (k + lead), p, t))
+                if tries:
+                    _, p, t = min(tries)
+                    out.append((*[getattr(r, c) for c in keys], t, p, n))
+            yield pd.DataFrame(out, columns=[*keys, "statistic", "lags", "n"])
+
+    return g.where("n > 0").mapInPandas(run, f"{kinds}statistic double, lags int, n long")
+
+
 def bds(df: DataFrame, keys: list[str], order: list[str], value: str, dimension: int = 2, epsilon: float = 0.5, block: int = 512) -> DataFrame:
     """(keys, dimension, statistic, p_value, c1, cm, n): nearness of runs of ``dimension`` values against what independence gives.
 

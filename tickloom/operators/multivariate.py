@@ -8,11 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .affine import affine_scan
 from .align import pairs
-from .series import scan
 
 
 def standardized_pairs(path: DataFrame, asset: str = "asset", ts: str = "ts", ret: str = "ret") -> DataFrame:
@@ -22,20 +22,23 @@ def standardized_pairs(path: DataFrame, asset: str = "asset", ts: str = "ts", re
     return p.select("ts", "i", "j", (F.col("z_i") * F.col("z_j")).alias("zz"), "sd_i", "sd_j")
 
 
-def dynamic_correlation(zz: DataFrame, a: float, b: float) -> DataFrame:
-    """(ts, i, j, q, corr, cov): correlations that follow products of standardised returns, given (a, b).
+def dynamic_paths(zz: DataFrame, weights: list[tuple[float, float]], chunk: Column | None = None) -> DataFrame:
+    """``zz`` with ``q`` and its mirror columns: q_0, q_1, ... for every (a, b) of ``weights``, all carried in one affine scan.
 
     Each pair is a scalar recursion of its own, q = (1-a-b) mean + a zz + b q,
-    walked in order with one number held; a correlation is its q over the
-    roots of the two diagonal ones of that time.
+    from its mean. ``chunk`` cuts few very long pairs (see ``affine``).
     """
-    mean = F.avg("zz").over(Window.partitionBy("i", "j"))
+    m = F.col("_level")
+    paths = {f"q_{k}": (b, (1 - a - b) * m + a * F.col("zz"), m) for k, (a, b) in enumerate(weights)}
+    return affine_scan(zz, ["i", "j"], ["ts"], paths, {"_level": F.avg("zz")}, chunk, before=True)
+
 
-    def step(s, x, level):
-        q = level if s is None else (1 - a - b) * level + a * s[0] + b * s[1]
-        return (x, q), q
+def dynamic_correlation(zz: DataFrame, a: float, b: float, chunk: Column | None = None) -> DataFrame:
+    """(ts, i, j, q, corr, cov): correlations that follow products of standardised returns, given (a, b).
 
-    q = scan(zz, ["i", "j"], ["ts"], [F.col("zz"), mean], step, "q")
+    A correlation is its q over the roots of the two diagonal ones of that time.
+    """
+    q = dynamic_paths(zz, [(a, b)], chunk).withColumnRenamed("q_0", "q")
     own = q.where("i = j")
     side = lambda c: own.select("ts", F.col("i").alias(c), F.col("q").alias(f"_q{c}"))
     both = q.join(side("i"), ["ts", "i"]).join(side("j"), ["ts", "j"])
@@ -53,14 +56,102 @@ def composite_likelihood(zz: DataFrame, path: DataFrame) -> DataFrame:
     return p.agg(F.sum(-0.5 * (F.log(free) + form - F.col("_zi") - F.col("_zj"))).alias("loglik"), F.count("*").alias("n"))
 
 
-def fit_dynamic_correlation(zz: DataFrame, grid: list[tuple[float, float]]) -> DataFrame:
-    """(a, b, loglik, n) of every candidate with a + b < 1, likeliest first: pairwise composite likelihoods, summed in the cluster."""
-    parts = None
-    for a, b in grid:
-        if a + b < 1:
-            one = composite_likelihood(zz, dynamic_correlation(zz, a, b)).select(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"), "loglik", "n")
-            parts = one if parts is None else parts.union(one)
-    return parts.orderBy(F.desc("loglik"), "a", "b")
+def _admissible(grid: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    return [(float(a), float(b)) for a, b in grid if a >= 0 and b >= 0 and a + b < 1]
+
+
+SCORES = "a double, b double, loglik double, n long"
+
+
+def fit_dynamic_correlation(zz: DataFrame, grid: list[tuple[float, float]], full: bool = False) -> DataFrame:
+    """(a, b, loglik, n) of every candidate with a + b < 1, likeliest first: second-stage likelihoods less those of independence.
+
+    All candidates are carried in one pass and scored in one more: pair by
+    pair (composite), where n counts pairs and times, or ``full`` over the
+    correlation matrix of each time, for few assets, where n counts times that
+    have all assets. A candidate under which some correlation reaches one, or
+    some matrix is not positive definite, has no likelihood and comes last; a
+    grid without an admissible candidate gives no rows.
+    """
+    weights = _admissible(grid)
+    if not weights:
+        return zz.sparkSession.createDataFrame([], SCORES)
+    q = dynamic_paths(zz, weights)
+    k = len(weights)
+    numbers = F.array(*[F.col(f"q_{c}") for c in range(k)])
+    scored = _matrix_terms(q, numbers, k) if full else _pair_terms(q, numbers, k)
+    table = F.explode(F.arrays_zip(F.lit([a for a, _ in weights]).alias("a"), F.lit([b for _, b in weights]).alias("b"), F.col("_ll").alias("loglik")))
+    return scored.select(table.alias("x"), "n").select("x.a", "x.b", "x.loglik", "n").orderBy(F.desc_nulls_last("loglik"), "a", "b")
+
+
+def _pair_terms(q: DataFrame, numbers: Column, k: int) -> DataFrame:
+    """(_ll array, n): bivariate terms of all pairs and times, a sum for each candidate."""
+    q = q.select("ts", "i", "j", "zz", numbers.alias("_q"))
+    own = lambda c: q.where("i = j").select("ts", F.col("i").alias(c), F.col("zz").alias(f"_z{c}"), F.col("_q").alias(f"_q{c}"))
+    p = q.where("i < j").join(own("i"), ["ts", "i"]).join(own("j"), ["ts", "j"])
+
+    def term(c: int) -> Column:
+        r = F.col("_q")[c] / F.sqrt(F.col("_qi")[c] * F.col("_qj")[c])
+        free = 1 - r * r
+        total = F.sum(-0.5 * (F.log(free) + (F.col("_zi") + F.col("_zj") - 2 * r * F.col("zz")) / free - F.col("_zi") - F.col("_zj")))
+        return F.when(F.min(free) > 0, total)
+
+    return p.agg(F.array(*[term(c) for c in range(k)]).alias("_ll"), F.count("*").alias("n"))
+
+
+def _matrix_terms(q: DataFrame, numbers: Column, k: int) -> DataFrame:
+    """(_ll array, n): -0.5 (log det R + z' inv(R) z - z'z) summed over times, a sum for each candidate.
+
+    The matrices of a time are array columns: its pairs in order, batched
+    through one Cholesky step for all candidates.
+    """
+    cells = q.groupBy("ts").agg(F.array_sort(F.collect_list(F.struct("i", "j", "zz", numbers.alias("q")))).alias("_c"))
+    assets = F.array_size(F.filter("_c", lambda x: x["i"] == x["j"]))
+    cells = cells.select(assets.alias("m"), F.transform("_c", lambda x: x["zz"]).alias("zz"), F.flatten(F.transform("_c", lambda x: x["q"])).alias("q")).where("size(zz) = m * (m + 1) / 2")
+    most = cells.agg(F.max("m").alias("_most"))
+    cells = cells.join(F.broadcast(most), F.col("m") == F.col("_most"))  # one row
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            m, n = b["m"][0].as_py(), b.num_rows
+            up = np.triu_indices(m)
+            at = np.array(b["q"].flatten().to_numpy(zero_copy_only=False), float).reshape(n, len(up[0]), k)
+            zz = np.array(b["zz"].flatten().to_numpy(zero_copy_only=False), float).reshape(n, len(up[0]))
+            full = np.zeros((n, k, m, m))
+            full[:, :, up[0], up[1]] = at.transpose(0, 2, 1)
+            full[:, :, up[1], up[0]] = at.transpose(0, 2, 1)
+            outer = np.zeros((n, 1, m, m))
+            outer[:, 0, up[0], up[1]] = zz
+            outer[:, 0, up[1], up[0]] = zz
+            root = np.sqrt(np.einsum("nkii->nki", full))
+            r = full / root[..., :, None] / root[..., None, :]
+            odd = np.linalg.eigvalsh(r).min(-1) <= 0
+            r[odd] = np.eye(m)
+            half = np.log(np.einsum("nkii->nki", np.linalg.cholesky(r))).sum(-1)
+            form = np.einsum("nkij,nkij->nk", np.linalg.inv(r), np.broadcast_to(outer, r.shape)) - np.einsum("nkii->nk", outer)
+            terms = np.where(odd, np.nan, -half - 0.5 * form)
+            yield pa.RecordBatch.from_arrays([pa.array([terms.sum(0).tolist()]), pa.array([n])], ["l", "n"])
+
+    parts = cells.select("m", "zz", "q").mapInArrow(run, "l array<double>, n long")
+    total = lambda c: F.when(~F.isnan(F.sum(F.col("l")[c])), F.sum(F.col("l")[c]))
+    return parts.agg(F.array(*[total(c) for c in range(k)]).alias("_ll"), F.sum("n").alias("n"))
+
+
+def zoom_dynamic_correlation(zz: DataFrame, rounds: int = 3, points: int = 5, full: bool = False, a: tuple[float, float] = (0.0, 0.3), b: tuple[float, float] = (0.5, 0.99)) -> DataFrame:
+    """(a, b, loglik, n) of all candidates tried in the last of ``rounds``, each a grid around the best of the one before, likeliest first."""
+    spans, out = [list(a), list(b)], None
+    for _ in range(rounds):
+        grid = [(x, y) for x in np.linspace(*spans[0], points) for y in np.linspace(*spans[1], points)]
+        out = fit_dynamic_correlation(zz, grid, full)
+        best = out.first()
+        if best is None:
+            return out
+        for span, at, (lo, hi) in zip(spans, (best["a"], best["b"]), (a, b), strict=True):
+            half = (span[1] - span[0]) / (points - 1)
+            span[:] = max(lo, at - half), min(hi, at + half)
+    return out
 
 
 def forecast_correlation(path: DataFrame, zz: DataFrame, a: float, b: float, horizon: int) -> DataFrame:

@@ -22,12 +22,18 @@ def gram(df: DataFrame, y: str, xs: list[str], keys: list[str] | None = None) ->
     return ok.groupBy(*(keys or [])).agg(F.count("*").alias("n"), F.array(*sums).alias("cells"))
 
 
-def centred(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
-    """Rows without nulls in ``columns``, these made deviations from their group's means, which stand in ``_means``."""
-    ok = df.dropna(subset=columns).select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
+def centred(df: DataFrame, columns: list[str], keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows without nulls in ``columns``, these made deviations from their group's means, which stand in ``_means``; other columns to ``keep`` stay."""
+    ok = df.dropna(subset=columns).select(*keys, *keep, *[F.col(c).cast("double").alias(c) for c in columns])
     means = ok.groupBy(*keys).agg(F.array(*[F.avg(c) for c in columns]).alias("_means"))
     rows = ok.join(means, keys) if keys else ok.join(F.broadcast(means))
-    return rows.select(*keys, "_means", *[(F.col(c) - F.col("_means")[k]).alias(c) for k, c in enumerate(columns)])
+    return rows.select(*keys, *keep, "_means", *[(F.col(c) - F.col("_means")[k]).alias(c) for k, c in enumerate(columns)])
+
+
+def inverse(m: np.ndarray) -> np.ndarray:
+    """A pseudo-inverse that doesn't depend on the units of rows."""
+    scale = np.sqrt(np.maximum(np.diag(m), 1e-300))
+    return np.linalg.pinv(m / np.outer(scale, scale), hermitian=True) / np.outer(scale, scale) if len(m) else m
 
 
 def unpack(cells: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, float]:
@@ -60,8 +66,7 @@ def ols(df: DataFrame, y: str, xs: list[str], keys: list[str] | None = None, con
                 if not n:
                     continue
                 xx, xy, yy = unpack(np.array(r.cells, float), len(xs))
-                scale = np.sqrt(np.maximum(np.diag(xx), 1e-300))
-                inv = np.linalg.pinv(xx / np.outer(scale, scale), hermitian=True) / np.outer(scale, scale) if len(xs) else np.zeros((0, 0))
+                inv = inverse(xx)
                 b = inv @ xy
                 tss = float(yy)
                 rss = max(float(yy - b @ xy), 0.0)
@@ -86,107 +91,125 @@ def ols(df: DataFrame, y: str, xs: list[str], keys: list[str] | None = None, con
 
 
 def predict(df: DataFrame, coefficients: DataFrame, y: str | None, xs: list[str], keys: list[str] | None = None) -> DataFrame:
-    """``fitted`` (and ``residual``) by a table of (keys, term, coef)."""
+    """``fitted`` (and ``residual``) by a table of (keys, term, coef); without a const term it counts as 0."""
     keys = keys or []
     wide = coefficients.groupBy(*keys).pivot("term", ["const", *xs]).agg(F.first("coef"))
     wide = wide.select(*keys, *[F.col(c).alias(f"_b_{c}") for c in ["const", *xs]])
     out = df.join(wide, keys) if keys else df.join(F.broadcast(wide))
-    fitted = sum((F.col(c) * F.col(f"_b_{c}") for c in xs), F.col("_b_const"))
+    fitted = sum((F.col(c) * F.col(f"_b_{c}") for c in xs), F.coalesce(F.col("_b_const"), F.lit(0.0)))
     out = out.withColumn("fitted", fitted)
     return (out.withColumn("residual", F.col(y) - F.col("fitted")) if y else out).drop(*[f"_b_{c}" for c in ["const", *xs]])
 
 
+AXES = "component int, eigenvalue double, ratio_total double, ratio_retained double, loadings array<double>, means array<double>, scales array<double>"
+
+
 def pca(df: DataFrame, columns: list[str], components: int, standardize: bool = False) -> DataFrame:
-    """(component, eigenvalue, ratio_total, ratio_retained, loadings): principal axes of a columns x columns matrix made in the cluster.
+    """(component, eigenvalue, ratio_total, ratio_retained, loadings, means, scales): principal axes of a columns x columns matrix made in the cluster.
 
-    The largest loading of an axis, by absolute value, is positive.
+    The largest loading of an axis, by absolute value, is positive. ``means``
+    and ``scales`` are what rows are centred and divided by before they meet
+    an axis; scales are 1 unless ``standardize``.
     """
     from .describe import covariance
 
     rows = covariance(df, columns).collect()  # one row a pair of columns
+    means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
     at = {c: k for k, c in enumerate(columns)}
-    m = np.zeros((len(columns), len(columns)))
+    m, scales = np.zeros((len(columns), len(columns))), np.ones(len(columns))
     for r in rows:
         m[at[r["i"]], at[r["j"]]] = m[at[r["j"]], at[r["i"]]] = r["corr" if standardize else "cov"]
+        if standardize and r["i"] == r["j"] and r["cov"] > 0:
+            scales[at[r["i"]]] = np.sqrt(r["cov"])
     values, vectors = np.linalg.eigh(m)
     out = []
     for k in range(components):
         v = vectors[:, -1 - k]
         v = v * np.sign(v[np.abs(v).argmax()])
-        out.append((k + 1, float(values[-1 - k]), float(values[-1 - k] / values.sum()), float(values[-1 - k] / values[-components:].sum()), [float(x) for x in v]))
-    return df.sparkSession.createDataFrame(out, "component int, eigenvalue double, ratio_total double, ratio_retained double, loadings array<double>")
+        out.append((k + 1, float(values[-1 - k]), float(values[-1 - k] / values.sum()), float(values[-1 - k] / values[-components:].sum()), v.tolist(), [float(means[c]) for c in columns], scales.tolist()))
+    return df.sparkSession.createDataFrame(out, AXES)
 
 
 def project(df: DataFrame, axes: DataFrame, columns: list[str]) -> DataFrame:
-    """``pc_1``...: centred rows along the axes of ``pca``, as plain column expressions."""
-    means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    """``pc_1``...: rows, centred and scaled as ``pca`` had them, along its axes, as plain column expressions; ``df`` may be other rows."""
     for r in sorted(axes.collect(), key=lambda r: r["component"]):
-        df = df.withColumn(f"pc_{r['component']}", sum((w * (F.col(c) - means[c]) for w, c in zip(r["loadings"], columns, strict=True)), F.lit(0.0)))
+        terms = ((F.col(c) - m) * (w / s) for w, c, m, s in zip(r["loadings"], columns, r["means"], r["scales"], strict=True))
+        df = df.withColumn(f"pc_{r['component']}", sum(terms, F.lit(0.0)))
     return df
 
 
-def unproject(df: DataFrame, axes: DataFrame, columns: list[str], means: dict[str, float]) -> DataFrame:
-    """``columns`` rebuilt from ``pc_1``... and the means of the fitted table; all components give the rows back."""
+def unproject(df: DataFrame, axes: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` rebuilt from ``pc_1``... and the means and scales of the axes; all components give the rows back."""
     rows = sorted(axes.collect(), key=lambda r: r["component"])
-    return df.withColumns({c: sum((F.col(f"pc_{r['component']}") * r["loadings"][k] for r in rows), F.lit(float(means[c]))) for k, c in enumerate(columns)})
+    return df.withColumns({c: sum((F.col(f"pc_{r['component']}") * (r["loadings"][k] * r["scales"][k]) for r in rows), F.lit(rows[0]["means"][k])) for k, c in enumerate(columns)})
 
 
 def robust_errors(df: DataFrame, y: str, xs: list[str], keys: list[str] | None = None, kind: str = "HC1") -> DataFrame:
     """(keys, term, coef, se): least squares with errors HC0 to HC3, which let the variance differ by row.
 
-    The second pass weighs every row's cross products by its squared residual;
-    rows with a null are left out; a leverage of one gives no HC2 or HC3 error.
+    All is done on deviations from the group's means, which don't cancel; the
+    constant's error comes from those at the end. The second pass weighs every
+    row's cross products by its squared residual; rows with a null are left
+    out; a leverage of one gives no HC2 or HC3 error.
     """
     keys, terms = keys or [], ["const", *xs]
-    k = len(terms)
+    k, columns = len(xs), [*xs, y]
     names = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema), ""])
+    rows = centred(df, columns, keys)
+    sums = F.array(*[F.sum(F.col(a) * F.col(b)) for a, b in combinations_with_replacement(columns, 2)])
+    cells = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.first("_means").alias("means"), sums.alias("cells"))
 
     def solve(frames):
         for pdf in frames:
             for r in pdf.itertuples(index=False):
+                if not r.n:
+                    continue
                 xx, xy, _ = unpack(np.array(r.cells, float), k)
-                inv = np.linalg.pinv(xx)
-                yield pd.DataFrame({c: [getattr(r, c)] for c in keys} | {"inv": [inv.ravel().tolist()], "b": [(inv @ xy).tolist()], "n": [int(r.n)]})
-
-    fit = gram(df, y, terms, keys).mapInPandas(solve, names + "inv array<double>, b array<double>, n long")
-    fit = fit.select(*keys, F.struct("inv", "b", "n").alias("_fit"))
-    ok = df.dropna(subset=[*xs, y]).select(*keys, *xs, y)
-    rows = ok.join(fit, keys) if keys else ok.join(F.broadcast(fit))  # one row, of a size that the terms set
-    x = [F.lit(1.0), *[F.col(c).cast("double") for c in xs]]
-    fitted = sum((F.col("_fit.b")[i] * c for i, c in enumerate(x)), F.lit(0.0))
-    lever = sum((F.col("_fit.inv")[i * k + j] * x[i] * x[j] for i in range(k) for j in range(k)), F.lit(0.0))
-    room = {"HC0": F.lit(1.0), "HC1": (F.col("_fit.n") - k) / F.col("_fit.n"), "HC2": 1 - lever, "HC3": (1 - lever) ** 2}[kind]
+                inv = inverse(xx)
+                yield pd.DataFrame({c: [getattr(r, c)] for c in keys} | {"inv": [inv.ravel().tolist()], "b": [(inv @ xy).tolist()], "n": [int(r.n)], "means": [list(r.means)]})
+
+    fit = cells.mapInPandas(solve, names + "inv array<double>, b array<double>, n long, means array<double>").select(*keys, F.struct("inv", "b", "n", "means").alias("_fit"))
+    rows = rows.join(fit, keys) if keys else rows.join(F.broadcast(fit))  # one row, of a size that the terms set
+    x = [F.lit(1.0), *[F.col(c) for c in xs]]
+    fitted = sum((F.col("_fit.b")[i] * F.col(c) for i, c in enumerate(xs)), F.lit(0.0))
+    lever = sum((F.col("_fit.inv")[i * k + j] * F.col(xs[i]) * F.col(xs[j]) for i in range(k) for j in range(k)), 1 / F.col("_fit.n"))
+    room = {"HC0": F.lit(1.0), "HC1": (F.col("_fit.n") - k - 1) / F.col("_fit.n"), "HC2": 1 - lever, "HC3": (1 - lever) ** 2}[kind]
     rows = rows.withColumn("_w", (F.col(y) - fitted) ** 2 / F.nullif(room, F.lit(0.0)))
     meat = F.array(*[F.sum(F.col("_w") * a * b) for a, b in combinations_with_replacement(x, 2)])
-    rows = rows.groupBy(*keys).agg(meat.alias("cells"), F.first("_fit").alias("fit")).select(*keys, "cells", "fit.inv", "fit.b")
+    rows = rows.groupBy(*keys).agg(meat.alias("cells"), F.first("_fit").alias("fit")).select(*keys, "cells", "fit.*")
 
     def sandwich(frames):
         for pdf in frames:
             for r in pdf.itertuples(index=False):
-                inv, m = np.array(r.inv, float).reshape(k, k), np.zeros((k, k))
-                m[np.triu_indices(k)] = np.array(r.cells, float)
-                v = inv @ (m + np.triu(m, 1).T) @ inv
-                yield pd.DataFrame({c: [getattr(r, c)] * k for c in keys} | {"term": terms, "coef": np.array(r.b, float), "se": np.sqrt(np.maximum(np.diag(v), 0))})
+                if r.inv is None:
+                    continue
+                means, b, m, bread, turn = np.array(r.means, float), np.array(r.b, float), np.zeros((k + 1, k + 1)), np.zeros((k + 1, k + 1)), np.eye(k + 1)
+                m[np.triu_indices(k + 1)] = np.array(r.cells, float)
+                bread[0, 0], bread[1:, 1:], turn[0, 1:] = 1 / r.n, np.array(r.inv, float).reshape(k, k), -means[:k]
+                v = turn @ bread @ (m + np.triu(m, 1).T) @ bread @ turn.T
+                yield pd.DataFrame({c: [getattr(r, c)] * (k + 1) for c in keys} | {"term": terms, "coef": np.r_[means[k] - b @ means[:k], b], "se": np.sqrt(np.maximum(np.diag(v), 0))})
 
     return rows.mapInPandas(sandwich, names + "term string, coef double, se double")
 
 
 def k_fold(df: DataFrame, y: str, xs: list[str], row_id: str, folds: int = 5) -> DataFrame:
-    """(fold, n, mse): each fold's squared error under the line fitted on the others; one pass over the data.
+    """(fold, n, mse): each fold's squared error under the line fitted on the others.
 
-    A row's fold is its id modulo ``folds``. A fold's cross products are taken
+    A row's fold is its id modulo ``folds``. Cross products are of deviations
+    from the whole table's means, taken in the pass before; a fold's are taken
     from the total's, so the small table of folds is all that is solved.
     """
     terms = ["const", *xs]
     k = len(terms)
-    cells = gram(df.withColumn("fold", F.pmod(F.col(row_id), F.lit(folds)).cast("int")), y, terms, ["fold"])
+    rows = centred(df.withColumn("fold", F.pmod(F.col(row_id), F.lit(folds)).cast("int")), [*xs, y], [], ("fold",))
+    cells = gram(rows, y, terms, ["fold"])
 
     def score(key, pdf):
         parts = np.array(pdf["cells"].tolist(), float)
         out = []
         for fold, n, own in zip(pdf["fold"], pdf["n"], parts, strict=True):
             xx, xy, _ = unpack(parts.sum(0) - own, k)
-            b = np.linalg.pinv(xx) @ xy
+            b = inverse(xx) @ xy
             xx, xy, yy = unpack(own, k)
             out.append((fold, n, (yy - 2 * b @ xy + b @ xx @ b) / n))
         return pd.DataFrame(out, columns=["fold", "n", "mse"])

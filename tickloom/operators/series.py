@@ -11,12 +11,14 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.basic import INF
+from .affine import affine_scan, positions
 
 
 def ordered(keys: list[str], order: list[str]):
@@ -125,18 +127,22 @@ def kernel_smooth(df: DataFrame, keys: list[str], order: list[str], value: str,
     return df.withColumn(name, top / low)
 
 
-def _banded(y: np.ndarray, lamb: float) -> np.ndarray:
-    """x that makes |y - x|^2 + lamb |second differences of x|^2 least, by elimination in the five diagonals."""
-    n = len(y)
+def _diagonals(at: np.ndarray, n: int, lamb: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows ``at`` (from 0) of the identity plus lamb times the squared second differences of n values: the diagonal and the two beside it."""
+    main, one, two = np.ones(len(at)), np.zeros(len(at)), np.zeros(len(at))
     if n < 3:
-        return y.copy()
-    main, one, two = np.ones(n), np.zeros(n), np.zeros(n)
+        return main, one, two
     for shift, w in ((0, 1.0), (1, 4.0), (2, 1.0)):
-        main[shift : n - 2 + shift] += lamb * w
-    one[: n - 2] += -2 * lamb
-    one[1 : n - 1] += -2 * lamb
-    two[: n - 2] += lamb
-    d, e, f, z = main.tolist(), one.tolist(), two.tolist(), y.astype(float).tolist()
+        main += lamb * w * ((at >= shift) & (at < n - 2 + shift))
+    one += -2 * lamb * ((at < n - 2).astype(float) + ((at >= 1) & (at < n - 1)))
+    two += lamb * (at < n - 2)
+    return main, one, two
+
+
+def _eliminated(main: np.ndarray, one: np.ndarray, two: np.ndarray, rhs: np.ndarray) -> np.ndarray:
+    """The solution (rows, columns) of a symmetric system of five diagonals, by elimination; couplings beyond the last row are ignored."""
+    n = len(main)
+    d, e, f, z = main.tolist(), one.tolist(), two.tolist(), [rhs[i].copy() for i in range(n)]
     for i in range(n):
         for k, off in ((1, e[i]), (2, f[i])):
             if i + k < n:
@@ -145,21 +151,108 @@ def _banded(y: np.ndarray, lamb: float) -> np.ndarray:
                 z[i + k] -= m * z[i]
                 if k == 1:
                     e[i + 1] -= m * f[i]
-    x = [0.0] * n
+    x = [None] * n
     for i in range(n - 1, -1, -1):
-        x[i] = (z[i] - (e[i] * x[i + 1] if i + 1 < n else 0.0) - (f[i] * x[i + 2] if i + 2 < n else 0.0)) / d[i]
+        v = z[i]
+        if i + 1 < n:
+            v = v - e[i] * x[i + 1]
+        if i + 2 < n:
+            v = v - f[i] * x[i + 2]
+        x[i] = v / d[i]
     return np.array(x)
 
 
-def hodrick_prescott(df: DataFrame, keys: list[str], order: list[str], value: str, lamb: float = 1600.0, name: str = "trend") -> DataFrame:
-    """``name``: the smooth trend of each series, an exact banded solve in time and memory linear in its length; a series is one task."""
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
+def _banded(y: np.ndarray, lamb: float) -> np.ndarray:
+    """x that makes |y - x|^2 + lamb |second differences of x|^2 least."""
+    return _eliminated(*_diagonals(np.arange(len(y)), len(y), lamb), y.astype(float)[:, None])[:, 0] if len(y) else y.astype(float)
+
+
+def _coupled(at: np.ndarray, n: int, lamb: float) -> tuple[np.ndarray, np.ndarray]:
+    """How a block's rows hang on the last two values before it and the first two after it: matrices (rows, 2)."""
+    m = len(at)
+    left, right = np.zeros((m, 2)), np.zeros((m, 2))
+    if at[0]:
+        _, one, two = _diagonals(np.array([at[0] - 2, at[0] - 1]), n, lamb)
+        left[0] = two[0], one[1]
+        left[1, 1] = two[1]
+    if at[-1] < n - 1:
+        _, one, two = _diagonals(np.array([at[-1] - 1, at[-1]]), n, lamb)
+        right[-2, 0] = two[0]
+        right[-1] = one[1], two[1]
+    return left, right
+
+
+def _interface(blocks: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Values (before 2, after 2) around each block from its (z, V | W) at its first two and last two rows.
+
+    Unknown are four values a block, the rows of z - V before - W after; this
+    small block-tridiagonal system is eliminated block by block.
+    """
+    k = len(blocks)
+    # x_j = z_j - L_j x_(j-1) - U_j x_(j+1), where only the last two of x_(j-1) and the first two of x_(j+1) count
+    low = [np.c_[np.zeros((4, 2)), v[:, :2]] for _, v in blocks]
+    up = [np.c_[v[:, 2:], np.zeros((4, 2))] for _, v in blocks]
+    gain, off = [], []
+    for j in range(k):
+        a = np.eye(4) - (low[j] @ gain[j - 1] if j else 0)
+        b = blocks[j][0] - (low[j] @ off[j - 1] if j else 0)
+        gain.append(np.linalg.solve(a, up[j]))
+        off.append(np.linalg.solve(a, b))
+    x = [None] * k
+    for j in range(k - 1, -1, -1):
+        x[j] = off[j] - (gain[j] @ x[j + 1] if j + 1 < k else 0)
+    none = np.zeros(2)
+    return [np.r_[x[j - 1][2:] if j else none, x[j + 1][:2] if j + 1 < k else none] for j in range(k)]
+
+
+def hodrick_prescott(df: DataFrame, keys: list[str], order: list[str], value: str, lamb: float = 1600.0, name: str = "trend", chunk: Column | None = None, block: int = 65_536) -> DataFrame:
+    """``name``: the smooth trend of each series, an exact banded solve in time and memory linear in its length.
+
+    A series is one task without ``chunk``. With it (see ``affine``), a series
+    is dealt into blocks of ``block`` rows or a little more: each block is
+    solved for its own values and for what the two values on either side of it
+    do to it, those few numbers a block are solved for together, and every
+    block is solved once more with its neighbours' values known. Values must
+    not be null.
+    """
+    schema, own = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]), df.columns
 
     def one(pdf):
         pdf = pdf.sort_values(order)
         return pdf.assign(**{name: _banded(pdf[value].to_numpy(float), lamb)})
 
-    return df.groupBy(*keys).applyInPandas(one, schema)
+    if chunk is None:
+        return df.groupBy(*keys).applyInPandas(one, schema)
+    rows = positions(df, keys, order, chunk).drop("_chunk")
+    last = F.greatest(F.floor(F.col("_n") / block), F.lit(1)) - 1  # no block is shorter than ``block``, but for a single one
+    rows = rows.withColumn("_b", F.least(F.floor((F.col("_i") - 1) / block), last).cast("long"))
+    groups = [*keys, "_b"]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*groups).schema)
+
+    def ends(key, pdf):
+        pdf = pdf.sort_values("_i")
+        at, n = pdf["_i"].to_numpy() - 1, int(pdf["_n"].iloc[0])
+        rhs = np.c_[pdf[value].to_numpy(float)[:, None], np.zeros((len(at), 4))]
+        if len(at) > 1:
+            rhs[:, 1:] = np.c_[_coupled(at, n, lamb)]
+        x = _eliminated(*_diagonals(at, n, lamb), rhs)[[0, min(1, len(at) - 1), max(len(at) - 2, 0), len(at) - 1]]
+        return pd.DataFrame([[*key, x.ravel().tolist()]], columns=[*groups, "_x"])
+
+    def around(key, pdf):
+        pdf = pdf.sort_values("_b")
+        x = [np.array(v).reshape(4, 5) for v in pdf["_x"]]
+        found = _interface([(v[:, 0], v[:, 1:]) for v in x]) if len(x) > 1 else [np.zeros(4)]
+        return pd.DataFrame({c: pdf[c].to_numpy() for c in groups} | {"_x": [v.tolist() for v in found]})
+
+    def solve(pdf):
+        pdf = pdf.sort_values("_i")
+        at, n, y = pdf["_i"].to_numpy() - 1, int(pdf["_n"].iloc[0]), pdf[value].to_numpy(float).copy()
+        if len(at) > 1:
+            y -= np.c_[_coupled(at, n, lamb)] @ np.array(pdf["_x"].iloc[0])
+        return pdf[own].assign(**{name: _eliminated(*_diagonals(at, n, lamb), y[:, None])[:, 0]})
+
+    known = rows.groupBy(*groups).applyInPandas(ends, f"{kinds}, _x array<double>").groupBy(*keys).applyInPandas(around, f"{kinds}, _x array<double>")  # a row a block
+    return rows.join(known, groups).groupBy(*groups).applyInPandas(solve, schema)
 
 
 def threshold_filter(df: DataFrame, keys: list[str], value: str, share: float = 0.05, name: str = "filtered") -> DataFrame:
@@ -198,42 +291,14 @@ def scan(df: DataFrame, keys: list[str], order: list[str], inputs: list[Column],
     return whole.mapInArrow(run, schema)
 
 
-def ewma(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: float, adjust: bool = False, name: str = "ewma") -> DataFrame:
-    """Exponentially weighted mean: recursive from the first value, or adjusted by the weights seen so far."""
-    b = 1 - alpha
-
-    def recursive(s, x):
-        s = x if s is None else b * s + alpha * x
-        return s, s
+def ewma(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: float, adjust: bool = False, name: str = "ewma", chunk: Column | None = None) -> DataFrame:
+    """Exponentially weighted mean: recursive from the first value, or adjusted by the weights seen so far.
 
-    def adjusted(s, x):
-        num, den = (0.0, 0.0) if s is None else s
-        num, den = b * num + x, b * den + 1
-        return (num, den), num / den
-
-    return scan(df, keys, order, [F.col(value)], adjusted if adjust else recursive, name)
-
-
-def affine_scan(df: DataFrame, keys: list[str], chunk: Column, order: list[str], b: float, c: Column, start: Column, name: str) -> DataFrame:
-    """``name``: s = b * s_before + c along each series, from ``start`` before its first row, cut into chunks for few very long series.
-
-    ``chunk`` must not fall along the series (a day, say). A chunk is one affine
-    map of the state before it, summed in parallel; only the maps, a row for
-    each chunk, are composed in order; then every chunk is walked on its own.
-    ``c`` and ``start`` may use columns of the row only; nulls are not allowed.
+    Nulls keep the mean and get none. ``chunk``, as in ``affine.affine_scan``, is for few very long series.
     """
-    rows = df.withColumns({"_chunk": chunk, "_c": c.cast("double"), "_start": start.cast("double")})
-    maps = rows.withColumn("_back", F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(*[F.desc(o) for o in order])) - 1)
-    maps = maps.groupBy(*keys, "_chunk").agg(F.pow(F.lit(b), F.count("*")).alias("_b"), F.sum(F.col("_c") * F.pow(F.lit(b), F.col("_back"))).alias("_sum"), F.min_by("_start", F.struct(*order)).alias("_start"))
-
-    def compose(s, scale, add, first):
-        before = first if s is None else s
-        return scale * before + add, before
-
-    def walk(s, x, before):
-        s = b * (before if s is None else s) + x
-        return s, s
-
-    before = scan(maps, keys, ["_chunk"], [F.col("_b"), F.col("_sum"), F.col("_start")], compose, "_before").select(*keys, "_chunk", "_before")
-    joined = rows.drop("_start").join(before, [*keys, "_chunk"])
-    return scan(joined, [*keys, "_chunk"], order, [F.col("_c"), F.col("_before")], walk, name).select(*df.columns, name)
+    x, b = F.col(value), 1 - alpha
+    if adjust:
+        paths = {"_num": (b, x, 0.0), "_den": (b, F.when(x.isNotNull(), 1.0), 0.0)}
+        return affine_scan(df, keys, order, paths, chunk=chunk).withColumn(name, F.col("_num") / F.col("_den")).drop("_num", "_den")
+    first = F.min_by(x, F.when(x.isNotNull(), F.struct(*order)))
+    return affine_scan(df, keys, order, {name: (b, alpha * x, F.col("_first"))}, {"_first": first}, chunk)
