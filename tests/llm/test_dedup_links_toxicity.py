@@ -376,3 +376,8 @@ def test_vectors_of_each_length_are_linked_as_they_are(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.link_vectors(df, recall=1).collect()}
     assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (0, 8), 9: (1, 9), 10: (1, 9)}
+
+
+def test_places_for_other_words_grow_with_the_texts():
+    bits = [toxicity.other_bits(n) for n in (0, 10**6, 10**9, 10**12, 10**14)]
+    assert bits == sorted(bits) and bits[:2] == [24, 24] and bits[3] >= 30 and bits[4] > bits[3]

@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import zlib
 
 import pytest
@@ -41,6 +43,51 @@ def test_shards_prune_on_every_dimension(spark):
     assert sum(r.s for r in per) < 16 * 10 * 0.6
 
 
+def _curve(point, bits):
+    """The published transform of axes to a Hilbert index, by loops."""
+    x, n = list(point), len(point)
+    q = 1 << (bits - 1)
+    while q > 1:
+        p = q - 1
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= p
+            else:
+                t = (x[0] ^ x[i]) & p
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << (bits - 1)
+    while q > 1:
+        if x[-1] & q:
+            t ^= q - 1
+        q >>= 1
+    x = [v ^ t for v in x]
+    return int("".join(str(x[i] >> b & 1) for b in range(bits - 1, -1, -1) for i in range(n)), 2)
+
+
+def test_shards_equal_a_brute_force_placement(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["", "a", "é", "xyz"]) * rng.randint(0, 900) if i % 9 else None, rng.choice(["en", "de", None]), rng.choice(["s1", "s2", "s3", None])) for i in range(200)] + [(5, "a", "en", "s1")] * 3
+    code = lambda c: 0 if c is None else zlib.crc32(c.encode()) % 32
+    want = []
+    for i, t, lang, source in rows:
+        raw = (t or "").encode()
+        size = len(raw) + 1
+        want.append((_curve((code(source), min(31, int(math.log2(size) * 2)), code(lang)), 5), i, size, zlib.crc32(raw)))
+    want.sort(key=lambda r: r[0])
+    got = hilbert_shards.shard_documents(spark.createDataFrame(rows, DOCS), 8).collect()
+    assert sorted((r["cell"], r["doc_id"], r["size"], r["text_crc32"]) for r in got) == sorted(want)
+    n, at = len(want), 0
+    for shard in range(8):
+        count = n // 8 + (shard < n % 8)
+        here = sorted((r for r in got if r["shard"] == shard), key=lambda r: r["slot"])
+        assert [r["slot"] for r in here] == list(range(count)) and [r["cell"] for r in here] == [w[0] for w in want[at : at + count]]
+        at += count
+
+
 PAGES = "page_id long, url string, html string"
 
 

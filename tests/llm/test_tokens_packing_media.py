@@ -58,6 +58,9 @@ def test_encode_decode_round_trip(spark):
         want = (t or "").replace("▁", " ")
         assert got[i].text == want and got[i].text_sha256 == hashlib.sha256(want.encode()).hexdigest()
     assert got[0].ids == [] and got[1].ids == []
+    twice = _docs(spark, TEXTS[3:6]).union(_docs(spark, TEXTS[3:6]))
+    again = sentencepiece_codec.decode(sentencepiece_codec.encode(twice, PIECES), PIECES).collect()
+    assert sorted((r.doc_id, tuple(r.ids)) for r in again) == sorted(2 * [(i, tuple(got[i + 3].ids)) for i in range(3)])
     assert sentencepiece_codec.encode(_docs(spark, TEXTS).limit(0), PIECES).count() == 0
 
 
@@ -189,9 +192,9 @@ def test_null_and_broken_files_are_told(spark):
     got = {r.doc_id: r for r in matroska.read_back(df).collect()}
     assert got[1].media_bytes is None and got[1].error is None
     assert got[2].payload_sha256 is None and got[2].media_bytes == len(whole) - 5 and got[2].error
-    assert got[3].payload_bytes == 0 and got[4].payload_bytes == 576 and got[4].error is None
+    assert got[3].payload_bytes is None and got[3].media_bytes == 0 and got[3].error == "no EBML header" and got[4].payload_bytes == 576 and got[4].error is None
     table = matroska.packets(df).collect()
-    assert sorted((r.doc_id, r.length, r.error is None) for r in table) == [(2, None, False), (4, 576, True)]
+    assert sorted((r.doc_id, r.length, r.error is None) for r in table) == [(2, None, False), (3, None, False), (4, 576, True)]
 
 
 def test_tracks_keep_their_own_pace_and_references_are_no_keyframes():

@@ -164,7 +164,10 @@ def parse(data: bytes) -> tuple[list[tuple[int, int, int, bool, int, int]], dict
 
     Frames of a lace follow each other by their own track's default duration. A
     block of a group is a keyframe unless the group refers to another block.
+    Data that doesn't begin with an EBML header, none at all too, is broken.
     """
+    if data[:4] != EBML.to_bytes(4, "big"):
+        raise ValueError("no EBML header")
     found, clusters, cues, segment, scale, stamp = [], [], [], 0, 1_000_000, 0
     tracks, inter, group = [], set(), 0
     uint = lambda a, b: int.from_bytes(data[a:b], "big")

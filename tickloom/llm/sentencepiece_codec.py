@@ -131,7 +131,11 @@ def vocabulary(path: str) -> Pieces:
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
-    """(doc_id, ids array<int>) of every document; a null text counts as empty. Other columns are ignored, repeated rows kept."""
+    """(doc_id, ids array<int>) of every document; a null text counts as empty. Other columns are ignored, repeated rows kept.
+
+    The pieces write a blank as U+2581, so a text that holds that character
+    gets the ids of a blank there, and decodes with a blank.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
@@ -147,7 +151,10 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """(doc_id, ids, text, text_sha256) of encoded documents; null ids give an empty text."""
+    """(doc_id, ids, text, text_sha256) of encoded documents; null ids give an empty text.
+
+    The text is the encoded one, but for U+2581, which comes back as a blank.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)

@@ -17,6 +17,7 @@ counted, so that chance sightings hardly speak for a class.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -36,8 +37,8 @@ PASSAGE, WORST = 4, 5
 DISCOUNT = 0.75
 #: An expression counted n times has n / (n + LEAN) of its own evidence; the same at every table size.
 LEAN = 8
-#: Places of words outside the vocabulary, as words before one.
-_OTHERS = 1 << 24
+#: Places for words outside the vocabulary, as words before one: 2 to a power that grows with the bytes of all texts.
+LEAST_BITS = 24
 _BUCKETS = 4096
 
 
@@ -88,13 +89,18 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(out).astype(np.int64)
 
 
-def _preceded(sent, most: int = 3 << 20):
+def other_bits(text_bytes: int) -> int:
+    """Bits that tell words outside the vocabulary: places for sixteen times the words that n running ones may hold, n to the three quarters."""
+    return min(40, max(LEAST_BITS, 4 + math.ceil(0.75 * math.log2(max(text_bytes, 2) / 6 + 1))))
+
+
+def _preceded(sent, others: int, most: int = 3 << 20):
     """(bucket, codes): a task's distinct pairs of a vocabulary word and the word before it, or the start of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = sent.value
         v = len(vocabulary)
-        base = v + 1 + _OTHERS
+        base = v + 1 + others
         per = -(-v * base // _BUCKETS)
 
         def out(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -108,7 +114,7 @@ def _preceded(sent, most: int = 3 << 20):
             h, d = _text_words(b["text"])
             if len(h):
                 at = _places(vocabulary, h)
-                seen = np.where(at >= 0, at, v + 1 + (mix(h) % np.uint64(_OTHERS)).astype(np.int64))
+                seen = np.where(at >= 0, at, v + 1 + (mix(h) % np.uint64(others)).astype(np.int64))
                 held.append(np.unique((at * base + _before(seen, d, v))[at >= 0]))
                 n += len(held[-1])
             if n >= most:
@@ -119,11 +125,11 @@ def _preceded(sent, most: int = 3 << 20):
     return run
 
 
-def _types(v: int):
+def _types(v: int, others: int):
     """(word, n) from sorted (bucket, codes): how many distinct words come before each word; one bucket is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = v + 1 + _OTHERS
+        base = v + 1 + others
         per = -(-v * base // _BUCKETS)
 
         def out(bucket: int | None, held: list[np.ndarray]) -> pa.RecordBatch:
@@ -149,13 +155,15 @@ def _types(v: int):
 def continuations(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     """After how many distinct words, the start of a text among them, each word of a sorted vocabulary is found in ``docs``.
 
-    Every text counts. Tasks send their distinct pairs as packed steps, about
-    two bytes each; words outside the vocabulary are told by 24 bits.
+    Every text counts. Tasks send their distinct pairs as packed steps of a few
+    bytes each; words outside the vocabulary are told by ``other_bits`` of the
+    bytes of all texts, so that counts go on growing with the corpus.
     """
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    packed = docs.select("text").mapInArrow(_preceded(sent), "bucket int, codes binary")
+    others = 1 << other_bits(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    packed = docs.select("text").mapInArrow(_preceded(sent, others), "bucket int, codes binary")
     dealt = packed.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
-    counts = dealt.mapInArrow(_types(len(vocabulary)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    counts = dealt.mapInArrow(_types(len(vocabulary), others), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(vocabulary))
     out[counts["word"].to_numpy()] = counts["n"].to_numpy()
     return out
