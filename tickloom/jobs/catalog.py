@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.basic import calendar, finite, safe_divide, uniform
 from ..operators import align, bars, bootstrap, clean, densities, describe, diagnostics, fits, realized, regress, series, volatility
 from . import inference, models  # noqa: F401  register their queries
-from .tables import DAILY, PANEL, PRETS, RETS, TICKS, daily, daily_returns, panel, panel_returns, table, ticks
+from .tables import DAILY, GAPS, PANEL, PRETS, RETS, TICKS, daily, daily_returns, gaps, panel, panel_returns, table, ticks
 from .tools import NUDGE, oracle_sql, queries, query, rounded  # noqa: F401
 
 _D, _T = ["asset"], ["ts"]
@@ -192,35 +192,27 @@ def r10_fixed_sampling(spark, d):
 
 # -- cleaning -----------------------------------------------------------------
 
-_GAPS = f"{PANEL}, g AS (SELECT asset, ts, CASE WHEN (epoch_us(ts) // 86400000000 + asset) % 3 <> 0 THEN value END AS value FROM panel)"
-
-
-def _gaps(spark, d):
-    day = F.floor(F.unix_micros("ts") / 86_400_000_000)
-    return panel(spark, d).withColumn("value", F.when(F.pmod(day + F.col("asset"), F.lit(3)) != 0, F.col("value")))
-
-
-@query(f"""WITH {_GAPS} SELECT asset, ts::DATE::VARCHAR AS day, round(last_value(value IGNORE NULLS) OVER (PARTITION BY asset ORDER BY ts), 3) AS ffill,
+@query(f"""WITH {GAPS} SELECT asset, ts::DATE::VARCHAR AS day, round(last_value(value IGNORE NULLS) OVER (PARTITION BY asset ORDER BY ts), 3) AS ffill,
   round(first_value(value IGNORE NULLS) OVER (PARTITION BY asset ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 3) AS bfill,
   round(last_value(value IGNORE NULLS) OVER (PARTITION BY asset ORDER BY ts ROWS 1 PRECEDING), 3) AS ffill_1 FROM g""")
 def c2_fill(spark, d):
-    g = _gaps(spark, d).withColumns({"ffill": F.col("value"), "bfill": F.col("value"), "ffill_1": F.col("value")})
+    g = gaps(spark, d).withColumns({"ffill": F.col("value"), "bfill": F.col("value"), "ffill_1": F.col("value")})
     g = clean.fill(clean.fill(clean.fill(g, _D, _T, "ffill"), _D, _T, "bfill", "bfill"), _D, _T, "ffill_1", "ffill", 1)
     return rounded(g, 3, "ffill", "bfill", "ffill_1").select("asset", F.to_date("ts").cast("string").alias("day"), "ffill", "bfill", "ffill_1")
 
 
-@query(f"""WITH {_GAPS}, o AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY ts) AS i FROM g),
+@query(f"""WITH {GAPS}, o AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY ts) AS i FROM g),
 e AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN i END IGNORE NULLS) OVER (PARTITION BY asset ORDER BY i) AS pi, last_value(value IGNORE NULLS) OVER (PARTITION BY asset ORDER BY i) AS pv,
   first_value(CASE WHEN value IS NOT NULL THEN i END IGNORE NULLS) OVER (PARTITION BY asset ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS qi,
   first_value(value IGNORE NULLS) OVER (PARTITION BY asset ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS qv FROM o)
 SELECT asset, ts::DATE::VARCHAR AS day, round(coalesce(value, pv + (qv - pv) * (i - pi) / nullif(qi - pi, 0), pv), 3) AS value FROM e""")
 def c3_interpolate(spark, d):
-    return rounded(clean.fill(_gaps(spark, d), _D, _T, "value", "linear"), 3, "value").select("asset", F.to_date("ts").cast("string").alias("day"), "value")
+    return rounded(clean.fill(gaps(spark, d), _D, _T, "value", "linear"), 3, "value").select("asset", F.to_date("ts").cast("string").alias("day"), "value")
 
 
-@query(f"""WITH {_GAPS} SELECT asset, ts::DATE::VARCHAR AS day, round(coalesce(value, avg(value) OVER (PARTITION BY asset)), 3) AS mean, round(coalesce(value, median(value) OVER (PARTITION BY asset)), 3) AS median FROM g""")
+@query(f"""WITH {GAPS} SELECT asset, ts::DATE::VARCHAR AS day, round(coalesce(value, avg(value) OVER (PARTITION BY asset)), 3) AS mean, round(coalesce(value, median(value) OVER (PARTITION BY asset)), 3) AS median FROM g""")
 def c5_fill_statistic(spark, d):
-    g = _gaps(spark, d).withColumns({"mean": F.col("value"), "median": F.col("value")})
+    g = gaps(spark, d).withColumns({"mean": F.col("value"), "median": F.col("value")})
     g = clean.fill_statistic(clean.fill_statistic(g, _D, "mean"), _D, "median", "median")
     return rounded(g, 3, "mean", "median").select("asset", F.to_date("ts").cast("string").alias("day"), "mean", "median")
 
@@ -606,17 +598,20 @@ def v17_constant_correlation(spark, d):
 
 # -- wide merge, densities, model choice --------------------------------------
 
-_PRIORITIES = ["1-URGENT", "2-HIGH", "5-LOW"]
+_PRIORITIES = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "none", "5-LOW": "low"}
 _FAMILIES = {"laplace": ("laplace", 1.0), "normal": ("normal", 1.0), "t4": ("t", 4.0), "ged2": ("ged", 2.0)}
 
 
-@query(f"""WITH {DAILY}, s AS (SELECT * FROM daily WHERE asset IN ('1-URGENT', '2-HIGH', '5-LOW')),
+_WIDE = ", ".join(f"round(max(v) FILTER (WHERE asset = '{p}'), 3) AS \"{a}\"" for p, a in _PRIORITIES.items())
+
+
+@query(f"""WITH {DAILY},
 f AS (SELECT t.ts, a.asset, last_value(s.value IGNORE NULLS) OVER (PARTITION BY a.asset ORDER BY t.ts ROWS UNBOUNDED PRECEDING) AS v
-  FROM (SELECT DISTINCT ts FROM s) t CROSS JOIN (SELECT DISTINCT asset FROM s) a LEFT JOIN s ON s.ts = t.ts AND s.asset = a.asset)
-SELECT ts::DATE::VARCHAR AS day, round(max(v) FILTER (WHERE asset = '1-URGENT'), 3) AS urgent, round(max(v) FILTER (WHERE asset = '2-HIGH'), 3) AS high, round(max(v) FILTER (WHERE asset = '5-LOW'), 3) AS low FROM f GROUP BY ts""")
+  FROM (SELECT DISTINCT ts FROM daily) t CROSS JOIN (SELECT DISTINCT asset FROM daily) a LEFT JOIN daily s ON s.ts = t.ts AND s.asset = a.asset)
+SELECT ts::DATE::VARCHAR AS day, {_WIDE} FROM f GROUP BY ts""")
 def j6_merge_wide(spark, d):
-    w = align.merge_wide(daily(spark, d), "asset", "ts", "value", _PRIORITIES)
-    return rounded(w.select(F.to_date("ts").cast("string").alias("day"), *[F.col(f"`{p}`").alias(a) for p, a in zip(_PRIORITIES, ("urgent", "high", "low"), strict=True)]), 3, "urgent", "high", "low")
+    w = align.merge_wide(daily(spark, d), "asset", "ts", "value", list(_PRIORITIES))
+    return rounded(w.select(F.to_date("ts").cast("string").alias("day"), *[F.col(f"`{p}`").alias(a) for p, a in _PRIORITIES.items()]), 3, *_PRIORITIES.values())
 
 
 _FIT = f"""{RETS}, m AS (SELECT asset, avg(ret) AS mu, stddev_pop(ret) AS s FROM rets GROUP BY asset),

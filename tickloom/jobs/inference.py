@@ -7,9 +7,9 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions.distributions import hansen, log_constant
-from ..operators import arma, bootstrap, diagnostics, fits, multivariate, regress, series, volatility
+from ..operators import arma, bootstrap, clean, diagnostics, fits, multivariate, regress, series, volatility
 from .models import _DCC, _FILTER, _R, _day, _given, _level_path, _rets, _two, _zz
-from .tables import DAILY, PANEL, daily, panel, table
+from .tables import DAILY, GAPS, PANEL, daily, gaps, panel, table
 from .tools import query, rounded
 
 _D, _T = ["asset"], ["ts"]
@@ -230,3 +230,27 @@ def x8_residuals_in_chunks(spark, d):
 def v19_correlation_in_chunks(spark, d):
     chunk = F.floor(F.unix_micros("ts") / (100 * 86_400_000_000))
     return rounded(multivariate.dynamic_correlation(_zz(spark, d), 0.05, 0.9, chunk), 6, "corr").select(_day(), "i", "j", "corr")
+
+
+# -- gaps and trends of cut series ------------------------------------------------------
+
+
+@query(f"""WITH {GAPS}, o AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY ts) AS i FROM g),
+e AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN i END IGNORE NULLS) OVER (PARTITION BY asset ORDER BY i) AS pi, last_value(value IGNORE NULLS) OVER (PARTITION BY asset ORDER BY i) AS pv,
+first_value(CASE WHEN value IS NOT NULL THEN i END IGNORE NULLS) OVER (PARTITION BY asset ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS qi,
+first_value(value IGNORE NULLS) OVER (PARTITION BY asset ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS qv FROM o)
+SELECT asset, ts::DATE::VARCHAR AS day, round(pv, 3) AS ffill, CASE WHEN qi - i <= 1 THEN round(qv, 3) END AS bfill_1, round(coalesce(value, pv + (qv - pv) * (i - pi) / nullif(qi - pi, 0), pv), 3) AS linear FROM e""")
+def c2_c3_fill_in_chunks(spark, d):
+    """Fills of series cut into months, in which no window spans a series."""
+    chunk = F.floor(F.unix_micros("ts") / (30 * 86_400_000_000))
+    g = gaps(spark, d).withColumns({"ffill": F.col("value"), "bfill_1": F.col("value"), "linear": F.col("value")})
+    g = clean.fill(clean.fill(g, _D, _T, "ffill", chunk=chunk), _D, _T, "bfill_1", "bfill", 1, chunk)
+    g = clean.fill(g, _D, _T, "linear", "linear", chunk=chunk)
+    return rounded(g, 3, "ffill", "bfill_1", "linear").select("asset", _day(), "ffill", "bfill_1", "linear")
+
+
+@query(None)
+def w11_trend_in_blocks(spark, d):
+    """The trend of series cut into blocks of about 256 days; tests hold it against the whole solve."""
+    chunk = F.floor(F.unix_micros("ts") / (200 * 86_400_000_000))
+    return rounded(series.hodrick_prescott(daily(spark, d), _D, _T, "value", 1600.0, chunk=chunk, block=256), 2, "trend").select("asset", _day(), "trend")

@@ -33,6 +33,7 @@ TICKS = """ticks AS (SELECT event_type AS symbol, CAST(CAST(ts AS DATE) AS VARCH
 DAILY = "daily AS (SELECT o_orderpriority AS asset, o_orderdate AS ts, avg(o_totalprice) AS value FROM orders GROUP BY ALL)"
 PANEL = "panel AS (SELECT l_suppkey AS asset, l_shipdate AS ts, avg(l_extendedprice) AS value FROM lineitem GROUP BY ALL)"
 RETS = f"{DAILY}, rets AS (SELECT *, ln(value / lag(value) OVER (PARTITION BY asset ORDER BY ts)) AS ret FROM daily)"
+GAPS = f"{PANEL}, g AS (SELECT asset, ts, CASE WHEN (epoch_us(ts) // 86400000000 + asset) % 3 <> 0 THEN value END AS value FROM panel)"
 PRETS = f"{PANEL}, prets AS (SELECT *, ln(value / lag(value) OVER (PARTITION BY asset ORDER BY ts)) AS ret FROM panel)"
 
 
@@ -46,3 +47,9 @@ def panel_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.series import returns
 
     return returns(panel(spark, sf_dir), ["asset"], ["ts"], "value").where("ret is not null")
+
+
+def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel without the value of every third day."""
+    day = F.floor(F.unix_micros("ts") / 86_400_000_000)
+    return panel(spark, sf_dir).withColumn("value", F.when(F.pmod(day + F.col("asset"), F.lit(3)) != 0, F.col("value")))

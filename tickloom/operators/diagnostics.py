@@ -152,48 +152,85 @@ def _least_aic(rows: DataFrame, keys: list[str], extra: list[str], most: int, co
     return g.where("n > 0").mapInPandas(run, f"{kinds}statistic double, lags int, n long")
 
 
-def bds(df: DataFrame, keys: list[str], order: list[str], value: str, dimension: int = 2, epsilon: float = 0.5, block: int = 512) -> DataFrame:
+def bds(df: DataFrame, keys: list[str], order: list[str], value: str, dimension: int = 2, epsilon: float = 0.5, block: int = 512, least: int | None = None) -> DataFrame:
     """(keys, dimension, statistic, p_value, c1, cm, n): nearness of runs of ``dimension`` values against what independence gives.
 
-    Two values are near within ``epsilon`` deviations. A series is dealt into
-    pairs of position blocks, so a task holds two blocks and counts one
-    square of the pairs; only counts are shuffled on.
+    With ``least``, all dimensions from that one up come from one pass. Two
+    values are near within ``epsilon`` deviations; dimension m looks at the
+    rows that m - 1 others follow. A series is cut into blocks by value, and
+    only blocks whose ranges come near each other meet, each pair in one task;
+    runs are followed from the near pairs, so counts of all dimensions come
+    from one comparison, and only counts are shuffled on.
     """
+    first, most = least or dimension, dimension
     w, group = ordered(keys, order), Window.partitionBy(*keys)
-    lead = [F.lead(value, k).over(w) for k in range(dimension)]
+    lead = [F.lead(value, k).over(w) for k in range(most)]
     rows = df.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(group), "_eps": F.stddev_samp(value).over(group) * epsilon, "_m": F.array(*lead)})
-    rows = rows.where(F.col("_i") + dimension <= F.col("_n")).withColumn("_b", F.floor(F.col("_i") / block).cast("int"))
-    last = F.floor((F.col("_n") - dimension) / block).cast("int")
-    sides = F.concat(F.transform(F.sequence(F.lit(0), last), lambda o: F.struct(F.least("_b", o).alias("p"), F.greatest("_b", o).alias("q"))))
-    dealt = rows.withColumn("_s", F.explode(sides)).select(*keys, "_s.p", "_s.q", "_b", "_i", "_n", "_eps", "_m")
+    rows = rows.where(F.col("_i") + first <= F.col("_n")).withColumn("_b", F.floor((F.row_number().over(group.orderBy(value, *order)) - 1) / block).cast("int"))
+    spans = rows.groupBy(*keys, "_b").agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.first("_eps").alias("eps"))
+    side = lambda c: spans.select(*keys, F.col("_b").alias(c), F.col("lo").alias(f"lo_{c}"), F.col("hi").alias(f"hi_{c}"), F.col("eps").alias(f"eps_{c}"))
+    met = side("p").join(side("q"), keys).where("p <= q and lo_q - hi_p < eps_p").select(*keys, "p", "q")  # a row a pair of blocks
+    both = met.select(*keys, "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("_b"))
+    dealt = both.join(rows.select(*keys, "_b", "_i", "_n", "_eps", "_m"), [*keys, "_b"])
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)
     own = [*keys, "p", "q"]
 
     def count(key, pdf):
         p, q = key[-2], key[-1]
         a, b = pdf[pdf["_b"] == p], pdf[pdf["_b"] == q]
-        x, y = np.stack(a["_m"].to_numpy()), np.stack(b["_m"].to_numpy())
-        near = np.abs(x[:, None, :] - y[None, :, :]) < pdf["_eps"].iloc[0]
-        one, run = near[:, :, 0], near.all(2)
+        eps, n, out = pdf["_eps"].iloc[0], int(pdf["_n"].iloc[0]), []
+        x, y = (np.array([[np.nan if v is None else v for v in r] for r in t["_m"]], float) for t in (a, b))
+        i, j = a["_i"].to_numpy(), b["_i"].to_numpy()
+        one = np.abs(x[:, None, 0] - y[None, :, 0]) < eps
         if p == q:
-            upper = np.triu(np.ones(one.shape, bool), 1)
-            one, run = one & upper, run & upper
-        parts = [pd.DataFrame({"_i": a["_i"].to_numpy(), "c": one.sum(1), "m": run.sum(1)}), pd.DataFrame({"_i": b["_i"].to_numpy(), "c": one.sum(0), "m": run.sum(0)})]
-        out = pd.concat(parts).groupby("_i", as_index=False).sum()
-        for name, v in zip(keys, key):
-            out[name] = v
-        out["n"] = int(pdf["_n"].iloc[0]) - dimension + 1
-        return out[[*keys, "_i", "c", "m", "n"]]
-
-    counted = dealt.groupBy(*own).applyInPandas(count, f"{kinds}, _i long, c long, m long, n long")
-    each = counted.groupBy(*keys, "_i").agg(F.sum("c").alias("c"), F.sum("m").alias("m"), F.first("n").alias("n"))
-    s = each.groupBy(*keys).agg(F.first("n").alias("n"), F.sum("c").alias("_c"), F.sum("m").alias("_m"), F.sum(F.col("c") * (F.col("c") - 1)).alias("_k"))
+            one &= i[:, None] < j[None, :]
+        u, v = np.nonzero(one)
+        run = np.ones(len(u), bool)
+        for m in range(1, most + 1):
+            if m > 1:
+                run &= np.abs(x[u, m - 1] - y[v, m - 1]) < eps
+            if m >= first:
+                fits = (i[u] + m <= n) & (j[v] + m <= n)
+                c = np.bincount(u, fits, len(i)), np.bincount(v, fits, len(j))
+                r = np.bincount(u, fits & run, len(i)), np.bincount(v, fits & run, len(j))
+                out += [pd.DataFrame({"_i": at, "dimension": m, "c": k, "m": h}) for at, k, h in ((i, c[0], r[0]), (j, c[1], r[1]))]
+        out = pd.concat(out).groupby(["_i", "dimension"], as_index=False).sum()
+        for name, k in zip(keys, key):
+            out[name] = k
+        out["n"] = n - out["dimension"] + 1
+        return out[[*keys, "dimension", "_i", "c", "m", "n"]].astype({"c": "int64", "m": "int64"})
+
+    counted = dealt.groupBy(*own).applyInPandas(count, f"{kinds}, dimension int, _i long, c long, m long, n long")
+    each = counted.where("_i < n").groupBy(*keys, "dimension", "_i").agg(F.sum("c").alias("c"), F.sum("m").alias("m"), F.first("n").alias("n"))
+    s = each.groupBy(*keys, "dimension").agg(F.first("n").alias("n"), F.sum("c").alias("_c"), F.sum("m").alias("_m"), F.sum(F.col("c") * (F.col("c") - 1)).alias("_k"))
     n = F.col("n")
     s = s.withColumns({"c1": F.col("_c") / (n * (n - 1)), "cm": F.col("_m") / (n * (n - 1)), "_kk": F.col("_k") / (n * (n - 1) * (n - 2))})
-    c, k, m = F.col("c1"), F.col("_kk"), dimension
-    var = k**m + 2 * sum((k ** (m - j) * c ** (2 * j) for j in range(1, m)), F.lit(0.0)) + (m - 1) ** 2 * c ** (2 * m) - m**2 * k * c ** (2 * m - 2)
-    stat = F.sqrt(n) * (F.col("cm") - c**m) / F.sqrt(4 * var)
-    return s.select(*keys, F.lit(m).alias("dimension"), stat.alias("statistic"), (2 * (1 - normal_cdf(F.abs(stat)))).alias("p_value"), "c1", "cm", "n")
+
+    def spread(m: int):
+        c, k = F.col("c1"), F.col("_kk")
+        var = k**m + 2 * sum((k ** (m - j) * c ** (2 * j) for j in range(1, m)), F.lit(0.0)) + (m - 1) ** 2 * c ** (2 * m) - m**2 * k * c ** (2 * m - 2)
+        return F.sqrt(n) * (F.col("cm") - c**m) / F.sqrt(4 * var)
+
+    stat = F.coalesce(*[F.when(F.col("dimension") == m, spread(m)) for m in range(first, most + 1)])
+    out = s.withColumn("statistic", stat)
+    return out.select(*keys, "dimension", "statistic", (2 * (1 - normal_cdf(F.abs("statistic")))).alias("p_value"), "c1", "cm", "n")
+
+
+def residual_summary(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """(keys, mean, std, min, max, n, jarque_bera, jarque_bera_p, durbin_watson, white, white_p): residuals of every series in one row.
+
+    The deviation is of the population; White's test is on the position along
+    the series, its square and a constant.
+    """
+    x = F.col(value)
+    out = df.groupBy(*keys).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.count(x).alias("n"))
+    at = df.withColumn("_t", F.row_number().over(ordered(keys, order)).cast("double"))
+    parts = {"jarque_bera": jarque_bera(df, keys, value), "durbin_watson": durbin_watson(df, keys, order, value), "white": white(at, keys, ["_t"], value)}
+    for name, t in parts.items():
+        p = [F.col("p_value").alias(f"{name}_p")] if name != "durbin_watson" else []
+        t = t.select(*keys, F.col("statistic").alias(name), *p)
+        out = out.join(t, keys, "left") if keys else out.join(F.broadcast(t))
+    return out
 
 
 def residual_suite(df: DataFrame, keys: list[str], order: list[str], value: str, lags: int = 5) -> DataFrame:

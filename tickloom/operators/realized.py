@@ -113,17 +113,22 @@ def realized_covariance(ticks: DataFrame, seconds: int) -> DataFrame:
 def signature(ticks: DataFrame, intervals: list[int]) -> DataFrame:
     """(symbol, date, seconds, rv, volatility, rv_filtered, difference_pct): measures against the sampling interval, all intervals in one pass.
 
-    difference_pct is what noise filtering changes of the raw variance. The
-    group's first instant is found before rows are repeated for the intervals.
+    difference_pct is what noise filtering changes of the raw variance. Ticks
+    are sampled at the intervals' greatest common divisor first, as the first
+    tick of an interval is the first of the first such step in it; only those
+    are repeated for the intervals. Returns are taken once, for both sums.
     """
-    us = F.unix_micros("ts")
+    us, step = F.unix_micros("ts"), math.gcd(*intervals)
     began = ticks.withColumn("_us", us - F.min(us).over(Window.partitionBy("symbol", "date")))
-    wide = began.withColumn("seconds", F.explode(F.array(*map(F.lit, intervals))))
-    bucket: Column = F.floor(F.col("_us") / (F.col("seconds").cast("long") * US))
-    first = wide.withColumn("bucket", bucket).groupBy("symbol", "date", "seconds", "bucket").agg(F.min(F.struct("ts", "seq", "price")).alias("_t"))
+    fine = began.groupBy("symbol", "date", F.floor(F.col("_us") / (step * US)).alias("_g")).agg(F.min(F.struct("ts", "seq", "price")).alias("_t"))
+    wide = fine.withColumn("seconds", F.explode(F.array(*map(F.lit, intervals))))
+    bucket: Column = F.floor(F.col("_g") * step / F.col("seconds"))
+    first = wide.withColumn("bucket", bucket).groupBy("symbol", "date", "seconds", "bucket").agg(F.min("_t").alias("_t"))
     keys = ("symbol", "date", "seconds")
-    sampled = first.select("symbol", "date", "seconds", "_t.*")
-    out = realized_variance(sampled, keys).drop("n_returns").join(noise_filtered_variance(sampled, keys), list(keys), "left")
+    r = tick_returns(first.select("symbol", "date", "seconds", "_t.*"), keys)
+    around = F.avg("ret").over(Window.partitionBy(*keys).orderBy("ts", "seq").rowsBetween(-1, 1))
+    r = r.withColumn("_s", F.when(F.col("ret").isNotNull(), around))
+    out = r.groupBy(*keys).agg(F.coalesce(F.sum(F.col("ret") * F.col("ret")), F.lit(0.0)).alias("rv"), F.sum(F.col("_s") * F.col("_s")).alias("rv_filtered"))
     return out.select(*keys, "rv", F.sqrt("rv").alias("volatility"), "rv_filtered", ((F.col("rv_filtered") - F.col("rv")) / F.nullif(F.col("rv"), F.lit(0.0)) * 100).alias("difference_pct"))
 
 
