@@ -357,3 +357,44 @@ def test_confidence_sets_equal_pairs_of_models(spark, kind):
         step += 1
     assert bootstrap.confidence_set(df.limit(0), 5, 0.2).count() == 0
     assert densities.log_pdf(F.lit(0.0)) is not None
+
+
+def test_gaps_visit_few_blocks_and_find_the_nearest(spark):
+    rng = np.random.default_rng(9)
+    x = np.round(rng.uniform(size=(3000, 2)) * 100, 1)
+    x = np.c_[x, x.sum(1)]
+    gap = rng.random(3000) < 0.05
+    x[gap, 2] = np.nan
+    df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "id long, a double, b double, c double")
+    asked, _, blocks = clean.knn_plan(df, "id", ["a", "b", "c"], 3, 50)
+    share = asked.count() / (gap.sum() * blocks)
+    assert blocks >= 59 and share < 0.25
+    got = {r.id: r.c for r in clean.knn_impute(df, "id", ["a", "b", "c"], 3, block=50).collect()}
+    full = np.flatnonzero(~gap)
+    for i in np.flatnonzero(gap):
+        d = np.sqrt(((x[full, :2] - x[i, :2]) ** 2).sum(1) * 3 / 2)
+        assert got[i] == pytest.approx(x[full[np.lexsort((full, d))[:3]], 2].mean())
+    none = df.where("id < 0")
+    assert clean.knn_impute(none, "id", ["a", "b", "c"], 3).count() == 0
+
+
+def test_nearness_of_all_dimensions_and_residual_summaries(spark):
+    x = np.random.default_rng(16).normal(size=130)
+    df = _series(spark, {"a": x}, "v")
+    for block in (512, 20):
+        many = {r.dimension: r for r in diagnostics.bds(df, K, T, "v", 4, 0.7, block, least=2).collect()}
+        for m in (2, 3, 4):
+            one = diagnostics.bds(df, K, T, "v", m, 0.7, block).first()
+            near = np.abs(x[:, None] - x) < 0.7 * x.std(ddof=1)
+            n = 130 - m + 1
+            run = np.logical_and.reduce([near[k : n + k, k : n + k] for k in range(m)]) & ~np.eye(n, dtype=bool)
+            assert many[m].n == n and many[m]["cm"] == pytest.approx(run.sum() / (n * (n - 1)))
+            assert (one.statistic, one.c1) == (pytest.approx(many[m].statistic), pytest.approx(many[m].c1))
+    s = diagnostics.residual_summary(df, K, T, "v").first()
+    t = np.arange(1.0, 131.0)
+    e = x**2
+    b = np.linalg.lstsq(np.c_[np.ones(130), t, t * t], e, rcond=None)[0]
+    r2 = 1 - ((e - np.c_[np.ones(130), t, t * t] @ b) ** 2).sum() / ((e - e.mean()) ** 2).sum()
+    assert s.white == pytest.approx(130 * r2) and s.white_p == pytest.approx(math.exp(-65 * r2), rel=1e-6)
+    assert (s["mean"], s["std"], s.n) == (pytest.approx(x.mean()), pytest.approx(x.std()), 130)
+    assert s.durbin_watson == pytest.approx((np.diff(x) ** 2).sum() / (x**2).sum())

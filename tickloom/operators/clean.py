@@ -105,44 +105,113 @@ def spline(df: DataFrame, keys: list[str], order: list[str], value: str, run: in
     return dealt.groupBy(*keys, "_b").applyInPandas(one, schema).where("_home").select(*df.columns)
 
 
-def knn_impute(df: DataFrame, row_id: str, columns: list[str], k: int = 5, weights: str = "uniform", block: int = 4096) -> DataFrame:
-    """``df`` with gaps of ``columns`` filled from the ``k`` nearest rows that have the value.
+def _boxes(rows: DataFrame, columns: int, n: int, block: int) -> tuple[DataFrame, pd.DataFrame]:
+    """Donors (_id, _v, _box) in blocks of about ``block`` rows that lie together, and the table of blocks: _box, known columns, bounds, rows.
 
-    Distance is over the columns that both rows have, scaled up to all of them.
-    Incomplete rows meet donors block by block: each pair of blocks keeps its k
-    best for each gap, and the best of those are merged, so nothing is
-    broadcast and no task holds more than two blocks.
+    Donors that know the same columns are cut at quantiles of their first known
+    column and, within a cut, into runs along the second. The table has
+    n / ``block`` rows and at most 64 for each set of known columns.
     """
-    v = F.array(*[F.col(c).cast("double") for c in columns])
-    rows = df.select(F.col(row_id).alias("_id"), v.alias("_v"))
-    n = max(1, -(-df.count() // block))
-    side = F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(n - 1))
-    gaps = rows.where(F.exists("_v", lambda x: x.isNull())).withColumns({"_p": side, "_q": F.explode(every)}).withColumn("_ask", F.lit(True))
-    donors = rows.where(F.exists("_v", lambda x: x.isNotNull())).withColumns({"_q": side, "_p": F.explode(every)}).withColumn("_ask", F.lit(False))
+    known = [F.col("_v")[j] for j in range(columns)]
+    values = F.filter("_v", lambda x: x.isNotNull())
+    has = sum((F.when(c.isNotNull(), F.lit(1 << j)).otherwise(F.lit(0)) for j, c in enumerate(known)), F.lit(0))
+    donors = rows.where(F.exists("_v", lambda x: x.isNotNull())).withColumns({"_has": has, "_a": F.get(values, F.lit(0)), "_b": F.get(values, F.lit(1))})
+    m = min(64, max(1, round((n / block) ** 0.5)))
+    if m > 1:
+        cuts = donors.groupBy("_has").agg(F.percentile_approx("_a", [k / m for k in range(1, m)]).alias("_cuts"))  # a row for each set of columns
+        donors = donors.join(cuts, "_has").withColumn("_cell", F.array_size(F.filter("_cuts", lambda c: c < F.col("_a")))).drop("_cuts")
+    else:
+        donors = donors.withColumn("_cell", F.lit(0))
+    run = F.floor((F.row_number().over(Window.partitionBy("_has", "_cell").orderBy("_b", "_a", "_id")) - 1) / block)
+    donors = donors.select("_id", "_v", F.concat_ws(":", "_has", "_cell", run).alias("_box"), "_has")
+    bounds = [f(F.col("_v")[j]).alias(f"{c}{j}") for j in range(columns) for c, f in (("lo", F.min), ("hi", F.max))]
+    return donors, donors.groupBy("_box", "_has").agg(F.count("*").alias("rows"), *bounds).orderBy("_box").toPandas()
+
+
+def _asked(boxes: pd.DataFrame, columns: int, k: int, home: bool):
+    """(_id, _c, _v, _box): for every gap the blocks that may hold one of its ``k`` nearest, or only the nearest block."""
+    has = (boxes["_has"].to_numpy()[:, None] >> np.arange(columns) & 1).astype(bool)
+    lo, hi = (boxes[[f"{c}{j}" for j in range(columns)]].to_numpy(float) for c in ("lo", "hi"))
+    names, enough = boxes["_box"].to_numpy(), boxes["rows"].to_numpy() >= k
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for i, c, v, u in zip(pdf["_id"], pdf["_c"], pdf["_v"], pdf["_u"], strict=True):
+                x = np.array([np.nan if a is None else a for a in v], float)
+                shared = has & ~np.isnan(x)
+                with np.errstate(all="ignore"):
+                    off = np.where(shared, np.maximum(np.maximum(lo - x, x - hi), 0.0), 0.0)
+                    least = np.sqrt((off * off).sum(1) * columns / shared.sum(1))
+                least[~has[:, c] | ~shared.any(1)] = np.inf
+                if home:
+                    order = np.lexsort((np.arange(len(least)), ~enough, least))[:1]
+                    picked = order[np.isfinite(least[order])]
+                else:
+                    picked = np.flatnonzero((least <= (np.inf if np.isnan(u) else u * (1 + 1e-9))) & np.isfinite(least))
+                out += [(i, c, v, names[b]) for b in picked]
+            yield pd.DataFrame(out, columns=["_id", "_c", "_v", "_box"])
+
+    return run
+
+
+def _visited(asked: DataFrame, donors: DataFrame, columns: int, k: int, kind: str, most: int = 4096) -> DataFrame:
+    """(_id, _c, _d, _from, _x): the ``k`` nearest rows of a block to each gap that asks it; what asks one block often is dealt in parts."""
+    parts = asked.groupBy("_box").agg(F.ceil(F.count("*") / most).cast("int").alias("_parts"))
+    ask = asked.join(parts, "_box").select("_box", F.pmod(F.xxhash64("_id", "_c"), F.col("_parts")).cast("int").alias("_part"), "_id", "_c", "_v")
+    give = donors.join(parts, "_box").select("_box", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), "_id", F.lit(-1).alias("_c"), "_v")
 
     def nearest(key, pdf):
-        a, d = pdf[pdf["_ask"]], pdf[~pdf["_ask"]]
-        out = []
-        if len(a) and len(d):
-            x, y = np.array(a["_v"].tolist(), float), np.array(d["_v"].tolist(), float)
-            both = (~np.isnan(x)).astype(float) @ (~np.isnan(y)).astype(float).T
-            x0, y0 = np.nan_to_num(x), np.nan_to_num(y)
-            hx, hy = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
-            s = (x0**2) @ hy.T + hx @ (y0**2).T - 2 * x0 @ y0.T
+        a, d = pdf[pdf["_c"] >= 0], pdf[pdf["_c"] < 0]
+        y = np.array([[np.nan if x is None else x for x in v] for v in d["_v"]], float)
+        ids, out = d["_id"].to_numpy(), []
+        for i, c, v in zip(a["_id"], a["_c"], a["_v"], strict=True):
+            x = np.array([np.nan if q is None else q for q in v], float)
             with np.errstate(all="ignore"):
-                dist = np.sqrt(np.maximum(s, 0) * len(columns) / both)
-            dist[(both == 0) | (a["_id"].to_numpy()[:, None] == d["_id"].to_numpy())] = np.inf
-            for i, r in enumerate(a["_id"]):
-                for c in np.flatnonzero(np.isnan(x[i])):
-                    e = np.where(np.isnan(y[:, c]), np.inf, dist[i])
-                    for m in np.lexsort((d["_id"].to_numpy(), e))[:k]:
-                        if np.isfinite(e[m]):
-                            out.append((r, int(c), float(e[m]), d["_id"].iloc[m], float(y[m, c])))
+                shared = ~np.isnan(y) & ~np.isnan(x)
+                e = np.sqrt(np.where(shared, (y - x) ** 2, 0.0).sum(1) * columns / shared.sum(1))
+            e[~shared.any(1) | np.isnan(y[:, c]) | (ids == i)] = np.inf
+            for m in np.lexsort((ids, e))[:k]:
+                if np.isfinite(e[m]):
+                    out.append((i, c, float(e[m]), ids[m], float(y[m, c])))
         return pd.DataFrame(out, columns=["_id", "_c", "_d", "_from", "_x"])
 
-    kind = rows.schema["_id"].dataType.simpleString()
-    near = gaps.unionByName(donors).groupBy("_p", "_q").applyInPandas(nearest, f"_id {kind}, _c int, _d double, _from {kind}, _x double")
+    return ask.unionByName(give).groupBy("_box", "_part").applyInPandas(nearest, f"_id {kind}, _c int, _d double, _from {kind}, _x double")
+
+
+def knn_plan(df: DataFrame, row_id: str, columns: list[str], k: int = 5, block: int = 4096) -> tuple[DataFrame, DataFrame, int]:
+    """(asked, donors, blocks): which blocks every gap must visit to be sure of its ``k`` nearest rows, as ``knn_impute`` does.
+
+    The nearest block gives each gap k rows and so a bound on the k-th
+    distance; a block is visited if its bounds come as near as that. A gap
+    whose nearest block has fewer than k fitting rows visits them all.
+    """
+    v = F.array(*[F.col(c).cast("double") for c in columns])
+    rows = df.select(F.col(row_id).alias("_id"), v.alias("_v"))
+    kind, m = rows.schema["_id"].dataType.simpleString(), len(columns)
+    n = max(1, df.count())
+    donors, boxes = _boxes(rows, m, n, max(block, n // 250_000))
+    missing = F.filter(F.transform("_v", lambda x, j: F.when(x.isNull(), j.cast("int"))), lambda j: j.isNotNull())
+    gaps = rows.where(F.exists("_v", lambda x: x.isNull())).select("_id", "_v", F.explode(missing).alias("_c"))
+    schema = f"_id {kind}, _c int, _v array<double>, _box string"
+    first = gaps.withColumn("_u", F.lit(None).cast("double")).mapInPandas(_asked(boxes, m, k, True), schema)
+    bound = _visited(first, donors, m, k, kind).groupBy("_id", "_c").agg(F.when(F.count("*") >= k, F.max("_d")).alias("_u"))
+    asked = gaps.join(bound, ["_id", "_c"], "left").mapInPandas(_asked(boxes, m, k, False), schema)
+    return asked, donors, len(boxes)
+
+
+def knn_impute(df: DataFrame, row_id: str, columns: list[str], k: int = 5, weights: str = "uniform", block: int = 4096) -> DataFrame:
+    """``df`` with gaps of ``columns`` filled from the ``k`` nearest rows that have the value.
+
+    Distance is over the columns that both rows have, scaled up to all of them;
+    the smaller id is the nearer of two as near. Ids must be unique and not
+    null. Donors lie in blocks with bounds, and a gap visits only the blocks
+    that can hold one of its k nearest (``knn_plan``): exact, and no task holds
+    more than a block of donors and as many gaps.
+    """
+    kind = df.select(row_id).schema[0].dataType.simpleString()
+    asked, donors, _ = knn_plan(df, row_id, columns, k, block)
+    near = _visited(asked, donors, len(columns), k, kind)
     top = near.withColumn("_r", F.row_number().over(Window.partitionBy("_id", "_c").orderBy("_d", "_from"))).where(F.col("_r") <= k)
     exact = F.max((F.col("_d") == 0).cast("int")).over(Window.partitionBy("_id", "_c"))
     weight = F.lit(1.0) if weights == "uniform" else F.when(exact == 1, (F.col("_d") == 0).cast("double")).otherwise(1 / F.col("_d"))
