@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.functions import basic
 from tickloom.functions import distributions as dist
 from tickloom.operators import affine, arma, bootstrap, clean, densities, describe, diagnostics, fits, multivariate, regress, series, volatility
 
@@ -398,3 +399,10 @@ def test_nearness_of_all_dimensions_and_residual_summaries(spark):
     assert s.white == pytest.approx(130 * r2) and s.white_p == pytest.approx(math.exp(-65 * r2), rel=1e-6)
     assert (s["mean"], s["std"], s.n) == (pytest.approx(x.mean()), pytest.approx(x.std()), 130)
     assert s.durbin_watson == pytest.approx((np.diff(x) ** 2).sum() / (x**2).sum())
+
+
+@pytest.mark.parametrize("n", [0, 1, 15, 16, 17, 100, 255])
+def test_buckets_count_the_cuts_below(spark, n):
+    cuts = [float(2 * k) for k in range(n)]
+    rows = spark.range(-2, 2 * n + 3).select(F.col("id").cast("double").alias("v"))
+    assert all(r.b == sum(c < r.v for c in cuts) for r in rows.select("v", basic.bucket(F.col("v"), cuts).alias("b")).collect())

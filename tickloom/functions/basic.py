@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,11 +32,21 @@ def calendar(ts: Column) -> dict[str, Column]:
 
 
 def bucket(c: Column, cuts: list) -> Column:
-    """How many of the sorted ``cuts`` are below ``c``, by halving: as many comparisons a row as their number has bits."""
+    """How many of the sorted ``cuts`` are below ``c``: a run of cuts is found by halving, and its few cuts are counted."""
+    if len(cuts) < 16:
+        return _halved(c, cuts)
+    step = math.isqrt(len(cuts))
+    runs = [cuts[k : k + step] for k in range(0, len(cuts), step)]
+    run = _halved(c, [r[-1] for r in runs])
+    inside = F.array_size(F.filter(F.get(F.lit(runs), run), lambda x: x < c))
+    return F.least(run * step + F.coalesce(inside, F.lit(0)), F.lit(len(cuts)))
+
+
+def _halved(c: Column, cuts: list) -> Column:
     if not cuts:
         return F.lit(0)
     mid = len(cuts) // 2
-    return F.when(c > cuts[mid], mid + 1 + bucket(c, cuts[mid + 1 :])).otherwise(bucket(c, cuts[:mid]))
+    return F.when(c > cuts[mid], mid + 1 + _halved(c, cuts[mid + 1 :])).otherwise(_halved(c, cuts[:mid]))
 
 
 #: Fixed values of the generator: modulus, multiplier, and the addend of each round.

@@ -58,7 +58,13 @@ def _numbered(counts: DataFrame, cuts: list, number: Column) -> DataFrame:
     return run.withColumn("_upto", upto).join(F.broadcast(base), "_run")
 
 
-def average_ranks(df: DataFrame, column: str, name: str, weight: str | None = None, buckets: int = 256, cuts: list | None = None) -> DataFrame:
+def _rank_table(df: DataFrame, column: str, name: str, weight: str | None, cuts: list) -> DataFrame:
+    """(_v, name): the average rank of every distinct value."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.sum(F.col(weight) if weight else F.lit(1)).alias("_c"))
+    return _numbered(counts, cuts, F.col("_c")).select("_v", (F.col("_base") + F.col("_upto") - (F.col("_c") - 1) / 2).alias(name))
+
+
+def average_ranks(df: DataFrame, column: str, name: str, weight: str | None = None, buckets: int = 256) -> DataFrame:
     """``name``: average rank of ``column`` over the whole table, rows counting ``weight`` times; null for null.
 
     Distinct values are counted first and cut at ``buckets`` quantiles, which
@@ -67,10 +73,8 @@ def average_ranks(df: DataFrame, column: str, name: str, weight: str | None = No
     and nothing depends on how rows are dealt out. A window task holds the
     distinct values of one bucket, so let ``buckets`` grow with their number.
     """
-    known = df.where(F.col(column).isNotNull())
-    cuts = _cuts(known, [column], buckets)[0] if cuts is None else cuts
-    counts = known.groupBy(F.col(column).alias("_v")).agg(F.sum(F.col(weight) if weight else F.lit(1)).alias("_c"))
-    ranked = _numbered(counts, cuts, F.col("_c")).select("_v", (F.col("_base") + F.col("_upto") - (F.col("_c") - 1) / 2).alias(name))
+    cuts = _cuts(df.where(F.col(column).isNotNull()), [column], buckets)[0]
+    ranked = _rank_table(df, column, name, weight, cuts)
     return df.join(ranked, df[column] == ranked["_v"], "left").drop("_v")
 
 
@@ -83,7 +87,10 @@ def spearman(df: DataFrame, x: str, y: str, buckets: int = 256) -> DataFrame:
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("_x"), F.col(y).alias("_y"))
     cuts = _cuts(both, ["_x", "_y"], buckets)
     pairs = both.groupBy("_x", "_y").agg(F.count("*").alias("_w"))
-    r = average_ranks(average_ranks(pairs, "_x", "_rx", "_w", cuts=cuts[0]), "_y", "_ry", "_w", cuts=cuts[1])
+    r = pairs
+    for c, name, cut in (("_x", "_rx", cuts[0]), ("_y", "_ry", cuts[1])):
+        ranked = _rank_table(pairs, c, name, "_w", cut).withColumnRenamed("_v", f"{name}v")
+        r = r.join(ranked, F.col(c) == F.col(f"{name}v")).drop(f"{name}v")
     w, a, b = (F.col(c).cast("double") for c in ("_w", "_rx", "_ry"))
     s = r.agg(F.sum("_w").alias("n"), F.sum(w * a).alias("a"), F.sum(w * b).alias("b"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"), F.sum(w * a * b).alias("ab"))
     n = F.col("n")
