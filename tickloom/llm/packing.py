@@ -43,7 +43,7 @@ class WordEncoder:
     kept as packed little-endian ids, up to ``most`` of them.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.seen, self.stems = Tokenizer.from_file(path), most, {}, {}
