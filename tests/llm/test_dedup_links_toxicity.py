@@ -381,3 +381,22 @@ def test_vectors_of_each_length_are_linked_as_they_are(spark):
 def test_places_for_other_words_grow_with_the_texts():
     bits = [toxicity.other_bits(n) for n in (0, 10**6, 10**9, 10**12, 10**14)]
     assert bits == sorted(bits) and bits[:2] == [24, 24] and bits[3] >= 30 and bits[4] > bits[3]
+
+
+def test_repeats_are_found_next_to_suffixes_whose_strings_are_partly_settled():
+    """A row of which a batch settles most strings must not part rows of other batches by the bytes of those strings."""
+    import pyarrow as pa
+
+    from tickloom.llm import suffix_dedup
+
+    gram, y, one, two = "g" * 32, "x" * 12, "p" * 68, "q" * 68
+    left = {c: f"{c}" * 56 + y for c in "abc"}
+    texts = {1: left["b"] + gram + one, 2: left["b"] + gram + one[:-10] + "r" * 10, 3: left["a"] + gram + two, 4: left["c"] + gram + two}
+    kind = pa.list_(pa.struct([("gram", pa.int64()), ("at", pa.int32()), ("lead", pa.int16()), ("tail", pa.int16())]))
+    entries = []
+    for ids in ([1, 2], [3], [4]):
+        batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([texts[i] for i in ids]), pa.array([[{"gram": 5, "at": 68, "lead": 68, "tail": 0}]] * len(ids), kind)], ["id", "text", "open"])
+        entries += suffix_dedup._surroundings(100)(iter([batch]))
+    sorted_ = pa.Table.from_batches(entries).sort_by([("gram", "ascending"), ("id", "ascending"), ("at", "ascending")]).combine_chunks()
+    spans = [tuple(r.values()) for b in suffix_dedup._settle(100)(iter(sorted_.to_batches())) for r in b.to_pylist()]
+    assert sorted(spans) == [(2, 0, 158), (4, 56, 168)]

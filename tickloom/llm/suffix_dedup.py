@@ -222,6 +222,12 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, last - 1
 
 
+def _within(context: np.ndarray, lead: np.ndarray, tail: np.ndarray, length: int) -> np.ndarray:
+    """``context`` with zeros outside the strings that are left: bytes beyond them would part rows that are equal within."""
+    place = np.arange(DEPTH - length, length)
+    return np.where((place >= -lead[:, None]) & (place < (length - tail)[:, None]), context, 0).astype(np.uint8)
+
+
 ENTRY = "gram long, id long, at int, lead short, tail short, span boolean, context binary"
 
 
@@ -243,7 +249,7 @@ def _settled(gram, ids, at, lead, tail, context, length: int, pass_on: bool) ->
         if not len(row):
             continue
         g = mix(ids[row].view(np.uint64) * _A + at[row].astype(np.uint64)).view(np.int64) if span else gram[row]
-        c = np.zeros((len(row), 0), np.uint8) if span else context[row]
+        c = np.zeros((len(row), 0), np.uint8) if span else _within(context[row], last, first, length)
         yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(ids[row]), pa.array(at[row].astype(np.int32)), pa.array(last.astype(np.int16)), pa.array(first.astype(np.int16)), pa.array(np.full(len(row), span)), _binary(c)], [x.split()[0] for x in ENTRY.split(", ")])
 
 
@@ -263,8 +269,8 @@ def _surroundings(length: int):
                 gram, at, lead, tail = (o.field(k).to_numpy().astype(np.int64) for k in range(4))
                 ids = b["id"].to_numpy()[text]
                 place = (offsets[text] + at)[:, None] + np.arange(-room, length)
-                inside = (np.arange(-room, length) >= -lead[:, None]) & (np.arange(-room, length) < (length - tail)[:, None]) & (place >= 0) & (place < len(data))
-                context = np.where(inside, data[np.clip(place, 0, len(data) - 1)], 0).astype(np.uint8)
+                inside = (place >= 0) & (place < len(data))
+                context = _within(np.where(inside, data[np.clip(place, 0, len(data) - 1)], 0), lead, tail, length)
                 order = np.lexsort((at, ids, gram))
                 yield from _settled(*(x[order] for x in (gram, ids, at, lead, tail, context)), length, True)
 
