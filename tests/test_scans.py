@@ -406,3 +406,22 @@ def test_buckets_count_the_cuts_below(spark, n):
     cuts = [float(2 * k) for k in range(n)]
     rows = spark.range(-2, 2 * n + 3).select(F.col("id").cast("double").alias("v"))
     assert all(r.b == sum(c < r.v for c in cuts) for r in rows.select("v", basic.bucket(F.col("v"), cuts).alias("b")).collect())
+
+
+def test_fits_of_few_large_groups_move_no_rows(spark):
+    """Three groups of any size: no task takes the rows of a group, and values far from zero keep their fit."""
+    df = spark.range(3000).selectExpr("id % 3 AS g", "1e8D + id % 7 AS x", "1e8D + 2 * (id % 7) + id % 5 AS y")
+    fit = regress.ols(df, "y", ["x"], ["g"])
+    made = {
+        "ols": fit, "predict": regress.predict(df, fit, "y", ["x"], ["g"]), "robust": regress.robust_errors(df, "y", ["x"], ["g"]),
+        "white": diagnostics.white(df.withColumn("e", F.col("y") - F.col("x")), ["g"], ["x"], "e"), "reset": diagnostics.reset(df, ["g"], "y", ["x"]),
+    }
+    for name, out in made.items():
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan, name
+        for row in (line for line in plan.splitlines() if "Join" in line):
+            small = name == "robust" and "cells" in plan.split(row)[1].splitlines()[1]
+            assert "strategy=broadcast" in row or small or name == "reset" and "_r0" in plan.split(row)[1].splitlines()[1], (name, row)
+    for r in fit.where("term = 'x'").collect():
+        rows = [(i % 7, 2 * (i % 7) + i % 5) for i in range(3000) if i % 3 == r.g]
+        assert abs(r.coef - np.polyfit(*np.array(rows, float).T, 1)[0]) < 1e-7

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.special import chi2_sf, f_sf, normal_cdf
 from .arma import lag_gram
 from .describe import acf
-from .regress import gram, inverse, ols, predict, unpack
+from .regress import by_group, few_groups, gram, inverse, ols, predict, unpack
 from .series import lag_table, ordered
 
 
@@ -70,8 +70,9 @@ def reset(df: DataFrame, keys: list[str], y: str, xs: list[str], powers: int = 3
     base = ols(df, y, xs, keys)
     rows = predict(df, base, None, xs, keys)
     # powers of the standardised fit span the same space and keep the cross products sound
-    w = Window.partitionBy(*keys)
-    z = (F.col("fitted") - F.avg("fitted").over(w)) / F.nullif(F.stddev_pop("fitted").over(w), F.lit(0.0))
+    spread = rows.groupBy(*keys).agg(F.avg("fitted").alias("_mean"), F.stddev_pop("fitted").alias("_sd"))
+    rows = by_group(rows, spread, keys, few_groups(df, keys))
+    z = (F.col("fitted") - F.col("_mean")) / F.nullif(F.col("_sd"), F.lit(0.0))
     rows = rows.withColumn("_z", z).withColumns({f"_f{k}": F.pow("_z", F.lit(k)) for k in range(2, powers + 1)})
     more = [f"_f{k}" for k in range(2, powers + 1)]
     one = base.where("term = 'const'").select(*keys, F.col("r2").alias("_r0"))

@@ -22,11 +22,36 @@ def gram(df: DataFrame, y: str, xs: list[str], keys: list[str] | None = None) ->
     return ok.groupBy(*(keys or [])).agg(F.count("*").alias("n"), F.array(*sums).alias("cells"))
 
 
+#: Tables of up to so many groups are sent to every task.
+FEW = 100_000
+
+
+def few_groups(df: DataFrame, keys: list[str]) -> bool:
+    """Whether a table of a row a group is small, found by one small job; without keys it is one row."""
+    return not keys or df.select(*keys).distinct().limit(FEW + 1).count() <= FEW
+
+
+def by_group(rows: DataFrame, table: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """``rows`` with the row of ``table`` for their group; where groups are few they may be large, and no row is moved."""
+    table = F.broadcast(table) if few else table
+    return rows.join(table, keys) if keys else rows.join(table)
+
+
+def moments(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """(keys, n, means array, cells array) of the rows without nulls in ``columns``: cells are sums of products of deviations, upper triangle by rows.
+
+    One pass, whose running means and co-moments don't cancel and merge by group.
+    """
+    ok = df.dropna(subset=columns)
+    products = [F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")) * F.count("*") for a, b in combinations_with_replacement(columns, 2)]
+    return ok.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*[F.avg(F.col(c).cast("double")) for c in columns]).alias("means"), F.array(*products).alias("cells"))
+
+
 def centred(df: DataFrame, columns: list[str], keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows without nulls in ``columns``, these made deviations from their group's means, which stand in ``_means``; other columns to ``keep`` stay."""
     ok = df.dropna(subset=columns).select(*keys, *keep, *[F.col(c).cast("double").alias(c) for c in columns])
     means = ok.groupBy(*keys).agg(F.array(*[F.avg(c) for c in columns]).alias("_means"))
-    rows = ok.join(means, keys) if keys else ok.join(F.broadcast(means))
+    rows = by_group(ok, means, keys, few_groups(df, keys))
     return rows.select(*keys, *keep, "_means", *[(F.col(c) - F.col("_means")[k]).alias(c) for k, c in enumerate(columns)])
 
 
@@ -47,16 +72,17 @@ def unpack(cells: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, float]:
 def ols(df: DataFrame, y: str, xs: list[str], keys: list[str] | None = None, constant: bool = True) -> DataFrame:
     """Least squares for each group, or the whole table: a row for each term (const first) with errors and fit statistics.
 
-    One pass takes the means, one the cross products of deviations from them,
+    One pass takes the means and the cross products of deviations from them,
     which don't cancel however large the means are; only those, one row a group,
     meet the small solver, which uses a pseudo-inverse for collinear terms.
     Without a constant, products are of the values and r2 is uncentred.
     """
     keys, terms = keys or [], ["const", *xs] if constant else list(xs)
     columns = [*xs, y]
-    rows = centred(df, columns, keys) if constant else df.withColumn("_means", F.array(*[F.lit(0.0)] * len(columns)))
-    products = F.array(*[F.sum(F.col(a).cast("double") * F.col(b).cast("double")) for a, b in combinations_with_replacement(columns, 2)])
-    g = rows.dropna(subset=columns).groupBy(*keys).agg(F.count("*").alias("n"), F.first("_means").alias("means"), products.alias("cells"))
+    if constant:
+        g = moments(df, columns, keys)
+    else:
+        g = gram(df, y, list(xs), keys).select(*keys, "n", F.array(*[F.lit(0.0)] * len(columns)).alias("means"), "cells")
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in g.select(*keys).schema), OLS])
 
     def solve(frames):
@@ -95,7 +121,7 @@ def predict(df: DataFrame, coefficients: DataFrame, y: str | None, xs: list[str]
     keys = keys or []
     wide = coefficients.groupBy(*keys).pivot("term", ["const", *xs]).agg(F.first("coef"))
     wide = wide.select(*keys, *[F.col(c).alias(f"_b_{c}") for c in ["const", *xs]])
-    out = df.join(wide, keys) if keys else df.join(F.broadcast(wide))
+    out = by_group(df, wide, keys, few_groups(df, keys))
     fitted = sum((F.col(c) * F.col(f"_b_{c}") for c in xs), F.coalesce(F.col("_b_const"), F.lit(0.0)))
     out = out.withColumn("fitted", fitted)
     return (out.withColumn("residual", F.col(y) - F.col("fitted")) if y else out).drop(*[f"_b_{c}" for c in ["const", *xs]])
@@ -155,9 +181,7 @@ def robust_errors(df: DataFrame, y: str, xs: list[str], keys: list[str] | None =
     keys, terms = keys or [], ["const", *xs]
     k, columns = len(xs), [*xs, y]
     names = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema), ""])
-    rows = centred(df, columns, keys)
-    sums = F.array(*[F.sum(F.col(a) * F.col(b)) for a, b in combinations_with_replacement(columns, 2)])
-    cells = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.first("_means").alias("means"), sums.alias("cells"))
+    cells = moments(df, columns, keys)
 
     def solve(frames):
         for pdf in frames:
@@ -169,14 +193,16 @@ def robust_errors(df: DataFrame, y: str, xs: list[str], keys: list[str] | None =
                 yield pd.DataFrame({c: [getattr(r, c)] for c in keys} | {"inv": [inv.ravel().tolist()], "b": [(inv @ xy).tolist()], "n": [int(r.n)], "means": [list(r.means)]})
 
     fit = cells.mapInPandas(solve, names + "inv array<double>, b array<double>, n long, means array<double>").select(*keys, F.struct("inv", "b", "n", "means").alias("_fit"))
-    rows = rows.join(fit, keys) if keys else rows.join(F.broadcast(fit))  # one row, of a size that the terms set
+    rows = by_group(df.dropna(subset=columns).select(*keys, *columns), fit, keys, few_groups(df, keys))
+    rows = rows.withColumns({c: F.col(c).cast("double") - F.col("_fit.means")[j] for j, c in enumerate(columns)})
     x = [F.lit(1.0), *[F.col(c) for c in xs]]
     fitted = sum((F.col("_fit.b")[i] * F.col(c) for i, c in enumerate(xs)), F.lit(0.0))
     lever = sum((F.col("_fit.inv")[i * k + j] * F.col(xs[i]) * F.col(xs[j]) for i in range(k) for j in range(k)), 1 / F.col("_fit.n"))
     room = {"HC0": F.lit(1.0), "HC1": (F.col("_fit.n") - k - 1) / F.col("_fit.n"), "HC2": 1 - lever, "HC3": (1 - lever) ** 2}[kind]
     rows = rows.withColumn("_w", (F.col(y) - fitted) ** 2 / F.nullif(room, F.lit(0.0)))
     meat = F.array(*[F.sum(F.col("_w") * a * b) for a, b in combinations_with_replacement(x, 2)])
-    rows = rows.groupBy(*keys).agg(meat.alias("cells"), F.first("_fit").alias("fit")).select(*keys, "cells", "fit.*")
+    rows = rows.groupBy(*keys).agg(meat.alias("cells"))
+    rows = (rows.join(fit, keys) if keys else rows.join(F.broadcast(fit))).select(*keys, "cells", "_fit.*")  # a row a group
 
     def sandwich(frames):
         for pdf in frames:
