@@ -425,3 +425,18 @@ def test_fits_of_few_large_groups_move_no_rows(spark):
     for r in fit.where("term = 'x'").collect():
         rows = [(i % 7, 2 * (i % 7) + i % 5) for i in range(3000) if i % 3 == r.g]
         assert abs(r.coef - np.polyfit(*np.array(rows, float).T, 1)[0]) < 1e-7
+
+
+def test_chunked_scan_deals_rows_after_a_join_by_the_same_keys(spark):
+    """Adaptive execution may leave a join's rows where they were read: the walk needs a shuffle of its own, which Spark must not drop."""
+    df = spark.createDataFrame([(1, 1, 1.0), (1, 2, 1.0)], "k int, t int, x double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = affine.affine_scan(df, ["k"], ["t"], {"s": (1.0, F.col("x"), 0.0)}, chunk=F.col("t"))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    walk = plan[: plan.index("Join")]
+    assert "REPARTITION_BY_COL" in walk
+    assert [r.s for r in out.orderBy("t").collect()] == [1.0, 2.0]

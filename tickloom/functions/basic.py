@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INF = float("inf")
@@ -60,3 +60,13 @@ def uniform(seed: Column | int, rep: Column, k: Column) -> Column:
     for c in ADDENDS:
         x = (((x * x + c) % M) * A) % M
     return x / F.lit(float(M))
+
+
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with all rows of equal ``keys`` in one partition, for steps that Spark sees no grouping in, as mapInArrow.
+
+    By a hash of the keys, not by them: a repartition by the keys of a join
+    before it is dropped as done already, and adaptive execution may turn that
+    join into a broadcast one that leaves rows where they were read.
+    """
+    return df.repartition(F.xxhash64(*keys))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.basic import bucket
+from ..functions.basic import bucket, dealt
 
 
 def chunks_of(df: DataFrame, time: str, most: int, keys: list[str]) -> Column:
@@ -153,19 +153,19 @@ def affine_scan(df: DataFrame, keys: list[str], order: list[str], paths: dict[st
         rows = df.join(df.groupBy(*keys).agg(*[c.alias(n) for n, c in levels.items()]), keys) if levels else df
         rows, groups = rows.withColumn("_chunk", chunk.cast("long")), [*keys, "_chunk"]
     else:
-        rows, groups = df.repartition(*keys), keys
-        rows = rows.withColumns({n: c.over(Window.partitionBy(*keys)) for n, c in levels.items()})
+        groups = keys
+        rows = df.withColumns({n: c.over(Window.partitionBy(*keys)) for n, c in levels.items()}) if levels else dealt(df, keys)
     as_column = lambda c: (c if isinstance(c, Column) else F.lit(float(c))).cast("double")
     temps = {f"_{x}{k}": as_column(c) for k, path in enumerate(paths.values()) for x, c in zip("bcs", path, strict=True)}
     rows = rows.select(*dict.fromkeys([*df.columns, *groups]), *[c.alias(t) for t, c in temps.items()])
     if chunk is not None:
         kinds = [T.StructField(k, rows.schema[k].dataType) for k in groups]
-        ordered = rows.repartition(*groups).sortWithinPartitions(*groups, *order)
+        ordered = dealt(rows, groups).sortWithinPartitions(*groups, *order)
         maps = ordered.mapInArrow(_maps(groups, len(names)), T.StructType([*kinds, *[T.StructField(t, T.DoubleType()) for t in sorted(temps, key=lambda t: "bcs".index(t[1]))]]))
         maps = maps.withColumnsRenamed({t: f"_of{t}" for t in temps})
         states = affine_scan(maps, keys, ["_chunk"], {f"_in{k}": tuple(F.col(f"_of_{x}{k}") for x in "bcs") for k in range(len(names))}, before=True)
         rows = rows.drop(*[f"_s{k}" for k in range(len(names))]).join(states.select(*groups, *[F.col(f"_in{k}").alias(f"_s{k}") for k in range(len(names))]), groups)
-        rows = rows.repartition(*groups)
+        rows = dealt(rows, groups)
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
     return rows.sortWithinPartitions(*groups, *order).mapInArrow(_walk(groups, names, df.columns, before), schema)
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.basic import dealt
 from .affine import affine_scan
 from .align import pairs
 
@@ -187,7 +188,7 @@ def bekk(df: DataFrame, c: np.ndarray, a: np.ndarray, b: np.ndarray) -> DataFram
     c, a, b = (np.asarray(m, float) for m in (c, a, b))
     k = len(a)
     start = df.groupBy("portfolio").agg(F.array(*[F.avg(F.col("r")[i] * F.col("r")[j]) for i in range(k) for j in range(k)]).alias("_h0"))
-    rows = df.join(start, "portfolio").repartition("portfolio").sortWithinPartitions("portfolio", "ts")
+    rows = dealt(df.join(start, "portfolio"), ["portfolio"]).sortWithinPartitions("portfolio", "ts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, h, x = None, None, None

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.basic import INF
+from ..functions.basic import INF, dealt
 from .affine import affine_scan, positions
 
 
@@ -270,7 +270,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], inputs: list[Column],
     batch: only its state is held, whatever its length.
     """
     temp = [f"_in{k}" for k in range(len(inputs))]
-    whole = df.repartition(*keys).withColumns({t: c.cast("double") for t, c in zip(temp, inputs, strict=True)}).sortWithinPartitions(*keys, *order)
+    whole = dealt(df, keys).withColumns({t: c.cast("double") for t, c in zip(temp, inputs, strict=True)}).sortWithinPartitions(*keys, *order)
     keep = df.columns
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
 
