@@ -440,3 +440,17 @@ def test_chunked_scan_deals_rows_after_a_join_by_the_same_keys(spark):
     walk = plan[: plan.index("Join")]
     assert "REPARTITION_BY_COL" in walk
     assert [r.s for r in out.orderBy("t").collect()] == [1.0, 2.0]
+
+
+def test_several_fills_read_their_rows_as_often_as_one(spark):
+    rows = [("a", t, None if t in (0, 3, 4, 5, 9) else float(t * t)) for t in range(10)] + [("b", t, None) for t in range(4)]
+    df = spark.createDataFrame(rows, "k string, t int, v double")
+    ways = {"f": ("ffill", None), "f1": ("ffill", 1), "b1": ("bfill", 1), "l": ("linear", None)}
+    scans = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+    for chunk in (None, F.floor(F.col("t") / 2)):
+        out = clean.fills(df, ["k"], ["t"], "v", ways, chunk)
+        assert scans(out) == (1 if chunk is None else 2)
+        got = out.orderBy("k", "t").collect()
+        for name, (method, limit) in ways.items():
+            one = clean.fill(df, ["k"], ["t"], "v", method, limit).orderBy("k", "t").collect()
+            assert [r[name] for r in got] == [r.v for r in one]

@@ -243,9 +243,7 @@ SELECT asset, ts::DATE::VARCHAR AS day, round(pv, 3) AS ffill, CASE WHEN qi - i
 def c2_c3_fill_in_chunks(spark, d):
     """Fills of series cut into months, in which no window spans a series."""
     chunk = F.floor(F.unix_micros("ts") / (30 * 86_400_000_000))
-    g = gaps(spark, d).withColumns({"ffill": F.col("value"), "bfill_1": F.col("value"), "linear": F.col("value")})
-    g = clean.fill(clean.fill(g, _D, _T, "ffill", chunk=chunk), _D, _T, "bfill_1", "bfill", 1, chunk)
-    g = clean.fill(g, _D, _T, "linear", "linear", chunk=chunk)
+    g = clean.fills(gaps(spark, d), _D, _T, "value", {"ffill": ("ffill", None), "bfill_1": ("bfill", 1), "linear": ("linear", None)}, chunk)
     return rounded(g, 3, "ffill", "bfill_1", "linear").select("asset", _day(), "ffill", "bfill_1", "linear")
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .affine import positions
 from .series import ordered
 
 
@@ -20,32 +19,49 @@ def fill(df: DataFrame, keys: list[str], order: list[str], value: str, method: s
     series: windows end with a chunk, and the last value known before it and
     the first known after it come from a small table.
     """
+    return fills(df, keys, order, value, {value: (method, limit)}, chunk)
+
+
+def fills(df: DataFrame, keys: list[str], order: list[str], value: str, ways: dict[str, tuple[str, int | None]], chunk: Column | None = None) -> DataFrame:
+    """``df`` with a column for each of ``ways``, name to (method, limit): gaps of ``value`` as ``fill`` closes them.
+
+    All ways share one numbering of the rows and, with ``chunk``, one small
+    table of a row a chunk: what is read does not grow with the ways.
+    """
     w = ordered(keys, order)
-    reach = Window.unboundedPreceding if limit is None else -limit
-    before, after = w.rowsBetween(reach, 0), w.rowsBetween(0, Window.unboundedFollowing if limit is None else limit)
-    if chunk is None and method == "ffill":
-        return df.withColumn(value, F.last(value, True).over(before))
-    if chunk is None and method == "bfill":
-        return df.withColumn(value, F.first(value, True).over(after))
-    rows = df.withColumn("_i", F.row_number().over(w)) if chunk is None else positions(df, keys, order, chunk)
+    if chunk is None and all(m in ("ffill", "bfill") for m, _ in ways.values()):
+        windows = {}
+        for name, (method, limit) in ways.items():
+            if method == "ffill":
+                windows[name] = F.last(value, True).over(w.rowsBetween(Window.unboundedPreceding if limit is None else -limit, 0))
+            else:
+                windows[name] = F.first(value, True).over(w.rowsBetween(0, Window.unboundedFollowing if limit is None else limit))
+        return df.withColumns(windows)
+    groups = keys if chunk is None else [*keys, "_chunk"]
+    w = ordered(groups, order)
+    rows = (df if chunk is None else df.withColumn("_chunk", chunk.cast("long"))).withColumn("_i", F.row_number().over(w))
     known = F.when(F.col(value).isNotNull(), F.struct("_i", F.col(value).alias("v")))
-    w = w if chunk is None else ordered([*keys, "_chunk"], order)
-    rows = rows.withColumns({"_p": F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_q": F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    found = rows.withColumns({"_p": F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_q": F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
     if chunk is not None:
-        ends = rows.groupBy(*keys, "_chunk").agg(F.max(known).alias("_e"), F.min(known).alias("_s"))
+        later = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col(f"{c}._i") + F.col("_before")).alias("_i"), F.col(f"{c}.v").alias("v")))
         at = Window.partitionBy(*keys).orderBy("_chunk")
-        carried = {"_pp": F.last("_e", True).over(at.rowsBetween(Window.unboundedPreceding, -1)), "_qq": F.first("_s", True).over(at.rowsBetween(1, Window.unboundedFollowing))}
-        rows = rows.join(ends.withColumns(carried).drop("_e", "_s"), [*keys, "_chunk"]).withColumns({"_p": F.coalesce("_p", "_pp"), "_q": F.coalesce("_q", "_qq")})
+        past, ahead = at.rowsBetween(Window.unboundedPreceding, -1), at.rowsBetween(1, Window.unboundedFollowing)
+        ends = rows.groupBy(*groups).agg(F.count("*").alias("_c"), F.max(known).alias("_e"), F.min(known).alias("_s"))
+        ends = ends.withColumn("_before", F.coalesce(F.sum("_c").over(past), F.lit(0))).withColumns({"_e": later("_e"), "_s": later("_s")})
+        ends = ends.select(*groups, "_before", F.last("_e", True).over(past).alias("_pp"), F.first("_s", True).over(ahead).alias("_qq"))
+        found = found.join(ends, groups).withColumns({"_i": F.col("_i") + F.col("_before"), "_p": F.coalesce(later("_p"), "_pp"), "_q": F.coalesce(later("_q"), "_qq")})
     back, ahead = F.col("_i") - F.col("_p._i"), F.col("_q._i") - F.col("_i")
-    far = lambda d: F.lit(limit is not None) & (d > (limit or 0))
-    if method == "ffill":
-        out = F.when(~far(back), F.col("_p.v"))
-    elif method == "bfill":
-        out = F.when(~far(ahead), F.col("_q.v"))
-    else:
-        line = F.col("_p.v") + (F.col("_q.v") - F.col("_p.v")) * back / F.nullif(F.col("_q._i") - F.col("_p._i"), F.lit(0))
-        out = F.when(F.col(value).isNotNull(), F.col(value)).when(far(back), None).otherwise(F.coalesce(line, F.col("_p.v")))
-    return rows.withColumn(value, out).select(*df.columns)
+    out = {}
+    for name, (method, limit) in ways.items():
+        far = lambda d, limit=limit: F.lit(limit is not None) & (d > (limit or 0))
+        if method == "ffill":
+            out[name] = F.when(~far(back), F.col("_p.v"))
+        elif method == "bfill":
+            out[name] = F.when(~far(ahead), F.col("_q.v"))
+        else:
+            line = F.col("_p.v") + (F.col("_q.v") - F.col("_p.v")) * back / F.nullif(F.col("_q._i") - F.col("_p._i"), F.lit(0))
+            out[name] = F.when(F.col(value).isNotNull(), F.col(value)).when(far(back), None).otherwise(F.coalesce(line, F.col("_p.v")))
+    return found.withColumns(out).select(*dict.fromkeys([*df.columns, *ways]))
 
 
 def drop_missing(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
