@@ -454,3 +454,24 @@ def test_several_fills_read_their_rows_as_often_as_one(spark):
         for name, (method, limit) in ways.items():
             one = clean.fill(df, ["k"], ["t"], "v", method, limit).orderBy("k", "t").collect()
             assert [r[name] for r in got] == [r.v for r in one]
+
+
+def test_constant_correlation_moves_rows_by_bucket_and_not_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"a{a}", int(t), float(rng.normal()), float(rng.uniform(0.5, 2))) for a in range(14) for t in rng.choice(40, 25 + a % 3, replace=False)]
+    rows[5] = (*rows[5][:2], None, rows[5][3])
+    pdf = pd.DataFrame(rows, columns=["asset", "t", "ret", "var"])
+    df = spark.createDataFrame(rows, "asset string, t int, ret double, var double")
+    out = volatility.constant_correlation(df, "asset", "t", least=12)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.t, r.i, r.j): (r.corr, r.cov) for r in out.collect()}
+    pdf["sd"] = np.sqrt(pdf["var"])
+    pdf["z"] = pdf["ret"] / pdf["sd"]
+    both = pdf.merge(pdf, on="t").query("asset_x < asset_y")
+    want = {}
+    for (i, j), g in both.groupby(["asset_x", "asset_y"]):
+        if len(g) >= 12:
+            c = g["z_x"].corr(g["z_y"])
+            want |= {(t, i, j): (c, c * x * y) for t, x, y in zip(g["t"], g["sd_x"], g["sd_y"], strict=True)}
+    assert want and got.keys() == want.keys()
+    assert all(np.allclose(got[k], v) for k, v in want.items())
