@@ -475,3 +475,17 @@ def test_constant_correlation_moves_rows_by_bucket_and_not_pairs(spark):
             want |= {(t, i, j): (c, c * x * y) for t, x, y in zip(g["t"], g["sd_x"], g["sd_y"], strict=True)}
     assert want and got.keys() == want.keys()
     assert all(np.allclose(got[k], v) for k, v in want.items())
+
+
+def test_robust_summary_takes_no_group_in_one_task(spark):
+    rng = np.random.default_rng(5)
+    rows = [("a", float(x)) for x in rng.normal(size=501)] + [("b", float(x)) for x in rng.integers(0, 3, 200)] + [("c", 4.0), ("d", None)] + [("a", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    out = describe.robust_summary(df, ["k"], "v")
+    assert "percentile(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.k: (r.median, r.q1, r.q3, r.iqr, r.mad) for r in out.collect()}
+    assert got["d"] == (None,) * 5
+    for k in "abc":
+        v = np.array([x for g, x in rows if g == k and x is not None])
+        q1, m, q3 = np.percentile(v, [25, 50, 75])
+        assert np.allclose(got[k], (m, q1, q3, q3 - q1, np.median(np.abs(v - m))), atol=1e-12)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.basic import bucket
+from .regress import by_group, few_groups
 
 
 def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -21,11 +23,44 @@ def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def robust_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, median, q1, q3, iqr, mad)."""
-    x = F.col(value)
-    q = df.groupBy(*keys).agg(F.percentile(x, F.array(*(F.lit(p) for p in (0.25, 0.5, 0.75)))).alias("_q"))
-    q = q.select(*keys, F.col("_q")[1].alias("median"), F.col("_q")[0].alias("q1"), F.col("_q")[2].alias("q3"))
-    mad = df.join(q, keys).groupBy(*keys).agg(F.median(F.abs(x - F.col("median"))).alias("mad"))
-    return q.join(mad, keys).withColumn("iqr", F.col("q3") - F.col("q1"))
+    few = few_groups(df, keys)
+    q = quantiles(df, keys, value, [0.25, 0.5, 0.75], few).select(*keys, F.col("_q")[1].alias("median"), F.col("_q")[0].alias("q1"), F.col("_q")[2].alias("q3"))
+    off = by_group(df, q.select(*keys, F.col("median").alias("_m")), keys, few).select(*keys, F.abs(F.col(value) - F.col("_m")).alias("_off"))
+    mad = quantiles(off, keys, "_off", [0.5], few).select(*keys, F.col("_q")[0].alias("mad"))
+    if keys:  # a group without values has nulls
+        both = df.select(*keys).dropna(subset=keys).distinct().join(q, keys, "left").join(mad, keys, "left")
+    else:
+        both = q.join(F.broadcast(mad))
+    return both.withColumn("iqr", F.col("q3") - F.col("q1"))
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], few: bool, buckets: int = 32) -> DataFrame:
+    """(keys, _q array): exact quantiles, linear between ranks, as ``percentile`` has them, of groups of any size.
+
+    Values are cut at approximate quantiles and counted by bucket; only the
+    buckets that hold an asked rank are counted value by value, so a task
+    meets the distinct values of one bucket. ``few``: see ``few_groups``.
+    """
+    x = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    cuts = x.groupBy(*keys).agg(F.percentile_approx("_v", [k / buckets for k in range(1, buckets)]).alias("_cuts"))
+    placed = by_group(x, cuts, keys, few).withColumn("_b", F.array_size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    own = Window.partitionBy(*keys)
+    counts = placed.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(own.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumns({"_base": before, "_n": F.sum("_c").over(own)})  # a row a group and bucket
+    ends = [(f((F.col("_n") - 1) * p)) for p in shares for f in (F.floor, F.ceil)]
+    inside = lambda r, lo, hi: (r >= lo) & (r < hi)
+    asked = counts.where(reduce(lambda a, b: a | b, [inside(r, F.col("_base"), F.col("_base") + F.col("_c")) for r in ends])).drop("_c")
+    values = by_group(placed, asked, [*keys, "_b"], few).groupBy(*keys, "_b", "_base", "_n", "_v").agg(F.count("*").alias("_k"))
+    values = values.withColumn("_upto", F.col("_base") + F.sum("_k").over(Window.partitionBy(*keys, "_b").orderBy("_v")))
+    found = [F.max(F.when(inside(r, F.col("_upto") - F.col("_k"), F.col("_upto")), F.col("_v"))).alias(f"_e{k}") for k, r in enumerate(ends)]
+    out = values.groupBy(*keys).agg(F.max("_n").alias("_n"), *found)
+
+    def between(k: int, p: float):
+        at, low, high = (F.col("_n") - 1) * p, F.col(f"_e{2 * k}"), F.col(f"_e{2 * k + 1}")
+        return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+    return out.select(*keys, F.array(*[between(k, p) for k, p in enumerate(shares)]).alias("_q"))
 
 
 def covariance(df: DataFrame, columns: list[str], bias: bool = False) -> DataFrame:
