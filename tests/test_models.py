@@ -115,6 +115,24 @@ def test_mergers_and_grids(spark):
     assert g.count() == 16 and g.where("value is not null").count() == 4
 
 
+def test_prices_around_dates_need_no_aggregate(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    start = dt.datetime(2024, 1, 1)
+    prices = [(f"s{rng.integers(3)}", start + dt.timedelta(days=int(rng.integers(40))), None if rng.random() < 0.2 else float(rng.integers(1, 90))) for _ in range(120)]
+    dates = [(f"s{rng.integers(4)}", start + dt.timedelta(days=int(rng.integers(-3, 44))), k) for k in range(60)]
+    spark.createDataFrame(prices, "symbol string, ts timestamp, price double").write.parquet(str(tmp_path / "p"))
+    p, d = spark.read.parquet(str(tmp_path / "p")), spark.createDataFrame(dates, "symbol string, ts timestamp, k int")
+    for find, pick in ((align.price_after, lambda u, t: u >= t), (align.price_before, lambda u, t: u < t)):
+        got = find(p, d)
+        assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+        want = {}
+        for s, t, k in dates:
+            near = [u for x, u, v in prices if x == s and v is not None and pick(u, t)]
+            at = (min(near) if find is align.price_after else max(near)) if near else None
+            want[k] = min((v for x, u, v in prices if x == s and u == at and v is not None), default=None)
+        assert {r.k: r.price for r in got.collect()} == want
+
+
 def test_kendall_counts_every_pair(spark):
     rng = np.random.default_rng(4)
     x, y = rng.integers(0, 30, 200), rng.integers(0, 12, 200)

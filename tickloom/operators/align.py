@@ -57,14 +57,22 @@ def adjust(prices: DataFrame, factors: DataFrame, name: str = "adjusted") -> Dat
     return both.where("_row is not null").select("_row.*", (F.col("_row.price") * F.exp("_s")).alias(name))
 
 
-def price_after(prices: DataFrame, dates: DataFrame, name: str = "price") -> DataFrame:
-    """Dates (symbol, ts, ...) with the first price on or after each."""
-    p = prices.groupBy("symbol", "ts").agg(F.min("price").alias("_p")).select("symbol", "ts", F.lit(None).alias("_row"), "_p")
+def _by_price(prices: DataFrame, dates: DataFrame) -> DataFrame:
+    """Prices and dates in one table for a window: (symbol, ts, _row, _p), a date's in ``_row``, a price in ``_p``."""
     d = dates.select("symbol", "ts", F.struct(*dates.columns).alias("_row"), F.lit(None).cast("double").alias("_p"))
-    p = p.withColumn("_row", F.col("_row").cast(d.schema["_row"].dataType))
-    w = Window.partitionBy("symbol").orderBy(F.desc("ts")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = F.min_by("_p", F.when(F.col("_p").isNotNull(), F.col("ts"))).over(w)
-    return p.union(d).withColumn("_x", ahead).where("_row is not null").select("_row.*", F.col("_x").alias(name))
+    p = prices.where("price is not null").select("symbol", "ts", F.lit(None).cast(d.schema["_row"].dataType).alias("_row"), F.col("price").cast("double").alias("_p"))
+    return p.union(d)
+
+
+def price_after(prices: DataFrame, dates: DataFrame, name: str = "price") -> DataFrame:
+    """Dates (symbol, ts, ...) with the first price on or after each; of several at that time, the lowest.
+
+    Backwards in time, and highest price first within a time, that is the last
+    price before a date's row: no aggregate of prices comes before the window.
+    """
+    w = Window.partitionBy("symbol").orderBy(F.desc("ts"), F.desc_nulls_last("_p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = _by_price(prices, dates).withColumn("_x", F.last("_p", True).over(w))
+    return both.where("_row is not null").select("_row.*", F.col("_x").alias(name))
 
 
 def dividend_factors(prices: DataFrame, dividends: DataFrame) -> DataFrame:
@@ -73,14 +81,10 @@ def dividend_factors(prices: DataFrame, dividends: DataFrame) -> DataFrame:
 
 
 def price_before(prices: DataFrame, dates: DataFrame, name: str = "price") -> DataFrame:
-    """Dates (symbol, ts, ...) with the last price before each."""
-    p = prices.groupBy("symbol", "ts").agg(F.min("price").alias("_p")).select("symbol", "ts", F.lit(None).alias("_row"), "_p")
-    d = dates.select("symbol", "ts", F.struct(*dates.columns).alias("_row"), F.lit(None).cast("double").alias("_p"))
-    p = p.withColumn("_row", F.col("_row").cast(d.schema["_row"].dataType))
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("symbol").orderBy(us).rangeBetween(Window.unboundedPreceding, -1)
-    before = F.max_by("_p", F.when(F.col("_p").isNotNull(), F.col("ts"))).over(w)
-    return p.union(d).withColumn("_x", before).where("_row is not null").select("_row.*", F.col("_x").alias(name))
+    """Dates (symbol, ts, ...) with the last price before each; of several at that time, the lowest."""
+    w = Window.partitionBy("symbol").orderBy("ts", F.desc_nulls_first("_p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = _by_price(prices, dates).withColumn("_x", F.last("_p", True).over(w))
+    return both.where("_row is not null").select("_row.*", F.col("_x").alias(name))
 
 
 def merger_factors(prices: DataFrame, mergers: DataFrame) -> DataFrame:
