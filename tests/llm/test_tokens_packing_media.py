@@ -31,6 +31,35 @@ def test_words_give_the_ids_of_whole_texts():
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_plain_texts_give_the_ids_of_whole_texts():
+    from tokenizers import Tokenizer
+
+    tok, enc = Tokenizer.from_file(WORDS), packing.WordEncoder(WORDS, most=50)
+    rng = random.Random(5)
+    letters = [chr(c) for c in range(1, 256)] + ["H\u0331", "a\u0300", "'s", "'RE", "'ll", "don't", "!'s", "<|endoftext|>", "<|EndOfText|>", "<s>", "The ", "Über ", "_", "12"]
+    for alphabet in (letters, [x for x in letters if x.isascii() and x.isprintable()], ["a", "É", "'", "s", "re", " ", "!", "7", "\n"]):
+        for _ in range(400):
+            t = "".join(rng.choices(alphabet, k=rng.randint(1, 40)))
+            assert np.frombuffer(enc.encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_frequent_words_are_learned_once():
+    enc = packing.WordEncoder(WORDS, most=100)
+    asked = collections.Counter()
+
+    class Counted:
+        def tokenize(self, form, model=enc.model):
+            asked[form] += 1
+            return model.tokenize(form)
+
+    enc.model = Counted()
+    rng = random.Random(6)
+    for _ in range(200):
+        enc.encode("Often met, often " + " ".join("".join(rng.choices("abcdefgh", k=12)) for _ in range(6)))
+        assert len(enc.seen) + len(enc.stems) + len(enc.old_seen) + len(enc.old_stems) <= 150
+    assert asked["often"] == asked["met"] == 1
+
+
 def _unigram():
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2

@@ -25,6 +25,10 @@ from ._stage import staged
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+#: What keeps a text from being cut by ``_PIECE``: all but ASCII and letters that stand alone in Latin-1.
+_OTHER = re.compile("[^\\t-\\r -~À-ÖØ-öø-ÿ]")
+#: The tokenizer's own cut of lower-cased text, its letters and digits written out.
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\s0-9a-zß-öø-ÿ]+")
 _open: dict[str, "WordEncoder"] = {}
 
 
@@ -36,27 +40,42 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordEncoder:
-    """Ids of texts from ids of their words, each word encoded once.
+    """Ids of texts from ids of their pieces or words, each encoded once.
 
     For tokenizers that drop white space before they look at words, as
-    word_bpe_49k does: the ids of a text are then those of its words. Words are
-    kept as packed little-endian ids, up to ``most`` of them.
+    word_bpe_49k does: the ids of a text are then those of its words. Texts of
+    plain letters and without added tokens are cut into the tokenizer's pieces,
+    of which there are fewer: no case, no punctuation. Pieces and words are kept as packed little-endian
+    ids, about ``most`` of them in two halves: when the newer is full the older
+    goes, but for what was met since, so that what is frequent is not learned
+    again.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.seen, self.stems = Tokenizer.from_file(path), most, {}, {}
+        self.old_seen, self.old_stems = {}, {}
+        self.whole = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, _byte_letters()
 
     def _stem(self, stem: str) -> bytes:
-        form = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.letters)
-        got = self.stems[stem] = array("I", [t.id for t in self.model.tokenize(form)]).tobytes()
+        got = self.old_stems.get(stem)
+        if got is None:
+            got = self._tokenized(stem)
+        self.stems[stem] = got
         return got
 
+    def _tokenized(self, stem: str) -> bytes:
+        form = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(form)]).tobytes()
+
     def _learn(self, words: set[bytes]) -> None:
-        seen, stems, odd, held = self.seen, self.stems, [], []
+        seen, stems, before, odd, held = self.seen, self.stems, self.old_seen, [], []
         for w in words:
+            if (known := before.get(w)) is not None:
+                seen[w] = known
+                continue
             stem = w.rstrip(b".,!?;:")
             if stem.isalpha():  # ASCII letters
                 lower, tail = stem.lower().decode(), w[len(stem) :]
@@ -78,16 +97,23 @@ class WordEncoder:
         for w, lower, tail in held:
             seen[w] = (stems.get(lower) or self._stem(lower)) + seen[tail]
 
+    def _learn_pieces(self, pieces: set[str]) -> None:
+        for piece in pieces:
+            self._stem(piece)
+
     def encode(self, text: str) -> bytes:
-        words, out = text.encode().split(), []
-        for k in range(0, len(words), 100_000):
-            part = words[k : k + 100_000] if k or len(words) > 100_000 else words
-            if len(self.seen) > self.most:
-                self.seen.clear()
-                self.stems.clear()
-            if new := set(part).difference(self.seen):
-                self._learn(new)
-            out.append(b"".join(map(self.seen.__getitem__, part)))
+        lower, out = text.lower(), []
+        plain = not _OTHER.search(text) and not any(t in lower for t in self.whole)
+        units = _PIECE.findall(lower) if plain else text.encode().split()
+        for k in range(0, len(units), 100_000):
+            part = units[k : k + 100_000] if k or len(units) > 100_000 else units
+            if len(self.seen) + len(self.stems) > self.most // 2:
+                self.old_seen, self.old_stems = self.seen, self.stems
+                self.seen, self.stems = {}, {}
+            known = self.stems if plain else self.seen
+            if new := set(part).difference(known):
+                (self._learn_pieces if plain else self._learn)(new)
+            out.append(b"".join(map(known.__getitem__, part)))
         return b"".join(out)
 
 
