@@ -379,6 +379,42 @@ def test_gaps_visit_few_blocks_and_find_the_nearest(spark):
     assert clean.knn_impute(none, "id", ["a", "b", "c"], 3).count() == 0
 
 
+def test_gaps_whose_known_value_many_rows_share_visit_few_rows(spark):
+    rng = np.random.default_rng(12)
+    n = 2000
+    x = np.c_[np.round(rng.normal(size=n) * 1000), rng.integers(0, 5, n).astype(float)]
+    rows = [(i, None if i % 9 == 0 else float(a), None if i % 10 == 1 else math.nan if i % 50 == 7 else float(b)) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, a double, b double").repartition(6)
+    asked, donors, _ = clean.knn_plan(df, "id", ["a", "b"], 3, 50)
+    met = asked.where("_c = 0").join(donors.groupBy("_box").count(), "_box").groupBy("_id").agg(F.sum("count").alias("n"))
+    assert met.agg(F.max("n")).first()[0] <= 3 * 5
+    got = {r.id: (r.a, r.b) for r in clean.knn_impute(df, "id", ["a", "b"], 3, block=50).collect()}
+    whole = [tuple(math.nan if v is None else v for v in r) for r in rows]
+    for i, a, b in whole:
+        for c, (own, other) in enumerate(((a, b), (b, a))):
+            if rows[i][1 + c] is None:
+                near = sorted((abs(r[2 - c] - other), r[0], r[1 + c]) for r in whole if r[0] != i and not math.isnan(r[1]) and not math.isnan(r[2]))[:3]
+                want = sum(v for _, _, v in near) / len(near) if not math.isnan(other) else None
+                assert got[i][c] == (pytest.approx(want) if want is not None else None), (i, c)
+
+
+def test_gaps_of_more_kinds_than_views_find_the_nearest(spark, monkeypatch):
+    monkeypatch.setattr(clean, "VIEWS", 3)
+    rng = np.random.default_rng(13)
+    x = rng.integers(0, 6, (150, 3)).astype(float)
+    x[rng.random((150, 3)) < 0.2] = np.nan
+    df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "id long, a double, b double, c double")
+    got = {r.id: [r.a, r.b, r.c] for r in clean.knn_impute(df, "id", ["a", "b", "c"], 3, block=16).collect()}
+    for i, c in zip(*np.nonzero(np.isnan(x))):
+        near = []
+        for j in range(150):
+            both = ~np.isnan(x[i]) & ~np.isnan(x[j])
+            if j != i and both.any() and not np.isnan(x[j, c]):
+                near.append((math.sqrt(((x[i] - x[j])[both] ** 2).sum() * 3 / both.sum()), j))
+        top = sorted(near)[:3]
+        assert got[i][c] == (pytest.approx(np.mean([x[j, c] for _, j in top])) if top else None)
+
+
 def test_nearness_of_all_dimensions_and_residual_summaries(spark):
     x = np.random.default_rng(16).normal(size=130)
     df = _series(spark, {"a": x}, "v")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -121,40 +123,54 @@ def spline(df: DataFrame, keys: list[str], order: list[str], value: str, run: in
     return dealt.groupBy(*keys, "_b").applyInPandas(one, schema).where("_home").select(*df.columns)
 
 
-def _boxes(rows: DataFrame, columns: int, n: int, block: int) -> tuple[DataFrame, pd.DataFrame]:
-    """Donors (_id, _v, _box) in blocks of about ``block`` rows that lie together, and the table of blocks: _box, known columns, bounds, rows.
+#: Sets of known columns (with the column to fill) that get donors of their own; gaps of rarer sets meet whole rows.
+VIEWS = 16
+
 
-    Donors that know the same columns are cut at quantiles of their first known
-    column and, within a cut, into runs along the second. The table has
-    n / ``block`` rows and at most 64 for each set of known columns.
+def _boxes(donors: DataFrame, columns: int, n: int, block: int) -> tuple[DataFrame, pd.DataFrame]:
+    """Donors (_id, _v, _box) in blocks of about ``block`` rows that lie together, and the table of blocks: _box, _view, known columns, bounds, rows.
+
+    Donors of a view that know the same columns are cut at quantiles of the
+    first known column of their place ``_k`` and, within a cut, into runs along
+    the second. The table has n / ``block`` rows and at most 64 for each view
+    and set of known columns.
     """
     known = [F.col("_v")[j] for j in range(columns)]
-    values = F.filter("_v", lambda x: x.isNotNull())
+    values = F.filter("_k", lambda x: x.isNotNull())
     has = sum((F.when(c.isNotNull(), F.lit(1 << j)).otherwise(F.lit(0)) for j, c in enumerate(known)), F.lit(0))
-    donors = rows.where(F.exists("_v", lambda x: x.isNotNull())).withColumns({"_has": has, "_a": F.get(values, F.lit(0)), "_b": F.get(values, F.lit(1))})
+    donors = donors.withColumns({"_has": has, "_a": F.get(values, F.lit(0)), "_b": F.get(values, F.lit(1))})
     m = min(64, max(1, round((n / block) ** 0.5)))
     if m > 1:
-        cuts = donors.groupBy("_has").agg(F.percentile_approx("_a", [k / m for k in range(1, m)]).alias("_cuts"))  # a row for each set of columns
-        donors = donors.join(cuts, "_has").withColumn("_cell", F.array_size(F.filter("_cuts", lambda c: c < F.col("_a")))).drop("_cuts")
+        cuts = donors.groupBy("_view", "_has").agg(F.percentile_approx("_a", [k / m for k in range(1, m)]).alias("_cuts"))  # a row for each set of columns
+        donors = donors.join(F.broadcast(cuts), ["_view", "_has"]).withColumn("_cell", F.array_size(F.filter("_cuts", lambda c: c < F.col("_a")))).drop("_cuts")
     else:
         donors = donors.withColumn("_cell", F.lit(0))
-    run = F.floor((F.row_number().over(Window.partitionBy("_has", "_cell").orderBy("_b", "_a", "_id")) - 1) / block)
-    donors = donors.select("_id", "_v", F.concat_ws(":", "_has", "_cell", run).alias("_box"), "_has")
+    run = F.floor((F.row_number().over(Window.partitionBy("_view", "_has", "_cell").orderBy("_b", "_a", "_id")) - 1) / block)
+    donors = donors.select("_id", "_v", F.concat_ws(":", "_view", "_has", "_cell", run).alias("_box"), "_view", "_has")
     bounds = [f(F.col("_v")[j]).alias(f"{c}{j}") for j in range(columns) for c, f in (("lo", F.min), ("hi", F.max))]
-    return donors, donors.groupBy("_box", "_has").agg(F.count("*").alias("rows"), *bounds).orderBy("_box").toPandas()
+    return donors, donors.groupBy("_box", "_view", "_has").agg(F.count("*").alias("rows"), *bounds).orderBy("_box").toPandas()
 
 
 def _asked(boxes: pd.DataFrame, columns: int, k: int, home: bool):
     """(_id, _c, _v, _box): for every gap the blocks that may hold one of its ``k`` nearest, or only the nearest block."""
-    has = (boxes["_has"].to_numpy()[:, None] >> np.arange(columns) & 1).astype(bool)
-    lo, hi = (boxes[[f"{c}{j}" for j in range(columns)]].to_numpy(float) for c in ("lo", "hi"))
-    names, enough = boxes["_box"].to_numpy(), boxes["rows"].to_numpy() >= k
+    views = {}
+    for view, t in boxes.groupby("_view"):
+        has = (t["_has"].to_numpy()[:, None] >> np.arange(columns) & 1).astype(bool)
+        lo, hi = (t[[f"{c}{j}" for j in range(columns)]].to_numpy(float) for c in ("lo", "hi"))
+        views[view] = has, lo, hi, t["_box"].to_numpy(), t["rows"].to_numpy() >= k
 
     def run(frames):
         for pdf in frames:
-            out = []
-            for i, c, v, u in zip(pdf["_id"], pdf["_c"], pdf["_v"], pdf["_u"], strict=True):
+            out, same = [], {}
+            for i, c, v, view, u in zip(pdf["_id"], pdf["_c"], pdf["_v"], pdf["_view"], pdf["_u"], strict=True):
+                if view not in views:
+                    continue
+                has, lo, hi, names, enough = views[view]
                 x = np.array([np.nan if a is None else a for a in v], float)
+                key = view, c, None if np.isnan(u) else u, x.tobytes()
+                if key in same:
+                    out += [(i, c, v, b) for b in same[key]]
+                    continue
                 shared = has & ~np.isnan(x)
                 with np.errstate(all="ignore"):
                     off = np.where(shared, np.maximum(np.maximum(lo - x, x - hi), 0.0), 0.0)
@@ -165,14 +181,19 @@ def _asked(boxes: pd.DataFrame, columns: int, k: int, home: bool):
                     picked = order[np.isfinite(least[order])]
                 else:
                     picked = np.flatnonzero((least <= (np.inf if np.isnan(u) else u * (1 + 1e-9))) & np.isfinite(least))
-                out += [(i, c, v, names[b]) for b in picked]
+                same[key] = [names[b] for b in picked]
+                out += [(i, c, v, b) for b in same[key]]
             yield pd.DataFrame(out, columns=["_id", "_c", "_v", "_box"])
 
     return run
 
 
-def _visited(asked: DataFrame, donors: DataFrame, columns: int, k: int, kind: str, most: int = 4096) -> DataFrame:
-    """(_id, _c, _d, _from, _x): the ``k`` nearest rows of a block to each gap that asks it; what asks one block often is dealt in parts."""
+def _visited(asked: DataFrame, donors: DataFrame, columns: int, k: int, kind: str, tasks: int, most: int = 4096) -> DataFrame:
+    """(_id, _c, _d, _from, _x): the ``k`` nearest rows of a block to each gap that asks it; what asks one block often is dealt in parts.
+
+    ``tasks`` is given because few bytes ask for much work here, and Spark
+    would put them in one task.
+    """
     parts = asked.groupBy("_box").agg(F.ceil(F.count("*") / most).cast("int").alias("_parts"))
     ask = asked.join(parts, "_box").select("_box", F.pmod(F.xxhash64("_id", "_c"), F.col("_parts")).cast("int").alias("_part"), "_id", "_c", "_v")
     give = donors.join(parts, "_box").select("_box", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), "_id", F.lit(-1).alias("_c"), "_v")
@@ -180,19 +201,52 @@ def _visited(asked: DataFrame, donors: DataFrame, columns: int, k: int, kind: st
     def nearest(key, pdf):
         a, d = pdf[pdf["_c"] >= 0], pdf[pdf["_c"] < 0]
         y = np.array([[np.nan if x is None else x for x in v] for v in d["_v"]], float)
-        ids, out = d["_id"].to_numpy(), []
+        known = ~np.isnan(y)
+        ids, out, same = d["_id"].to_numpy(), [], {}
         for i, c, v in zip(a["_id"], a["_c"], a["_v"], strict=True):
             x = np.array([np.nan if q is None else q for q in v], float)
+            if (c, x.tobytes()) in same:  # a gap's own row lacks the value, so equal gaps have equal answers
+                out += [(i, c, *r) for r in same[c, x.tobytes()]]
+                continue
             with np.errstate(all="ignore"):
-                shared = ~np.isnan(y) & ~np.isnan(x)
+                shared = known & ~np.isnan(x)
                 e = np.sqrt(np.where(shared, (y - x) ** 2, 0.0).sum(1) * columns / shared.sum(1))
-            e[~shared.any(1) | np.isnan(y[:, c]) | (ids == i)] = np.inf
-            for m in np.lexsort((ids, e))[:k]:
-                if np.isfinite(e[m]):
-                    out.append((i, c, float(e[m]), ids[m], float(y[m, c])))
+            e[~shared.any(1) | ~known[:, c]] = np.inf
+            near = np.flatnonzero((e <= np.partition(e, k - 1)[k - 1]) & np.isfinite(e)) if len(e) > k else np.flatnonzero(np.isfinite(e))
+            found = same[c, x.tobytes()] = [(float(e[m]), ids[m], float(y[m, c])) for m in near[np.lexsort((ids[near], e[near]))[:k]]]
+            out += [(i, c, *r) for r in found]
         return pd.DataFrame(out, columns=["_id", "_c", "_d", "_from", "_x"])
 
-    return ask.unionByName(give).groupBy("_box", "_part").applyInPandas(nearest, f"_id {kind}, _c int, _d double, _from {kind}, _x double")
+    return ask.unionByName(give).repartition(tasks, "_box", "_part").groupBy("_box", "_part").applyInPandas(nearest, f"_id {kind}, _c int, _d double, _from {kind}, _x double")
+
+
+def _views(rows: DataFrame, gaps: DataFrame, columns: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Donors (_view, _id, _v, _k) and gaps with ``_view``: gaps of one set of known columns meet donors that differ in these columns.
+
+    Donors in the same place ``_k`` are as far from each gap of a view, so only
+    the ``k`` of the smallest ids among them can be taken: exact, and a value
+    that many rows share is no crowd that each gap must visit.
+    """
+    found = gaps.where("_set > 0").groupBy("_set", "_c").count().orderBy(F.desc("count"), "_set", "_c").limit(VIEWS + 1).collect()
+    own = [(r["_set"], r["_c"]) for r in found[:VIEWS]]
+    view = reduce(lambda a, t: a.when((F.col("_set") == t[1][0]) & (F.col("_c") == t[1][1]), t[0]), enumerate(own), F.when(F.lit(False), -1)).otherwise(-1)
+
+    def place(keep: int, also: int = -1):
+        return F.array(*[F.col("_v")[j] if keep >> j & 1 or j == also else F.lit(None).cast("double") for j in range(columns)])
+
+    kinds = [F.struct(F.lit(i).alias("_view"), place(known, c).alias("_v"), F.when(F.col("_v")[c].isNotNull(), place(known)).alias("_k")) for i, (known, c) in enumerate(own)]
+    if len(found) > VIEWS:
+        kinds.append(F.struct(F.lit(-1).alias("_view"), F.col("_v"), F.col("_v").alias("_k")))
+    none = F.array().cast("array<struct<_view:int,_v:array<double>,_k:array<double>>>")
+    seen = rows.select("_id", F.explode(F.array(*kinds) if kinds else none).alias("_s")).select("_id", "_s.*")
+    seen = seen.where(F.exists("_k", lambda x: x.isNotNull()))
+    rank = F.row_number().over(Window.partitionBy("_view", "_k").orderBy("_id"))
+    return seen.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r"), gaps.withColumn("_view", view)
+
+
+def _tasks(n: int) -> int:
+    """How many tasks look for the nearest of ``n`` rows."""
+    return 1 + n // 16_384
 
 
 def knn_plan(df: DataFrame, row_id: str, columns: list[str], k: int = 5, block: int = 4096) -> tuple[DataFrame, DataFrame, int]:
@@ -202,16 +256,19 @@ def knn_plan(df: DataFrame, row_id: str, columns: list[str], k: int = 5, block:
     distance; a block is visited if its bounds come as near as that. A gap
     whose nearest block has fewer than k fitting rows visits them all.
     """
-    v = F.array(*[F.col(c).cast("double") for c in columns])
-    rows = df.select(F.col(row_id).alias("_id"), v.alias("_v"))
+    cells = [F.col(c).cast("double") for c in columns]
+    gap = F.filter(F.array(*[F.when(c.isNull(), F.lit(j)) for j, c in enumerate(cells)]), lambda j: j.isNotNull())
+    rows = df.select(F.col(row_id).alias("_id"), F.array(*[F.when(~F.isnan(c), c) for c in cells]).alias("_v"), gap.alias("_gap"))
     kind, m = rows.schema["_id"].dataType.simpleString(), len(columns)
     n = max(1, df.count())
-    donors, boxes = _boxes(rows, m, n, max(block, n // 250_000))
-    missing = F.filter(F.transform("_v", lambda x, j: F.when(x.isNull(), j.cast("int"))), lambda j: j.isNotNull())
-    gaps = rows.where(F.exists("_v", lambda x: x.isNull())).select("_id", "_v", F.explode(missing).alias("_c"))
+    tasks = _tasks(n)
+    known = sum((F.when(F.col("_v")[j].isNotNull(), F.lit(1 << j)).otherwise(F.lit(0)) for j in range(m)), F.lit(0))
+    gaps = rows.select("_id", "_v", known.alias("_set"), F.explode("_gap").alias("_c")).repartition(tasks, "_id")
+    donors, gaps = _views(rows, gaps, m, k)
+    donors, boxes = _boxes(donors, m, n, max(block, n // 250_000))
     schema = f"_id {kind}, _c int, _v array<double>, _box string"
     first = gaps.withColumn("_u", F.lit(None).cast("double")).mapInPandas(_asked(boxes, m, k, True), schema)
-    bound = _visited(first, donors, m, k, kind).groupBy("_id", "_c").agg(F.when(F.count("*") >= k, F.max("_d")).alias("_u"))
+    bound = _visited(first, donors, m, k, kind, tasks).groupBy("_id", "_c").agg(F.when(F.count("*") >= k, F.max("_d")).alias("_u"))
     asked = gaps.join(bound, ["_id", "_c"], "left").mapInPandas(_asked(boxes, m, k, False), schema)
     return asked, donors, len(boxes)
 
@@ -221,13 +278,14 @@ def knn_impute(df: DataFrame, row_id: str, columns: list[str], k: int = 5, weigh
 
     Distance is over the columns that both rows have, scaled up to all of them;
     the smaller id is the nearer of two as near. Ids must be unique and not
-    null. Donors lie in blocks with bounds, and a gap visits only the blocks
-    that can hold one of its k nearest (``knn_plan``): exact, and no task holds
-    more than a block of donors and as many gaps.
+    null. Of donors equal in what a gap knows, the first k are kept (``_views``);
+    they lie in blocks with bounds, and a gap visits only the blocks that can
+    hold one of its k nearest (``knn_plan``): exact, and no task holds more than
+    a block of donors and as many gaps.
     """
     kind = df.select(row_id).schema[0].dataType.simpleString()
     asked, donors, _ = knn_plan(df, row_id, columns, k, block)
-    near = _visited(asked, donors, len(columns), k, kind)
+    near = _visited(asked, donors, len(columns), k, kind, _tasks(df.count()))
     top = near.withColumn("_r", F.row_number().over(Window.partitionBy("_id", "_c").orderBy("_d", "_from"))).where(F.col("_r") <= k)
     exact = F.max((F.col("_d") == 0).cast("int")).over(Window.partitionBy("_id", "_c"))
     weight = F.lit(1.0) if weights == "uniform" else F.when(exact == 1, (F.col("_d") == 0).cast("double")).otherwise(1 / F.col("_d"))
