@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -525,3 +526,69 @@ def test_robust_summary_takes_no_group_in_one_task(spark):
         v = np.array([x for g, x in rows if g == k and x is not None])
         q1, m, q3 = np.percentile(v, [25, 50, 75])
         assert np.allclose(got[k], (m, q1, q3, q3 - q1, np.median(np.abs(v - m))), atol=1e-12)
+
+
+def _shuffled(spark) -> int:
+    """Rows that all stages so far have written for a shuffle."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    gateway = spark.sparkContext._gateway
+    stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_constant_correlation_shuffles_a_row_once_and_keeps_pairs_together(spark, tmp_path):
+    """A row is shuffled once, for however many blocks and pairs it is needed; times of a pair come in order."""
+    rng = np.random.default_rng(5)
+    rows = [(a, int(t), f"day {t}", float(rng.normal()), float(rng.uniform(0.5, 2))) for a in range(60) for t in rng.choice(50, 30, replace=False)]
+    spark.createDataFrame(rows, "asset long, t int, day string, ret double, var double").write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+    before = _shuffled(spark)
+    volatility.constant_correlation(df, "asset", "t", shown="day").write.parquet(f"{tmp_path}/out")
+    assert _shuffled(spark) - before == len(rows)
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.columns == ["day", "i", "j", "corr", "cov"]
+    plain = volatility.constant_correlation(df, "asset", "t").select(F.concat(F.lit("day "), "t").alias("day"), "i", "j", "corr", "cov")
+    assert out.count() == plain.count() > 0 and out.exceptAll(plain).isEmpty()
+    seen = set()
+    for file in tmp_path.glob("out/*.parquet"):
+        got = pd.read_parquet(file)
+        times, pairs = got["day"].str[4:].astype(int).to_numpy(), list(zip(got["i"], got["j"], strict=True))
+        firsts = [p for k, p in enumerate(pairs) if not k or pairs[k - 1] != p]
+        assert len(set(firsts)) == len(firsts) and not seen & set(firsts)
+        assert all(times[k - 1] < times[k] for k in range(1, len(pairs)) if pairs[k - 1] == pairs[k])
+        seen |= set(firsts)
+
+
+@pytest.mark.parametrize("cells, assets", [(1 << 21, 1000), (64, 3)])
+def test_constant_correlation_of_blocks_cut_into_runs(monkeypatch, cells, assets):
+    """Few cells at once: the pair step in pieces gives the rows of the whole one, nulls and infinite values too."""
+    monkeypatch.setattr(volatility, "_CELLS", cells)
+    monkeypatch.setattr(volatility, "_ASSETS", assets)
+    rng = np.random.default_rng(9)
+    rows = [(a, int(t), None if rng.random() < 0.05 else float(rng.normal()), None if rng.random() < 0.05 else float(rng.uniform(0.5, 2))) for a in range(24) for t in rng.choice(40, 25, replace=False)]
+    rows[7] = (*rows[7][:2], float("inf"), 1.0)
+    packed = []
+    for k in (0, 1):
+        names = ["i", "ts", "z", "sd"]
+        part = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*[r for r in rows if r[0] % 2 == k], strict=True)], names)
+        packed.append(next(volatility._packed(iter([part])))["rows"])
+    step, pdf = volatility._pair_rows(4, ["t", "i", "j", "corr", "cov"]), pd.DataFrame(rows, columns=["asset", "t", "z", "sd"])
+    got = {}
+    for x in packed:
+        for y in packed:
+            for b in step(iter([pa.RecordBatch.from_arrays([x, y], ["one", "two"])])):
+                for r in b.to_pylist():
+                    assert (r["i"], r["j"], r["t"]) not in got
+                    got[r["i"], r["j"], r["t"]] = r["corr"], r["cov"]
+    both, want = pdf.merge(pdf, on="t").query("asset_x < asset_y"), {}
+    for (i, j), g in both.groupby(["asset_x", "asset_y"]):
+        if len(g) >= 4:
+            z = g[["z_x", "z_y"]].dropna()
+            c = np.nan if np.isinf(z.to_numpy()).any() else z["z_x"].corr(z["z_y"])
+            want |= {(i, j, t): (c, c * a * b) for t, a, b in zip(g["t"], g["sd_x"], g["sd_y"], strict=True)}
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert np.allclose([np.nan if x is None else x for x in got[k]], v, equal_nan=True), k
+    odd = {k for k, (c, _) in got.items() if c is not None and np.isnan(c)}
+    assert odd and all(rows[7][0] in k[:2] for k in odd)
